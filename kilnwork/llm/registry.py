@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .mixing import op10_mix_sources
 from .packing import op6_best_fit_packing
+from .recompression import OP1_SQL, op1_substring_dedup
+from .simhash import op5_simhash_near_dups
 from .warc import OP3_SQL, op3_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op3_warc_round_trip, op6_best_fit_packing, op10_mix_sources)}
-ORACLES = {"op3_warc_round_trip": OP3_SQL}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_simhash_near_dups, op3_warc_round_trip, op6_best_fit_packing, op10_mix_sources)}
+ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_warc_round_trip": OP3_SQL}
