@@ -7,6 +7,7 @@ largest pieces first, so the sequences left open at the end are few against thos
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -30,20 +31,44 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> dict[int, int]:
+    """The byte-level alphabet, by code point: bytes that print stand for themselves, the others follow from 256 on."""
+    prints = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in prints]
+    return {b: b for b in prints} | {b: 256 + i for i, b in enumerate(others)}
+
+
 class WordIds(dict):
     """A word's ids as little-endian unsigned 32-bit numbers. This vocabulary drops white space and no token spans it, so a
-    text's ids are those of its words in turn. The memo empties itself at `limit` words."""
+    text's ids are those of its words in turn. A word of Latin letters with ASCII punctuation behind it is cut by the
+    pre-tokenizer just there and its case is folded, so both parts are looked up apart and letters go straight to
+    the BPE model. The memo empties itself at `limit` words."""
 
-    def __init__(self, path: str, limit: int = 400_000):
+    SHAPE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([.,;:!?%#$&*|]*)")
+
+    def __init__(self, path: str, limit: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.encode, self.limit = Tokenizer.from_file(path).encode, limit
+        self.tokenizer, self.limit, self.letters = Tokenizer.from_file(path), limit, byte_letters()
+        self.encode, self.split = self.tokenizer.encode, self.tokenizer.model.tokenize
+        probe = "Probe,"
+        got = [t.id for t in self.split("probe")] + self.encode(",", add_special_tokens=False).ids
+        self.plain = got == self.encode(probe, add_special_tokens=False).ids  # another vocabulary may not work so
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
             self.clear()
-        ids = self.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        text = word.decode("utf-8", "replace")
+        shape = self.SHAPE.fullmatch(text) if self.plain else None
+        if shape is None:
+            ids = self.encode(text, add_special_tokens=False).ids
+        elif shape[2] or not text.islower():
+            found = self[shape[1].lower().encode()] + (self[shape[2].encode()] if shape[2] else b"")
+            self[word] = found
+            return found
+        else:
+            ids = [t.id for t in self.split(word.decode("latin-1").translate(self.letters))]
         found = self[word] = np.array(ids, "<u4").tobytes()
         return found
 
