@@ -72,29 +72,16 @@ def mix64(x: np.ndarray) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, width: int, factor: int) -> np.ndarray:
-    """A 64-bit hash of every `width` consecutive numbers, in log2(width) vector steps."""
+    """A 64-bit hash of every `width` consecutive numbers."""
     if len(h) < width:
         return np.empty(0, np.uint64)
-    out, done, power, size, bits = None, 0, h, 1, width
-    mul = np.uint64(factor | 1)
-    grow = mul
-    while bits:
-        if bits & 1:
-            part = power[done : done + len(h) - width + 1]
-            out = part.copy() if out is None else out * grow_at(mul, size) + part
-            done += size
-        bits >>= 1
-        if bits:
-            power = power[:-size] * grow + power[size:]
-            grow = grow * grow
-            size *= 2
+    out, n = np.zeros(len(h) - width + 1, np.uint64), len(h) - width + 1
+    for i in range(width):
+        out *= np.uint64(factor)
+        out += h[i : i + n]
     return mix64(out)
 
 
-def grow_at(mul: np.uint64, size: int) -> np.uint64:
-    return np.uint64(pow(int(mul), size, 1 << 64))
-
-
 def rows(batches: Iterator[pa.RecordBatch], *names: str, limit_bytes: int = 4 << 20) -> Iterator[list[tuple]]:
     """Rows of Arrow batches in lists of about `limit_bytes` of text at most (one longer text is a list of its own)."""
     out, held = [], 0

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from .mixing import op10_mix_sources
 from .packing import op6_best_fit_packing
+from .pii import op8_pii
 from .ranking import op9_quality_ranking
 from .recompression import OP1_SQL, op1_substring_dedup
 from .rules import op4_quality_rules
 from .simhash import op5_simhash_near_dups
 from .warc import OP3_SQL, op3_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_simhash_near_dups, op3_warc_round_trip, op4_quality_rules, op6_best_fit_packing, op9_quality_ranking, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_simhash_near_dups, op3_warc_round_trip, op4_quality_rules, op6_best_fit_packing, op8_pii, op9_quality_ranking, op10_mix_sources)}
 ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_warc_round_trip": OP3_SQL}
