@@ -222,18 +222,19 @@ def dedup(docs: DataFrame, *, width: int = WINDOW, keep_text: bool = False, name
     known = light.where("doc_id is not null")
     # copies of a whole text: all windows of those with larger ids start in the first of them
     first = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
-    copied = first.where("first_id < last_id").drop("last_id")
+    copied = materialize(first.where("first_id < last_id").drop("last_id"), f"{name}-copied")
     of_copies = known.select("doc_id", "s1", "s2").join(copied, ["s1", "s2"]).where("doc_id > first_id").select("doc_id", "s1", "s2").distinct()
     copies = materialize(of_copies, f"{name}-copies")
     base = known.join(copies, ["doc_id", "s1", "s2"], "left_anti")
     marks = base.select("doc_id", "s1", "s2", F.explode("anchors").alias("key"))
-    shared = marks.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key")
+    # written before they are joined: a join of two plain exchanges can be split where one key has many rows
+    shared = materialize(marks.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), f"{name}-shared")
     hits = materialize(marks.join(shared, "key").groupBy("doc_id", "s1", "s2").agg(F.collect_set("key").alias("keys")), f"{name}-hits")
     ids = hits.select(F.col("doc_id").alias("id_")).distinct()
     texts = docs.join(ids, F.col("doc_id") == F.col("id_"), "left_semi")
     candidates = materialize(with_signature(texts).join(hits, ["doc_id", "s1", "s2"]), f"{name}-texts")
     windows = materialize(candidate_windows(candidates, width), f"{name}-windows")
-    owner = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2", "a")
+    owner = materialize(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2", "a"), f"{name}-owner")
     found = windows.join(owner, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id", "s1", "s2").agg(F.collect_set("place").alias("places"))
     stripped = materialize(strip(candidates.drop("keys").join(found, ["doc_id", "s1", "s2"]), width, keep_text).distinct(), f"{name}-strip")
     gone = copies.select("doc_id", "s1", "s2", F.lit(True).alias("copy_"))
