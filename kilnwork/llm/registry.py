@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .ann import op2_nearest_neighbours
 from .mixing import op10_mix_sources
 from .packing import op6_best_fit_packing
 from .pii import op8_pii
@@ -11,5 +12,5 @@ from .rules import op4_quality_rules
 from .simhash import op5_simhash_near_dups
 from .warc import OP3_SQL, op3_warc_round_trip
 
-QUERIES = {f.__name__: f for f in (op1_substring_dedup, op5_simhash_near_dups, op3_warc_round_trip, op4_quality_rules, op6_best_fit_packing, op8_pii, op9_quality_ranking, op10_mix_sources)}
+QUERIES = {f.__name__: f for f in (op1_substring_dedup, op2_nearest_neighbours, op5_simhash_near_dups, op3_warc_round_trip, op4_quality_rules, op6_best_fit_packing, op8_pii, op9_quality_ranking, op10_mix_sources)}
 ORACLES = {"op1_substring_dedup": OP1_SQL, "op3_warc_round_trip": OP3_SQL}
