@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialize, rows, table, words_of
+from .base import materialize, mix64, rows, table, words_of
 from .components import components, local_labels
 
 SEED = 42
@@ -210,3 +210,98 @@ def near_duplicates(docs: DataFrame, *, width: int = 3, radius: int = RADIUS, na
 def op5_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# ---- near-duplicates at a similarity of shingle sets --------------------------------------------------------------
+
+#: Samples of a document's shingles whose fingerprints must meet, shingles in each, and the similarity that links.
+SAMPLES, TAKE, SIMILARITY, SHINGLE = 10, 3, 0.8, 5
+
+
+def sample_fingerprints(h: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
+    """SimHash of the TAKE shingles of least seeded hash, for every seed. Two sets of similarity s share all three with a
+    chance of about s**3, so at 0.8 some of ten samples meet in 999 of 1000 cases."""
+    if not len(h):
+        return np.zeros(samples, np.uint64)
+    seeds = mix64(np.arange(1, samples + 1, dtype=np.uint64))
+    scrambled = mix64(np.unique(h)[None, :] ^ seeds[:, None])
+    if scrambled.shape[1] < TAKE:
+        scrambled = np.repeat(scrambled, TAKE, 1)
+    a, b, c = np.sort(np.partition(scrambled, TAKE - 1, 1)[:, :TAKE], 1).T
+    return (a & b) | (b & c) | (a & c)
+
+
+def sketches(keyed: DataFrame, width: int) -> DataFrame:
+    """doc_id, k, size of the shingle set, fps: the whole fingerprint, then those of the samples."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows(batches, "doc_id", "k", "text"):
+            hashes = [np.array(shingle_hashes(t, width), np.uint64) for _, _, t in part]
+            whole = majority(np.concatenate(hashes), np.cumsum([len(h) for h in hashes]))
+            fps = [np.concatenate([whole[i : i + 1], sample_fingerprints(h)]).view(np.int64) for i, h in enumerate(hashes)]
+            sizes = [len(np.unique(h)) for h in hashes]
+            yield pa.record_batch([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part]), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "k", "size", "fps"])
+
+    return keyed.select("doc_id", "k", "text").mapInArrow(run, "doc_id long, k string, size long, fps array<long>")
+
+
+def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """k and its sorted set of shingle hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in rows(batches, "k", "text"):
+            yield pa.record_batch([pa.array([r[0] for r in part]), pa.array([np.unique(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for _, t in part], pa.binary())], ["k", "shingles"])
+
+    return texts.select("k", "text").mapInArrow(run, "k string, shingles binary")
+
+
+def verified(pairs: DataFrame, similarity: float) -> DataFrame:
+    """a, b of the pairs (a, b, sa, sb: shingle sets) whose Jaccard similarity is at least `similarity`; two empty sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("sa"), batch.column("sb")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            yield pa.record_batch([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+
+    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a string, b string")
+
+
+def keepers(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILARITY, name: str = "near") -> DataFrame:
+    """k and keep_id: of every class of near-duplicate texts the text that stays (by md5) and the smallest doc_id of the class.
+
+    Texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more are linked. Candidates are texts with whole
+    fingerprints within RADIUS bits, found with the vantage-point tree, and texts that share a sample's fingerprint with the
+    least text of its group; every candidate is verified on the whole sets.
+    """
+    keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k"), "text")
+    sketch = materialize(sketches(keyed, width), f"{name}-sketch")
+    texts = materialize(sketch.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fps").alias("fps")), f"{name}-uniq")
+    marks = texts.select("k", "rep", "size", F.posexplode("fps").alias("nth", "fp"))
+    centre = marks.groupBy("nth", "fp").agg(F.min(F.struct("rep", "k", "size")).alias("c"), F.count("*").alias("n")).where("n > 1 or nth = 0")
+    centre = materialize(centre.select("nth", "fp", F.col("c.k").alias("a"), F.col("c.size").alias("na")), f"{name}-centres")
+    to_centre = marks.join(centre, ["nth", "fp"]).where("k <> a").select("a", F.col("k").alias("b"), "na", F.col("size").alias("nb"))
+    whole = centre.where("nth = 0")
+    near = materialize(links_within(whole.select("fp"), RADIUS, name), f"{name}-found")
+    one, two = whole.select(F.col("fp").alias("x"), "a", "na"), whole.select(F.col("fp").alias("y"), F.col("a").alias("b"), F.col("na").alias("nb"))
+    between = near.toDF("x", "y").join(one, "x").join(two, "y").select("a", "b", "na", "nb")
+    sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
+    pairs = materialize(to_centre.unionByName(between).where(sized).select("a", "b").distinct(), f"{name}-pairs")
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), f"{name}-asked")
+    sets = materialize(shingle_sets(keyed.join(asked, "k", "left_semi").dropDuplicates(["k"]), width), f"{name}-sets")
+    full = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
+    roots = components(materialize(verified(full, similarity), f"{name}-links"), name)
+    rooted = texts.select("k", "rep").join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "rep", F.coalesce("root", "k").alias("root"))
+    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "k")).alias("m"))
+    return materialize(least.select(F.col("m.k").alias("k"), F.col("m.rep").alias("keep_id")), f"{name}-keep")
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of every class of near-duplicates: that of the smallest doc_id (of rows that repeat it with one text, one)."""
+    keep = keepers(docs, name="near-stage")
+    row = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k_"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
+    stays = row.join(keep, (F.col("k_") == F.col("k")) & F.col("row_.doc_id").eqNullSafe(F.col("keep_id")))
+    return stays.dropDuplicates(["k_"]).select("row_.*")
