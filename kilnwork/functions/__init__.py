@@ -1 +1 @@
-"""Part of the kilnwork engine."""
+"""Column expressions and the JSON functions behind the Arrow UDFs."""
