@@ -84,7 +84,7 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 def node_of(points: np.ndarray, used: int) -> tuple[int, int] | None:
     """A vantage point and the unused bits on which the points are most evenly split; None if no unused bit tells them apart."""
-    bits = np.unpackbits(points[:4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").mean(0)
+    bits = np.unpackbits(np.ascontiguousarray(points[:: -(-len(points) // 4096)]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").mean(0)
     spread = np.minimum(bits, 1 - bits)
     spread[[i for i in range(64) if used >> i & 1]] = -1
     best = np.argsort(-spread, kind="stable")[:NODE_BITS]
