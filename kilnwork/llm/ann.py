@@ -17,10 +17,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, table
+from .base import bounded_sample, materialize, mix64, table
 
 K, EVERY = 20, 20
-#: Vectors in the sample, lists, rows of a chunk, queries of a chunk: at most so many.
+#: Vectors in the sample, about; lists, rows of a chunk, queries of a chunk: at most so many.
 SAMPLE, LISTS, CHUNK, QUERIES = 20_000, 4096, 16_384, 4096
 #: Rows of a group of neighbouring lists, about: a task scans one group (or a chunk of it) for a block of queries.
 GROUP = 8192
@@ -46,6 +46,10 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def mixed(i: int) -> int:
+    return int(mix64(np.array([i & (1 << 64) - 1], np.uint64))[0])
+
+
 def k_means(x: np.ndarray, k: int, seed: int, rounds: int = 8) -> np.ndarray:
     rng = np.random.default_rng(seed)
     names = np.unique(x, axis=0)
@@ -148,7 +152,7 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
         return spark.createDataFrame([], schema)
     dim, n = lengths[0]["dim"], lengths[0]["count"]
     fine = fine.where(F.col("dim") == dim).drop("dim")
-    got = fine.orderBy(F.xxhash64(F.lit(seed), "vec_id"), "vec_id").limit(SAMPLE).collect()
+    got = sorted(bounded_sample(fine, "vec_id", SAMPLE, seed).collect(), key=lambda r: (mixed(r.vec_id), r.vec_id))
     xs, ids = np.array([r.embedding for r in got], np.float64), np.array([r.vec_id for r in got], np.int64)
     centroids = k_means(xs, min(LISTS, max(1, int(np.sqrt(n)))), seed)
     probes = choose_probes(xs, ids, centroids, k)

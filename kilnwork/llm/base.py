@@ -85,7 +85,7 @@ def window_hashes(h: np.ndarray, width: int, factor: int) -> np.ndarray:
 def rows(batches: Iterator[pa.RecordBatch], *names: str, limit_bytes: int = 4 << 20) -> Iterator[list[tuple]]:
     """Rows of Arrow batches in lists of about `limit_bytes` of text at most (one longer text is a list of its own)."""
     out, held = [], 0
-    for b in batches:
+    for b in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
         for row in zip(*(b.column(n).to_pylist() for n in names)):
             size = sum(len(x) for x in row if isinstance(x, (str, bytes)))
             if out and held + size > limit_bytes:
@@ -100,3 +100,13 @@ def rows(batches: Iterator[pa.RecordBatch], *names: str, limit_bytes: int = 4 <<
 def crc_text(column: str):
     """crc32 of the id as text, as Spark's crc32 and zlib have it; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))
+
+
+def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
+    """About `most` rows, those of least seeded hash of `key`, and never more than twice as many (were one key to repeat that
+    often). Unlike an ordered limit no task sends more to the driver than its share."""
+    n = df.count()
+    if n <= most:
+        return df
+    room = 1 << 40
+    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(room)) < F.lit(room * most // n)).limit(2 * most)

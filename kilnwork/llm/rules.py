@@ -12,7 +12,7 @@ from . import boosting
 from .base import materialize, table
 from .stats import BASE, FEATURES, labelled_sample, statistics
 
-#: Labelled documents that the trees are fitted on, at most.
+#: Labelled documents that the trees are fitted on, about.
 SAMPLE = 20_000
 #: More of these never makes a document better.
 MONOTONE = {FEATURES.index(f): -1 for f in ("symbol_share", "dup_line_share", "repeat_share", "bang_share", "bar_share", "upper_share", "lone_symbol_share", "control_share")}

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import Hashes, rows, window_hashes
+from .base import Hashes, bounded_sample, rows, window_hashes
 
 #: The symbols that the base rules count.
 SYMBOLS = b"#*$%&|<>"
@@ -84,9 +84,10 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, where: str, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels (quality, 0 or 1) of at most `most` labelled documents, those of least hash; `where` is a condition on doc_id.
+    """Features and labels (quality, 0 or 1) of about `most` labelled documents, those of least hash; `where` is a condition on doc_id.
     Null labels and labels of no document are ignored; of repeated labels the least counts, of repeated documents each row."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(where).groupBy("doc_id").agg(F.min("quality").alias("y"))
-    got = stats.select("doc_id", "features").join(known, "doc_id").orderBy(F.xxhash64(F.lit(42), "doc_id"), "doc_id").limit(most).select("features", "y").toPandas()
+    drawn = bounded_sample(known, "doc_id", most)
+    got = stats.select("doc_id", "features").join(drawn, "doc_id").select("doc_id", "features", "y").toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["features"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     return x, got["y"].to_numpy(np.float64)
