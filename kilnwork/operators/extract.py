@@ -56,22 +56,23 @@ def written_tools(c: Column) -> Column:
     return F.coalesce(some(html_tools(c)), some(xml_tools(c)), some(latex_tools(c)), some(name_block_tools(c)), F.expr("cast(array() as array<string>)"))
 
 
-json_list = arrow(lambda xs: J.dump(list(xs) if xs is not None else []), "string")
+json_list = arrow(lambda xs: None if xs is None else J.dump(list(xs)), "string")
 
 
 def parse_system(df: DataFrame, column: str = "system") -> DataFrame:
     """Replaces `column` by the prompt without its tools and adds tools (JSON text), tool_count, tool_type and extract_failed.
 
-    Only texts with a bracket meet the UDF; its result is spread with one pass. A null prompt is empty, which is a failure.
+    Texts without a bracket reach the UDF as nulls, and so do rows without written tools the second one. A null prompt is
+    empty, which is a failure.
     """
     text = strip(F.coalesce(F.col(column), F.lit("")))
     df = df.withColumn(column, text)
-    block = F.when(F.col(column).rlike(r"[\[{]"), json_block(column))
+    block = json_block(F.when(F.col(column).rlike(r"[\[{]"), F.col(column)))
     df = df.withColumn("block_", block).withColumn("written_", F.when(F.col("block_").isNull(), written_tools(F.col(column))).otherwise(F.expr("cast(array() as array<string>)")))
     is_json = F.col("block_").isNotNull()
     count = F.when(is_json, F.coalesce(F.json_array_length("block_.tools"), F.lit(0))).otherwise(F.size("written_"))
     return df.withColumns({
-        "tools": F.when(is_json, F.col("block_.tools")).otherwise(json_list("written_")),
+        "tools": F.when(is_json, F.col("block_.tools")).otherwise(F.coalesce(json_list(F.when(F.size("written_") > 0, F.col("written_"))), F.lit("[]"))),
         "tool_count": count.cast("int"),
         "tool_type": F.when(is_json, "json").otherwise("non_json"),
         "extract_failed": ~is_json & (F.size("written_") == 0),

@@ -98,3 +98,12 @@ def save_json(value: dict, path: str) -> None:
 def short_examples(df: DataFrame, key: str = "key") -> DataFrame:
     """The first 500 characters of user, 800 of assistant, 30 names."""
     return df.select(key, F.substring("user", 1, 500).alias("user"), F.substring("assistant", 1, 800).alias("assistant"), F.slice("names", 1, 30).alias("names"))
+
+
+def metadata(frames: dict[str, DataFrame], paths: dict[str, str] | None = None, flags: dict[str, str] | None = None) -> dict:
+    """Row counts by name, where `flags` has a condition for a name also the rows that meet it, and the paths written."""
+    out: dict = {}
+    for name, df in frames.items():
+        row = df.agg(F.count("*").alias("rows"), F.count_if(F.expr((flags or {}).get(name, "false"))).alias("flagged")).first()
+        out[name] = {"rows": row.rows} | ({"flagged": row.flagged} if name in (flags or {}) else {})
+    return out | ({"paths": paths} if paths else {})

@@ -5,8 +5,6 @@ buckets gives each bucket's offset, and ranks are taken inside buckets only, so
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,42 +13,48 @@ def order_hash(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), key.cast("string")).cast("binary"))
 
 
-def global_rank(df: DataFrame, key: str, seed: int, by: list[str] | None = None, name: str = "rank") -> DataFrame:
-    """Adds the rank (from 1) of every row in the seeded order, apart for each value of `by`; a null key comes last."""
+def global_rank(df: DataFrame, key: str, seed: int, by: list[str] | None = None, name: str = "rank", total: str | None = None) -> DataFrame:
+    """Adds the rank (from 1) of every row in the seeded order, apart for each value of `by`, and the number of rows ranked
+    together, if `total` names it; a null key comes last."""
     by = by or []
     h = df.withColumn("h_", F.coalesce(order_hash(F.col(key), seed), F.lit("~"))).withColumn("b_", F.substring("h_", 1, 4))
-    before = Window.partitionBy(*by).orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = h.groupBy(*by, "b_").count().withColumn("offset_", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
+    group = Window.partitionBy(*by)
+    before = group.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = h.groupBy(*by, "b_").count().withColumn("offset_", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn("n_", F.sum("count").over(group)).drop("count")
     names = {c: f"{c}_of_" for c in [*by, "b_"]}
     right = offsets.withColumnsRenamed(names)
     match = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     inside = Window.partitionBy(*by, "b_").orderBy("h_", key)
     joined = h.join(right, match).withColumn(name, (F.col("offset_") + F.row_number().over(inside)).cast("long"))
+    joined = joined.withColumnRenamed("n_", total) if total else joined.drop("n_")
     return joined.drop("h_", "b_", "offset_", *names.values())
 
 
+def part_of(total: str, share: float) -> Column:
+    """int(total * share), of doubles."""
+    return F.floor(F.col(total).cast("double") * F.lit(float(share)))
+
+
 def train_test(df: DataFrame, key: str, *, test: float = 0.05, seed: int = 42) -> DataFrame:
     """Adds split: the first ceil(n * test) rows of the seeded order are test, the others train."""
-    n = df.count()
-    ranked = global_rank(df, key, seed, name="rank_")
-    return ranked.withColumn("split", F.when(F.col("rank_") <= math.ceil(n * test), "test").otherwise("train")).drop("rank_")
+    ranked = global_rank(df, key, seed, name="rank_", total="of_")
+    first = F.ceil(F.col("of_").cast("double") * F.lit(float(test)))
+    return ranked.withColumn("split", F.when(F.col("rank_") <= first, "test").otherwise("train")).drop("rank_", "of_")
 
 
 def take_fraction(df: DataFrame, key: str, fraction: float, seed: int) -> DataFrame:
     """The first int(n * fraction) rows of the seeded order."""
-    n = int(df.count() * fraction)
-    return global_rank(df, key, seed, name="rank_").where(F.col("rank_") <= n).drop("rank_")
+    return global_rank(df, key, seed, name="rank_", total="of_").where(F.col("rank_") <= part_of("of_", fraction)).drop("rank_", "of_")
 
 
 def bands(df: DataFrame, key: str, shares: dict[str, float], seed: int, *, rest: str | None = None, name: str = "mode") -> DataFrame:
     """Adds a mode: consecutive bands of int(n * share) rows each in the seeded order. What is left gets `rest`, or else the last band."""
-    n = df.count()
-    ranked, upto = global_rank(df, key, seed, name="rank_"), 0
+    ranked, upto = global_rank(df, key, seed, name="rank_", total="of_"), F.lit(0)
     mode = F.when(F.lit(False), F.lit(""))
     for label, share in list(shares.items())[: None if rest else -1]:
-        upto += int(n * share)
+        upto = upto + part_of("of_", share)
         mode = mode.when(F.col("rank_") <= upto, label)
-    return ranked.withColumn(name, mode.otherwise(rest or list(shares)[-1])).drop("rank_")
+    return ranked.withColumn(name, mode.otherwise(rest or list(shares)[-1])).drop("rank_", "of_")
 
 
 def sample_of_total(eligible: DataFrame, key: str, total: int, ratio: float, seed: int) -> DataFrame:

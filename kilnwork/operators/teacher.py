@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import jsontext as J
 from ..functions.text import blank_to_null, strip
@@ -114,6 +115,21 @@ def canonical(results: DataFrame, planned: DataFrame, key: str = "source_index",
     return results.join(plan, same, "left_semi"), results.join(plan, same, "left_anti")
 
 
+def dry_run(plan: DataFrame) -> DataFrame:
+    """Records of planned rows without asking: an empty annotation and the status dry_run."""
+    empty = lambda kind: F.expr(f"cast(array() as {kind})")
+    return plan.withColumns({
+        "teacher_success": empty(SUCCESS), "teacher_failed": empty(FAILED), "teacher_description": F.lit(""),
+        "validation_errors": empty("array<string>"), "error": F.lit(None).cast("string"), "status": F.lit("dry_run"),
+    })
+
+
+def dataset(records: DataFrame) -> DataFrame:
+    """The thirteen columns that are kept of annotated rows, nested ones as JSON text."""
+    nested = lambda c: F.to_json(c).alias(c) if isinstance(records.schema[c].dataType, (T.ArrayType, T.MapType, T.StructType)) else F.col(c)
+    return records.select("system", "user", "assistant", "tools", "tool_count", "tool_type", "refusal", "ablation_mode", *map(nested, ("parameter_mapping", "function_mapping", "teacher_success", "teacher_failed")), "teacher_description")
+
+
 RESULT = f"source_index long, raw string, success {SUCCESS}, failed {FAILED}, description string, error string"
 
 

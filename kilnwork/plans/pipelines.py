@@ -13,6 +13,8 @@ from ..operators.prompt import EOT, add_prompt, header, render_prompt, teacher_m
 
 COLUMNS = ("system", "user", "assistant", "tools", "tool_count", "tool_type", "refusal")
 MAX_TOKENS = 1024
+# Names of the refusal rows' modes and sources.
+DESCRIBED, WITHOUT_TOOLS = "teacher_refusal_description", "toolace_zero_tool_refusal"
 
 
 def structure(raw: DataFrame, *, tokenizer: tokens.Tokenizer = tokens.default_tokenizer) -> DataFrame:
@@ -45,8 +47,8 @@ def refusal_union(processed: DataFrame, annotated: DataFrame) -> DataFrame:
     common = lambda df, source, mode, refusal: df.withColumns({"ablation_mode": F.lit(mode), "parameter_mapping": F.lit("{}"), "function_mapping": F.lit("{}"), "source_dataset": F.lit(source), "refusal": F.lit(refusal)}).select("key", *COLUMNS, "ablation_mode", "parameter_mapping", "function_mapping", "source_dataset")
     answered = common(processed.where("refusal = 0 and tool_type = 'json'"), "non_refusal", "none", 0)
     described = annotated.withColumn("assistant", teacher.description_of(annotated)).where("assistant <> ''")
-    bare = common(processed.where("refusal = 1 and tool_count = 0"), "toolace_zero_tool_refusal", "toolace_zero_tool_refusal", 1)
-    return answered.unionByName(common(described, "teacher_refusal_description", "teacher_refusal_description", 1)).unionByName(bare)
+    bare = common(processed.where("refusal = 1 and tool_count = 0"), WITHOUT_TOOLS, WITHOUT_TOOLS, 1)
+    return answered.unionByName(common(described, DESCRIBED, DESCRIBED, 1)).unionByName(bare)
 
 
 def perturbed_modes(union: DataFrame, key: str, *, seed: int = 42) -> DataFrame:

@@ -460,3 +460,22 @@ def lenient_replies(spark, sf_dir):
     asked = processed(spark, sf_dir).select(F.col("key").alias("source_index"), F.array(F.struct(F.lit("user").alias("role"), reply.alias("content"))).alias("teacher_prompt"))
     return teacher.annotate(asked, lambda: lambda messages: messages[0]["content"]).where("error is null").select(F.col("source_index").alias("key"), "description")
 
+
+
+@query(f"WITH {TEACHER} SELECT source_index, contains(call, tool || '(') AS known, CASE WHEN contains(call, 'old_size=') THEN 'old_size' END AS old_name FROM a")
+def call_checks(spark, sf_dir):
+    df = A.run(spark, sf_dir, A.A_TEACHER)
+    return df.select("source_index", classify.calls_any(F.col("call"), F.array("tool")).alias("known"), classify.first_old_name(F.col("call"), F.array(F.lit("zzz"), F.lit("old_size"))).alias("old_name"))
+
+
+@query(f"WITH {P} SELECT key AS source_index, 'dry_run' AS status, CAST(0 AS INT) AS success_items, CAST(2 AS INT) AS messages, contains(tools, 'get_part') AS asks_about_tools FROM p WHERE refusal = 1 AND tool_count > 0 AND tool_type = 'json'")
+def dry_run_plan(spark, sf_dir):
+    df = teacher.dry_run(pipelines.annotation_plan(processed(spark, sf_dir)))
+    question = F.get_json_object(df["teacher_prompt"][1]["content"], "$.tools")
+    return df.select("source_index", "status", F.size("teacher_success").alias("success_items"), F.size("teacher_prompt").alias("messages"), (F.json_array_length(question) > 0).alias("asks_about_tools"))
+
+
+@query(f"WITH {P} SELECT key, tool_count, {ORDER.format(seed=1)} AS rank FROM p WHERE key % 8 = 7")
+def extraction_failures(spark, sf_dir):
+    rows = extract.parse_system(tools(spark, sf_dir)).where("extract_failed")
+    return sample.global_rank(rows, "key", 1).select("key", "tool_count", "rank")

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,14 +16,10 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
-def read_dataset(spark: SparkSession, path: str, split: str = "train") -> DataFrame:
-    """A Parquet or JSON table; of a folder of splits the named one, if it is there."""
+def read_dataset(spark: SparkSession, path: str, split: str = "train", form: str = "parquet") -> DataFrame:
+    """A table in any format that Spark reads; of a folder of splits the named one, if it is there."""
     inner = f"{path}/{split}"
-    path = inner if exists(spark, inner) else path
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException:
-        return spark.read.json(path)
+    return spark.read.format(form).load(inner if exists(spark, inner) else path)
 
 
 def read_arrow_dir(spark: SparkSession, paths: list[str]) -> DataFrame:
