@@ -93,7 +93,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece, in the order given, its sequence and its place there."""
+    """For each piece, in the order given, its sequence and its place there. A new sequence is opened only where no open one
+    has room: with the longest pieces first that needs fewer than letting an empty one compete."""
     n = np.zeros(capacity + 1, np.int64)  # open sequences by gap; full ones and new ones don't count
     holders: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
     seq, off, opened = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
@@ -104,8 +105,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
         if size <= capacity and old[0] > 0:
             cost[0] = 1 - 2 * old[0]  # fills it
         g = int(cost.argmin())
-        fresh = 0 if size == capacity else 1 + 2 * int(n[capacity - size])
-        if cost[g] < fresh or (cost[g] == fresh and size != capacity):
+        if cost[g] < np.iinfo(np.int64).max:
             g += size
             s, used = holders[g].pop()
             n[g] -= 1
