@@ -153,6 +153,7 @@ def op10_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mixed documents themselves: each row as often as the mix takes it (texts without words are not taken)."""
+    """The mixed documents themselves, all columns: each row as often as the mix takes it. Texts without words, null ones among
+    them, are not taken; a null source is a source; repeated rows are taken each for itself; an empty table stays empty."""
     mixed = mix(docs, whole_rows=True, name="mix-stage").where("copies > 0")
     return mixed.select("row_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy_")).select("row_.*")

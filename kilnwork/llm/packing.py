@@ -1,7 +1,7 @@
 """Operator 6, best-fit packing: the sum-of-squares rule.
 
-Documents become pieces of at most `capacity` tokens. A piece goes where the sum, over gaps, of the squared number of open
-sequences with that gap becomes smallest. Pieces are dealt by a hash into shards of bounded size that are packed apart,
+Documents become pieces of at most `capacity` tokens. Of the open sequences with room a piece goes where the sum, over gaps,
+of the squared number of open sequences with that gap becomes smallest. Pieces are dealt by a hash into shards of bounded size that are packed apart,
 largest pieces first, so the sequences left open at the end are few against those that are full.
 """
 
@@ -150,4 +150,5 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pack_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """pack() over what the stages before kept; a document that the mix repeats is packed as often."""
     return pack(docs, name="pack-stage")

@@ -300,7 +300,9 @@ def keepers(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILA
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of every class of near-duplicates: that of the smallest doc_id (of rows that repeat it with one text, one)."""
+    """One document of every class of near-duplicates, all columns: that of the smallest doc_id, and of rows that repeat it with
+    one text, one. Null, empty and white texts are alike; rows without an id stay only where their class has none; an empty
+    table stays empty."""
     keep = keepers(docs, name="near-stage")
     row = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k_"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
     stays = row.join(keep, (F.col("k_") == F.col("k")) & F.col("row_.doc_id").eqNullSafe(F.col("keep_id")))
