@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -147,22 +149,27 @@ def _parsed(raw: str) -> dict:
     }
 
 
-def annotate(df: DataFrame, make_client: Callable[[], Callable[[list[dict]], str]]) -> DataFrame:
-    """Asks for an annotation of every row (source_index, teacher_prompt), one client per task. A row whose request or reply
-    fails has its error instead. Write the result before using it twice: each evaluation asks again."""
+def annotate(df: DataFrame, make_client: Callable[[], Callable[[list[dict]], str]], threads: int = 4) -> DataFrame:
+    """Asks for an annotation of every row (source_index, teacher_prompt): a task keeps `threads` requests going, each thread with
+    a client of its own. A row whose request or reply fails has its error instead. Write the result before using it twice:
+    each evaluation asks again."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        client = make_client()
-        for pdf in batches:
-            out = []
-            for key, messages in zip(pdf["source_index"], pdf["teacher_prompt"]):
-                row = {"source_index": key, "raw": None, "success": None, "failed": None, "description": None, "error": None}
-                try:
-                    row["raw"] = client([{"role": m["role"], "content": m["content"]} for m in messages])
-                    row |= _parsed(row["raw"])
-                except Exception as e:  # noqa: BLE001  one bad reply must not end the job
-                    row["error"] = f"{type(e).__name__}: {e}"
-                out.append(row)
-            yield pd.DataFrame(out, columns=["source_index", "raw", "success", "failed", "description", "error"])
+        own = threading.local()
+
+        def ask(key: int, messages: list) -> dict:
+            row = {"source_index": key, "raw": None, "success": None, "failed": None, "description": None, "error": None}
+            try:
+                if not hasattr(own, "client"):
+                    own.client = make_client()
+                row["raw"] = own.client([{"role": m["role"], "content": m["content"]} for m in messages])
+                row |= _parsed(row["raw"])
+            except Exception as e:  # noqa: BLE001  one bad reply must not end the job
+                row["error"] = f"{type(e).__name__}: {e}"
+            return row
+
+        with ThreadPoolExecutor(threads) as pool:
+            for pdf in batches:
+                yield pd.DataFrame(list(pool.map(ask, pdf["source_index"], pdf["teacher_prompt"])), columns=["source_index", "raw", "success", "failed", "description", "error"])
 
     return df.select("source_index", "teacher_prompt").mapInPandas(run, RESULT)

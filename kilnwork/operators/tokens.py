@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections.abc import Callable
@@ -21,6 +22,25 @@ def default_tokenizer(text: str) -> list[int]:
 
 
 Tokenizer = Callable[[str], list[int]]
+_loaded: dict = {}
+
+
+def local_or_name(folder: str | None, name: str) -> str:
+    """A tokenizer's local folder, if it is there, else its name."""
+    return folder if folder and os.path.isdir(folder) else name
+
+
+def file_tokenizer(path: str) -> Tokenizer:
+    """The tokenizer of a file that every executor can open; a worker loads it once. Nothing is added to a text's ids."""
+
+    def ids(text: str) -> list[int]:
+        if path not in _loaded:
+            from tokenizers import Tokenizer as File
+
+            _loaded[path] = File.from_file(path)
+        return _loaded[path].encode(text, add_special_tokens=False).ids
+
+    return ids
 
 
 def token_length(text: Column, tokenizer: Tokenizer = default_tokenizer) -> Column:

@@ -186,3 +186,12 @@ def test_streaming_buckets(spark, tmp_path):
     stream_to_buckets(spark, str(tmp_path / "in"), schema, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination(60)
     got = {r.status: r["count"] for r in spark.read.option("basePath", str(tmp_path / "out")).json(f"{tmp_path}/out").groupBy("status").count().collect()}
     assert got == {"valid": 2, "invalid_schema": 1}
+
+
+def test_file_tokenizer(spark):
+    path = pytest.importorskip("public_tokenizers").path("byte_bpe_50k.json")
+    from tokenizers import Tokenizer
+
+    want = len(Tokenizer.from_file(path).encode("Hello world, twice", add_special_tokens=False).ids)
+    assert one(spark, tokens.token_length(F.col("a"), tokens.file_tokenizer(path)), a="Hello world, twice") == want
+    assert tokens.local_or_name("/nowhere", "x") == "x" and tokens.local_or_name("/tmp", "x") == "/tmp"
