@@ -138,7 +138,8 @@ def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, most
         .withColumn("cum", F.sum("c").over(up_to)).where("cum >= extra and cum - c < extra")
         .select("source", "size", F.col("bucket").alias("cut"), (F.col("extra") - F.col("cum") + F.col("c")).alias("need"))
     )
-    goals = plans.join(cut, same(plans, cut), "left").select(*(plans[c] for c in plans.columns), "cut", "need")
+    # written before it is joined, so that a length which many documents share can be split
+    goals = materialize(plans.join(cut, same(plans, cut), "left").select(*(plans[c] for c in plans.columns), "cut", "need"), f"{name}-goals")
     whole = sized.join(goals, same(sized, goals)).select(sized["*"], "source_size", "target", "passes", F.when(F.col("extra") >= F.col("n"), BUCKETS).when(F.col("extra") <= 0, -1).otherwise(F.col("cut")).alias("cut"), "need")
     rank = F.row_number().over(Window.partitionBy("source", "size", "bucket").orderBy("h", "doc_id"))
     inside, edge = whole.where("bucket <> cut"), whole.where("bucket = cut").withColumn("r", rank)

@@ -290,8 +290,10 @@ def keepers(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILA
     between = near.toDF("x", "y").join(one, "x").join(two, "y").select("a", "b", "na", "nb")
     sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
     pairs = materialize(to_centre.unionByName(between).where(sized).select("a", "b").distinct(), f"{name}-pairs")
-    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), f"{name}-asked")
-    sets = materialize(shingle_sets(keyed.join(asked, "k", "left_semi").dropDuplicates(["k"]), width), f"{name}-sets")
+    # of each text that is asked for the row with its least id: copies, however many, don't meet
+    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(texts.select("k", "rep"), "k").toDF("k_", "rep"), f"{name}-asked")
+    one_row = keyed.join(asked, (F.col("k") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["k", "doc_id"])
+    sets = materialize(shingle_sets(one_row, width), f"{name}-sets")
     full = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
     roots = components(materialize(verified(full, similarity), f"{name}-links"), name)
     rooted = texts.select("k", "rep").join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "rep", F.coalesce("root", "k").alias("root"))
