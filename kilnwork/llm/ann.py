@@ -1,10 +1,11 @@
 """Operator 2, approximate nearest neighbours by inner product: adaptive dimension scan.
 
 Vectors are dealt into lists by k-means centroids, and each query probes the lists of the largest inner products. Inside
-a list vectors are rotated at random and scanned in blocks of columns: after each block a hypothesis test compares what a
-candidate has so far, plus what the rest may add by the norms that remain, with the query's threshold, and abandons most of
-them early. Survivors get exact scores in double precision. The centroids, the number of probes and the first thresholds come
-from a bounded sample; every row is indexed. Long lists and many queries are dealt into chunks, so no list meets in one task.
+a list vectors are rotated at random and scanned in blocks of columns: after each block a hypothesis test on the partial
+distance asks whether the whole one can still meet the query's threshold, and abandons candidates early. Survivors get exact
+scores in double precision. The centroids, the number of probes and the first thresholds come from a bounded sample; every
+row is indexed. Neighbouring lists form groups, and long groups and many queries are dealt into chunks, so no list meets in
+one task.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ SAMPLE, LISTS, CHUNK, QUERIES = 20_000, 4096, 16_384, 4096
 GROUP = 8192
 #: Rows of the sample that every query is compared with first: their k-th best score is its first threshold.
 SEEDS = 1024
-#: Columns of a block, and standard deviations that a candidate's remainder is given before it is abandoned.
+#: Columns of a block, and standard deviations that a partial distance is given before its candidate is abandoned.
 BLOCK, SIGMAS = 16, 3.0
 #: Recall on the sample that the number of probes is chosen for.
 AIM = 0.97
@@ -85,37 +86,50 @@ def choose_probes(x: np.ndarray, ids: np.ndarray, c: np.ndarray, k: int) -> int:
 
 
 class Scan:
-    """The k best so far of some queries, over lists of candidates that are scanned one after the other."""
+    """The k best so far of some queries, over lists of candidates that are scanned one after the other.
+
+    A candidate qualifies if its inner product reaches the query's threshold, that is if its squared distance is at most
+    T = |q|^2 + |x|^2 - 2 * threshold. After a random rotation the first c of D columns hold a share of the squared distance
+    that is Beta distributed with mean c / D, whatever the two vectors are; a candidate is abandoned when they hold
+    more of T than SIGMAS standard deviations above that mean (or than all of T).
+    """
 
     def __init__(self, q: np.ndarray, ids: np.ndarray, floor: np.ndarray, rotation: np.ndarray, k: int):
         self.q, self.ids, self.floor, self.rotation, self.k = q, ids, floor.copy(), rotation, k
+        dim = q.shape[1]
         self.turned = q @ rotation
-        self.cuts = list(range(BLOCK, q.shape[1], BLOCK))
-        self.rest = self.remainders(self.turned)
+        self.cuts = [0, *range(BLOCK, dim, BLOCK)]
+        self.share = [min(1.0, c / dim + SIGMAS * np.sqrt(2 * c * (dim - c) / (dim * dim * (dim + 2)))) for c in self.cuts]
+        self.norms, self.whole = self.prefix_norms(self.turned), (q * q).sum(1)
         self.scores, self.found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
 
-    def remainders(self, m: np.ndarray) -> list[np.ndarray]:
-        """Norms of what lies behind each cut, in units of its standard share of an inner product."""
-        return [np.sqrt((m[:, c:] ** 2).sum(1)) for c in self.cuts]
+    def prefix_norms(self, m: np.ndarray) -> list[np.ndarray]:
+        return [(m[:, :c] ** 2).sum(1) for c in self.cuts]
+
+    def hopeful(self, i: int, norms: np.ndarray, inner: np.ndarray, whole: np.ndarray, floor: np.ndarray) -> np.ndarray:
+        """Whether the partial squared distance up to cut i leaves a candidate in the running."""
+        return norms - 2 * inner <= self.share[i] * (whole - 2 * floor) + 1e-9 * whole
 
     def list(self, asking: np.ndarray, x: np.ndarray, x_ids: np.ndarray) -> None:
-        """Scans one list for the queries (by place) that probe it."""
-        dim, turned = x.shape[1], x @ self.rotation
-        rest = self.remainders(turned)
+        """Scans one list for the queries (by place) that probe it: whole blocks while many candidates are left, then single ones."""
+        turned, x_whole = x @ self.rotation, (x * x).sum(1)
+        x_norms = self.prefix_norms(turned)
         for lo in range(0, len(x), 1024):
             rows = slice(lo, lo + 1024)
-            if self.cuts:
-                c = self.cuts[0]
-                part = self.turned[asking, :c] @ turned[rows, :c].T
-                hope = part + (SIGMAS / np.sqrt(dim - c) * self.rest[0][asking])[:, None] * rest[0][rows][None]
-                a, b = np.nonzero(hope >= self.floor[asking][:, None])
-                got = part[a, b]
-            else:
-                a, b = (g.ravel() for g in np.indices((len(asking), len(x[rows]))))
+            whole = self.whole[asking][:, None] + x_whole[rows][None]
+            inner, alive, i = np.zeros(whole.shape), np.ones(whole.shape, bool), 0
+            while i + 1 < len(self.cuts) and alive.mean() > 0.2:
+                columns = slice(self.cuts[i], self.cuts[i + 1])
+                inner += self.turned[asking, columns] @ turned[rows, columns].T
+                i += 1
+                alive &= self.hopeful(i, self.norms[i][asking][:, None] + x_norms[i][rows][None], inner, whole, self.floor[asking][:, None])
+            a, b = np.nonzero(alive)
+            got = inner[a, b]
             a, b = asking[a], b + lo
-            for i, c in enumerate(self.cuts[1:], 1):
-                got = got + np.einsum("ij,ij->i", self.turned[a, self.cuts[i - 1] : c], turned[b, self.cuts[i - 1] : c])
-                ok = got + SIGMAS / np.sqrt(dim - c) * self.rest[i][a] * rest[i][b] >= self.floor[a]
+            for i in range(i + 1, len(self.cuts)):
+                columns = slice(self.cuts[i - 1], self.cuts[i])
+                got = got + np.einsum("ij,ij->i", self.turned[a, columns], turned[b, columns])
+                ok = self.hopeful(i, self.norms[i][a] + x_norms[i][b], got, self.whole[a] + x_whole[b], self.floor[a])
                 a, b, got = a[ok], b[ok], got[ok]
             other = self.ids[a] != x_ids[b]
             a, b = a[other], b[other]

@@ -174,6 +174,7 @@ def test_neighbours(spark):
 def test_scan_abandons_without_loss():
     rng = np.random.default_rng(9)
     q, x = rng.normal(size=(30, 64)), rng.normal(size=(3000, 64))
+    x[:900] = q[np.arange(900) % 30] + 0.2 * rng.normal(size=(900, 64))  # neighbours far nearer than the rest
     rotation = np.linalg.qr(rng.normal(size=(64, 64)))[0]
     work = ann.Scan(q, np.full(30, -1), np.full(30, -np.inf), rotation, 10)
     work.list(np.arange(30), x, np.arange(3000))
