@@ -98,7 +98,7 @@ class Scan:
         self.q, self.ids, self.floor, self.rotation, self.k = q, ids, floor.copy(), rotation, k
         dim = q.shape[1]
         self.turned = q @ rotation
-        self.cuts = [0, *range(BLOCK, dim, BLOCK)]
+        self.cuts = [0, *range(BLOCK, dim, BLOCK), dim]
         self.share = [min(1.0, c / dim + SIGMAS * np.sqrt(2 * c * (dim - c) / (dim * dim * (dim + 2)))) for c in self.cuts]
         self.norms, self.whole = self.prefix_norms(self.turned), (q * q).sum(1)
         self.scores, self.found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
@@ -106,30 +106,34 @@ class Scan:
     def prefix_norms(self, m: np.ndarray) -> list[np.ndarray]:
         return [(m[:, :c] ** 2).sum(1) for c in self.cuts]
 
-    def hopeful(self, i: int, norms: np.ndarray, inner: np.ndarray, whole: np.ndarray, floor: np.ndarray) -> np.ndarray:
-        """Whether the partial squared distance up to cut i leaves a candidate in the running."""
-        return norms - 2 * inner <= self.share[i] * (whole - 2 * floor) + 1e-9 * whole
+    def least(self, i: int, norms: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """One vector's part of the partial inner product up to cut i that leaves a candidate in the running: the test on
+        partial distances, solved for it, is the sum of the query's part, the candidate's and share * threshold."""
+        return (norms - (self.share[i] + 1e-9) * whole) / 2
 
     def list(self, asking: np.ndarray, x: np.ndarray, x_ids: np.ndarray) -> None:
         """Scans one list for the queries (by place) that probe it: whole blocks while many candidates are left, then single ones."""
         turned, x_whole = x @ self.rotation, (x * x).sum(1)
         x_norms = self.prefix_norms(turned)
+        of_x = [self.least(i, n, x_whole) for i, n in enumerate(x_norms)]
+        of_q = [self.least(i, n, self.whole) for i, n in enumerate(self.norms)]
         for lo in range(0, len(x), 1024):
             rows = slice(lo, lo + 1024)
-            whole = self.whole[asking][:, None] + x_whole[rows][None]
-            inner, alive, i = np.zeros(whole.shape), np.ones(whole.shape, bool), 0
-            while i + 1 < len(self.cuts) and alive.mean() > 0.2:
+            inner, alive, i = np.zeros((len(asking), len(x[rows]))), None, 0
+            while i + 1 < len(self.cuts) and (alive is None or alive.mean() > 0.05):
                 columns = slice(self.cuts[i], self.cuts[i + 1])
                 inner += self.turned[asking, columns] @ turned[rows, columns].T
                 i += 1
-                alive &= self.hopeful(i, self.norms[i][asking][:, None] + x_norms[i][rows][None], inner, whole, self.floor[asking][:, None])
+                least = (of_q[i] + self.share[i] * self.floor)[asking]
+                now = inner >= np.add.outer(least, of_x[i][rows])
+                alive = now if alive is None else alive & now
             a, b = np.nonzero(alive)
             got = inner[a, b]
             a, b = asking[a], b + lo
             for i in range(i + 1, len(self.cuts)):
                 columns = slice(self.cuts[i - 1], self.cuts[i])
                 got = got + np.einsum("ij,ij->i", self.turned[a, columns], turned[b, columns])
-                ok = self.hopeful(i, self.norms[i][a] + x_norms[i][b], got, self.whole[a] + x_whole[b], self.floor[a])
+                ok = got >= of_q[i][a] + of_x[i][b] + self.share[i] * self.floor[a]
                 a, b, got = a[ok], b[ok], got[ok]
             other = self.ids[a] != x_ids[b]
             a, b = a[other], b[other]
