@@ -216,6 +216,8 @@ def op5_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Samples of a document's shingles whose fingerprints must meet, shingles in each, and the similarity that links.
 SAMPLES, TAKE, SIMILARITY, SHINGLE = 10, 3, 0.8, 5
+#: Texts of a group up to which its open pairs are written out as rows, and texts of a block of larger groups.
+FEW, BLOCK = 16, 256
 
 
 def sample_fingerprints(h: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
@@ -270,32 +272,86 @@ def verified(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a string, b string")
 
 
+def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """How many numbers each sorted set of x has in common with each of y."""
+    names = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    out = np.zeros((len(x), len(y)), np.float32)
+    for lo in range(0, len(names), 8192):
+        part, both = names[lo : lo + 8192], []
+        for sets in (x, y):
+            dense = np.zeros((len(sets), len(part)), np.float32)
+            for i, s in enumerate(sets):
+                s = s[np.searchsorted(s, part[0]) : np.searchsorted(s, part[-1], "right")]
+                at = np.searchsorted(part, s)
+                dense[i, at[part[at] == s]] = 1
+            both.append(dense)
+        out += both[0] @ both[1].T
+    return out
+
+
+def links_of_blocks(members: DataFrame, similarity: float) -> DataFrame:
+    """a, b: links that join what all similar pairs of `members` (nth, g, i, j, block, k, class, shingles) of two blocks i and j of
+    a group join. All pairs of differing classes are compared on whole sets; only links that hold are reduced."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        k, kind = pdf["k"].to_numpy(), pdf["class"].to_numpy()
+        sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
+        size = np.array([len(s) for s in sets])
+        one, two = (np.flatnonzero(pdf["block"].to_numpy() == key[n]) for n in (2, 3))
+        if not len(one) or not len(two):
+            return pd.DataFrame({"a": [], "b": []}, dtype=object)
+        both = shared_counts([sets[i] for i in one], [sets[i] for i in two])
+        alike = (both >= similarity * (np.add.outer(size[one], size[two]) - both)) & (kind[one][:, None] != kind[two][None, :])
+        x, y = np.nonzero(alike)
+        lab = local_labels(len(k), one[x], two[y])
+        own = np.flatnonzero(lab != np.arange(len(k)))
+        return pd.DataFrame({"a": k[own], "b": k[lab[own]]})
+
+    return members.groupBy("nth", "g", "i", "j").applyInPandas(run, "a string, b string")
+
+
 def keepers(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILARITY, name: str = "near") -> DataFrame:
     """k and keep_id: of every class of near-duplicate texts the text that stays (by md5) and the smallest doc_id of the class.
 
     Texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more are linked. Candidates are texts with whole
-    fingerprints within RADIUS bits, found with the vantage-point tree, and texts that share a sample's fingerprint with the
-    least text of its group; every candidate is verified on the whole sets.
+    fingerprints within RADIUS bits, found with the vantage-point tree, and texts that share a fingerprint, a group. Each text is first verified against the least of its group; where that leaves a group in several classes, all
+    pairs of texts of differing classes are, on the whole sets.
     """
     keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k"), "text")
     sketch = materialize(sketches(keyed, width), f"{name}-sketch")
     texts = materialize(sketch.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fps").alias("fps")), f"{name}-uniq")
     marks = texts.select("k", "rep", "size", F.posexplode("fps").alias("nth", "fp"))
-    centre = marks.groupBy("nth", "fp").agg(F.min(F.struct("rep", "k", "size")).alias("c"), F.count("*").alias("n")).where("n > 1 or nth = 0")
-    centre = materialize(centre.select("nth", "fp", F.col("c.k").alias("a"), F.col("c.size").alias("na")), f"{name}-centres")
-    to_centre = marks.join(centre, ["nth", "fp"]).where("k <> a").select("a", F.col("k").alias("b"), "na", F.col("size").alias("nb"))
+    marks = marks.withColumnRenamed("fp", "g")
+    centre = marks.groupBy("nth", "g").agg(F.min(F.struct("rep", "k", "size")).alias("c"), F.count("*").alias("n")).where("n > 1 or nth = 0")
+    centre = materialize(centre.select("nth", "g", "n", F.col("c.k").alias("a"), F.col("c.size").alias("na")), f"{name}-centres")
     whole = centre.where("nth = 0")
-    near = materialize(links_within(whole.select("fp"), RADIUS, name), f"{name}-found")
-    one, two = whole.select(F.col("fp").alias("x"), "a", "na"), whole.select(F.col("fp").alias("y"), F.col("a").alias("b"), F.col("na").alias("nb"))
-    between = near.toDF("x", "y").join(one, "x").join(two, "y").select("a", "b", "na", "nb")
-    sized = F.least("na", "nb") >= similarity * F.greatest("na", "nb")
-    pairs = materialize(to_centre.unionByName(between).where(sized).select("a", "b").distinct(), f"{name}-pairs")
+    near = materialize(links_within(whole.select(F.col("g").alias("fp")), RADIUS, name), f"{name}-found")
+    one, two = whole.select(F.col("g").alias("x"), "a", "na"), whole.select(F.col("g").alias("y"), F.col("a").alias("b"), F.col("na").alias("nb"))
+    grouped = materialize(marks.join(centre, ["nth", "g"]), f"{name}-groups")
+    sized = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
+    between = near.toDF("x", "y").join(one, "x").join(two, "y").where(sized("na", "nb")).select("a", "b")
+    to_centre = grouped.where(F.col("k") != F.col("a")).where(sized("na", "size")).select("a", F.col("k").alias("b"))
+    pairs = materialize(to_centre.unionByName(between).distinct(), f"{name}-pairs")
     # of each text that is asked for the row with its least id: copies, however many, don't meet
-    asked = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().join(texts.select("k", "rep"), "k").toDF("k_", "rep"), f"{name}-asked")
+    asked = materialize(grouped.select("k", "rep").distinct().toDF("k_", "rep"), f"{name}-asked")
     one_row = keyed.join(asked, (F.col("k") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["k", "doc_id"])
     sets = materialize(shingle_sets(one_row, width), f"{name}-sets")
-    full = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a")
-    roots = components(materialize(verified(full, similarity), f"{name}-links"), name)
+    compare = lambda p: verified(p.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a"), similarity)
+    links = materialize(compare(pairs), f"{name}-links")
+    # groups that the centres have left in several classes; of those of the same texts, one
+    kinds = components(links, f"{name}-first").toDF("k", "class")
+    classed = materialize(grouped.join(kinds, "k", "left").select("nth", "g", "n", "k", "size", F.coalesce("class", "k").alias("class")), f"{name}-classed")
+    left = classed.groupBy("nth", "g", "n").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *(F.sum(F.xxhash64(F.lit(i), "k").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2))).where("lo < hi")
+    left = left.groupBy("n", "s1", "s2").agg(F.min(F.struct("nth", "g")).alias("m")).select("m.*")
+    still = materialize(classed.join(left, ["nth", "g"]), f"{name}-open")
+    few = still.where(F.col("n") <= FEW)
+    other = few.select("nth", "g", F.col("k").alias("b"), F.col("size").alias("nb"), F.col("class").alias("other"))
+    rest = few.join(other, ["nth", "g"]).where((F.col("k") < F.col("b")) & (F.col("class") != F.col("other")) & sized("size", "nb")).select(F.col("k").alias("a"), "b").distinct()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    many = still.where(F.col("n") > FEW).withColumn("block", F.pmod(F.xxhash64("k"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    many = many.select("nth", "g", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "k", "class").join(sets, "k")
+    found = links.unionByName(materialize(compare(materialize(rest, f"{name}-rest")), f"{name}-few")).unionByName(materialize(links_of_blocks(many, similarity), f"{name}-many"))
+    roots = components(found, name)
     rooted = texts.select("k", "rep").join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "rep", F.coalesce("root", "k").alias("root"))
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "k")).alias("m"))
     return materialize(least.select(F.col("m.k").alias("k"), F.col("m.rep").alias("keep_id")), f"{name}-keep")

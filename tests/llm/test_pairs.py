@@ -150,6 +150,21 @@ def test_near_dup_stage(spark, texts):
     assert simhash.near_dup_stage(spark, make_docs(spark, []), "").count() == 0
 
 
+def edited(words, places):
+    return [f"new{p}" if p in places else w for p, w in enumerate(words)]
+
+
+@pytest.mark.parametrize("copies", [12, 300])
+def test_near_copies_of_a_base_that_is_not_the_least(spark, copies):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+    texts = [edited(base, set(rng.sample(range(0, 400, 5), 8))) for _ in range(copies)] + [base]
+    texts = [" ".join(f"{w}x{n}" if w.startswith("new") else w for w in t) for n, t in enumerate(texts)]
+    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    assert all(len(s & sets[-1]) >= 0.8 * len(s | sets[-1]) for s in sets)
+    assert simhash.keepers(make_docs(spark, list(enumerate(texts)))).count() == 1
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 24)).astype(np.float32)
