@@ -313,25 +313,23 @@ def links_of_blocks(members: DataFrame, similarity: float) -> DataFrame:
 def keepers(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILARITY, name: str = "near") -> DataFrame:
     """k and keep_id: of every class of near-duplicate texts the text that stays (by md5) and the smallest doc_id of the class.
 
-    Texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more are linked. Candidates are texts with whole
-    fingerprints within RADIUS bits, found with the vantage-point tree, and texts that share a fingerprint, a group. Each text is first verified against the least of its group; where that leaves a group in several classes, all
+    Texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more are linked. Groups of candidates are texts
+    whose whole fingerprints are joined by links within RADIUS bits, found with the vantage-point tree, and texts that share a sample's
+    fingerprint. Each text is first verified against the least of its group; where that leaves a group in several classes, all
     pairs of texts of differing classes are, on the whole sets.
     """
     keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k"), "text")
     sketch = materialize(sketches(keyed, width), f"{name}-sketch")
     texts = materialize(sketch.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fps").alias("fps")), f"{name}-uniq")
+    whole = materialize(texts.select(F.col("fps")[0].alias("fp")).distinct(), f"{name}-whole")
+    near = components(materialize(links_within(whole, RADIUS, name), f"{name}-found"), f"{name}-fp").select(F.lit(0).alias("nth"), F.col("node").alias("fp"), "root")
     marks = texts.select("k", "rep", "size", F.posexplode("fps").alias("nth", "fp"))
-    marks = marks.withColumnRenamed("fp", "g")
-    centre = marks.groupBy("nth", "g").agg(F.min(F.struct("rep", "k", "size")).alias("c"), F.count("*").alias("n")).where("n > 1 or nth = 0")
+    marks = marks.join(near, ["nth", "fp"], "left").select("nth", F.coalesce("root", "fp").alias("g"), "k", "rep", "size")
+    centre = marks.groupBy("nth", "g").agg(F.min(F.struct("rep", "k", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
     centre = materialize(centre.select("nth", "g", "n", F.col("c.k").alias("a"), F.col("c.size").alias("na")), f"{name}-centres")
-    whole = centre.where("nth = 0")
-    near = materialize(links_within(whole.select(F.col("g").alias("fp")), RADIUS, name), f"{name}-found")
-    one, two = whole.select(F.col("g").alias("x"), "a", "na"), whole.select(F.col("g").alias("y"), F.col("a").alias("b"), F.col("na").alias("nb"))
     grouped = materialize(marks.join(centre, ["nth", "g"]), f"{name}-groups")
     sized = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    between = near.toDF("x", "y").join(one, "x").join(two, "y").where(sized("na", "nb")).select("a", "b")
-    to_centre = grouped.where(F.col("k") != F.col("a")).where(sized("na", "size")).select("a", F.col("k").alias("b"))
-    pairs = materialize(to_centre.unionByName(between).distinct(), f"{name}-pairs")
+    pairs = materialize(grouped.where(F.col("k") != F.col("a")).where(sized("na", "size")).select("a", F.col("k").alias("b")).distinct(), f"{name}-pairs")
     # of each text that is asked for the row with its least id: copies, however many, don't meet
     asked = materialize(grouped.select("k", "rep").distinct().toDF("k_", "rep"), f"{name}-asked")
     one_row = keyed.join(asked, (F.col("k") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["k", "doc_id"])

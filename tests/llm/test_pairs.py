@@ -165,6 +165,16 @@ def test_near_copies_of_a_base_that_is_not_the_least(spark, copies):
     assert simhash.keepers(make_docs(spark, list(enumerate(texts)))).count() == 1
 
 
+def test_pairs_between_fingerprints_are_verified_before_links_are_reduced(spark, monkeypatch):
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(edited(base, set(range(start, 400, 50)))) for start in (10, 20, 30)] + [" ".join(base), "something else " * 30]
+    fps = {0: 0b1, 3: 0b111, 1: 0b11111, 2: 0b11111, 4: 0b11111}  # texts 1 and 2 are within two bits of the base alone
+    keys = [hashlib.md5(t.encode()).hexdigest() for t in texts]
+    rows = [(i, keys[i], len(set(simhash.shingle_hashes(texts[i], 5))), [fp, *range(1000 * i + 1000, 1000 * i + 1010)]) for i, fp in fps.items()]
+    monkeypatch.setattr(simhash, "sketches", lambda keyed, width: spark.createDataFrame(rows, "doc_id long, k string, size long, fps array<long>"))
+    assert sorted(r.keep_id for r in simhash.keepers(make_docs(spark, list(enumerate(texts)))).collect()) == [0, 4]
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(4)
     x = rng.normal(size=(400, 24)).astype(np.float32)
