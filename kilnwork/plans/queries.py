@@ -175,8 +175,12 @@ def tool_parameter_index(spark, sf_dir):
 @query(f"""WITH {P} SELECT key, '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || trim(system, ' ' || chr(10)) || chr(10) || chr(10) || CASE WHEN tools = '[]' THEN '[]' ELSE '[' || chr(10) || '  ' || substr(tools, 2, length(tools) - 2) || chr(10) || ']' END
 || '<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || "user" || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || assistant || '<|eot_id|>' AS text FROM p WHERE key % 8 > 1""")
 def render_prompts(spark, sf_dir):
-    df = processed(spark, sf_dir).where("key % 8 > 1")
-    return df.select("key", render_prompt(F.col("system"), F.col("user"), F.col("assistant"), F.col("tools")).alias("text"))
+    return render_all_prompts(spark, sf_dir).where("key % 8 > 1")
+
+
+@query()  # the SQL above has no form for nested JSON; tests compare with json.dumps
+def render_all_prompts(spark, sf_dir):
+    return processed(spark, sf_dir).select("key", render_prompt(F.col("system"), F.col("user"), F.col("assistant"), F.col("tools")).alias("text"))
 
 
 @query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{Mn}\\p{Mc}_]+|[^\\p{L}\\p{N}\\p{Mn}\\p{Mc}_\\s]')) AS INT) AS n_tokens FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
@@ -207,7 +211,7 @@ def find_token_pattern(spark, sf_dir):
 
 @query()
 def padded_tensors(spark, sf_dir):
-    df = render_prompts(spark, sf_dir)
+    df = render_all_prompts(spark, sf_dir)
     pad = tokens.add_tensors(df, "text", length=256, pad=0, head=tokens.default_tokenizer(header("assistant")), end=tokens.default_tokenizer(EOT))
     return pad.select(F.size("input_ids").alias("length"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), F.size(F.filter("labels", lambda x: x != tokens.IGNORE)).alias("labelled"))
 
