@@ -189,6 +189,11 @@ def token_lengths(spark, sf_dir):
     return ascii_only.select("doc_id", tokens.token_length(F.col("text")).alias("n_tokens"))
 
 
+@query()  # all documents; the SQL above has no form for Python's Unicode classes
+def all_token_lengths(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", tokens.token_length(F.col("text")).alias("n_tokens"))
+
+
 LABEL_IDS = "flatten(transform(sequence(1, p_size), x -> array(x % 7, 90, 91, x % 5 + 10, CASE WHEN x % 3 = 0 THEN 99 ELSE 98 END)))"
 
 
