@@ -169,7 +169,7 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
     if not lengths:
         return spark.createDataFrame([], schema)
     dim, n = lengths[0]["dim"], lengths[0]["count"]
-    fine = fine.where(F.col("dim") == dim).drop("dim")
+    fine = materialize(fine.where(F.col("dim") == dim).drop("dim").dropDuplicates(["vec_id", "embedding"]), f"{name}-rows")  # repeats would fill the k best
     got = sorted(bounded_sample(fine, "vec_id", SAMPLE, seed).collect(), key=lambda r: (mixed(r.vec_id), r.vec_id))
     xs, ids = np.array([r.embedding for r in got], np.float64), np.array([r.vec_id for r in got], np.int64)
     centroids = k_means(xs, min(LISTS, max(1, int(np.sqrt(n)))), seed)

@@ -196,6 +196,14 @@ def test_neighbours(spark):
     assert few.sort_values("rank").vec_id.tolist() == [1, 2]
 
 
+def test_repeated_rows_take_one_place_among_the_neighbours(spark):
+    x = np.random.default_rng(6).normal(size=(120, 16)).astype(np.float32)
+    x[7] = 3 * x[0]  # far ahead of all others for query 0
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(7, x[7].tolist())] * 40
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).where("query_id = 0").toPandas()
+    assert got["rank"].tolist() and sorted(got["rank"]) == list(range(1, 21)) and got.vec_id.nunique() == 20
+
+
 def test_scan_abandons_without_loss():
     rng = np.random.default_rng(9)
     q, x = rng.normal(size=(30, 64)), rng.normal(size=(3000, 64))
