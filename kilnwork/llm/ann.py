@@ -30,7 +30,7 @@ SEEDS = 1024
 #: Columns of a block, and standard deviations that a partial distance is given before its candidate is abandoned.
 BLOCK, SIGMAS = 16, 3.0
 #: Recall on the sample that the number of probes is chosen for.
-AIM = 0.97
+AIM = 0.98
 
 
 def usable(v: Column) -> Column:

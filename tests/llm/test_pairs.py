@@ -213,3 +213,15 @@ def test_scan_abandons_without_loss():
     work.list(np.arange(30), x, np.arange(3000))
     want = np.argsort(-(q @ x.T), 1)[:, :10]
     assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(want, work.found)]) > 0.98
+
+
+def test_probes_are_chosen_for_the_aim():
+    x = np.random.default_rng(2).normal(size=(400, 8))
+    ids = np.arange(400)
+    assert ann.AIM >= 0.98
+    c = ann.k_means(x, 20, 1)
+    probes, at = ann.choose_probes(x, ids, c, 20), ann.nearest(x, c)
+    s = x @ x.T
+    np.fill_diagonal(s, -np.inf)
+    best, order = np.argsort(-s, 1)[:, :20], np.argsort(-(x @ c.T), 1)[:, :probes]
+    assert np.mean([np.isin(at[b], o).mean() for b, o in zip(best, order)]) >= 0.98
