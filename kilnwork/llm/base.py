@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -22,9 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share (spark.checkpoint.dir); a local one only where none is set, as in tests."""
+    """The folder that driver and executors share (spark.checkpoint.dir); where none is set, as in tests, a temporary one if all
+    runs on this machine. On a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.gettempdir()}/kilnwork-{os.getuid()}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -39,7 +44,49 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what materialize() wrote, once nothing reads it any more."""
+    for df in tables:
+        spark, path = df.sparkSession, df.written_at
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+#: Bits of a bitmap filter: at least and at most so many (32 MB).
+BITS_LEAST, BITS_MOST = 1 << 20, 1 << 28
+
+
+class KeyFilter:
+    """Tells rows whose key is surely not among `keys` from those where it may be: a bitmap over hashes, at most 32 MB at any size.
+    More keys make it less selective, never wrong; a join on the keys themselves follows it."""
+
+    def __init__(self, keys: DataFrame):
+        n = keys.count()
+        self.bits = min(max(BITS_LEAST, 1 << (32 * n).bit_length()), BITS_MOST)
+        place = keys.select(self.place(*keys.columns).alias("p"))
+        parts = place.groupBy(F.shiftright("p", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("m")).collect()
+        whole = np.zeros(self.bits // 8, np.uint8)
+        for r in parts:
+            whole[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(bytes(r.m), np.uint8)
+        shared = keys.sparkSession.sparkContext.broadcast(whole)
+
+        @F.pandas_udf("boolean")
+        def among(p: pd.Series) -> pd.Series:
+            at = p.to_numpy()
+            return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+        self.among = among
+
+    def place(self, *columns):
+        return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
+
+    def may_hold(self, *columns):
+        return self.among(self.place(*columns))
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import materialize, release
 
 
 def local_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -41,7 +41,8 @@ def components(links: DataFrame, name: str = "cc") -> DataFrame:
         to = materialize(best.select(F.col("a").alias("node"), F.least(own, F.col("m")).getField("n").alias("root")), f"{name}-map{step}")
         maps.append(to)
         left, right = to.toDF("a", "ra"), to.toDF("b", "rb")
-        live = materialize(live.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-links{step + 1}")
+        before, live = live, materialize(live.join(left, "a").join(right, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), f"{name}-links{step + 1}")
+        release(before)
         step += 1
     if not maps:
         return live.select(F.col("a").alias("node"), F.col("b").alias("root"))

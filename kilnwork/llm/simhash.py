@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialize, mix64, rows, table, words_of
+from .base import KeyFilter, materialize, mix64, release, rows, table, words_of
 from .components import components, local_labels
 
 SEED = 42
@@ -214,62 +214,71 @@ def op5_simhash_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- near-duplicates at a similarity of shingle sets --------------------------------------------------------------
 
-#: Samples of a document's shingles whose fingerprints must meet, shingles in each, and the similarity that links.
-SAMPLES, TAKE, SIMILARITY, SHINGLE = 10, 3, 0.8, 5
-#: Texts of a group up to which its open pairs are written out as rows, and texts of a block of larger groups.
-FEW, BLOCK = 16, 256
-
-
-def sample_fingerprints(h: np.ndarray, samples: int = SAMPLES) -> np.ndarray:
-    """SimHash of the TAKE shingles of least seeded hash, for every seed. Two sets of similarity s share all three with a
-    chance of about s**3, so at 0.8 some of ten samples meet in 999 of 1000 cases."""
+#: Samples of a document's shingles whose fingerprints must meet, and the similarity that links.
+SAMPLES, SIMILARITY, SHINGLE = 24, 0.8, 5
+#: By size of the shingle set: sets below the first number take samples of the second number of shingles.
+TAKE = ((8, 2), (64, 4), (512, 6))
+#: Texts and shingles of a block: larger groups of candidates are cut into so many.
+BLOCK, BLOCK_SHINGLES = 512, 4 << 20
+#: Pairs that are compared without a further vantage point.
+LEAF_PAIRS = 4096
+
+
+def samples_of(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(number, shingles) of a set's samples: for each of SAMPLES seeds the few shingles of least seeded hash; of a large set the
+    few of least hash in each of SAMPLES classes of hashes. Two sets of similarity 0.8 share all six with a chance of about
+    0.8**6, so some of 24 samples meet in 999 of 1000 cases. How many are taken depends on the size; a set that a larger
+    similar one could outgrow that way takes the samples of both sizes. An empty set has one empty sample."""
     if not len(h):
-        return np.zeros(samples, np.uint64)
-    seeds = mix64(np.arange(1, samples + 1, dtype=np.uint64))
-    scrambled = mix64(np.unique(h)[None, :] ^ seeds[:, None])
-    if scrambled.shape[1] < TAKE:
-        scrambled = np.repeat(scrambled, TAKE, 1)
-    a, b, c = np.sort(np.partition(scrambled, TAKE - 1, 1)[:, :TAKE], 1).T
-    return (a & b) | (b & c) | (a & c)
+        return [(0, h)]
+    out = []
+    for level in sorted({sum(n >= most for most, _ in TAKE) for n in (len(h), int(len(h) / SIMILARITY))}):
+        first = 1 + level * SAMPLES
+        if level == len(TAKE):
+            v = mix64(h ^ np.uint64(0x5851F42D4C957F2D))
+            v = np.sort((v % np.uint64(SAMPLES)) << np.uint64(59) | v >> np.uint64(5))
+            at = np.searchsorted(v, np.arange(SAMPLES + 1, dtype=np.uint64) << np.uint64(59))
+            out += [(first + i, mix64(v[a : min(b, a + TAKE[-1][1])])) for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist())) if a < b]
+            continue
+        take = TAKE[level][1]
+        if len(h) <= take:
+            out.append((first, mix64(h)))
+            continue
+        scrambled = mix64(h[None, :] ^ mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64))[:, None])
+        out += [(first + i, row) for i, row in enumerate(np.partition(scrambled, take - 1, 1)[:, :take])]
+    return out
 
 
 def sketches(keyed: DataFrame, width: int) -> DataFrame:
-    """doc_id, k, size of the shingle set, fps: the whole fingerprint, then those of the samples."""
+    """doc_id, k, size of the shingle set, fp (the SimHash of the whole text), nths and fps (numbers and SimHashes of the samples)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in rows(batches, "doc_id", "k", "text"):
             hashes = [np.array(shingle_hashes(t, width), np.uint64) for _, _, t in part]
             whole = majority(np.concatenate(hashes), np.cumsum([len(h) for h in hashes]))
-            fps = [np.concatenate([whole[i : i + 1], sample_fingerprints(h)]).view(np.int64) for i, h in enumerate(hashes)]
-            sizes = [len(np.unique(h)) for h in hashes]
-            yield pa.record_batch([pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part]), pa.array(sizes, pa.int64()), pa.array(fps, pa.list_(pa.int64()))], ["doc_id", "k", "size", "fps"])
+            sets = [np.unique(h) for h in hashes]
+            drawn = [samples_of(s) for s in sets]
+            flat = [x for d in drawn for _, x in d]
+            fps = majority(np.concatenate(flat), np.cumsum([len(x) for x in flat])).view(np.int64)
+            offsets = pa.array(np.cumsum([0, *map(len, drawn)]), pa.int32())
+            nths = pa.ListArray.from_arrays(offsets, pa.array([n for d in drawn for n, _ in d], pa.int32()))
+            yield pa.record_batch(
+                [pa.array([r[0] for r in part], pa.int64()), pa.array([r[1] for r in part]), pa.array([len(s) for s in sets], pa.int64()), pa.array(whole.view(np.int64)), nths, pa.ListArray.from_arrays(offsets, pa.array(fps))],
+                ["doc_id", "k", "size", "fp", "nths", "fps"],
+            )
 
-    return keyed.select("doc_id", "k", "text").mapInArrow(run, "doc_id long, k string, size long, fps array<long>")
+    return keyed.select("doc_id", "k", "text").mapInArrow(run, "doc_id long, k string, size long, fp long, nths array<int>, fps array<long>")
 
 
 def shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """k and its sorted set of shingle hashes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows(batches, "k", "text"):
-            yield pa.record_batch([pa.array([r[0] for r in part]), pa.array([np.unique(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for _, t in part], pa.binary())], ["k", "shingles"])
-
-    return texts.select("k", "text").mapInArrow(run, "k string, shingles binary")
-
-
-def verified(pairs: DataFrame, similarity: float) -> DataFrame:
-    """a, b of the pairs (a, b, sa, sb: shingle sets) whose Jaccard similarity is at least `similarity`; two empty sets are alike."""
+    """k, doc_id and the sorted set of shingle hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield pa.record_batch([batch.column("a").filter(pa.array(keep)), batch.column("b").filter(pa.array(keep))], ["a", "b"])
+        for part in rows(batches, "k", "doc_id", "text"):
+            sets = [np.unique(np.array(shingle_hashes(t, width), np.uint64)).tobytes() for _, _, t in part]
+            yield pa.record_batch([pa.array([r[0] for r in part]), pa.array([r[1] for r in part], pa.int64()), pa.array(sets, pa.binary())], ["k", "id_", "shingles"])
 
-    return pairs.select("a", "b", "sa", "sb").mapInArrow(run, "a string, b string")
+    return texts.select("k", "doc_id", "text").mapInArrow(run, "k string, id_ long, shingles binary")
 
 
 def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
@@ -289,77 +298,172 @@ def shared_counts(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def links_of_blocks(members: DataFrame, similarity: float) -> DataFrame:
-    """a, b: links that join what all similar pairs of `members` (nth, g, i, j, block, k, class, shingles) of two blocks i and j of
-    a group join. All pairs of differing classes are compared on whole sets; only links that hold are reduced."""
+def enough(shared: np.ndarray, one: np.ndarray, two: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets of these sizes that share so much are similar; two empty sets are."""
+    return shared >= similarity * (one + two - shared)
+
+
+def distances(sets: list[np.ndarray], at: np.ndarray, vantage: np.ndarray) -> np.ndarray:
+    """Hamming distance from the vantage point's set to each of the sets: the shingles that just one of the two has."""
+    n = np.array([len(sets[i]) for i in at])
+    if not len(vantage) or not n.sum():
+        return n + len(vantage)
+    flat = np.concatenate([sets[i] for i in at])
+    hit = vantage[np.minimum(np.searchsorted(vantage, flat), len(vantage) - 1)] == flat
+    return n + len(vantage) - 2 * np.bincount(np.repeat(np.arange(len(at)), n), hit, len(at)).astype(np.int64)
+
+
+def alike(sets: list[np.ndarray], q: np.ndarray, x: np.ndarray, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs of a set in q and one in x (by index) that are similar, by a vantage-point tree over x.
+
+    Sets of similarity s differ in at most (1 - s) / (1 + s) * (sum of their sizes) shingles. By the triangle inequality two sets
+    whose distances from a vantage point differ by more can't be similar, so a query goes only to the halves of x that
+    its ball reaches."""
+    size = lambda at: np.array([len(sets[i]) for i in at])
+    nq, nx = size(q), size(x)
+    if len(q) * len(x) <= LEAF_PAIRS or len(x) < 8:
+        step = max(1, LEAF_PAIRS // len(x))
+        for i in range(0, len(q), step):
+            a, b = np.nonzero(enough(shared_counts([sets[j] for j in q[i : i + step]], [sets[j] for j in x]), nq[i : i + step, None], nx[None, :], similarity))
+            yield q[i : i + step][a], x[b]
+        return
+    vantage = sets[x[len(x) // 2]]
+    dq, dx = distances(sets, q, vantage), distances(sets, x, vantage)
+    reach = (1 - similarity) / (1 + similarity) * (nq.max() + nx.max()) + 1e-6
+    inner = dx <= np.median(dx)
+    if inner.all():
+        inner = np.arange(len(x)) < len(x) // 2
+    for half in (inner, ~inner):
+        asked = q[(dq >= dx[half].min() - reach) & (dq <= dx[half].max() + reach)]
+        if len(asked):
+            yield from alike(sets, asked, x[half], similarity)
+
+
+def links_between(k: np.ndarray, sets: list[np.ndarray], q: np.ndarray, x: np.ndarray, similarity: float) -> pd.DataFrame:
+    """a, b: links that join what all similar pairs of q and x join."""
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for i, j in alike(sets, q, x, similarity) if len(q) and len(x) else ():
+        a.append(i)
+        b.append(j)
+    lab = local_labels(len(k), np.concatenate(a), np.concatenate(b))
+    own = np.flatnonzero(lab != np.arange(len(k)))
+    return pd.DataFrame({"a": k[own], "b": k[lab[own]]}, dtype=object)
+
+
+def read_sets(column: pd.Series) -> list[np.ndarray]:
+    return [np.frombuffer(s, np.uint64) for s in column]
+
+
+def links_of_groups(members: DataFrame, similarity: float) -> DataFrame:
+    """Links within groups of members (comp, k, shingles) that fit a block."""
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        every = np.arange(len(pdf))
+        return links_between(pdf["k"].to_numpy(), read_sets(pdf["shingles"]), every, every, similarity)
+
+    return members.select("comp", "k", "shingles").groupBy("comp").applyInPandas(run, "a string, b string")
+
+
+def links_to_centres(members: DataFrame, centres: DataFrame, similarity: float) -> DataFrame:
+    """Links between members (comp, k, shingles) and the centre of their group (comp, centre, middle: its shingles)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("shingles"), b.column("middle")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                keep.append(bool(enough(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity)))
+            yield pa.record_batch([b.column(n).filter(pa.array(keep, pa.bool_())) for n in ("centre", "k")], ["a", "b"])
+
+    return members.join(centres, "comp").select("k", "shingles", "centre", "middle").mapInArrow(run, "a string, b string")
+
+
+def links_of_blocks(rows_: DataFrame, similarity: float) -> DataFrame:
+    """Links between the rows (comp, u, a, asks, k, shingles) that ask and the others, block by block."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        k, kind = pdf["k"].to_numpy(), pdf["class"].to_numpy()
-        sets = [np.frombuffer(s, np.uint64) for s in pdf["shingles"]]
-        size = np.array([len(s) for s in sets])
-        one, two = (np.flatnonzero(pdf["block"].to_numpy() == key[n]) for n in (2, 3))
-        if not len(one) or not len(two):
-            return pd.DataFrame({"a": [], "b": []}, dtype=object)
-        both = shared_counts([sets[i] for i in one], [sets[i] for i in two])
-        alike = (both >= similarity * (np.add.outer(size[one], size[two]) - both)) & (kind[one][:, None] != kind[two][None, :])
-        x, y = np.nonzero(alike)
-        lab = local_labels(len(k), one[x], two[y])
-        own = np.flatnonzero(lab != np.arange(len(k)))
-        return pd.DataFrame({"a": k[own], "b": k[lab[own]]})
-
-    return members.groupBy("nth", "g", "i", "j").applyInPandas(run, "a string, b string")
-
-
-def keepers(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILARITY, name: str = "near") -> DataFrame:
-    """k and keep_id: of every class of near-duplicate texts the text that stays (by md5) and the smallest doc_id of the class.
-
-    Texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more are linked. Groups of candidates are texts
-    whose whole fingerprints are joined by links within RADIUS bits, found with the vantage-point tree, and texts that share a sample's
-    fingerprint. Each text is first verified against the least of its group; where that leaves a group in several classes, all
-    pairs of texts of differing classes are, on the whole sets.
+        asks = pdf["asks"].to_numpy(bool)
+        return links_between(pdf["k"].to_numpy(), read_sets(pdf["shingles"]), np.flatnonzero(asks), np.flatnonzero(~asks), similarity)
+
+    return rows_.groupBy("comp", "u", "a").applyInPandas(run, "a string, b string")
+
+
+def candidate_groups(texts: DataFrame, name: str) -> DataFrame:
+    """c (a text's hash), comp and score of every text that some other may resemble: groups are texts whose whole fingerprints the
+    vantage-point tree links within RADIUS bits, and texts of which a sample's fingerprints meet; comp joins overlapping groups,
+    score counts the texts it meets. Hashes only spread texts over groups: those that fall together are compared, not merged."""
+    whole = materialize(texts.select("fp").distinct(), f"{name}-whole")
+    found = materialize(links_within(whole, RADIUS, name), f"{name}-found")
+    near = components(found, f"{name}-fp").select(F.col("node").alias("fp"), "root")
+    of_whole = texts.select("c", "fp").join(near, "fp").select(F.xxhash64(F.lit(-1), "root").alias("g"), "c")
+    of_samples = texts.select("c", F.explode(F.arrays_zip("nths", "fps")).alias("s")).select(F.xxhash64("s.nths", "s.fps").alias("g"), "c")
+    same_whole = texts.select(F.xxhash64(F.lit(-2), "fp").alias("g"), "c")
+    marks = of_samples.unionByName(of_whole).unionByName(same_whole)
+    groups = materialize(marks.groupBy("g").agg(F.min("c").alias("a"), F.max("c").alias("b"), F.count("*").alias("n")).where("a < b").select("g", "a", "n"), f"{name}-groups")
+    met = materialize(marks.join(groups, "g").select("a", F.col("c").alias("b"), "n"), f"{name}-met")
+    comps = components(met.select("a", "b"), f"{name}-comps").toDF("c", "comp")
+    out = materialize(comps.join(met.groupBy(F.col("b").alias("c")).agg(F.sum("n").alias("score")), "c"), f"{name}-candidates")
+    release(whole, found, groups, met)
+    return out
+
+
+def keepers(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILARITY, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES, name: str = "near") -> DataFrame:
+    """k (md5 of a text), keep_k and keep_id of every text of which more than one row or more than one near-duplicate is there: the text that stays for
+    its class, and the smallest doc_id of the class.
+
+    Texts whose sets of `width`-word shingles have a Jaccard similarity of `similarity` or more are linked. Within a group of
+    candidates a vantage-point tree over the whole sets finds every similar pair. Groups too large for a block are compared with
+    their centre first; texts that this leaves unlinked then meet all texts of the group, in blocks.
     """
     keyed = docs.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k"), "text")
     sketch = materialize(sketches(keyed, width), f"{name}-sketch")
-    texts = materialize(sketch.groupBy("k").agg(F.min("doc_id").alias("rep"), F.first("size").alias("size"), F.first("fps").alias("fps")), f"{name}-uniq")
-    whole = materialize(texts.select(F.col("fps")[0].alias("fp")).distinct(), f"{name}-whole")
-    near = components(materialize(links_within(whole, RADIUS, name), f"{name}-found"), f"{name}-fp").select(F.lit(0).alias("nth"), F.col("node").alias("fp"), "root")
-    marks = texts.select("k", "rep", "size", F.posexplode("fps").alias("nth", "fp"))
-    marks = marks.join(near, ["nth", "fp"], "left").select("nth", F.coalesce("root", "fp").alias("g"), "k", "rep", "size")
-    centre = marks.groupBy("nth", "g").agg(F.min(F.struct("rep", "k", "size")).alias("c"), F.count("*").alias("n")).where("n > 1")
-    centre = materialize(centre.select("nth", "g", "n", F.col("c.k").alias("a"), F.col("c.size").alias("na")), f"{name}-centres")
-    grouped = materialize(marks.join(centre, ["nth", "g"]), f"{name}-groups")
-    sized = lambda x, y: F.least(x, y) >= similarity * F.greatest(x, y)
-    pairs = materialize(grouped.where(F.col("k") != F.col("a")).where(sized("na", "size")).select("a", F.col("k").alias("b")).distinct(), f"{name}-pairs")
-    # of each text that is asked for the row with its least id: copies, however many, don't meet
-    asked = materialize(grouped.select("k", "rep").distinct().toDF("k_", "rep"), f"{name}-asked")
-    one_row = keyed.join(asked, (F.col("k") == F.col("k_")) & F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi").dropDuplicates(["k", "doc_id"])
-    sets = materialize(shingle_sets(one_row, width), f"{name}-sets")
-    compare = lambda p: verified(p.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a"), similarity)
-    links = materialize(compare(pairs), f"{name}-links")
-    # groups that the centres have left in several classes; of those of the same texts, one
-    kinds = components(links, f"{name}-first").toDF("k", "class")
-    classed = materialize(grouped.join(kinds, "k", "left").select("nth", "g", "n", "k", "size", F.coalesce("class", "k").alias("class")), f"{name}-classed")
-    left = classed.groupBy("nth", "g", "n").agg(F.min("class").alias("lo"), F.max("class").alias("hi"), *(F.sum(F.xxhash64(F.lit(i), "k").cast("decimal(38,0)")).alias(f"s{i}") for i in (1, 2))).where("lo < hi")
-    left = left.groupBy("n", "s1", "s2").agg(F.min(F.struct("nth", "g")).alias("m")).select("m.*")
-    still = materialize(classed.join(left, ["nth", "g"]), f"{name}-open")
-    few = still.where(F.col("n") <= FEW)
-    other = few.select("nth", "g", F.col("k").alias("b"), F.col("size").alias("nb"), F.col("class").alias("other"))
-    rest = few.join(other, ["nth", "g"]).where((F.col("k") < F.col("b")) & (F.col("class") != F.col("other")) & sized("size", "nb")).select(F.col("k").alias("a"), "b").distinct()
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    many = still.where(F.col("n") > FEW).withColumn("block", F.pmod(F.xxhash64("k"), blocks).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    many = many.select("nth", "g", F.least("block", "o").alias("i"), F.greatest("block", "o").alias("j"), "block", "k", "class").join(sets, "k")
-    found = links.unionByName(materialize(compare(materialize(rest, f"{name}-rest")), f"{name}-few")).unionByName(materialize(links_of_blocks(many, similarity), f"{name}-many"))
-    roots = components(found, name)
-    rooted = texts.select("k", "rep").join(roots.withColumnRenamed("node", "k"), "k", "left").select("k", "rep", F.coalesce("root", "k").alias("root"))
+    one = sketch.groupBy("k").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("nths").alias("nths"), F.first("fps").alias("fps"))
+    texts = materialize(one.withColumn("c", F.xxhash64("k")), f"{name}-uniq")
+    release(sketch)
+    light = texts.select("k", "rep", "copies", "size", "c")
+    members = materialize(light.join(candidate_groups(texts, name), "c"), f"{name}-members")
+    # of each member the row with its least id gives the shingles: copies, however many, don't meet
+    wanted = KeyFilter(members.select("k", "rep"))
+    sets = shingle_sets(keyed.where(wanted.may_hold("k", "doc_id")), width).dropDuplicates(["k", "id_"])
+    of_groups = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+    blocks = lambda n, total: F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(total) / block_shingles)).cast("int")
+    placed = members.join(of_groups, "comp").select("comp", "k", "rep", "score", blocks("n", "total").alias("na"))
+    filled = materialize(placed.join(sets.withColumnRenamed("k", "k_"), (F.col("k") == F.col("k_")) & F.col("rep").eqNullSafe(F.col("id_"))).drop("k_", "id_", "rep"), f"{name}-filled")
+    links = materialize(links_of_groups(filled.where("na = 1"), similarity), f"{name}-small")
+    large = filled.where("na > 1")
+    first = large.groupBy("comp").agg(F.min(F.struct(-F.col("score"), F.col("k").alias("k"))).alias("m")).select(F.col("comp").alias("comp_"), F.col("m.k").alias("centre"))
+    centres = materialize(large.join(first, (F.col("comp") == F.col("comp_")) & (F.col("k") == F.col("centre"))).select("comp", "centre", F.col("shingles").alias("middle")), f"{name}-centres")
+    central = materialize(links_to_centres(large, centres, similarity), f"{name}-central")  # the centre is similar to itself
+    left = materialize(large.join(central.select(F.col("b").alias("k")), "k", "left_anti").select("comp", "k", "na", "shingles"), f"{name}-left")
+    asking = left.groupBy("comp").agg(F.count("*").alias("n"), F.sum(F.octet_length("shingles") / 8).alias("total")).select("comp", blocks("n", "total").alias("nu"))
+    asking = materialize(asking, f"{name}-asking")
+    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda n: F.pmod(F.xxhash64("k"), F.col(n)).cast("int")
+    ask = left.join(asking, "comp").select("comp", part("nu").alias("u"), spread("na").alias("a"), F.lit(True).alias("asks"), "k", "shingles")
+    answer = large.join(asking, "comp").select("comp", spread("nu").alias("u"), part("na").alias("a"), F.lit(False).alias("asks"), "k", "shingles")
+    crossed = materialize(links_of_blocks(ask.unionByName(answer), similarity), f"{name}-crossed")
+    roots = components(links.unionByName(central).unionByName(crossed), name).toDF("k", "root")
+    rooted = light.join(roots, "k", "left").where("copies > 1 or root is not null").select("k", "rep", F.coalesce("root", "k").alias("root"))
+    rooted = materialize(rooted, f"{name}-rooted")
     least = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "k")).alias("m"))
-    return materialize(least.select(F.col("m.k").alias("k"), F.col("m.rep").alias("keep_id")), f"{name}-keep")
+    out = materialize(rooted.join(least, "root").select("k", F.col("m.k").alias("keep_k"), F.col("m.rep").alias("keep_id")), f"{name}-keep")
+    release(texts, members, filled, links, centres, central, left, asking, crossed, rooted)
+    return out
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of every class of near-duplicates, all columns: that of the smallest doc_id, and of rows that repeat it with
     one text, one. Null, empty and white texts are alike; rows without an id stay only where their class has none; an empty
-    table stays empty."""
+    table stays empty. Rows that resemble nothing stay where they are; only one row of each class is shuffled."""
     keep = keepers(docs, name="near-stage")
-    row = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k_"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
-    stays = row.join(keep, (F.col("k_") == F.col("k")) & F.col("row_.doc_id").eqNullSafe(F.col("keep_id")))
-    return stays.dropDuplicates(["k_"]).select("row_.*")
+    touched, staying = KeyFilter(keep.select("k")), KeyFilter(keep.where("k = keep_k").select("k", "keep_id"))
+    row = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k_"), F.col("doc_id").alias("id_"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
+    marked = row.withColumn("touched_", touched.may_hold("k_"))
+    alone = marked.where(~F.col("touched_")).select("row_")
+    maybe = marked.where("touched_").drop("touched_")
+    known = keep.select("k", "keep_k", "keep_id")
+    # among rows that the first filter lets through by chance are some that the table doesn't know; they stay as well
+    unknown = materialize(maybe.select("k_").distinct().join(known.select("k"), F.col("k_") == F.col("k"), "left_anti").toDF("k"), "near-stage-unknown")
+    chance = maybe.where(KeyFilter(unknown).may_hold("k_")).join(unknown, F.col("k_") == F.col("k"), "left_semi").select("row_")
+    one = maybe.where(staying.may_hold("k_", "id_")).join(known.where("k = keep_k"), (F.col("k_") == F.col("k")) & F.col("id_").eqNullSafe(F.col("keep_id")))
+    return alone.unionByName(chance).unionByName(one.dropDuplicates(["k_"]).select("row_")).select("row_.*")

@@ -154,15 +154,83 @@ def edited(words, places):
     return [f"new{p}" if p in places else w for p, w in enumerate(words)]
 
 
+def shingle_set(text):
+    return set(simhash.shingle_hashes(text, 5))
+
+
+def stays(spark, texts, **options):
+    """The ids that the near-dup stage keeps, and what brute force keeps."""
+    keep = simhash.keepers(make_docs(spark, list(enumerate(texts))), **options)
+    gone = {r.k for r in keep.where("k <> keep_k").collect()}
+    sets = [shingle_set(t) for t in texts]
+    root = classes(len(texts), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
+    mine = [i for i, t in enumerate(texts) if hashlib.md5(t.encode()).hexdigest() not in gone]
+    return mine, sorted(set(root))
+
+
+@pytest.mark.parametrize("block", [16, 512])
 @pytest.mark.parametrize("copies", [12, 300])
-def test_near_copies_of_a_base_that_is_not_the_least(spark, copies):
+def test_near_copies_of_a_base_that_is_not_the_least(spark, copies, block):
     rng = random.Random(8)
     base = [f"w{rng.randrange(5000)}" for _ in range(400)]
     texts = [edited(base, set(rng.sample(range(0, 400, 5), 8))) for _ in range(copies)] + [base]
     texts = [" ".join(f"{w}x{n}" if w.startswith("new") else w for w in t) for n, t in enumerate(texts)]
-    sets = [set(simhash.shingle_hashes(t, 5)) for t in texts]
+    sets = [shingle_set(t) for t in texts]
     assert all(len(s & sets[-1]) >= 0.8 * len(s | sets[-1]) for s in sets)
-    assert simhash.keepers(make_docs(spark, list(enumerate(texts)))).count() == 1
+    assert simhash.keepers(make_docs(spark, list(enumerate(texts))), block=block).select("keep_id").distinct().count() == 1
+
+
+@pytest.mark.parametrize("block", [40, 512])
+def test_pairs_that_share_a_template_are_found(spark, block):
+    """60 pairs at 0.84, all texts of one template and 0.6 to 0.75 alike, among 200 others of it, then as many of templates of their own."""
+    rng = random.Random(5)
+    template = [f"t{i}" for i in range(360)]
+
+    def of(base, tag):
+        free = sorted(rng.sample(range(0, 360, 12), 7))
+        return [f"{tag}y{p}" if p in free else w for p, w in enumerate(base)]
+
+    texts = []
+    for i in range(60):
+        one = of(template, f"p{i}")
+        two = list(one)
+        for p in rng.sample([q for q in range(6, 360, 12)], 6):
+            two[p] = f"q{i}z{p}"
+        texts += [one, two]
+    texts += [of(of(template, f"r{i}"), f"s{i}") for i in range(200)]
+    rng.shuffle(texts)
+    mine, want = stays(spark, [" ".join(t) for t in texts], block=block)
+    assert len(want) < len(texts) - 50
+    assert mine == want  # no link lost, none made up
+
+
+def test_similar_sets_of_every_size_meet_in_a_sample():
+    """Pairs at a similarity of just 0.8 share a sample, small sets, large ones and those on either side of a boundary alike."""
+    rng = np.random.default_rng(3)
+    for n, least in ((5, 0.97), (7, 0.97), (9, 0.99), (60, 0.99), (70, 0.99), (300, 0.99), (500, 0.99), (620, 0.99), (4000, 0.99)):
+        met = 0
+        for _ in range(150):
+            pool = np.unique(rng.integers(0, 1 << 63, 2 * n).astype(np.uint64))
+            gap = n - int(np.ceil(n * 0.8 - 1e-9))  # the smaller set lies in the larger
+            drawn = [{(i, tuple(sorted(x.tolist()))) for i, x in simhash.samples_of(np.sort(pool[:m]))} for m in (n, n - gap)]
+            met += bool(drawn[0] & drawn[1])
+        assert met >= least * 150, n
+    assert len(simhash.samples_of(np.empty(0, np.uint64))) == 1
+
+
+def test_vantage_points_over_sets_lose_no_pair():
+    rng = np.random.default_rng(8)
+    base = [np.unique(rng.integers(0, 1 << 60, n).astype(np.uint64)) for n in (30, 100, 100, 400)]
+    sets = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
+    for b in base:
+        for _ in range(90):
+            keep = b[rng.random(len(b)) > rng.choice([0.02, 0.1, 0.2])]
+            sets.append(np.unique(np.concatenate([keep, rng.integers(0, 1 << 60, rng.integers(0, 12)).astype(np.uint64)])))
+    every = np.arange(len(sets))
+    got = {(i, j) for a, b in simhash.alike(sets, every, every, 0.8) for i, j in zip(a.tolist(), b.tolist())}
+    plain = [set(s.tolist()) for s in sets]
+    want = {(i, j) for i in every.tolist() for j in every.tolist() if len(plain[i] & plain[j]) >= 0.8 * len(plain[i] | plain[j])}
+    assert got == want and len(want) > 3 * len(sets)
 
 
 def test_pairs_between_fingerprints_are_verified_before_links_are_reduced(spark, monkeypatch):
@@ -170,9 +238,10 @@ def test_pairs_between_fingerprints_are_verified_before_links_are_reduced(spark,
     texts = [" ".join(edited(base, set(range(start, 400, 50)))) for start in (10, 20, 30)] + [" ".join(base), "something else " * 30]
     fps = {0: 0b1, 3: 0b111, 1: 0b11111, 2: 0b11111, 4: 0b11111}  # texts 1 and 2 are within two bits of the base alone
     keys = [hashlib.md5(t.encode()).hexdigest() for t in texts]
-    rows = [(i, keys[i], len(set(simhash.shingle_hashes(texts[i], 5))), [fp, *range(1000 * i + 1000, 1000 * i + 1010)]) for i, fp in fps.items()]
-    monkeypatch.setattr(simhash, "sketches", lambda keyed, width: spark.createDataFrame(rows, "doc_id long, k string, size long, fps array<long>"))
-    assert sorted(r.keep_id for r in simhash.keepers(make_docs(spark, list(enumerate(texts)))).collect()) == [0, 4]
+    rows = [(i, keys[i], len(shingle_set(texts[i])), fp, [1], [1000 * i + 1000]) for i, fp in fps.items()]
+    monkeypatch.setattr(simhash, "sketches", lambda keyed, width: spark.createDataFrame(rows, "doc_id long, k string, size long, fp long, nths array<int>, fps array<long>"))
+    got = simhash.near_dup_stage(spark, make_docs(spark, list(enumerate(texts))), "")
+    assert sorted(r.doc_id for r in got.collect()) == [0, 4]
 
 
 def test_neighbours(spark):
