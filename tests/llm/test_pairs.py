@@ -59,10 +59,32 @@ def test_dedup_text_and_empty(spark, texts):
     got = {r.doc_id: r.kept_text for r in recompression.dedup(make_docs(spark, list(enumerate(texts))), keep_text=True).collect()}
     assert got[13] == "" and got[0] is None and got[7] == ""
     assert recompression.dedup(make_docs(spark, [])).count() == 0
-    clash = make_docs(spark, [(1, "a b", 7, "x")], ", s1 int, sha string")
+    clash = make_docs(spark, [(1, "a b", 7, "x")], ", sig int, sha string")
     assert recompression.dedup(clash).first().n_words == 2
 
 
+@pytest.mark.parametrize("stride", [16, 64])
+def test_texts_on_which_polynomial_hashes_meet_are_told_apart(spark, stride):
+    """At every stride-th place one of two words by the parity of the place's set bits, the other one in the second text."""
+    def text(turned):
+        return " ".join(("alpha", "beta")[(i.bit_count() + turned) % 2] if i % stride == 0 else f"u{i}" for i in range(8192))
+
+    rows = [(1, text(0)), (2, text(1))]
+    got = recompression.dedup(make_docs(spark, rows)).collect()
+    assert sorted(map(tuple, got), key=str) == brute_dedup(rows)
+    if stride == 64:
+        assert {r.doc_id: r.n_removed for r in got} == {1: 0, 2: 8064}
+
+
+def test_window_names_tell_thue_morse_words_apart():
+    thue = np.array([i.bit_count() % 2 for i in range(4096)], np.uint64) + np.uint64(11)
+    names = recompression.window_names(thue, 50, 5)
+    plain = {}
+    for i in range(len(names)):
+        plain.setdefault(tuple(thue[i : i + 50].tolist()), set()).add(int(names[i]))
+    assert all(len(v) == 1 for v in plain.values()) and len({next(iter(v)) for v in plain.values()}) == len(plain) == len(set(names.tolist()))
+
+
 def test_levels_name_equal_substrings_alike():
     rng = np.random.default_rng(1)
     shared = rng.integers(1, 1 << 60, 200).astype(np.uint64)
@@ -123,10 +145,11 @@ def test_vantage_point_tree_loses_no_pair():
     assert pairs == want and len(want) > 100
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [0, 60, 1 << 20])
+def test_components(spark, few):
     rng = random.Random(2)
     links = [(i, i + 1) for i in range(0, 200)] + [(1000 + rng.randrange(50), 1000 + rng.randrange(50)) for _ in range(40)] + [(5000, i) for i in range(6000, 6100)] + [(7, 7)]
-    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long"), few=few).collect()}
     nodes = sorted({x for l in links for x in l if l[0] != l[1]})
     at = {x: i for i, x in enumerate(nodes)}
     edges = {(at[a], at[b]) for a, b in links} | {(at[b], at[a]) for a, b in links}
