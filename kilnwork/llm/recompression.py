@@ -8,12 +8,14 @@ window's words occur. Each window picks one such symbol of the highest round tha
 as inside a long run), so equal windows pick equal anchors.
 
 Spark counts anchors over all documents; those of one document only are gone for good. What is left is verified: windows
-around shared anchors are compared by 128-bit hashes of their words, and the smallest doc_id of each is joined back.
+around shared anchors get names of 128 bits, made pair by pair from those of their words (two, four, ... words, then the
+whole), and the smallest doc_id of each is joined back. Whole texts are told apart by SHA-256.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +32,8 @@ FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 class Prefix:
-    """64-bit hashes of any span of a sequence of numbers."""
+    """64-bit hashes of any span of a sequence of numbers: equal spans hash alike. Sequences can be built whose spans hash alike though they
+    differ, so these only choose what is compared."""
 
     def __init__(self, h: np.ndarray, factor: int):
         n = len(h) + 1
@@ -75,6 +78,19 @@ def levels(h: np.ndarray, bar: np.ndarray, rounds: int = ROUNDS) -> list[tuple[n
     return out[::-1]
 
 
+def window_names(h: np.ndarray, width: int, salt: int) -> np.ndarray:
+    """A 64-bit name for every `width` consecutive numbers: pairs of neighbouring names are named again and again, and two overlapping
+    names of the largest power of two name the window. Each step scrambles, so unlike a polynomial it has no structure to meet."""
+    if len(h) < width:
+        return np.empty(0, np.uint64)
+    pair = lambda a, b: mix64(a * np.uint64(FACTORS[0]) + mix64(b + np.uint64(salt)))
+    name, size = mix64(h + np.uint64(salt)), 1
+    while 2 * size <= width:
+        name, size = pair(name[: len(name) - size], name[size:]), 2 * size
+    rest = width - size
+    return pair(name[: len(name) - rest], name[rest:]) if rest else name
+
+
 def anchors(h: np.ndarray, bar: np.ndarray, starts: np.ndarray, prefix: Prefix, width: int = WINDOW) -> np.ndarray:
     """For each window start the key of the anchor that the window picks: of the highest round's symbols with their reach inside it the one of least hash."""
     keys = np.empty(len(starts), np.uint64)
@@ -120,11 +136,7 @@ class Batch:
             self.h[at : at + len(w)] = memo.array(w)
         self.bar[np.append(self.first - 1, total - 1)] = True
         self.h[self.bar] = 0
-        self.a, self.b = Prefix(self.h, FACTORS[0]), Prefix(mix64(self.h), FACTORS[1])
-
-    def signatures(self) -> tuple[np.ndarray, np.ndarray]:
-        ends = self.first + self.n
-        return self.a.spans(self.first, ends).view(np.int64), self.b.spans(self.first, ends).view(np.int64)
+        self.prefix = Prefix(self.h, FACTORS[0])
 
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all windows and the document (by index) of each."""
@@ -133,8 +145,9 @@ class Batch:
         return self.first[doc] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count), doc
 
 
-def digest(words: list[bytes]) -> str:
-    return hashlib.sha256(b" ".join(words)).hexdigest()
+def digest(words: list[bytes]) -> bytes:
+    """SHA-256 of words, which hold no spaces, joined by spaces: texts of equal digests have equal words."""
+    return hashlib.sha256(b" ".join(words)).digest()
 
 
 def long_array(x) -> pa.Array:
@@ -142,7 +155,7 @@ def long_array(x) -> pa.Array:
 
 
 def parse(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, signature (s1, s2) of all words, n_words, sha256 of all words, and the keys of the anchors that its windows pick."""
+    """doc_id, sig (SHA-256 of all words), n_words, and the keys of the anchors that its windows pick."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Hashes()
@@ -150,24 +163,24 @@ def parse(docs: DataFrame, width: int) -> DataFrame:
             words = [words_of(t) for _, t in part]
             batch = Batch(words, memo)
             starts, doc = batch.windows(width)
-            keys = anchors(batch.h, batch.bar, starts, batch.a, width)
+            keys = anchors(batch.h, batch.bar, starts, batch.prefix, width)
             order = np.lexsort((keys, doc))
             keys, doc = keys[order], doc[order]
             new = np.ones(len(keys), bool)
             new[1:] = (keys[1:] != keys[:-1]) | (doc[1:] != doc[:-1])
             keys, doc = keys[new], doc[new]
             offsets = np.searchsorted(doc, np.arange(len(part) + 1)).astype(np.int32)
-            s1, s2 = batch.signatures()
             yield pa.record_batch(
-                [long_array([r[0] for r in part]), pa.array(s1), pa.array(s2), pa.array(batch.n), pa.array([digest(w) for w in words]), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))],
-                ["doc_id", "s1", "s2", "n_words", "sha", "anchors"],
+                [long_array([r[0] for r in part]), pa.array([digest(w) for w in words], pa.binary()), pa.array(batch.n), pa.ListArray.from_arrays(pa.array(offsets), pa.array(keys.view(np.int64)))],
+                ["doc_id", "sig", "n_words", "anchors"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, s1 long, s2 long, n_words long, sha string, anchors array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, sig binary, n_words long, anchors array<long>")
 
 
 def candidate_windows(candidates: DataFrame, width: int) -> DataFrame:
-    """h1, h2, doc_id, s1, s2, place of every window of the candidates (doc_id, s1, s2, text, keys) that picks one of `keys`."""
+    """h1, h2, doc_id, tag, place of every window of the candidates (doc_id, tag, text, keys) that picks one of `keys`."""
+    salts = [secrets.randbits(64) for _ in range(2)]  # any will do; nobody can aim a text at them
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = Hashes()
@@ -176,38 +189,39 @@ def candidate_windows(candidates: DataFrame, width: int) -> DataFrame:
                 c = b.slice(at, 256)
                 batch = Batch([words_of(t) for t in c.column("text").to_pylist()], memo)
                 starts, doc = batch.windows(width)
-                keys = anchors(batch.h, batch.bar, starts, batch.a, width).view(np.int64)
+                keys = anchors(batch.h, batch.bar, starts, batch.prefix, width).view(np.int64)
                 lists = c.column("keys")
                 shared, of = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(c.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
                 tag = lambda k, d: mix64(k.view(np.uint64) + mix64(d.astype(np.uint64)))
                 use = np.flatnonzero(np.isin(tag(keys, doc), tag(shared, of)))
                 p, d = starts[use], doc[use]
-                cols = [batch.a.spans(p, p + width).view(np.int64), batch.b.spans(p, p + width).view(np.int64)]
-                cols += [c.column(n).to_numpy(zero_copy_only=False)[d] for n in ("doc_id", "s1", "s2")] + [(p - batch.first[d])]
+                cols = [window_names(batch.h, width, s)[p].view(np.int64) for s in salts]
+                cols += [c.column(n).to_numpy(zero_copy_only=False)[d] for n in ("doc_id", "tag")] + [p - batch.first[d]]
                 for i in range(0, len(use), 1 << 16):
-                    yield pa.record_batch([pa.array(x[i : i + (1 << 16)], pa.int64()) for x in cols], ["h1", "h2", "doc_id", "s1", "s2", "place"])
+                    yield pa.record_batch([pa.array(x[i : i + (1 << 16)], pa.int64()) for x in cols], ["h1", "h2", "doc_id", "tag", "place"])
 
-    return candidates.select("doc_id", "s1", "s2", "text", "keys").mapInArrow(run, "h1 long, h2 long, doc_id long, s1 long, s2 long, place long")
+    return candidates.select("doc_id", "tag", "text", "keys").mapInArrow(run, "h1 long, h2 long, doc_id long, tag long, place long")
 
 
 def strip(candidates: DataFrame, width: int, keep_text: bool) -> DataFrame:
-    """doc_id, s1, s2, n_removed, sha, kept text (if asked for) of candidates (doc_id, s1, s2, text, places of repeated windows)."""
+    """doc_id, sig, n_removed, sig_kept, kept text (if asked for) of candidates (doc_id, sig, text, places of repeated windows)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for doc_id, s1, s2, text, places in zip(*(b.column(n).to_pylist() for n in ("doc_id", "s1", "s2", "text", "places"))):
+            for doc_id, sig, text, places in zip(*(b.column(n).to_pylist() for n in ("doc_id", "sig", "text", "places"))):
                 w = words_of(text)
                 edge = np.zeros(len(w) + 1, np.int64)
                 at = np.unique(np.array(places, np.int64))
                 edge[at] += 1
                 np.add.at(edge, at + width, -1)
                 kept = [w[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
-                out.append((doc_id, s1, s2, len(w) - len(kept), digest(kept), b" ".join(kept).decode("utf-8", "surrogatepass") if keep_text else None))
+                out.append((doc_id, sig, len(w) - len(kept), digest(kept), b" ".join(kept).decode("utf-8", "surrogatepass") if keep_text else None))
             if out:
-                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), (pa.int64(),) * 4 + (pa.string(),) * 2)], ["doc_id", "s1", "s2", "n_removed", "sha_kept", "kept_text"])
+                types = (pa.int64(), pa.binary(), pa.int64(), pa.binary(), pa.string())
+                yield pa.record_batch([pa.array(x, t) for x, t in zip(zip(*out), types)], ["doc_id", "sig", "n_removed", "sig_kept", "kept_text"])
 
-    return candidates.select("doc_id", "s1", "s2", "text", "places").mapInArrow(run, "doc_id long, s1 long, s2 long, n_removed long, sha_kept string, kept_text string")
+    return candidates.select("doc_id", "sig", "text", "places").mapInArrow(run, "doc_id long, sig binary, n_removed long, sig_kept binary, kept_text string")
 
 
 def dedup(docs: DataFrame, *, width: int = WINDOW, keep_text: bool = False, name: str = "op1") -> DataFrame:
@@ -221,44 +235,44 @@ def dedup(docs: DataFrame, *, width: int = WINDOW, keep_text: bool = False, name
     light = materialize(parse(docs, width), f"{name}-parse")
     known = light.where("doc_id is not null")
     # copies of a whole text: all windows of those with larger ids start in the first of them
-    first = known.groupBy("s1", "s2").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
+    first = known.groupBy("sig").agg(F.min("doc_id").alias("first_id"), F.max("doc_id").alias("last_id"))
     copied = materialize(first.where("first_id < last_id").drop("last_id"), f"{name}-copied")
-    of_copies = known.select("doc_id", "s1", "s2").join(copied, ["s1", "s2"]).where("doc_id > first_id").select("doc_id", "s1", "s2").distinct()
+    of_copies = known.select("doc_id", "sig").join(copied, ["sig"]).where("doc_id > first_id").select("doc_id", "sig").distinct()
     copies = materialize(of_copies, f"{name}-copies")
-    base = known.join(copies, ["doc_id", "s1", "s2"], "left_anti")
-    marks = base.select("doc_id", "s1", "s2", F.explode("anchors").alias("key"))
+    base = known.join(copies, ["doc_id", "sig"], "left_anti")
+    marks = base.select("doc_id", "sig", F.explode("anchors").alias("key"))
     # written before they are joined: a join of two plain exchanges can be split where one key has many rows
     shared = materialize(marks.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), f"{name}-shared")
-    hits = materialize(marks.join(shared, "key").groupBy("doc_id", "s1", "s2").agg(F.collect_set("key").alias("keys")), f"{name}-hits")
+    hits = materialize(marks.join(shared, "key").groupBy("doc_id", "sig").agg(F.collect_set("key").alias("keys")), f"{name}-hits")
     ids = hits.select(F.col("doc_id").alias("id_")).distinct()
     texts = docs.join(ids, F.col("doc_id") == F.col("id_"), "left_semi")
-    candidates = materialize(with_signature(texts).join(hits, ["doc_id", "s1", "s2"]), f"{name}-texts")
+    # of rows that repeat a doc_id the tag tells which is meant, shorter than sig
+    candidates = materialize(with_signature(texts).join(hits, ["doc_id", "sig"]).withColumn("tag", F.xxhash64("sig")), f"{name}-texts")
     windows = materialize(candidate_windows(candidates, width), f"{name}-windows")
     owner = materialize(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2", "a"), f"{name}-owner")
-    found = windows.join(owner, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id", "s1", "s2").agg(F.collect_set("place").alias("places"))
-    stripped = materialize(strip(candidates.drop("keys").join(found, ["doc_id", "s1", "s2"]), width, keep_text).distinct(), f"{name}-strip")
-    gone = copies.select("doc_id", "s1", "s2", F.lit(True).alias("copy_"))
-    joined = light.drop("anchors").join(stripped, ["doc_id", "s1", "s2"], "left").join(gone, ["doc_id", "s1", "s2"], "left")
+    found = windows.join(owner, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
+    stripped = materialize(strip(candidates.drop("keys").join(found, ["doc_id", "tag"]), width, keep_text).distinct(), f"{name}-strip")
+    gone = copies.select("doc_id", "sig", F.lit(True).alias("copy_"))
+    joined = light.drop("anchors").join(stripped, ["doc_id", "sig"], "left").join(gone, ["doc_id", "sig"], "left")
     copy = F.col("copy_").isNotNull() & (F.col("n_words") >= width)
     out = joined.select(
         "doc_id", "n_words",
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0).cast("long"))).alias("n_removed"),
-        F.when(copy, F.lit(digest([]))).otherwise(F.coalesce("sha_kept", "sha")).alias("kept_sha256"),
+        F.lower(F.hex(F.when(copy, F.lit(digest([]))).otherwise(F.coalesce("sig_kept", "sig")))).alias("kept_sha256"),
         F.when(copy, "").otherwise(F.col("kept_text")).alias("kept_text"),
     )
     return out if keep_text else out.drop("kept_text")
 
 
 def with_signature(docs: DataFrame) -> DataFrame:
-    """Adds s1 and s2, as parse() has them."""
+    """Adds sig, as parse() has it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
         for part in rows(batches, "doc_id", "text", limit_bytes=2 << 20):
-            s1, s2 = Batch([words_of(t) for _, t in part], memo).signatures()
-            yield pa.record_batch([long_array([r[0] for r in part]), pa.array([r[1] for r in part], pa.string()), pa.array(s1), pa.array(s2)], ["doc_id", "text", "s1", "s2"])
+            sigs = [digest(words_of(t)) for _, t in part]
+            yield pa.record_batch([long_array([r[0] for r in part]), pa.array([r[1] for r in part], pa.string()), pa.array(sigs, pa.binary())], ["doc_id", "text", "sig"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, s1 long, s2 long")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string, sig binary")
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
