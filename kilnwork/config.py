@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import copy
 import json
+import logging
+import os
+import sys
 
 
 def merged(base: dict, over: dict) -> dict:
@@ -31,3 +34,34 @@ def load(path: str) -> dict:
     import yaml
 
     return yaml.safe_load(text) or {}
+
+
+def for_older_readers(config: dict) -> dict:
+    """A checkpoint's configuration under the keys that older readers know: what rotates positions apart from its base, the number type by its
+    former name, and the general class of a tokenizer that is read from a file. Keys that aren't there are left out; the input stays."""
+    out = copy.deepcopy(config)
+    if (rope := out.pop("rope_parameters", None)) is not None:
+        base = rope.pop("rope_theta", None)
+        out |= {"rope_scaling": rope} | ({} if base is None else {"rope_theta": base})
+    if (kind := out.pop("dtype", None)) is not None:
+        out["torch_dtype"] = kind
+    if out.get("tokenizer_class") == "TokenizersBackend":
+        out["tokenizer_class"] = "PreTrainedTokenizerFast"
+    return out
+
+
+def logger(name: str = "kilnwork", path: str | None = None) -> logging.Logger:
+    """The driver's log, to the console and, if there is a path, to that file too; asking again adds nothing twice."""
+    log = logging.getLogger(name)
+    log.setLevel(logging.INFO)
+    log.propagate = False
+    wanted: dict[str, logging.Handler] = {"console": logging.StreamHandler(sys.stderr)}
+    if path:
+        os.makedirs(os.path.dirname(os.path.abspath(path)), exist_ok=True)
+        wanted[os.path.realpath(path)] = logging.FileHandler(path, delay=True)
+    for label, handler in wanted.items():
+        if label not in {h.get_name() for h in log.handlers}:
+            handler.set_name(label)
+            handler.setFormatter(logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s"))
+            log.addHandler(handler)
+    return log

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from . import jsontext as J
 
@@ -17,5 +18,5 @@ def register(spark: SparkSession) -> list[str]:
         "has_tool_block": (lambda t: J.tool_block(t or "") is not None, "boolean"),
     }
     for name, (f, returns) in known.items():
-        spark.udf.register(name, f, returns)
+        spark.udf.register(name, F.udf(f, returns, useArrow=True))
     return list(known)

@@ -18,13 +18,13 @@ _OUT = "tools string, assistant string, parameter_mapping string, function_mappi
 
 def perturb_row(tools: str | None, assistant: str | None, parameters: bool, functions: bool, reorder: bool, seed: int) -> dict:
     """A row's tools and answer with new names and a new order; mappings as JSON texts. Without anything to rename nothing changes."""
-    value, answer = J.load_tools(tools), assistant or ""
+    value, answer = J.load_tools(tools) if parameters or functions else [], assistant or ""
     names = J.fresh_names(J.described_names(value), "param", seed) if parameters else {}
     calls = J.fresh_names(J.function_names(value), "func", seed) if functions else {}
     applied = bool(names or calls)
     if applied:
         if parameters or reorder:
-            value = J.rewrite(value, seed, names=names)
+            value = J.permuted(J.rename_described(value, names), seed)
         if calls:
             value = J.rename_functions(value, calls)
         answer = J.rename_calls(J.rename_assignments(answer, names), calls)
@@ -42,14 +42,15 @@ def row_seed(key: Column, seed: int) -> Column:
 def perturb(df: DataFrame, key: str, seed: int, *, mode: str = "mode", none: str = "none", always_reorder: bool = True) -> DataFrame:
     """Rewrites tools and assistant of the rows whose mode isn't `none`; adds parameter_mapping, function_mapping and applied.
 
-    Untouched rows never meet the UDF: the table is cut in two by its mode and put together again.
+    One pass over the table: rows whose mode is `none` or null reach the UDF as nulls, which it has nothing to do with, and keep
+    what they have.
     """
     spelled = F.col(mode)
-    touched = df.where(spelled != none)
-    call = _perturb("tools", "assistant", spelled.contains("param"), spelled.contains("func"), F.lit(always_reorder), row_seed(F.col(key), seed))
-    done = touched.withColumn("p_", call).withColumns({"tools": F.col("p_.tools"), "assistant": F.col("p_.assistant"), "parameter_mapping": F.col("p_.parameter_mapping"), "function_mapping": F.col("p_.function_mapping"), "applied": F.col("p_.applied")}).drop("p_")
-    left = df.where(spelled.eqNullSafe(none) | spelled.isNull()).withColumns({"parameter_mapping": F.lit("{}"), "function_mapping": F.lit("{}"), "applied": F.lit(False)})
-    return done.unionByName(left)
+    touched = F.coalesce(spelled != none, F.lit(False))
+    only = lambda c: F.when(touched, c)
+    call = _perturb(only(F.col("tools")), only(F.col("assistant")), touched & spelled.contains("param"), touched & spelled.contains("func"), F.lit(always_reorder), row_seed(F.col(key), seed))
+    new = {c: F.when(touched, F.col(f"p_.{c}")).otherwise(old) for c, old in {"tools": F.col("tools"), "assistant": F.col("assistant"), "parameter_mapping": F.lit("{}"), "function_mapping": F.lit("{}"), "applied": F.lit(False)}.items()}
+    return df.withColumn("p_", call).withColumns(new).drop("p_")
 
 
 def rename_with(column: Column, names: Column, kind: str = "parameters") -> Column:
@@ -87,7 +88,7 @@ def _shuffle_prompt(text: str | None, seed: int) -> dict:
     if found is None:
         return {"text": text, "changed": False}
     start, end, tools = found
-    return {"text": text[:start] + J.dump([J.rewrite(t, seed, forced=True, path=(i,)) for i, t in enumerate(tools)]) + text[end:], "changed": True}
+    return {"text": text[:start] + J.dump([J.permuted(t, seed, forced=True, path=(i,)) for i, t in enumerate(tools)]) + text[end:], "changed": True}
 
 
 shuffle_prompt = arrow(_shuffle_prompt, "text string, changed boolean")

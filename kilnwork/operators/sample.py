@@ -15,9 +15,11 @@ def order_hash(key: Column, seed: int) -> Column:
 
 def global_rank(df: DataFrame, key: str, seed: int, by: list[str] | None = None, name: str = "rank", total: str | None = None) -> DataFrame:
     """Adds the rank (from 1) of every row in the seeded order, apart for each value of `by`, and the number of rows ranked
-    together, if `total` names it; a null key comes last."""
+    together, if `total` names it; null keys come last, in the order of a hash of their other columns."""
     by = by or []
-    h = df.withColumn("h_", F.coalesce(order_hash(F.col(key), seed), F.lit("~"))).withColumn("b_", F.substring("h_", 1, 4))
+    rest = [F.col(f"`{f.name}`") for f in df.schema if "map" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    last = F.concat(F.lit("~"), F.hex(F.xxhash64(F.lit(seed), *rest)))
+    h = df.withColumn("h_", F.coalesce(order_hash(F.col(key), seed), last)).withColumn("b_", F.substring("h_", 1, 4))
     group = Window.partitionBy(*by)
     before = group.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)
     offsets = h.groupBy(*by, "b_").count().withColumn("offset_", F.coalesce(F.sum("count").over(before), F.lit(0))).withColumn("n_", F.sum("count").over(group)).drop("count")

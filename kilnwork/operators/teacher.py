@@ -95,6 +95,25 @@ def check_annotations(df: DataFrame) -> DataFrame:
     return df.withColumn("validation_errors", codes).withColumn("status", status(F.col("validation_errors")))
 
 
+def refreshed(df: DataFrame) -> DataFrame:
+    """Stored results, repaired and validated anew where they hold the annotation itself (teacher_json); others stay as they are."""
+    held, of = F.col("teacher_json").isNotNull(), lambda c: F.col(f"teacher_json.{c}")
+    names = {"teacher_success": "success", "teacher_failed": "failed", "teacher_description": "description"}
+    old = {c: F.col(c) for c in (*names, "validation_errors", "status")}
+    kept = df.withColumn("stored_", F.struct(*(c.alias(n) for n, c in old.items())))
+    checked = check_annotations(kept.withColumns({c: of(inner) for c, inner in names.items()}))
+    back = checked.withColumns({c: F.when(held, F.col(c)).otherwise(F.col(f"stored_.{c}")) for c in old}).drop("stored_")
+    return back.withColumn("teacher_json", F.when(held, F.struct(*(F.col(c).alias(inner) for c, inner in names.items()))))
+
+
+def repaired(valid: DataFrame, invalid: DataFrame) -> DataFrame:
+    """Stored results as a resumed run takes them up, with their bucket and whether they came over: those from the valid bucket stay
+    there whatever their new status, invalid ones that now validate join them."""
+    both = refreshed(valid.withColumn("bucket", F.lit("valid")).unionByName(invalid.withColumn("bucket", F.lit("invalid")), allowMissingColumns=True))
+    over = (F.col("bucket") == "invalid") & (F.col("status") == "valid")
+    return both.withColumn("came_over", over).withColumn("bucket", F.when(F.col("came_over"), "valid").otherwise(F.col("bucket")))
+
+
 def description_of(df: DataFrame) -> Column:
     """teacher_description, or teacher_json's, or that in an answer that is a JSON object, or an answer that is no JSON; else empty."""
     parsed = F.try_parse_json("assistant")

@@ -58,6 +58,13 @@ def tokenized(text: Column, length: int, pad: int, tokenizer: Tokenizer = defaul
     return F.udf(run, "input_ids array<int>, attention_mask array<int>", useArrow=True)(text)
 
 
+def special_ids(encode: Tokenizer, header: str, end: str, pad: int | None = None, eos: int | None = None) -> dict[str, list[int] | int]:
+    """Ids of the answer's header and of the end mark, and the id that pads: without one of its own the one that ends a sequence."""
+    if (fill := eos if pad is None else pad) is None:
+        raise ValueError("neither a padding id nor one that ends a sequence")
+    return {"head": encode(header), "end": encode(end), "pad": fill}
+
+
 def find_pattern(ids: Column, pattern: list[int], start: Column | int = 0) -> Column:
     """The first place from `start` on where the pattern stands; -1 if none, or for an empty pattern."""
     m, start = len(pattern), F.lit(start) if isinstance(start, int) else start

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.turns import first_turns
 from ..operators import classify, extract, perturb, report, sample, teacher, tokens
 from ..operators.prompt import EOT, add_prompt, header, render_prompt, teacher_messages
+from ..sources import io
 
 COLUMNS = ("system", "user", "assistant", "tools", "tool_count", "tool_type", "refusal")
 MAX_TOKENS = 1024
@@ -32,13 +33,11 @@ def within(df: DataFrame, most: int = MAX_TOKENS, column: str = "prompt_token_le
 def perturbed_parameters(processed: DataFrame, key: str, *, train: float = 0.20, test: float = 0.50, seed: int = 42) -> DataFrame:
     """Split, then a share of each split's eligible rows renamed and reordered; a share of 0 leaves all as it was. Adds split, ablation_applied, parameter_mapping, text."""
     split = sample.train_test(processed, key, seed=seed)
-    eligible = perturb.parameter_eligible(split)
-    chosen = None
-    for name, share, extra in (("train", train, 101), ("test", test, 202)):
-        part = sample.take_fraction(eligible.where(F.col("split") == name), key, share, seed + extra).select(F.col(key).alias("k_"))
-        chosen = part if chosen is None else chosen.unionByName(part)
+    ranked = sample.global_rank(perturb.parameter_eligible(split).select(key, "split"), key, seed + 1, by=["split"], name="rank_", total="of_")
+    most = F.when(F.col("split") == "train", sample.part_of("of_", train)).otherwise(sample.part_of("of_", test))
+    chosen = ranked.where(F.col("rank_") <= most).select(F.col(key).alias("k_"))
     marked = split.join(chosen.withColumn("mode", F.lit("parameter_only")), F.col(key) == F.col("k_"), "left").drop("k_").withColumn("mode", F.coalesce("mode", F.lit("none")))
-    done = perturb.perturb(marked, key, seed + 1000)
+    done = perturb.perturb(marked, key, seed + 3)
     return add_prompt(done.withColumnRenamed("applied", "ablation_applied").drop("mode", "function_mapping"))
 
 
@@ -55,12 +54,12 @@ def perturbed_modes(union: DataFrame, key: str, *, seed: int = 42) -> DataFrame:
     """Split; in train three bands of modes among eligible answered rows, in test one half perturbed both ways. Adds split, applied, text."""
     split = sample.train_test(union, key, seed=seed)
     eligible = perturb.mode_eligible(split)
-    train = sample.bands(eligible.where("split = 'train'"), key, perturb.TRAIN_MODES, seed + 2202, rest="none", name="band")
-    test = sample.bands(eligible.where("split = 'test'"), key, {"parameter_and_function": perturb.EVAL_SHARE}, seed + 3303, rest="none", name="band")
+    train = sample.bands(eligible.where("split = 'train'"), key, perturb.TRAIN_MODES, seed + 4, rest="none", name="band")
+    test = sample.bands(eligible.where("split = 'test'"), key, {"parameter_and_function": perturb.EVAL_SHARE}, seed + 5, rest="none", name="band")
     plan = train.select(F.col(key).alias("k_"), "band").unionByName(test.select(F.col(key).alias("k_"), "band")).where("band <> 'none'")
     joined = split.join(plan, F.col(key) == F.col("k_"), "left").drop("k_", "parameter_mapping", "function_mapping")
     marked = joined.withColumn("ablation_mode", F.coalesce("band", "ablation_mode")).withColumn("band", F.coalesce("band", F.lit("none")))
-    return add_prompt(perturb.perturb(marked, key, seed + 3000, mode="band").drop("band"))
+    return add_prompt(perturb.perturb(marked, key, seed + 6, mode="band").drop("band"))
 
 
 def refusal_analysis(processed: DataFrame, key: str = "key") -> DataFrame:
@@ -73,10 +72,11 @@ def refusal_analysis(processed: DataFrame, key: str = "key") -> DataFrame:
 
 
 def annotation_plan(processed: DataFrame, key: str = "key", *, seed: int = 42, limit: int | None = None) -> DataFrame:
-    """Eligible refusals by key, numbered from 0, each with its mode, perturbed tools, mappings and the annotator's messages."""
+    """Eligible refusals by key, each with its mode, perturbed tools, mappings and the annotator's messages. A number in the order of
+    keys would need all rows in one place, so source_index is the key itself, of whatever type."""
     rows = perturb.teacher_eligible(processed)
     rows = rows.orderBy(key).limit(limit) if limit else rows
-    ranked = sample.bands(rows, key, perturb.TEACHER_MODES, seed + 7001, name="ablation_mode")
+    ranked = sample.bands(rows, key, perturb.TEACHER_MODES, seed + 7, name="ablation_mode")
     done = perturb.perturb(ranked, key, seed, mode="ablation_mode", none="original_refusal", always_reorder=False)
     return done.withColumn("source_index", F.col(key)).withColumn("teacher_prompt", teacher_messages(F.col("user"), F.col("tools")))
 
@@ -90,6 +90,21 @@ def annotate(plan: DataFrame, done: DataFrame, make_client: Callable) -> DataFra
     return checked.withColumn("status", F.when(F.col("error").isNotNull(), "failed_parse_or_request").otherwise(F.col("status")))
 
 
+def annotate_in_parts(plan: DataFrame, make_client: Callable, folder: str, *, every: int = 10_000) -> int:
+    """As annotate(), but results are kept about `every` rows at a time, each part with a folder (part=0 and so on) of buckets of its own. A run
+    that was broken off goes on behind the last whole part; returns how many parts it asked for."""
+    spark = plan.sparkSession
+    parts, asked = max(1, -(-plan.count() // every)), 0
+    mine = F.pmod(F.xxhash64("source_index"), F.lit(parts))
+    for i in range(parts):
+        at = f"{folder}/part={i}"
+        if not io.exists(spark, f"{at}/_SUCCESS"):
+            rows = plan.where(mine == i)
+            io.write_buckets(annotate(rows, rows.select("source_index").limit(0), make_client), at)
+            asked += 1
+    return asked
+
+
 def shuffled_prompts(df: DataFrame, key: str, *, ratio: float = 0.2, seed: int = 42) -> DataFrame:
     """Of rendered prompts (text) round(all * ratio) of those with a tool list get its keys in another order; adds changed."""
     able = df.where(F.col("text").contains("[") & perturb.has_prompt_tools("text"))

@@ -11,6 +11,7 @@ from ..functions.turns import first_turns, gather_turns
 from ..operators import classify, extract, perturb, report, sample, teacher, tokens
 from ..operators.prompt import EOT, header, render_prompt
 from . import adapters as A
+from ..sources import io
 from . import pipelines
 
 QUERIES = {}
@@ -142,14 +143,24 @@ def parse_system(spark, sf_dir):
     return extract.parse_system(tools(spark, sf_dir)).select("key", "system", "tools", "tool_count", "tool_type", "extract_failed")
 
 
-@query(f"WITH {P} SELECT key, unnest(CASE WHEN tool_type = 'json' THEN CAST(json_extract_string(tools, '$[*].name') AS VARCHAR[]) ELSE [] END) AS name FROM p")
+#: Tools that hold their names under every field, padded, blank or as numbers.
+NAMED = """SELECT p_partkey AS key, concat('[{"name": "  n', p_partkey, ' "}, {"tool_name": "t', p_partkey, '", "api_name": "x"}, {"name": "", "API_Name": "A', p_partkey, '"}, {"name": "   ", "function": {"name": " f', p_partkey, '"}}, {"function_name": "g"}, {"name": 5, "function": {"name": "h"}}, {"api_name": "", "function": {"name": "k"}}]') AS tools FROM part"""
+
+
+def named_tools(spark, sf_dir):
+    return A.run(spark, sf_dir, NAMED)
+
+
+@query(f"WITH m AS ({NAMED}), n AS (SELECT key, unnest(['n' || key, 'f' || key, 'h', 'k']) AS name FROM m), {P} SELECT key, name FROM n UNION ALL SELECT key, unnest(CASE WHEN tool_type = 'json' THEN CAST(json_extract_string(tools, '$[*].name') AS VARCHAR[]) ELSE [] END) FROM p")
 def tool_names(spark, sf_dir):
-    return processed(spark, sf_dir).select("key", F.explode(extract.function_names("tools")).alias("name"))
+    rows = named_tools(spark, sf_dir).unionByName(processed(spark, sf_dir).select("key", "tools"))
+    return rows.select("key", F.explode(extract.function_names("tools")).alias("name"))
 
 
-@query(f"WITH {P} SELECT key, unnest(CASE WHEN tool_type = 'json' THEN CAST(json_extract_string(tools, '$[*].name') AS VARCHAR[]) ELSE [] END) AS name FROM p")
+@query(f"WITH m AS ({NAMED}), n AS (SELECT key, unnest(['  n' || key || ' ', 't' || key, 'A' || key, '   ', 'g', '5', 'k']) AS name FROM m), {P} SELECT key, name FROM n UNION ALL SELECT key, unnest(CASE WHEN tool_type = 'json' THEN CAST(json_extract_string(tools, '$[*].name') AS VARCHAR[]) ELSE [] END) FROM p")
 def loose_tool_names(spark, sf_dir):
-    return processed(spark, sf_dir).select("key", F.explode(extract.loose_names("tools")).alias("name"))
+    rows = named_tools(spark, sf_dir).unionByName(processed(spark, sf_dir).select("key", "tools"))
+    return rows.select("key", F.explode(extract.loose_names("tools")).alias("name"))
 
 
 @query(f"WITH {P} SELECT key, array_to_string({NAMES}, ',') AS names FROM p")
@@ -172,25 +183,28 @@ def tool_parameter_index(spark, sf_dir):
 # ---- prompts and tokens ----
 
 
-@query(f"""WITH {P} SELECT key, '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || trim(system, ' ' || chr(10)) || chr(10) || chr(10) || CASE WHEN tools = '[]' THEN '[]' ELSE '[' || chr(10) || '  ' || substr(tools, 2, length(tools) - 2) || chr(10) || ']' END
-|| '<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || "user" || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || assistant || '<|eot_id|>' AS text FROM p WHERE key % 8 > 1""")
-def render_prompts(spark, sf_dir):
-    return render_all_prompts(spark, sf_dir).where("key % 8 > 1")
+PRETTY = "array_to_string(list_transform(string_split(json_pretty(tools::JSON), chr(10)), lambda l: repeat(' ', ((length(l) - length(ltrim(l, ' '))) // 2)::BIGINT) || ltrim(l, ' ')), chr(10))"
+RENDERED = f"""r AS (SELECT *, '<|begin_of_text|><|start_header_id|>system<|end_header_id|>' || chr(10) || chr(10) || trim(system, ' ' || chr(10)) || chr(10) || chr(10) || {PRETTY}
+|| '<|eot_id|><|start_header_id|>user<|end_header_id|>' || chr(10) || chr(10) || "user" || '<|eot_id|><|start_header_id|>assistant<|end_header_id|>' || chr(10) || chr(10) || assistant || '<|eot_id|>' AS text FROM p)"""
 
 
-@query()  # the SQL above has no form for nested JSON; tests compare with json.dumps
-def render_all_prompts(spark, sf_dir):
+@query(f"WITH {P}, {RENDERED} SELECT key, text FROM r")
+def render_prompts(spark, sf_dir):
     return processed(spark, sf_dir).select("key", render_prompt(F.col("system"), F.col("user"), F.col("assistant"), F.col("tools")).alias("text"))
 
 
-@query("SELECT doc_id, CAST(len(regexp_extract_all(text, '[\\p{L}\\p{N}\\p{Mn}\\p{Mc}_]+|[^\\p{L}\\p{N}\\p{Mn}\\p{Mc}_\\s]')) AS INT) AS n_tokens FROM documents WHERE regexp_full_match(text, '[\\x00-\\x7f]*')")
-def token_lengths(spark, sf_dir):
-    ascii_only = read(spark, sf_dir, "documents").where(F.col("text").rlike(r"^[\x00-\x7f]*$"))
-    return ascii_only.select("doc_id", tokens.token_length(F.col("text")).alias("n_tokens"))
+@query(f"WITH {P}, {RENDERED}, s AS (SELECT key, text, strpos(text, '[') - 1 AS a, strpos(text, '<|eot_id|>') - 1 AS b FROM r WHERE key % 8 < 2) SELECT key, CAST(a AS INT) AS first, CAST(b AS INT) AS past, len(CAST(json_extract(text[a + 1 : b], '$[*].name') AS JSON[])) AS tools FROM s")
+def prompt_tool_spans(spark, sf_dir):
+    found = T.arrow(lambda t: (lambda x: None if x is None else {"first": x[0], "past": x[1], "tools": len(x[2])})(J.prompt_tools(t or "")), "first int, past int, tools long")
+    return render_prompts(spark, sf_dir).select("key", found("text").alias("s")).where("s is not null").select("key", "s.*")
+
 
+# Python's classes of letters, digits and white space, in RE2's terms
+PIECES = r"<\|[^|<>]+\|>|[\p{L}\p{N}_]+|[^\p{L}\p{N}_\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-@query()  # all documents; the SQL above has no form for Python's Unicode classes
-def all_token_lengths(spark, sf_dir):
+
+@query(f"SELECT doc_id, CAST(len(regexp_extract_all(coalesce(text, ''), '{PIECES}')) AS INT) AS n_tokens FROM documents")
+def token_lengths(spark, sf_dir):
     return read(spark, sf_dir, "documents").select("doc_id", tokens.token_length(F.col("text")).alias("n_tokens"))
 
 
@@ -214,9 +228,10 @@ def find_token_pattern(spark, sf_dir):
     return ids.select("key", tokens.find_pattern(F.col("ids"), [14, 99]).cast("int").alias("place"))
 
 
-@query()
+@query(f"""WITH {P}, {RENDERED}, n AS (SELECT len(regexp_extract_all(text, '{PIECES}')) AS n, len(regexp_extract_all(split_part(text, 'assistant<|end_header_id|>', 1) || 'assistant<|end_header_id|>', '{PIECES}')) AS m FROM r)
+SELECT CAST(256 AS INT) AS length, CAST(least(n, 256) AS INT) AS used, CAST(greatest(least(n, 256) - m, 0) AS INT) AS labelled FROM n""")
 def padded_tensors(spark, sf_dir):
-    df = render_all_prompts(spark, sf_dir)
+    df = render_prompts(spark, sf_dir)
     pad = tokens.add_tensors(df, "text", length=256, pad=0, head=tokens.default_tokenizer(header("assistant")), end=tokens.default_tokenizer(EOT))
     return pad.select(F.size("input_ids").alias("length"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), F.size(F.filter("labels", lambda x: x != tokens.IGNORE)).alias("labelled"))
 
@@ -322,37 +337,72 @@ def rename_functions(spark, sf_dir):
     return processed(spark, sf_dir).where("refusal = 0").select("key", perturb.rename_with(F.col("assistant"), names, "functions").alias("renamed"))
 
 
-@query(f"""WITH {P}, {ELIGIBLE} SELECT key, CAST(len({NAMES}) AS INT) AS n_names, CAST(tool_count AS INT) AS n_tools, true AS all_renamed, true AS answer_follows FROM e""")
+QUOTED = "array_to_string(list_sort(regexp_extract_all(tools, '\"[^\"]*\"')), ' ')"
+
+
+def quoted_texts(tools):
+    """All quoted texts of a JSON text, names and values alike, in sorted order: what a schema says, whatever its order."""
+    return F.array_sort(F.regexp_extract_all(tools, F.lit('"[^"]*"'), 0))
+
+
+@query(f"""WITH {P}, {ELIGIBLE} SELECT key, {QUOTED} AS tools, assistant, array_to_string(list_sort({NAMES}), ',') AS names, CASE WHEN tool_count = 2 THEN 'get_part_' || key || ',get_stock_' || key ELSE 'get_part_' || key END AS calls, true AS fresh FROM e""")
 def perturbed_rows(spark, sf_dir):
+    """Renamed and reordered rows with their new names put back: what is left must be what was there."""
     rows = perturb.perturb(perturb.mode_eligible(processed(spark, sf_dir)).withColumn("mode", F.lit("parameter_and_function")), "key", 42)
     names, calls = (F.from_json(c, "map<string,string>") for c in ("parameter_mapping", "function_mapping"))
-    rows = rows.withColumn("left", extract.all_names("tools"))
-    old = F.exists(F.map_keys(names), lambda n: F.array_contains(F.col("left"), n))
-    return rows.select("key", F.size(names).alias("n_names"), F.size(calls).alias("n_tools"), (~old).alias("all_renamed"), classify.calls_any(F.col("assistant"), F.map_values(calls)).alias("answer_follows"))
+    back = lambda m: F.map_from_entries(F.transform(F.map_entries(m), lambda e: F.struct(e["value"], e["key"])))
+    rows = rows.withColumns({"names": names, "calls": calls, "back": F.map_concat(back(names), back(calls))})
+    bare = lambda t: F.substring(t, F.lit(2), F.length(t) - 2)
+    old = F.array_sort(F.transform(quoted_texts(F.col("tools")), lambda t: F.coalesce(F.concat(F.lit('"'), F.try_element_at("back", bare(t)), F.lit('"')), t)))
+    answer = perturb.rename_with(perturb.rename_with(F.col("assistant"), back(F.col("calls")), "functions"), back(F.col("names")))
+    fresh = F.forall(F.map_values("names"), lambda n: n.rlike("^param_[0-9]{4}$")) & F.forall(F.map_values("calls"), lambda n: n.rlike("^func_[0-9]{4}$")) & (F.size("back") == F.size("names") + F.size("calls")) & (F.col("assistant") != answer)
+    keys = lambda c: F.array_join(F.array_sort(F.map_keys(c)), ",")
+    return rows.select("key", F.array_join(old, " ").alias("tools"), answer.alias("assistant"), keys("names").alias("names"), keys("calls").alias("calls"), fresh.alias("fresh"))
 
 
-def _shape(spark, sf_dir, forced: bool) -> DataFrame:
-    """How often each field's key occurs before and after: an order-free picture of a reordered schema."""
-    keys = F.udf(lambda t: sorted(k for k in ("name", "description", "parameters", "properties", "required", "type") for _ in range((t or "").count(f'"{k}":'))), "array<string>", useArrow=True)
-    shuffled = F.udf(lambda t, s: J.dump([J.rewrite(x, s, forced=forced, path=(i,)) for i, x in enumerate(J.load_tools(t))]), "string", useArrow=True)
-    df = processed(spark, sf_dir).where("tool_type = 'json' and tool_count > 0").withColumn("s", shuffled("tools", perturb.row_seed(F.col("key"), 42)))
-    return df.select("key", (F.array_join(keys("tools"), ",") == F.array_join(keys("s"), ",")).alias("same_fields"), (F.length("tools") == F.length("s")).alias("same_length"), (F.col("tools") != F.col("s")).alias("changed"))
+def _shuffled(spark, sf_dir, forced: bool) -> DataFrame:
+    shuffled = F.udf(lambda t, s: J.dump([J.permuted(x, s, forced=forced, path=(i,)) for i, x in enumerate(J.load_tools(t))]), "string", useArrow=True)
+    return processed(spark, sf_dir).where("tool_type = 'json' and tool_count > 0").withColumn("s", shuffled("tools", perturb.row_seed(F.col("key"), 42)))
 
 
-@query(f"WITH {P} SELECT key, true AS same_fields, true AS same_length, true AS changed FROM p WHERE tool_type = 'json' AND tool_count > 0")
+@query(f"WITH {P} SELECT key, {QUOTED} AS texts, CAST(json_extract_string(tools, '$[*].name') AS VARCHAR[])[1] AS first_tool, true AS changed FROM p WHERE tool_type = 'json' AND tool_count > 0")
 def forced_schema_shuffle(spark, sf_dir):
-    return _shape(spark, sf_dir, True)
+    df = _shuffled(spark, sf_dir, True)
+    return df.select("key", F.array_join(quoted_texts(F.col("s")), " ").alias("texts"), F.get_json_object("s", "$[0].name").alias("first_tool"), (F.col("tools") != F.col("s")).alias("changed"))
 
 
-@query(f"WITH {P} SELECT key, true AS same_fields, true AS same_length FROM p WHERE tool_type = 'json' AND tool_count > 0")
+@query(f"WITH {P} SELECT key, {QUOTED} AS texts, CAST(json_extract_string(tools, '$[*].name') AS VARCHAR[])[1] AS first_tool, 'Size in mm' AS size_is FROM p WHERE tool_type = 'json' AND tool_count > 0")
 def schema_shuffle(spark, sf_dir):
-    return _shape(spark, sf_dir, False).drop("changed")
+    df = _shuffled(spark, sf_dir, False)
+    return df.select("key", F.array_join(quoted_texts(F.col("s")), " ").alias("texts"), F.get_json_object("s", "$[0].name").alias("first_tool"), F.get_json_object("s", "$[0].parameters.properties.size.description").alias("size_is"))
 
 
-@query(f"WITH {P}, s AS (SELECT count(*) AS n, count(*) FILTER (tool_type = 'json' AND tool_count > 0) AS m FROM p) SELECT least(round_even(n * 0.2::DOUBLE, 0)::BIGINT, m) AS changed, n AS rows FROM s")
+@query(f"""WITH {P}, {RENDERED}, e AS (SELECT key, {ORDER.format(seed=42)} AS r FROM p WHERE tool_type = 'json' AND tool_count > 0),
+x AS (SELECT r.key, e.r IS NOT NULL AND e.r <= round_even((SELECT count(*) FROM p) * 0.2::DOUBLE, 0) AS changed, array_to_string(list_sort(regexp_extract_all(text, '"[^"]*"')), ' ') AS texts, strpos(text, '[') AS opens, length(text) AS n FROM r LEFT JOIN e USING (key))
+SELECT key, changed, texts, opens, n FROM x""")
 def shuffled_prompts(spark, sf_dir):
-    df = processed(spark, sf_dir).select("key", render_prompt(F.col("system"), F.col("user"), F.col("assistant"), F.col("tools")).alias("text"))
-    return pipelines.shuffled_prompts(df, "key").agg(F.count_if("changed").alias("changed"), F.count("*").alias("rows"))
+    done = pipelines.shuffled_prompts(render_prompts(spark, sf_dir), "key")
+    spaces = F.when(F.col("changed"), F.col("n")).otherwise(F.length("text"))
+    lengths = render_prompts(spark, sf_dir).select("key", F.length("text").alias("n"))
+    return done.join(lengths, "key").select("key", "changed", F.array_join(quoted_texts(F.col("text")), " ").alias("texts"), F.instr("text", "[").cast("long").alias("opens"), spaces.cast("long").alias("n"))
+
+
+@query("SELECT * FROM (VALUES ('channel', true), ('city', true), ('coupon_id', true), ('guest', true), ('name', true), ('note', false), ('vip', false)) t(parameter, renamed)")
+def corner_case(spark, sf_dir):
+    """The hand-built case: of two tools' parameters those that are described get new names, nested ones and uncalled tools' alike."""
+    said = lambda d: {"type": "string", "description": d}
+    guest = {"type": "object", "description": "Who stays", "properties": {"name": said("Full name"), "vip": {"type": "boolean"}}, "required": ["name"]}
+    both = [
+        {"name": "book_room", "description": "Books", "parameters": {"type": "object", "properties": {"city": said("Where"), "guest": guest, "note": {"type": "string"}}, "required": ["city", "guest"]}},
+        {"name": "apply_coupon", "description": "Applies", "parameters": {"type": "object", "properties": {"coupon_id": said("Which"), "channel": said("Through what")}}},
+    ]
+    answer = "[book_room(city='Rome', guest={'name': 'Ann', 'vip': true}, note='city and guest stay words')]"
+    case = spark.createDataFrame([(1, J.dump(both), answer, "parameter_only")], "key long, tools string, assistant string, mode string")
+    done = perturb.perturb(case, "key", 7)
+    names = F.from_json("parameter_mapping", "map<string,string>")
+    all_ = done.select("assistant", names.alias("m"), F.explode(F.array_distinct(F.concat(F.map_keys(names), F.array(F.lit("vip"), F.lit("note"))))).alias("parameter"), extract.all_names("tools").alias("left"))
+    whole = F.col("assistant").contains("note='city and guest stay words'") & F.col("assistant").contains("'vip': true")
+    return all_.select("parameter", (~F.array_contains("left", F.col("parameter")) & whole & F.array_contains("left", F.try_element_at("m", F.col("parameter")))).alias("r")).select("parameter", F.coalesce("r", F.lit(False)).alias("renamed"))
 
 
 # ---- unions and pipelines ----
@@ -397,7 +447,11 @@ def parameter_ablation(spark, sf_dir):
     return done.groupBy("split").agg(F.count("*").alias("rows"), F.count_if("ablation_applied").alias("applied"))
 
 
-@query()
+@query(f"""WITH {P}, {UNION}, s AS (SELECT *, CASE WHEN {ORDER.format(seed=42)} <= ceil(count(*) OVER () * 0.05::DOUBLE) THEN 'test' ELSE 'train' END AS split FROM g),
+e AS (SELECT key, s.split, row_number() OVER (PARTITION BY s.split ORDER BY md5(CASE s.split WHEN 'train' THEN '46:' ELSE '47:' END || cast(key AS VARCHAR)), key) AS r, count(*) OVER (PARTITION BY s.split) AS n FROM s JOIN p USING (key) WHERE p.refusal = 0 AND tool_type = 'json' AND tool_count >= 1 AND len({NAMES}) > 0),
+m AS (SELECT key, CASE WHEN split = 'test' THEN CASE WHEN r <= floor(n * 0.5::DOUBLE) THEN 'parameter_and_function' END WHEN r <= floor(n * 0.15::DOUBLE) THEN 'parameter_only' WHEN r <= floor(n * 0.15::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'function_only'
+  WHEN r <= floor(n * 0.15::DOUBLE) + floor(n * 0.1::DOUBLE) + floor(n * 0.05::DOUBLE) THEN 'parameter_and_function' END AS mode FROM e)
+SELECT split, coalesce(mode, ablation_mode) AS ablation_mode, count(*) AS rows, count(*) FILTER (mode IS NOT NULL) AS applied FROM s LEFT JOIN m USING (key) GROUP BY 1, 2""")
 def mode_ablation(spark, sf_dir):
     union = pipelines.refusal_union(processed(spark, sf_dir), annotated(spark, sf_dir))
     return pipelines.perturbed_modes(union, "key").groupBy("split", "ablation_mode").agg(F.count("*").alias("rows"), F.count_if("applied").alias("applied"))
@@ -462,13 +516,29 @@ def resume_canonical(spark, sf_dir):
     return kept.select("source_index", F.lit("kept").alias("state")).unionByName(stale.select("source_index", F.lit("stale").alias("state")))
 
 
-@query(f"WITH {P} SELECT key, 'Json ' || key AS description FROM p WHERE key % 3 < 2")
+@query(f"WITH {TEACHER}, s AS (SELECT source_index, source_index % 3 = 0 AS was_valid, CASE WHEN source_index % 2 = 1 THEN CASE WHEN source_index % 3 = 0 THEN 'valid' ELSE 'invalid_schema' END WHEN len({CODES}) > 0 THEN 'invalid_schema' ELSE 'valid' END AS status, CASE WHEN source_index % 2 = 1 THEN 'stored' ELSE {FIXED} END AS call FROM a)"
+       " SELECT source_index, status, call, NOT was_valid AND status = 'valid' AS came_over, CASE WHEN was_valid OR status = 'valid' THEN 'valid' ELSE 'invalid' END AS bucket FROM s")
+def resume_repair(spark, sf_dir):
+    """Stored results taken up again; every second one holds its annotation, the others stay as they were stored."""
+    held = F.struct(F.col("teacher_success").alias("success"), F.col("teacher_failed").alias("failed"), F.col("teacher_description").alias("description"))
+    stored = F.transform("teacher_success", lambda x: x.withField("call", F.lit("stored")))
+    was = F.when(F.col("source_index") % 3 == 0, "valid").otherwise("invalid_schema")
+    rows = annotations(spark, sf_dir).withColumns({"teacher_json": F.when(F.col("source_index") % 2 == 0, held), "teacher_success": stored, "validation_errors": F.expr("cast(array() as array<string>)"), "status": was})
+    done = teacher.repaired(rows.where("status = 'valid'"), rows.where("status <> 'valid'"))
+    return done.select("source_index", "status", F.col("teacher_success")[0]["call"].alias("call"), "came_over", "bucket")
+
+
+@query(f"WITH {P} SELECT key, assistant, tools FROM p ORDER BY key LIMIT 5")
+def preview_rows(spark, sf_dir):
+    return io.preview(processed(spark, sf_dir), "key", "structured").select("key", "assistant", "tools")
+
+
+@query(f"WITH {P} SELECT key, CASE WHEN key % 3 < 2 THEN 'Json ' || key END AS description, key % 3 = 2 AS failed, CASE WHEN key % 3 = 2 THEN 'failed_parse_or_request' ELSE 'unchecked' END AS status FROM p")
 def lenient_replies(spark, sf_dir):
     body = F.concat(F.lit('{"description": "Json '), F.col("key").cast("string"), F.lit('"}'))
     reply = F.when(F.col("key") % 3 == 0, F.concat(F.lit("```json\n"), body, F.lit("\n```"))).when(F.col("key") % 3 == 1, F.concat(F.lit("Here: "), body, F.lit(" ok."))).otherwise("nothing")
     asked = processed(spark, sf_dir).select(F.col("key").alias("source_index"), F.array(F.struct(F.lit("user").alias("role"), reply.alias("content"))).alias("teacher_prompt"))
-    return teacher.annotate(asked, lambda: lambda messages: messages[0]["content"]).where("error is null").select(F.col("source_index").alias("key"), "description")
-
+    return teacher.annotate(asked, lambda: lambda messages: messages[0]["content"]).select(F.col("source_index").alias("key"), "description", F.col("error").isNotNull().alias("failed"), F.when(F.col("error").isNotNull(), "failed_parse_or_request").otherwise("unchecked").alias("status"))
 
 
 @query(f"WITH {TEACHER} SELECT source_index, contains(call, tool || '(') AS known, CASE WHEN contains(call, 'old_size=') THEN 'old_size' END AS old_name FROM a")
@@ -477,11 +547,11 @@ def call_checks(spark, sf_dir):
     return df.select("source_index", classify.calls_any(F.col("call"), F.array("tool")).alias("known"), classify.first_old_name(F.col("call"), F.array(F.lit("zzz"), F.lit("old_size"))).alias("old_name"))
 
 
-@query(f"WITH {P} SELECT key AS source_index, 'dry_run' AS status, CAST(0 AS INT) AS success_items, CAST(2 AS INT) AS messages, contains(tools, 'get_part') AS asks_about_tools FROM p WHERE refusal = 1 AND tool_count > 0 AND tool_type = 'json'")
+@query(f"""WITH {P} SELECT key AS source_index, 'dry_run' AS status, CAST(0 AS INT) AS success_items, CAST(2 AS INT) AS messages, p."user" AS asks, length(tools) > 2 AS asks_about_tools, CAST(NULL AS VARCHAR) AS shows_answer FROM p WHERE refusal = 1 AND tool_count > 0 AND tool_type = 'json'""")
 def dry_run_plan(spark, sf_dir):
     df = teacher.dry_run(pipelines.annotation_plan(processed(spark, sf_dir)))
     question = F.get_json_object(df["teacher_prompt"][1]["content"], "$.tools")
-    return df.select("source_index", "status", F.size("teacher_success").alias("success_items"), F.size("teacher_prompt").alias("messages"), (F.json_array_length(question) > 0).alias("asks_about_tools"))
+    return df.select("source_index", "status", F.size("teacher_success").alias("success_items"), F.size("teacher_prompt").alias("messages"), F.get_json_object(df["teacher_prompt"][1]["content"], "$.user_request").alias("asks"), (F.json_array_length(question) > 0).alias("asks_about_tools"), F.get_json_object(df["teacher_prompt"][1]["content"], "$.assistant").alias("shows_answer"))
 
 
 @query(f"WITH {P} SELECT key, tool_count, {ORDER.format(seed=1)} AS rank FROM p WHERE key % 8 = 7")

@@ -47,7 +47,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_buckets(spark: SparkSession, folder: str, schema: str, names: tuple[str, ...] = ("valid", "invalid", "failed")) -> DataFrame:
     """The result buckets of an earlier run, each row with its bucket's status."""
-    parts = [read_jsonl(spark, f"{folder}/{n}.jsonl", schema).withColumn("status", F.lit(BUCKETS[n])) for n in names]
+    parts = [read_jsonl(spark, f"{folder}/bucket={n}", schema).withColumn("status", F.lit(BUCKETS[n])) for n in names]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p, allowMissingColumns=True)
@@ -55,12 +55,20 @@ def read_buckets(spark: SparkSession, folder: str, schema: str, names: tuple[str
 
 
 def write_buckets(df: DataFrame, folder: str, mode: str = "overwrite") -> None:
-    """A JSONL folder per bucket, unknown statuses with the failed ones, and success_cases: valid rows that have a success."""
+    """One write, so that the input is evaluated once: a JSONL folder per bucket (bucket=valid and so on), unknown statuses with the failed ones."""
+    with_bucket(df).write.mode(mode).partitionBy("bucket").json(folder)
+
+
+def with_bucket(df: DataFrame) -> DataFrame:
+    bucket = F.lit("failed")
     for name, status in BUCKETS.items():
-        mine = F.col("status") == status
-        mine = mine | ~F.coalesce(F.col("status").isin(*BUCKETS.values()), F.lit(False)) if name == "failed" else mine
-        df.where(mine).write.mode(mode).json(f"{folder}/{name}.jsonl")
-    df.where((F.col("status") == "valid") & (F.size("teacher_success") > 0)).write.mode(mode).json(f"{folder}/success_cases.jsonl")
+        bucket = F.when(F.col("status") == status, name).otherwise(bucket)
+    return df.withColumn("bucket", bucket)
+
+
+def success_cases(spark: SparkSession, folder: str, schema: str) -> DataFrame:
+    """Valid rows that have a success."""
+    return read_buckets(spark, folder, schema, ("valid",)).where(F.size("teacher_success") > 0)
 
 
 def save_dataset(df: DataFrame, path: str, *, overwrite: bool = True) -> None:
@@ -75,3 +83,24 @@ def save_readable(df: DataFrame, path: str) -> None:
 def first_rows(df: DataFrame, key: str, n: int, condition: str = "true") -> list[dict]:
     """For previews: the n rows of least key that meet a condition."""
     return [json.loads(x) for x in df.where(condition).orderBy(key).limit(n).toJSON().collect()]
+
+
+#: What each kind of preview shows: how many rows, and which.
+PREVIEWS = {"structured": (5, "true"), "parameters": (5, "ablation_applied"), "modes": (8, "ablation_mode <> 'none'"), "annotations": (10, "true")}
+
+
+def preview(df: DataFrame, key: str, kind: str) -> DataFrame:
+    """The rows of least key that a preview of this kind shows."""
+    n, condition = PREVIEWS[kind]
+    return df.where(condition).orderBy(key).limit(n)
+
+
+def preview_markdown(rows: list[dict], title: str, fields: tuple[str, ...]) -> str:
+    """Rows as a document: a section each, short values as a list, others in blocks. Fields that a row lacks are left out."""
+    out = [f"# {title}"]
+    for i, row in enumerate(rows, 1):
+        texts = {f: row[f] if isinstance(row[f], str) else json.dumps(row[f], ensure_ascii=False, indent=2) for f in fields if row.get(f) is not None}
+        short = [f"- {f}: `{t}`" for f, t in texts.items() if len(t) <= 60 and "\n" not in t]
+        long = [f"### {f}\n\n````\n{t}\n````" for f, t in texts.items() if len(t) > 60 or "\n" in t]
+        out += [f"## {i}", *(["\n".join(short)] if short else []), *long]
+    return "\n\n".join(out) + "\n"

@@ -195,3 +195,31 @@ def test_file_tokenizer(spark):
     want = len(Tokenizer.from_file(path).encode("Hello world, twice", add_special_tokens=False).ids)
     assert one(spark, tokens.token_length(F.col("a"), tokens.file_tokenizer(path)), a="Hello world, twice") == want
     assert tokens.local_or_name("/nowhere", "x") == "x" and tokens.local_or_name("/tmp", "x") == "/tmp"
+
+
+def test_older_readers():
+    from kilnwork.config import for_older_readers
+
+    new = {"rope_parameters": {"rope_theta": 5.0, "rope_type": "x"}, "dtype": "bfloat16", "tokenizer_class": "TokenizersBackend", "other": 1}
+    assert for_older_readers(new) == {"rope_scaling": {"rope_type": "x"}, "rope_theta": 5.0, "torch_dtype": "bfloat16", "tokenizer_class": "PreTrainedTokenizerFast", "other": 1}
+    assert "rope_parameters" in new and for_older_readers({"tokenizer_class": "Kept"}) == {"tokenizer_class": "Kept"}
+
+
+def test_logger_adds_nothing_twice(tmp_path):
+    from kilnwork.config import logger
+
+    path = str(tmp_path / "logs" / "run.log")
+    for _ in range(3):
+        log = logger("kilnwork-test", path)
+    assert len(log.handlers) == 2
+    log.info("hello")
+    assert open(path).read().count("hello") == 1
+
+
+def test_special_ids():
+    from kilnwork.operators.tokens import special_ids
+
+    encode = lambda t: [len(t)]
+    assert special_ids(encode, "ab", "c", pad=None, eos=9) == {"head": [2], "end": [1], "pad": 9} and special_ids(encode, "ab", "c", pad=0, eos=9)["pad"] == 0
+    with pytest.raises(ValueError):
+        special_ids(encode, "a", "b")

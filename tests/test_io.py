@@ -26,7 +26,7 @@ def test_buckets(spark, tmp_path):
     io.write_buckets(records(spark), folder)
     back = io.read_buckets(spark, folder, SCHEMA)
     assert {r.status: r["count"] for r in back.groupBy("status").count().collect()} == {"valid": 2, "invalid_schema": 1, "failed_parse_or_request": 3}
-    assert io.read_jsonl(spark, f"{folder}/success_cases.jsonl", SCHEMA).count() == 1
+    assert io.success_cases(spark, folder, SCHEMA).count() == 1
 
 
 def test_jsonl_keeps_text_and_skips_blank_lines(spark, tmp_path):
@@ -81,3 +81,22 @@ def test_validation_is_idempotent(spark):
     once = teacher.check_annotations(df)
     twice = teacher.check_annotations(once.drop("validation_errors", "status"))
     assert sorted(map(str, once.collect())) == sorted(map(str, twice.collect()))
+
+
+def test_parts_are_kept_and_a_broken_run_goes_on(spark, tmp_path):
+    """Each part has its folder of buckets; what is there is not asked for again."""
+    plan = pipelines.annotation_plan(part(spark)).cache()
+    folder, reply = str(tmp_path / "parts"), '{"success": [], "failed": [], "description": "d"}'
+    n = plan.count()
+    parts = pipelines.annotate_in_parts(plan, lambda: lambda messages: reply, folder, every=2)
+    assert parts == -(-n // 2) > 1 and pipelines.annotate_in_parts(plan, lambda: lambda messages: 1 / 0, folder, every=2) == 0
+    rows = spark.read.option("basePath", folder).json(f"{folder}/part=*/bucket=*")
+    assert rows.count() == n and rows.select("source_index").distinct().count() == n and {r.bucket for r in rows.select("bucket").distinct().collect()} == {"invalid"}
+
+
+def test_previews(spark):
+    df = part(spark).withColumns({"ablation_mode": F.when(F.col("key") % 2 == 0, "none").otherwise("a"), "ablation_applied": F.col("key") > 30})
+    keys = {kind: [r.key for r in io.preview(df, "key", kind).collect()] for kind in io.PREVIEWS}
+    assert keys == {"structured": [0, 1, 2, 3, 4], "parameters": [31, 32, 33, 34, 35], "modes": list(range(1, 17, 2)), "annotations": list(range(10))}
+    text = io.preview_markdown([{"key": 1, "tools": "[\n1\n]", "none": None}], "Rows", ("key", "tools", "none"))
+    assert text.startswith("# Rows") and "- key: `1`" in text and "### tools" in text and "none" not in text
