@@ -245,7 +245,7 @@ def samples_of(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
             out.append((first, mix64(h)))
             continue
         scrambled = mix64(h[None, :] ^ mix64(np.arange(1, SAMPLES + 1, dtype=np.uint64))[:, None])
-        out += [(first + i, row) for i, row in enumerate(np.partition(scrambled, take - 1, 1)[:, :take])]
+        out += [(first + i, row) for i, row in enumerate(np.partition(scrambled, take - 1, 1)[:, :take].copy())]
     return out
 
 
@@ -253,7 +253,7 @@ def sketches(keyed: DataFrame, width: int) -> DataFrame:
     """doc_id, k, size of the shingle set, fp (the SimHash of the whole text), nths and fps (numbers and SimHashes of the samples)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in rows(batches, "doc_id", "k", "text"):
+        for part in rows(batches, "doc_id", "k", "text", limit_bytes=1 << 20):
             hashes = [np.array(shingle_hashes(t, width), np.uint64) for _, _, t in part]
             whole = majority(np.concatenate(hashes), np.cumsum([len(h) for h in hashes]))
             sets = [np.unique(h) for h in hashes]
