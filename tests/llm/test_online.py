@@ -1,11 +1,52 @@
-"""The gain of the language model is refined within documents of ordinary length."""
+"""The language model's mixer learns within documents of ordinary length, bit for bit as a plain model does."""
+
+import math
 
 import numpy as np
+import pytest
 
 from kilnwork.llm import lm
 
 
-def test_documents_of_ordinary_length_are_mixed_online():
+def plain_score(mixer, data, ends, texts):
+    """One text after the other and one bit after the other, in plain Python numbers."""
+    code = mixer.code
+    symbols = code.symbol[data]
+    ctx = lm.contexts(symbols, int(code.symbol[32]), data >= 128, lm.starts_of(ends))
+    out, begin = [], 0
+    for end in ends[:texts].tolist():
+        depths = max(map(len, code.paths))
+        share, proof = [[1.0] * 3 for _ in range(depths)], [[lm.FIRM] * 3 for _ in range(depths)]
+        last, proof_last = [0.0] * depths, [lm.FIRM_LAST] * depths
+        total, lo = 0.0, 0
+        while begin + lo < end:
+            size = max(lm.BLOCK, lo // lm.GROWS)
+            pull, mass = [[0.0] * 4 for _ in range(depths)], [[0.0] * 4 for _ in range(depths)]
+            for at in range(begin + lo, min(begin + lo + size, end)):
+                for j, (node, bit) in enumerate(code.paths[symbols[at]]):
+                    x = [int(t[int(c[at]) + node]) / lm.SCALE for t, c in zip(mixer.tables, ctx)]
+                    z = last[j] + sum(s * v for s, v in zip(share[j], x))
+                    z = min(max(round(z * lm.FINE), -lm.LIMIT * lm.FINE), lm.LIMIT * lm.FINE) / lm.FINE
+                    p = 1 / (1 + math.exp(-z))
+                    total += math.log10(p if bit else 1 - p)
+                    for k, v in enumerate([*x, 1.0]):
+                        pull[j][k] += (bit - p) * v
+                        mass[j][k] += p * (1 - p) * v * v
+                total -= 8 * math.log10(2) * (symbols[at] == lm.SYMBOLS - 1)
+            for j in range(depths):
+                for k in range(3):
+                    proof[j][k] += mass[j][k]
+                    share[j][k] = min(max(share[j][k] + pull[j][k] / proof[j][k], 0.0), 3.0)
+                proof_last[j] += mass[j][3]
+                last[j] = min(max(last[j] + pull[j][3] / proof_last[j], -2.0), 2.0)
+            lo += size
+        out.append(total)
+        begin = end
+    return out
+
+
+@pytest.fixture(scope="module")
+def model():
     rng = np.random.default_rng(3)
     words = [bytes(rng.integers(97, 110, rng.integers(2, 7)).astype(np.uint8)).decode() for _ in range(50)]
     draw = lambda n: " ".join(words[i] for i in rng.integers(0, 50, n))
@@ -13,12 +54,23 @@ def test_documents_of_ordinary_length_are_mixed_online():
     code = lm.Code.of(np.bincount(data, minlength=256))
     counts = [np.zeros(lm.SYMBOLS << r, np.uint32) for r in lm.ROWS]
     lm.add_counts(counts, code, data, ends)
-    model = lm.Mixer(code, lm.odds(counts, code, np.tile(lm.PRIOR / 4, (lm.SYMBOLS, 1))))  # far too timid: only the gain can help
-    _, data, ends = lm.read([draw(1550 // 5)])
-    online = model.score(data, ends)[0]
-    stretch, lm.STRETCH = lm.STRETCH, 1 << 20
-    try:
-        fixed = model.score(data, ends)[0]
-    finally:
-        lm.STRETCH = stretch
-    assert len(data) < 4096 and online > 0.98 * fixed  # log10 probabilities, below 0
+    return code, counts, draw
+
+
+def test_scores_are_those_of_a_plain_model(model):
+    code, counts, draw = model
+    mixer = lm.Mixer(code, lm.odds(counts, code, np.tile(lm.PRIOR, (lm.SYMBOLS, 1))))
+    texts = ["", "a", draw(3), draw(30), draw(150), "Ünïcode ß " * 9, draw(60).upper() + " 12345"]
+    _, data, ends = lm.read(texts)
+    got, want = mixer.score(data, ends), plain_score(mixer, data, ends, len(texts))
+    assert got == pytest.approx(want, rel=2e-3)  # a bit on the edge between two FINE-ths may fall to either side
+    alone = [mixer.score(*lm.read([t])[1:])[0] for t in texts]
+    assert got.tolist() == pytest.approx(alone, rel=1e-9)
+
+
+def test_documents_of_ordinary_length_are_mixed_online(model):
+    code, counts, draw = model
+    mixer = lm.Mixer(code, lm.odds(counts, code, np.tile(lm.PRIOR / 4, (lm.SYMBOLS, 1))))  # far too timid: only learning can help
+    for n in (80, 310):
+        _, data, ends = lm.read([draw(n)])
+        assert len(data) < 4096 and mixer.score(data, ends)[0] > 0.97 * mixer.score(data, ends, learn=False)[0]  # log10 probabilities, below 0
