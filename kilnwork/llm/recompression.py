@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Hashes, materialize, mix64, rows, table, words_of
+from .base import Hashes, KeyFilter, materialize, release, mix64, rows, table, words_of
 
 WINDOW = 50
 ROUNDS = 8
@@ -244,14 +244,14 @@ def dedup(docs: DataFrame, *, width: int = WINDOW, keep_text: bool = False, name
     # written before they are joined: a join of two plain exchanges can be split where one key has many rows
     shared = materialize(marks.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), f"{name}-shared")
     hits = materialize(marks.join(shared, "key").groupBy("doc_id", "sig").agg(F.collect_set("key").alias("keys")), f"{name}-hits")
-    ids = hits.select(F.col("doc_id").alias("id_")).distinct()
-    texts = docs.join(ids, F.col("doc_id") == F.col("id_"), "left_semi")
+    texts = docs.where(KeyFilter(hits.select("doc_id").distinct()).may_hold("doc_id"))  # other texts aren't shuffled
     # of rows that repeat a doc_id the tag tells which is meant, shorter than sig
     candidates = materialize(with_signature(texts).join(hits, ["doc_id", "sig"]).withColumn("tag", F.xxhash64("sig")), f"{name}-texts")
     windows = materialize(candidate_windows(candidates, width), f"{name}-windows")
     owner = materialize(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("h1", "h2", "a"), f"{name}-owner")
     found = windows.join(owner, ["h1", "h2"]).where("doc_id > a").groupBy("doc_id", "tag").agg(F.collect_set("place").alias("places"))
     stripped = materialize(strip(candidates.drop("keys").join(found, ["doc_id", "tag"]), width, keep_text).distinct(), f"{name}-strip")
+    release(copied, shared, hits, candidates, windows, owner)
     gone = copies.select("doc_id", "sig", F.lit(True).alias("copy_"))
     joined = light.drop("anchors").join(stripped, ["doc_id", "sig"], "left").join(gone, ["doc_id", "sig"], "left")
     copy = F.col("copy_").isNotNull() & (F.col("n_words") >= width)
