@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import fresh_path, materialize, table
+from .base import KeyFilter, fresh_path, materialize, table
 
 MAGIC = b"\x1f\x8b\x08"
 #: An empty gzip member; stands between records in the files.
@@ -37,13 +37,13 @@ def gzip_member(data: bytes, level: int = 6) -> bytes:
     return z.compress(data) + z.flush()
 
 
-def record(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None) -> bytes:
-    """One WARC/1.1 record. A revisit has no payload, only its digest and the page it refers to."""
+def record(kind: str, page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, digest: bytes | None = None, length: int | None = None) -> bytes:
+    """One WARC/1.1 record. A revisit has no payload, only its digest (SHA-1), its length and the page it refers to."""
     uri = re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url or "urn:none")
-    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
+    http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % (len(payload) if length is None else length)
     block = http + (b"" if kind == "revisit" else payload)
     name = "none" if page_id is None else page_id
-    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{b32encode(hashlib.sha1(payload).digest()).decode()}"]
+    head = ["WARC/1.1", f"WARC-Type: {kind}", f"WARC-Record-ID: <urn:x-page:{name}>", f"WARC-Date: {DATE}", f"WARC-Target-URI: {uri}", f"WARC-Payload-Digest: sha1:{b32encode(digest or hashlib.sha1(payload).digest()).decode()}"]
     if kind == "revisit":
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:x-page:{refers_to}>"]
     head += ["Content-Type: application/http;msgtype=response", f"Content-Length: {len(block)}"]
@@ -62,22 +62,34 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
     html is an empty payload; a null url is urn:none; an empty table writes archives without records. Other columns are ignored."""
     html = F.coalesce("html", F.lit(""))
     keyed = pages.select("page_id", "url", html.cast("binary").alias("payload"), F.sha1(html.cast("binary")).alias("sha_p"), F.octet_length(html).alias("len_p"))
-    groups = plan_records(pages, least)
-    joined = keyed.join(groups, (F.col("sha_p") == F.col("sha")) & (F.col("len_p") == F.col("len_")), "left").select("page_id", "url", "payload", F.when(~F.col("page_id").eqNullSafe(F.col("keeper")), F.col("keeper")).alias("refers_to"))
+    groups = materialize(plan_records(pages, least), "warc-groups")
+    repeated = KeyFilter(groups.select("sha"))
+    marked = keyed.withColumn("maybe", repeated.may_hold("sha_p"))
+    nothing = [F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("int").alias("length")]
+    alone = marked.where(~F.col("maybe")).select("page_id", "url", "payload", *nothing)
+    # of rows whose payload may repeat only the digest goes to the join, a million copies of a page without their payloads
+    joined = marked.where("maybe").drop("payload", "maybe").join(groups, (F.col("sha_p") == F.col("sha")) & (F.col("len_p") == F.col("len_")), "left")
+    revisit = ~F.col("page_id").eqNullSafe(F.col("keeper")) & F.col("keeper").isNotNull()
+    revisits = joined.where(revisit).select("page_id", "url", F.lit(b"").alias("payload"), F.col("keeper").alias("refers_to"), F.unhex("sha_p").alias("digest"), F.col("len_p").alias("length"))
+    # the others' payloads: one row of each group, and rows that the filter lets through by chance
+    kept = materialize(joined.where(~revisit).select(F.col("sha_p").alias("sha"), F.col("page_id").alias("id_")).distinct(), "warc-kept")
+    whole = marked.where("maybe").where(KeyFilter(kept).may_hold("sha_p", "page_id"))
+    whole = whole.join(kept, (F.col("sha_p") == F.col("sha")) & F.col("page_id").eqNullSafe(F.col("id_")), "left_semi").select("page_id", "url", "payload", *nothing)
+    records = alone.unionByName(whole).unionByName(revisits)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out, held = [], 0
-            for page_id, url, payload, refers_to in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "payload", "refers_to"))):
+            for page_id, url, payload, refers_to, digest, length in zip(*(b.column(n).to_pylist() for n in ("page_id", "url", "payload", "refers_to", "digest", "length"))):
                 kind = "response" if refers_to is None else "revisit"
-                out.append(gzip_member(record(kind, page_id, url, payload, refers_to)))
+                out.append(gzip_member(record(kind, page_id, url, payload, refers_to, digest, length)))
                 held += len(out[-1])
                 if held > 8 << 20:
                     yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
                     out, held = [], 0
             yield pa.record_batch([pa.array(out, pa.binary())], ["value"])
 
-    joined.mapInArrow(pack, "value binary").select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
+    records.mapInArrow(pack, "value binary").select(F.col("value").cast("string")).write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).text(path)
 
 
 def open_file(path: str):
