@@ -105,7 +105,8 @@ def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, most
     """doc_id, source, size, source_size, target, copies, taken of every row of `docs` (doc_id, text, source).
 
     Null texts have size 0 and are never taken. A null source is a source of its own, the last one. Repeated rows are
-    rows like others (equal rows are interchangeable). Empty tables give an empty result; other columns are ignored. A
+    rows like others. Ties: which rows of a length are taken follows a hash of doc_id and text, so rows that repeat an id under
+    another text are told apart, and rows equal in both are interchangeable. Empty tables give an empty result; other columns are ignored. A
     source of size 0 has target 0. `share` times all words are shared; no document is taken more than `most` times.
     One row per source is collected to the driver to share the budget. With `whole_rows`, a struct column `row_` carries
     the input row along.
@@ -114,7 +115,8 @@ def mix(docs: DataFrame, *, weights: tuple = (5, 2, 1), share: float = 1.5, most
     row = [F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_")] if whole_rows else []
     sized = docs.select(
         "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), *row,
-    ).withColumn("h", F.xxhash64(F.lit(seed), "doc_id", "size"))
+        F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"),
+    )
     sized = materialize(sized.withColumn("bucket", F.shiftrightunsigned("h", 64 - 12).cast("int")), f"{name}-sized")
     by_length = sized.groupBy("source", "size").agg(F.count("*").alias("n"))
     sums = sorted(by_length.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("s")).collect(), key=lambda r: (r.source is None, (r.source or "").encode("utf-8", "surrogatepass")))

@@ -139,6 +139,13 @@ def test_mixing(spark):
     assert mixing.mix(odd_docs(spark)).count() == len(ODD) + 3 and mixing.mix(odd_docs(spark, [])).count() == 0
 
 
+def test_mixing_tells_rows_of_one_id_apart_and_bears_clashing_names(spark):
+    rows = [(i % 7, f"w{i} x y", "a" if i % 3 else None, i, "b", i, -i, "c") for i in range(60)] + [(None, f"n{i} x y", "a", 0, "b", 0, 0, "c") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, h int, bucket string, size int, copies int, row_ string")
+    kept = [sorted(map(tuple, mixing.mix_stage(spark, docs.repartition(n), "").collect()), key=str) for n in (1, 5)]
+    assert kept[0] == kept[1] and len(kept[0]) > 60 and set(kept[0]) <= set(rows)
+
+
 # ---- LM ----
 
 
