@@ -17,6 +17,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .base import bounded_sample, materialize, mix64, table
 
@@ -178,6 +179,8 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
     groups = nearest(centroids, k_means(centroids, -(-n // GROUP), seed))
     model = spark.sparkContext.broadcast((xs[:SEEDS], ids[:SEEDS], centroids, rotation))  # bounded by SEEDS and LISTS
 
+    kind = np.float32 if vectors.schema["embedding"].dataType.elementType == FloatType() else np.float64  # as they come: scores are exact
+
     def matrix(b: pa.RecordBatch) -> np.ndarray:
         return b.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, dim)
 
@@ -188,7 +191,7 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
             yield pa.record_batch([pa.array(groups[at], pa.int32()), pa.array(at, pa.int32()), b.column("vec_id"), packed(x)], ["group", "list", "vec_id", "vector"])
 
     def packed(x: np.ndarray) -> pa.Array:
-        return pa.array([v.tobytes() for v in np.ascontiguousarray(x, np.float32)], pa.binary())
+        return pa.array([v.tobytes() for v in np.ascontiguousarray(x, kind)], pa.binary())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         xs, ids, c, _ = model.value
@@ -221,7 +224,7 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
     def pairs(x: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(x) or not len(q):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        read = lambda column: np.frombuffer(b"".join(column), np.float32).reshape(-1, dim).astype(np.float64)
+        read = lambda column: np.frombuffer(b"".join(column), kind).reshape(-1, dim).astype(np.float64)
         q_ids = q["query_id"].to_numpy(np.int64)
         work = Scan(read(q["query"]), q_ids, q["floor"].to_numpy(np.float64), model.value[3], k)
         x = x.sort_values(["list", "vec_id"], kind="stable")
