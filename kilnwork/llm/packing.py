@@ -133,7 +133,8 @@ def pack(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY,
     Null and empty texts are END_ID alone; repeated rows and null ids are packed like others; an empty table gives no rows;
     other columns are ignored. Sequences are gapless from offset 0. Ties: the smallest gap.
     """
-    cut = materialize(pieces(docs, path or vocabulary(), capacity).withColumn("salt", F.xxhash64("doc_id", "piece", "ids_crc32", F.rand(7))), f"{name}-pieces")
+    # equal rows are spread by their place in the table that is written here, once
+    cut = materialize(pieces(docs, path or vocabulary(), capacity).withColumn("salt", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), f"{name}-pieces")
     shards = max(1, -(-cut.count() // shard_pieces))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
