@@ -205,6 +205,17 @@ def test_pii(spark):
     assert pii.pii_stage(spark, df.limit(0), "").count() == 0
 
 
+def test_selector_learns_from_the_corpus(spark):
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    spans = ["ab.cd@mail.example.com", "41.223.162.36", "4111111111111111", "+1 (578) 555-6437"]
+    rows = [(i, " ".join([word(), word(), spans[i % 4].replace("41.", f"{i % 200 + 1}."), word(), word()])) for i in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.kind, r.y): r["count"] for r in pii.corpus_examples(docs).groupBy("kind", "y").count().collect()}
+    assert {k for k, _ in found} == {0.0, 1.0, 2.0, 3.0} and all(found.get((k, y), 0) > 50 for k in (0.0, 1.0, 3.0) for y in (0, 1))
+    assert all(p >= 0.95 and r >= 0.9 for p, r, n in pii.selector_quality(docs).values())
+
+
 # ---- quality ----
 
 
