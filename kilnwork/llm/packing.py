@@ -1,7 +1,8 @@
 """Operator 6, best-fit packing: the sum-of-squares rule.
 
-Documents become pieces of at most `capacity` tokens. Of the open sequences with room a piece goes where the sum, over gaps,
-of the squared number of open sequences with that gap becomes smallest. Pieces are dealt by a hash into shards of bounded size that are packed apart,
+Documents become pieces of at most `capacity` tokens. Of the open sequences with room and a new one a piece goes where the sum, over
+gaps, of the squared number of open sequences with that gap becomes smallest. At the end sequences with much room are dissolved where
+the same rule finds room for all their pieces in the others. Pieces are dealt by a hash into shards of bounded size that are packed apart,
 largest pieces first, so the sequences left open at the end are few against those that are full.
 """
 
@@ -92,38 +93,90 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(cut, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
-    """For each piece, in the order given, its sequence and its place there. A new sequence is opened only where no open one
-    has room: with the longest pieces first that needs fewer than letting an empty one compete."""
-    n = np.zeros(capacity + 1, np.int64)  # open sequences by gap; full ones and new ones don't count
-    holders: list[list[tuple[int, int]]] = [[] for _ in range(capacity + 1)]
-    seq, off, opened = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64), 0
-    for i, size in enumerate(lengths.tolist()):
+class Sequences:
+    """Open sequences by the room that is left in them."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.n = capacity, np.zeros(capacity + 1, np.int64)  # full ones and new ones don't count
+        self.gap: list[int] = []  # by sequence; -1 once it is dissolved
+        self.holders: list[list[int]] = [[] for _ in range(capacity + 1)]  # may hold sequences whose gap has changed since
+
+    def enter(self, s: int, gap: int) -> None:
+        self.gap[s] = gap
+        if gap > 0:
+            self.n[gap] += 1
+            self.holders[gap].append(s)
+
+    def leave(self, s: int, gap: int = -1) -> None:
+        if self.gap[s] > 0:
+            self.n[self.gap[s]] -= 1
+        self.gap[s] = gap
+
+    def place(self, size: int, opens: bool = True) -> int:
+        """Puts a piece where the sum, over gaps, of the squared number of open sequences becomes smallest: into the sequence with
+        that gap (of ties the smallest gap), or a new one if `opens` and no other does as well. -1 if it fits nowhere."""
         # taking a sequence of gap g turns it into one of gap g - size: the sum changes by (1 - 2 n[g]) + (1 + 2 n[g - size])
-        old, new = n[size:], n[: capacity + 1 - size]
+        old, new = self.n[size:], self.n[: self.capacity + 1 - size]
         cost = np.where(old > 0, 2 - 2 * old + 2 * new, np.iinfo(np.int64).max)
-        if size <= capacity and old[0] > 0:
+        if old[0] > 0:
             cost[0] = 1 - 2 * old[0]  # fills it
         g = int(cost.argmin())
-        if cost[g] < np.iinfo(np.int64).max:
-            g += size
-            s, used = holders[g].pop()
-            n[g] -= 1
-        else:
-            s, used, g = opened, 0, capacity
-            opened += 1
-        seq[i], off[i] = s, used
-        if g > size:
-            n[g - size] += 1
-            holders[g - size].append((s, used + size))
-    return seq, off
+        fresh = 1 + 2 * int(self.n[self.capacity - size]) if size < self.capacity else 0
+        if opens and fresh < cost[g]:
+            self.gap.append(0)
+            s = len(self.gap) - 1
+            self.enter(s, self.capacity - size)
+            return s
+        if cost[g] == np.iinfo(np.int64).max:
+            return -1
+        g += size
+        while self.gap[s := self.holders[g].pop()] != g:
+            pass
+        self.leave(s)
+        self.enter(s, g - size)
+        return s
+
+
+def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> np.ndarray:
+    """For each piece, in the order given, its sequence. Afterwards sequences with much room are dissolved where the rule finds room for
+    all their pieces in others."""
+    open_ = Sequences(capacity)
+    seq = np.array([open_.place(size) for size in lengths.tolist()], np.int64)
+    order = np.argsort(seq, kind="stable")
+    cuts = np.searchsorted(seq[order], np.arange(len(open_.gap) + 1))
+    members = {s: order[cuts[s] : cuts[s + 1]].tolist() for s, gap in enumerate(open_.gap) if gap > 0}
+    for s in sorted(members, key=lambda s: (-open_.gap[s], s)):
+        gap, moved = open_.gap[s], []
+        if gap <= 0:
+            continue
+        open_.leave(s)
+        for i in sorted(members[s], key=lambda i: -lengths[i]):
+            if (to := open_.place(int(lengths[i]), opens=False)) < 0:
+                break
+            moved.append((i, to))
+        if len(moved) == len(members[s]):
+            for i, to in moved:
+                seq[i] = to
+                members[to].append(i)
+            continue
+        for i, to in reversed(moved):
+            back = open_.gap[to] + int(lengths[i])
+            open_.leave(to)
+            open_.enter(to, back)
+        open_.enter(s, gap)
+    return seq
 
 
 def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
-    """The sum-of-squares rule over the pieces, largest first."""
+    """Sequence and place there of every piece, by the sum-of-squares rule, largest pieces first. Sequences are numbered without gaps."""
     order = np.argsort(-sizes, kind="stable")
     seq, off = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
-    seq[order], off[order] = sum_of_squares(sizes[order], capacity)
+    seq[order] = sum_of_squares(sizes[order], capacity)
+    seq = np.unique(seq, return_inverse=True)[1]
+    by = np.argsort(seq, kind="stable")
+    before = np.cumsum(sizes[by]) - sizes[by]
+    first = np.searchsorted(seq[by], seq[by])
+    off[by] = before - before[first]
     return seq, off
 
 
