@@ -9,7 +9,6 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -62,31 +61,29 @@ BITS_LEAST, BITS_MOST = 1 << 20, 1 << 28
 
 
 class KeyFilter:
-    """Tells rows whose key is surely not among `keys` from those where it may be: a bitmap over hashes, at most 32 MB at any size.
-    More keys make it less selective, never wrong; a join on the keys themselves follows it."""
+    """Tells rows whose key is surely not among `keys` from those where it may be: a bitmap over hashes, at most 32 MB at any size,
+    that is broadcast. More keys make it less selective, never wrong; a join on the keys themselves follows it."""
 
     def __init__(self, keys: DataFrame):
         n = keys.count()
         self.bits = min(max(BITS_LEAST, 1 << (32 * n).bit_length()), BITS_MOST)
         place = keys.select(self.place(*keys.columns).alias("p"))
-        parts = place.groupBy(F.shiftright("p", 15).alias("b")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("m")).collect()
-        whole = np.zeros(self.bits // 8, np.uint8)
-        for r in parts:
-            whole[r.b * 4096 : (r.b + 1) * 4096] = np.frombuffer(bytes(r.m), np.uint8)
-        shared = keys.sparkSession.sparkContext.broadcast(whole)
-
-        @F.pandas_udf("boolean")
-        def among(p: pd.Series) -> pd.Series:
-            at = p.to_numpy()
-            return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
-
-        self.among = among
+        maps = place.groupBy(F.shiftright("p", 15).alias("kf_part")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("kf_map"))
+        self.maps = materialize(maps, "filter")
 
     def place(self, *columns):
         return F.pmod(F.xxhash64(*columns), F.lit(self.bits))
 
-    def may_hold(self, *columns):
-        return self.among(self.place(*columns))
+    def mark(self, df: DataFrame, name: str, *columns) -> DataFrame:
+        """df with a boolean column: whether its key in `columns` may be among the keys."""
+        at = df.withColumn("kf_at", self.place(*columns))
+        both = at.join(F.broadcast(self.maps), F.shiftright("kf_at", 15) == F.col("kf_part"), "left")
+        byte = F.conv(F.hex(F.substring(F.col("kf_map"), F.shiftright(F.col("kf_at").bitwiseAND(32767), 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+        held = F.getbit(byte, F.col("kf_at").bitwiseAND(7).cast("int")) == 1
+        return both.withColumn(name, F.coalesce(held, F.lit(False))).drop("kf_at", "kf_part", "kf_map")
+
+    def may_hold(self, df: DataFrame, *columns) -> DataFrame:
+        return self.mark(df, "kf_held", *columns).where("kf_held").drop("kf_held")
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -244,7 +244,7 @@ def dedup(docs: DataFrame, *, width: int = WINDOW, keep_text: bool = False, name
     # written before they are joined: a join of two plain exchanges can be split where one key has many rows
     shared = materialize(marks.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), f"{name}-shared")
     hits = materialize(marks.join(shared, "key").groupBy("doc_id", "sig").agg(F.collect_set("key").alias("keys")), f"{name}-hits")
-    texts = docs.where(KeyFilter(hits.select("doc_id").distinct()).may_hold("doc_id"))  # other texts aren't shuffled
+    texts = KeyFilter(hits.select("doc_id").distinct()).may_hold(docs, "doc_id")  # other texts aren't shuffled
     # of rows that repeat a doc_id the tag tells which is meant, shorter than sig
     candidates = materialize(with_signature(texts).join(hits, ["doc_id", "sig"]).withColumn("tag", F.xxhash64("sig")), f"{name}-texts")
     windows = materialize(candidate_windows(candidates, width), f"{name}-windows")

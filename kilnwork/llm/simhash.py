@@ -424,7 +424,7 @@ def keepers(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILA
     members = materialize(light.join(candidate_groups(texts, name), "c"), f"{name}-members")
     # of each member the row with its least id gives the shingles: copies, however many, don't meet
     wanted = KeyFilter(members.select("k", "rep"))
-    sets = shingle_sets(keyed.where(wanted.may_hold("k", "doc_id")), width).dropDuplicates(["k", "id_"])
+    sets = shingle_sets(wanted.may_hold(keyed, "k", "doc_id"), width).dropDuplicates(["k", "id_"])
     of_groups = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
     blocks = lambda n, total: F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(total) / block_shingles)).cast("int")
     placed = members.join(of_groups, "comp").select("comp", "k", "rep", "score", blocks("n", "total").alias("na"))
@@ -458,12 +458,12 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     keep = keepers(docs, name="near-stage")
     touched, staying = KeyFilter(keep.select("k")), KeyFilter(keep.where("k = keep_k").select("k", "keep_id"))
     row = docs.select(F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("k_"), F.col("doc_id").alias("id_"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row_"))
-    marked = row.withColumn("touched_", touched.may_hold("k_"))
+    marked = touched.mark(row, "touched_", "k_")
     alone = marked.where(~F.col("touched_")).select("row_")
     maybe = marked.where("touched_").drop("touched_")
     known = keep.select("k", "keep_k", "keep_id")
     # among rows that the first filter lets through by chance are some that the table doesn't know; they stay as well
     unknown = materialize(maybe.select("k_").distinct().join(known.select("k"), F.col("k_") == F.col("k"), "left_anti").toDF("k"), "near-stage-unknown")
-    chance = maybe.where(KeyFilter(unknown).may_hold("k_")).join(unknown, F.col("k_") == F.col("k"), "left_semi").select("row_")
-    one = maybe.where(staying.may_hold("k_", "id_")).join(known.where("k = keep_k"), (F.col("k_") == F.col("k")) & F.col("id_").eqNullSafe(F.col("keep_id")))
+    chance = KeyFilter(unknown).may_hold(maybe, "k_").join(unknown, F.col("k_") == F.col("k"), "left_semi").select("row_")
+    one = staying.may_hold(maybe, "k_", "id_").join(known.where("k = keep_k"), (F.col("k_") == F.col("k")) & F.col("id_").eqNullSafe(F.col("keep_id")))
     return alone.unionByName(chance).unionByName(one.dropDuplicates(["k_"]).select("row_")).select("row_.*")

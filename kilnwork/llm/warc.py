@@ -64,7 +64,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
     keyed = pages.select("page_id", "url", html.cast("binary").alias("payload"), F.sha1(html.cast("binary")).alias("sha_p"), F.octet_length(html).alias("len_p"))
     groups = materialize(plan_records(pages, least), "warc-groups")
     repeated = KeyFilter(groups.select("sha"))
-    marked = keyed.withColumn("maybe", repeated.may_hold("sha_p"))
+    marked = repeated.mark(keyed, "maybe", "sha_p")
     nothing = [F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("int").alias("length")]
     alone = marked.where(~F.col("maybe")).select("page_id", "url", "payload", *nothing)
     # of rows whose payload may repeat only the digest goes to the join, a million copies of a page without their payloads
@@ -73,7 +73,7 @@ def write_warc(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
     revisits = joined.where(revisit).select("page_id", "url", F.lit(b"").alias("payload"), F.col("keeper").alias("refers_to"), F.unhex("sha_p").alias("digest"), F.col("len_p").alias("length"))
     # the others' payloads: one row of each group, and rows that the filter lets through by chance
     kept = materialize(joined.where(~revisit).select(F.col("sha_p").alias("sha"), F.col("page_id").alias("id_")).distinct(), "warc-kept")
-    whole = marked.where("maybe").where(KeyFilter(kept).may_hold("sha_p", "page_id"))
+    whole = KeyFilter(kept).may_hold(marked.where("maybe"), "sha_p", "page_id")
     whole = whole.join(kept, (F.col("sha_p") == F.col("sha")) & F.col("page_id").eqNullSafe(F.col("id_")), "left_semi").select("page_id", "url", "payload", *nothing)
     records = alone.unionByName(whole).unionByName(revisits)
 
