@@ -74,3 +74,36 @@ def test_documents_of_ordinary_length_are_mixed_online(model):
     for n in (80, 310):
         _, data, ends = lm.read([draw(n)])
         assert len(data) < 4096 and mixer.score(data, ends)[0] > 0.97 * mixer.score(data, ends, learn=False)[0]  # log10 probabilities, below 0
+
+
+CLASHES = ("rid", "word", "fp", "k", "shard", "features", "score", "group", "list", "query", "chunk", "kf_at", "row_")
+
+
+def test_clashing_names_odd_texts_and_empty_tables(spark):
+    """Every operator and stage that takes documents bears columns of its own names, null and odd texts, and no rows at all."""
+    from kilnwork.llm import packing, ranking, simhash
+
+    texts = [None, "", " \n\t", "a", "x" * 50_000, "Ünïcode ß　end 😀 done", "same line\nsame line\n\nsame line", "word " * 3000, "a"]
+    rows = [(i if i != 3 else None, t, *["clash"] * len(CLASHES)) for i, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{c} string" for c in CLASHES))
+    none = docs.limit(0)
+    for run in (simhash.near_duplicates, lambda d: lm.score_texts(d, "true"), lambda d: ranking.rank_documents(d, spark.createDataFrame([], "doc_id long, quality int"))):
+        assert run(docs).count() == len(texts) and run(none).count() == 0
+    packed = packing.pack_stage(spark, docs, "").toPandas()
+    assert packed.groupby("piece").size()[0] == len(texts) and packing.pack_stage(spark, none, "").count() == 0
+    sf = "/root/testdata/sf0.001"
+    kept = ranking.classifier_stage(spark, docs, sf)
+    assert kept.columns == docs.columns and kept.count() <= len(texts) and ranking.classifier_stage(spark, none, sf).count() == 0
+    near = simhash.near_dup_stage(spark, docs, "")
+    assert near.columns == docs.columns and near.count() == 6  # null, empty and white are one, and so are both "a"
+
+
+def test_clashing_names_of_vectors(spark):
+    from kilnwork.llm import ann
+
+    rows = [(i, [float(i % 7), 1.0, float(-i)], *["clash"] * len(CLASHES)) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>, " + ", ".join(f"{c} string" for c in CLASHES))
+    got = ann.search(vectors).toPandas()
+    assert len(got) == 60 and set(got.query_id) == {0, 20, 40}
+    exact = {(r.query_id, r.vec_id): sum(a * b for a, b in zip(rows[r.query_id][1], rows[r.vec_id][1])) for r in got.itertuples()}
+    assert all(exact[r.query_id, r.vec_id] == r.score for r in got.itertuples())
