@@ -425,7 +425,8 @@ def keepers(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILA
     # of each member the row with its least id gives the shingles: copies, however many, don't meet
     wanted = KeyFilter(members.select("k", "rep"))
     sets = shingle_sets(wanted.may_hold(keyed, "k", "doc_id"), width).dropDuplicates(["k", "id_"])
-    of_groups = members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+    # written before it is joined, so that a group with many texts can be split
+    of_groups = materialize(members.groupBy("comp").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1"), f"{name}-sizes")
     blocks = lambda n, total: F.greatest(F.ceil(F.col(n) / block), F.ceil(F.col(total) / block_shingles)).cast("int")
     placed = members.join(of_groups, "comp").select("comp", "k", "rep", "score", blocks("n", "total").alias("na"))
     filled = materialize(placed.join(sets.withColumnRenamed("k", "k_"), (F.col("k") == F.col("k_")) & F.col("rep").eqNullSafe(F.col("id_"))).drop("k_", "id_", "rep"), f"{name}-filled")
@@ -445,9 +446,9 @@ def keepers(docs: DataFrame, *, width: int = SHINGLE, similarity: float = SIMILA
     roots = components(links.unionByName(central).unionByName(crossed), name).toDF("k", "root")
     rooted = light.join(roots, "k", "left").where("copies > 1 or root is not null").select("k", "rep", F.coalesce("root", "k").alias("root"))
     rooted = materialize(rooted, f"{name}-rooted")
-    least = rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "k")).alias("m"))
+    least = materialize(rooted.groupBy("root").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "k")).alias("m")), f"{name}-least")
     out = materialize(rooted.join(least, "root").select("k", F.col("m.k").alias("keep_k"), F.col("m.rep").alias("keep_id")), f"{name}-keep")
-    release(texts, members, filled, links, centres, central, left, asking, crossed, rooted)
+    release(texts, members, of_groups, filled, links, centres, central, left, asking, crossed, rooted, least)
     return out
 
 
