@@ -239,7 +239,9 @@ def dedup(docs: DataFrame, *, width: int = WINDOW, keep_text: bool = False, name
     copied = materialize(first.where("first_id < last_id").drop("last_id"), f"{name}-copied")
     of_copies = known.select("doc_id", "sig").join(copied, ["sig"]).where("doc_id > first_id").select("doc_id", "sig").distinct()
     copies = materialize(of_copies, f"{name}-copies")
-    base = known.join(copies, ["doc_id", "sig"], "left_anti")
+    # only rows that may be copies are joined: lists of anchors are too much to shuffle
+    marked = KeyFilter(copies.select("doc_id", "sig")).mark(known, "maybe_", "doc_id", "sig")
+    base = marked.where(~F.col("maybe_")).unionByName(marked.where("maybe_").join(copies, ["doc_id", "sig"], "left_anti")).drop("maybe_")
     marks = base.select("doc_id", "sig", F.explode("anchors").alias("key"))
     # written before they are joined: a join of two plain exchanges can be split where one key has many rows
     shared = materialize(marks.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("key"), f"{name}-shared")
