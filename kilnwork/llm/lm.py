@@ -8,9 +8,10 @@ what was read) each predictor's share and a last correction, both gated by the b
 step against the errors made since, beginning from the corpus' weights. The bits' probabilities multiply to that of the text.
 
 The predictors' counts come from all training documents: every task counts symbols per context, tables of a fixed number
-of slots are summed over tasks. The weights that documents begin with are fitted by Newton's method, in Spark jobs, on a
-share of the training documents that the counts leave out until then. The unigram baseline counts every word of the corpus;
-frequent words, of a bounded number, are looked up from a broadcast, the others by a join.
+of slots are summed over tasks, apart for two halves of the texts. The weights that documents begin with are fitted on all
+training documents too, each looked up in the other half's tables: one pass tallies every bit by its node, its value and what
+the predictors said of it, and Newton's method runs on that tally, whose size is fixed. The unigram baseline counts every word
+of the corpus; frequent words, of a bounded number, are looked up from a broadcast, the others by a join.
 """
 
 from __future__ import annotations
@@ -23,18 +24,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import crc_text, materialize, release, rows, table, words_of
+from .base import crc_text, materialize, release, rows, table
 
 #: Symbols: the most frequent bytes, and one that stands for all others, whose byte then costs 8 bits.
 SYMBOLS = 64
 #: log2 of the number of contexts of each predictor.
 ROWS = (17, 17, 16)
 CHUNK = 1 << 16
-#: Of the training documents one in so many fits the weights, more where that is under 2,000, up to a quarter of all.
-FITS, FITS_LEAST, FITS_MOST = 64, 2000, 4
+#: For the fit of the weights a predictor's log-odds are told apart in halves, as one of so many levels.
+LEVELS = 32
 #: Words of the broadcast, at most.
 HOT = 200_000
 #: Bytes of a block after which the mixer learns; beyond BLOCK * GROWS bytes a block is a GROWS-th of what was read.
@@ -43,6 +44,8 @@ BLOCK, GROWS = 32, 8
 FIRM, FIRM_LAST = 5.0, 20.0
 #: Characters that are counted and scored at once; what a task holds beside its tables is some hundred bytes for each.
 COUNT_AT_ONCE, SCORE_AT_ONCE = 1 << 18, 1 << 20
+#: Bytes whose contexts are worked out at once.
+NEAR = 1 << 17
 #: Words that a task counts before it passes them on.
 WORDS_AT_ONCE = 250_000
 #: Predictors' log-odds are kept in SCALE-ths, in bytes; the mixer's in FINE-ths, up to LIMIT.
@@ -136,7 +139,7 @@ def contexts(symbols: np.ndarray, space: int, wide: np.ndarray, first: np.ndarra
 
 def read(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
     """Words, all bytes in turn, and where each text's bytes end."""
-    words = [[w.lower() for w in words_of(t)] for t in texts]
+    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # as words_of()
     parts = [b" ".join(w) + b"\n" for w in words]
     return words, np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
 
@@ -147,9 +150,24 @@ def starts_of(ends: np.ndarray) -> np.ndarray:
     return first
 
 
-def add_counts(counts: list[np.ndarray], code: Code, data: np.ndarray, ends: np.ndarray) -> None:
-    symbols = code.symbol[data]
-    for table_, at in zip(counts, contexts(symbols, int(code.symbol[32]), data >= 128, starts_of(ends))):
+def located(code: Code, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Symbols and contexts of texts, worked out for some texts at a time, whose figures the processor's cache holds."""
+    symbols, first, space = code.symbol[data], starts_of(ends), int(code.symbol[32])
+    parts, lo = [], 0
+    while lo < len(data):
+        hi = int(ends[max(np.searchsorted(ends, lo + NEAR, "right") - 1, np.searchsorted(ends, lo, "right"))])
+        parts.append(contexts(symbols[lo:hi], space, data[lo:hi] >= 128, first[lo:hi]))
+        lo = hi
+    return symbols, [np.concatenate(p) for p in zip(*parts)]
+
+
+def add_counts(counts: list[np.ndarray], code: Code, data: np.ndarray, ends: np.ndarray, half: np.ndarray | None = None) -> None:
+    """half: which half of the tables each text goes to, where they have two."""
+    symbols, ctx = located(code, data, ends)
+    shift = None if half is None else np.repeat(half.astype(np.int32), np.diff(ends, prepend=0))
+    for table_, at in zip(counts, ctx):
+        if shift is not None:
+            at += shift * np.int32(len(table_) // 2)
         np.add.at(table_, at + symbols, np.uint32(1))
 
 
@@ -196,8 +214,7 @@ class Mixer:
 
     def score(self, data: np.ndarray, ends: np.ndarray, learn: bool = True) -> np.ndarray:
         """log10 probability of every text. No text's score depends on the others of its batch."""
-        symbols = self.code.symbol[data]
-        ctx = contexts(symbols, int(self.code.symbol[32]), data >= 128, starts_of(ends))
+        symbols, ctx = located(self.code, data, ends)
         begin = np.concatenate([[0], ends[:-1]])
         size, depths, shortest = ends - begin, len(self.node), self.length.min()
         out = np.zeros(len(ends))
@@ -244,46 +261,74 @@ class Mixer:
         return out - rare * (8 * np.log10(2))
 
 
-def evidence(code: Code, tables: list[np.ndarray], weights: np.ndarray, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """By node: the gradient of the log-likelihood by the weights, and the upper half of its curvature, over some texts."""
-    symbols = code.symbol[data]
-    ctx = contexts(symbols, int(code.symbol[32]), data >= 128, starts_of(ends))
-    length, node, bit = code.steps()
-    out = np.zeros((SYMBOLS, 9))
-    for j in range(len(node)):
-        at = np.flatnonzero(length[symbols] > j)
-        if not len(at):
-            break
-        s = symbols[at]
-        n = node[j][s]
-        x = [t.take(c[at].astype(np.int64) + n) / SCALE for t, c in zip(tables, ctx)]
-        p = 1 / (1 + np.exp(-sum(weights[n, k] * x[k] for k in range(3))))
-        terms = [(bit[j][s] - p) * v for v in x] + [p * (1 - p) * x[a] * x[b] for a in range(3) for b in range(a, 3)]
-        out += np.stack([np.bincount(n, t, SYMBOLS) for t in terms], 1)
+def levels(odds_: np.ndarray) -> np.ndarray:
+    """Log-odds in SCALE-ths as levels: LEVELS // 2 is 0, a level more is half a unit more."""
+    out = np.empty(len(odds_), np.uint8)
+    for i in range(0, len(out), 1 << 20):
+        near = (odds_[i : i + (1 << 20)].astype(np.int16) + 4) >> 3
+        out[i : i + (1 << 20)] = near.clip(1 - LEVELS // 2, LEVELS // 2 - 1) + LEVELS // 2
     return out
 
 
-def fit_weights(sample: DataFrame, code: Code, tables: list[np.ndarray], rounds: int = 5) -> np.ndarray:
-    """Weights by node and predictor: Newton's method, held to PRIOR. Each round is a job over `sample` (text), of which the tables
-    know nothing; what comes back is 9 sums for each node."""
-    shared = sample.sparkSession.sparkContext.broadcast((code, tables))
+def add_tally(tally: np.ndarray, code: Code, tables: list[np.ndarray], data: np.ndarray, ends: np.ndarray, half: np.ndarray) -> None:
+    """Adds every bit of some texts to tally[node, bit, levels of the three predictors]. `tables` has the predictors' levels by the
+    texts of the first half, then by those of the second; a text is looked up in the half that it isn't in."""
+    symbols, ctx = located(code, data, ends)
+    other = np.repeat(1 - half.astype(np.int32), np.diff(ends, prepend=0))
+    by_symbol = np.argsort(symbols, kind="stable")
+    ctx = [((c >> 6) + other * np.int32(len(t) // SYMBOLS // 2)).take(by_symbol) for c, t in zip(ctx, tables)]
+    tables = [t.reshape(-1, SYMBOLS) for t in tables]
+    stop = np.cumsum(np.bincount(symbols, minlength=SYMBOLS)).tolist()
+    for start, end, path in zip([0, *stop], stop, code.paths):
+        cells = np.empty((len(path), end - start), np.uint16)
+        for lo in range(start, end, 1 << 14):
+            first, *others = (t.take(c[lo : min(lo + (1 << 14), end)], axis=0) for t, c in zip(tables, ctx))
+            for some, (node, _) in zip(cells[:, lo - start : lo - start + (1 << 14)], path):
+                some[:] = first[:, node]
+                for t in others:
+                    some *= np.uint16(LEVELS)
+                    some += t[:, node]
+        for some, (node, bit) in zip(cells, path):
+            if len(some) > LEVELS**3 // 16:
+                tally[node, bit] += np.bincount(some, minlength=LEVELS**3).astype(tally.dtype)
+            else:
+                np.add.at(tally[node, bit], some.astype(np.intp), tally.dtype.type(1))
+
+
+def tallied(docs: DataFrame, code: Code, tables: list[np.ndarray], name: str) -> np.ndarray:
+    """The tally of all documents (text, half), counted in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast((code, tables))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code_, tables_ = shared.value
+        tally = np.zeros((SYMBOLS, 2, LEVELS**3), np.uint32)
+        for part in rows(batches, "text", "half", limit_bytes=SCORE_AT_ONCE):
+            _, data, ends = read([t for t, _ in part])
+            add_tally(tally, code_, tables_, data, ends, np.array([h for _, h in part]))
+        chunk, salt, packed = packed_chunks([tally.ravel()])
+        yield pa.record_batch([pa.array(chunk, pa.int32()), pa.array(salt, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "salt", "counts"])
+
+    parts = materialize(docs.select("text", "half").mapInArrow(run, "chunk int, salt int, counts binary"), f"{name}-tally")
+    out = np.zeros(SYMBOLS * 2 * LEVELS**3)
+    add_tables([out], parts, f"{name}-tallied")
+    release(parts)
+    return out.reshape(SYMBOLS, 2, LEVELS**3)
+
+
+def fit_weights(tally: np.ndarray, rounds: int = 10) -> np.ndarray:
+    """Weights by node and predictor: Newton's method, held to PRIOR."""
+    node, bit, cell = np.nonzero(tally)
+    n = tally[node, bit, cell]
+    x = [((cell // LEVELS**k) % LEVELS - LEVELS // 2) / 2 for k in (2, 1, 0)]
+    pairs = [(a, b) for a in range(3) for b in range(a, 3)]
     weights = np.tile(PRIOR, (SYMBOLS, 1))
     for _ in range(rounds):
-
-        def run(batches: Iterator[pa.RecordBatch], weights: np.ndarray = weights) -> Iterator[pa.RecordBatch]:
-            code_, tables_ = shared.value
-            for part in rows(batches, "text", limit_bytes=COUNT_AT_ONCE):
-                _, data, ends = read([t for (t,) in part])
-                yield pa.record_batch([pa.array(np.arange(SYMBOLS * 9)), pa.array(evidence(code_, tables_, weights, data, ends).ravel())], ["at", "v"])
-
-        found = np.zeros(SYMBOLS * 9)
-        for r in sample.mapInArrow(run, "at long, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():  # 576 rows
-            found[r["at"]] = r.v
-        found = found.reshape(SYMBOLS, 9)
+        p = 1 / (1 + np.exp(-sum(weights[node, k] * x[k] for k in range(3))))
+        pull = np.stack([np.bincount(node, n * (bit - p) * v, SYMBOLS) for v in x], 1)
         curve = np.zeros((SYMBOLS, 3, 3))
-        for i, (a, b) in enumerate([(a, b) for a in range(3) for b in range(a, 3)]):
-            curve[:, a, b] = curve[:, b, a] = found[:, 3 + i]
-        step = np.linalg.solve(curve + 20 * np.eye(3), (found[:, :3] - 20 * (weights - PRIOR))[:, :, None])[:, :, 0]
+        for a, b in pairs:
+            curve[:, a, b] = curve[:, b, a] = np.bincount(node, n * p * (1 - p) * x[a] * x[b], SYMBOLS)
+        step = np.linalg.solve(curve + 20 * np.eye(3), (pull - 20 * (weights - PRIOR))[:, :, None])[:, :, 0]
         weights = np.round(weights + step.clip(-0.5, 0.5), 6)
     return weights
 
@@ -308,9 +353,9 @@ GATHER = "word binary, n long, chunk int, salt int, counts binary"
 
 
 def gather(docs: DataFrame, code: Code) -> DataFrame:
-    """Of every task's documents: how often each word occurs (the end mark is the empty word), a row each, and its symbol counts
-    per context, a row for each chunk of the tables."""
-    sizes = [SYMBOLS << r for r in ROWS]
+    """Of every task's documents (text, half): how often each word occurs (the end mark is the empty word), a row each, and its symbol
+    counts per context, of either half of the texts, a row for each chunk of the tables."""
+    sizes = [2 * SYMBOLS << r for r in ROWS]
     types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = ["word", "n", "chunk", "salt", "counts"]
 
@@ -329,26 +374,19 @@ def gather(docs: DataFrame, code: Code) -> DataFrame:
                 yield batch(some, [words[w] for w in some], None, None, None)
             words.clear()
 
-        for part in rows(batches, "text", limit_bytes=COUNT_AT_ONCE):
-            found, data, ends = read([t for (t,) in part])
+        for part in rows(batches, "text", "half", limit_bytes=COUNT_AT_ONCE):
+            found, data, ends = read([t for t, _ in part])
             for w in found:
                 words.update(w)
             words[b""] += len(found)
-            add_counts(counts, code, data, ends)
+            add_counts(counts, code, data, ends, np.array([h for _, h in part]))
             if len(words) > WORDS_AT_ONCE:
                 yield from flush()
         yield from flush()
-        salt, chunk = TaskContext.get().partitionId() // TOGETHER, 0
-        for table_ in counts:
-            packed = []
-            for i in range(0, len(table_), CHUNK):
-                if (c := table_[i : i + CHUNK]).any():
-                    packed.append((chunk, salt, sparse(c)))
-                chunk += 1
-            if packed:
-                yield batch(None, None, *map(list, zip(*packed)))
+        for column in zip(*packed_chunks(counts)):
+            yield batch(None, None, *([v] for v in column))
 
-    return docs.select("text").mapInArrow(run, GATHER)
+    return docs.select("text", "half").mapInArrow(run, GATHER)
 
 
 def sparse(c: np.ndarray) -> bytes:
@@ -359,6 +397,13 @@ def sparse(c: np.ndarray) -> bytes:
     return b"".join([np.array([len(small), len(large)], np.uint32).tobytes(), small.astype(np.uint16).tobytes(), c[small].astype(np.uint8).tobytes(), large.astype(np.uint16).tobytes(), c[large].astype(np.uint64).tobytes()])
 
 
+def packed_chunks(tables: list[np.ndarray]) -> tuple[list[int], list[int], list[bytes]]:
+    """Of a task's tables all chunks that hold anything: place, salt (tasks of one are added up together) and counts."""
+    chunks = [t[i : i + CHUNK] for t in tables for i in range(0, len(t), CHUNK)]
+    held = [i for i, c in enumerate(chunks) if c.any()]
+    return held, [TaskContext.get().partitionId() // TOGETHER] * len(held), [sparse(chunks[i]) for i in held]
+
+
 def add_sparse(to: np.ndarray, data: bytes) -> None:
     m, n = np.frombuffer(data, np.uint32, 2).tolist()
     at = 8
@@ -395,13 +440,6 @@ def frequent(vocabulary: DataFrame) -> DataFrame:
     return vocabulary.where(level >= least) if least is not None else vocabulary.limit(0)
 
 
-def fitting(n: int) -> Column:
-    """Which of n training documents fit the weights: those of least seeded hash."""
-    share = min(1 / FITS_MOST, max(1 / FITS, FITS_LEAST / max(n, 1)))
-    room = 1 << 40
-    return F.pmod(F.xxhash64(F.lit(42), F.coalesce("doc_id", F.lit(-1))), F.lit(room)) < F.lit(int(room * share))
-
-
 def add_tables(counts: list[np.ndarray], parts: DataFrame, name: str) -> None:
     """Adds the counts of all tasks, summed by chunk, to the driver's tables, whose size is fixed."""
     salted = sum_chunks(parts.where("chunk is not null"))
@@ -424,19 +462,18 @@ def score_texts(docs: DataFrame, train: str, *, name: str = "lm") -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     known = docs.where(train)
-    fits = fitting(known.count())
-    sample, rest = materialize(known.where(fits), f"{name}-sample"), known.where(~fits)
     code = Code.of(histogram(known))
-    parts = [materialize(gather(df, code), f"{name}-gather") for df in (rest, sample)]
-    words = parts[0].unionByName(parts[1]).where("word is not null")
-    vocabulary = materialize(words.groupBy("word").agg(F.sum("n").alias("c")), f"{name}-words")
+    known = known.select("text", F.pmod(F.xxhash64(F.lit(42), "text"), F.lit(2)).cast("int").alias("half"))  # copies share a half
+    parts = materialize(gather(known, code), f"{name}-gather")
+    vocabulary = materialize(parts.where("word is not null").groupBy("word").agg(F.sum("n").alias("c")), f"{name}-words")
     figures = vocabulary.agg(F.count("*").alias("v"), F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first()
-    counts = [np.zeros(SYMBOLS << r, np.float32) for r in ROWS]
-    add_tables(counts, parts[0], f"{name}-counts")
-    weights = fit_weights(sample, code, odds(counts, code))
-    add_tables(counts, parts[1], f"{name}-more")
-    release(*parts, sample)
+    counts = [np.zeros(2 * SYMBOLS << r, np.float32) for r in ROWS]
+    add_tables(counts, parts, f"{name}-counts")
+    release(parts)
+    weights = fit_weights(tallied(known, code, [levels(x) for x in odds(counts, code)], name))
+    counts = [c[: len(c) // 2] + c[len(c) // 2 :] for c in counts]
     mixer = Mixer(code, odds(counts, code, weights))
+    del counts
     hot = {bytes(r.word): float(np.log10(r.c + 1)) for r in frequent(vocabulary).collect()}
     shared = spark.sparkContext.broadcast((mixer, hot))  # bounded by ROWS and HOT
     out = "rid long, doc_id long, n_tokens long, hot_known long, hot_sum double, score double, n_bytes long, rare array<binary>"

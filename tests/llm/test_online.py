@@ -107,3 +107,45 @@ def test_clashing_names_of_vectors(spark):
     assert len(got) == 60 and set(got.query_id) == {0, 20, 40}
     exact = {(r.query_id, r.vec_id): sum(a * b for a, b in zip(rows[r.query_id][1], rows[r.vec_id][1])) for r in got.itertuples()}
     assert all(exact[r.query_id, r.vec_id] == r.score for r in got.itertuples())
+
+
+def test_weights_are_fitted_on_every_bit_of_every_training_document(spark, model, monkeypatch):
+    """What the fit gets is every training document's every bit, looked up in the tables of the half that the document isn't in."""
+    draw = model[2]
+    texts = [None, "", "Ünïcode ß", "a b", "a b", *(draw(n % 23) for n in range(60))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    seen, fit = [], lm.fit_weights
+    monkeypatch.setattr(lm, "fit_weights", lambda tally, *a: (seen.append(tally), fit(tally, *a))[1])
+    assert lm.score_texts(docs, "doc_id % 7 <> 2").count() == len(texts)
+    halves = {r.doc_id: r.h for r in docs.selectExpr("doc_id", "pmod(xxhash64(42, text), 2) h").collect()}
+    known = [i for i in range(len(texts)) if i % 7 != 2]
+    data = [lm.read([texts[i]])[1] for i in known]
+    code = lm.Code.of(np.bincount(np.concatenate(data), minlength=256))
+    tables = []
+    for h in (0, 1):
+        counts = [np.zeros(lm.SYMBOLS << r, np.float32) for r in lm.ROWS]
+        for i, d in zip(known, data):
+            if halves[i] == h:
+                for c, at in zip(counts, lm.contexts(code.symbol[d], int(code.symbol[32]), d >= 128, lm.starts_of(np.array([len(d)])))):
+                    for a, s in zip(at, code.symbol[d]):
+                        c[a + s] += 1
+        tables.append(lm.odds(counts, code))
+    want = np.zeros_like(seen[0])
+    for i, d in zip(known, data):
+        ctx = lm.contexts(code.symbol[d], int(code.symbol[32]), d >= 128, lm.starts_of(np.array([len(d)])))
+        for *at, s in zip(*ctx, code.symbol[d]):
+            for node, bit in code.paths[s]:
+                level = [min(max(math.floor(int(t[a + node]) / 8 + 0.5), -15), 15) + 16 for a, t in zip(at, tables[1 - halves[i]])]
+                want[node, bit, (level[0] * 32 + level[1]) * 32 + level[2]] += 1
+    assert {0, 1} == set(halves.values()) and want.sum() > 10_000 and (seen[0] == want).all()
+
+
+def test_weights_of_a_tally_are_those_of_logistic_regression():
+    rng = np.random.default_rng(5)
+    level = rng.integers(1, lm.LEVELS, (3, 200_000))
+    x = (level - lm.LEVELS // 2) / 2
+    bit = rng.random(x.shape[1]) < 1 / (1 + np.exp(-np.array([0.7, 0.1, 0.3]) @ x))
+    tally = np.zeros((lm.SYMBOLS, 2, lm.LEVELS**3))
+    np.add.at(tally, (5, bit.astype(int), (level[0] * lm.LEVELS + level[1]) * lm.LEVELS + level[2]), 1)
+    weights = lm.fit_weights(tally)
+    assert weights[5] == pytest.approx([0.7, 0.1, 0.3], abs=0.02) and (weights[4] == lm.PRIOR).all()
