@@ -44,8 +44,8 @@ BLOCK, GROWS = 32, 8
 FIRM, FIRM_LAST = 5.0, 20.0
 #: Characters that are counted and scored at once; what a task holds beside its tables is some hundred bytes for each.
 COUNT_AT_ONCE, SCORE_AT_ONCE = 1 << 18, 1 << 20
-#: Bytes whose contexts are worked out at once.
-NEAR = 1 << 17
+#: Bytes whose contexts are worked out at once, and whose bits are looked up at once.
+NEAR, STRETCH = 1 << 17, 1 << 15
 #: Words that a task counts before it passes them on.
 WORDS_AT_ONCE = 250_000
 #: Predictors' log-odds are kept in SCALE-ths, in bytes; the mixer's in FINE-ths, up to LIMIT.
@@ -189,74 +189,102 @@ def odds(counts: list[np.ndarray], code: Code, weights: np.ndarray | None = None
     return out
 
 
-def segment_sums(x: np.ndarray, starts: np.ndarray, full: np.ndarray) -> np.ndarray:
-    """Sums of segments that lie one after the other; `full` marks those that hold anything, `starts` has where these begin."""
-    out = np.zeros(len(full))
-    if len(starts):
-        out[full] = np.add.reduceat(x, starts)
-    return out
-
-
 class Mixer:
-    """Scores texts, all texts of a batch at once: block by block, and in a block depth by depth of the code. What a bit needs of the
-    mixed log-odds (its logarithm, error and weight of evidence) is looked up by a small whole number."""
+    """Scores texts, all texts of a batch at once: block by block, all bits of a block together, in order of their depth in the code
+    and of the texts. What a bit needs of the mixed log-odds (its logarithm, error and weight of evidence) is looked up by a small
+    whole number."""
 
     def __init__(self, code: Code, tables: list[np.ndarray]):
         """tables: the predictors' log-odds, times the corpus' weights."""
         self.code, self.tables = code, tables
-        self.length, self.node, bit = code.steps()
+        length, self.node, bit = code.steps()
+        self.length = length.astype(np.uint8)
         z = np.arange(-LIMIT * FINE, LIMIT * FINE + 1) / FINE
         p = 1 / (1 + np.exp(-z))
         self.log = np.concatenate([np.log10(1 - p), np.log10(p)])
         self.error = np.concatenate([-p, 1 - p]).astype(np.float32)
         self.mass = (p * (1 - p)).astype(np.float32)
-        self.side = bit * len(p)  # where the figures of a bit's value begin
+        self.side = (bit * len(p)).astype(np.int32)  # where the figures of a bit's value begin
+
+    def look_up(self, symbols: np.ndarray, ctx: list[np.ndarray], ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """By depth: the predictors' log-odds of every bit, its side, and where the bits of each stretch of symbols end, after a 0;
+        `ends` has where the stretches do."""
+        out, place, ctx = [], np.arange(len(symbols)), [c.astype(np.intp) for c in ctx]
+        length, stops = self.length.take(symbols), np.concatenate([[0], ends])
+        for depth, (node, side) in enumerate(zip(self.node, self.side)):
+            if depth >= self.length.min():
+                more = np.flatnonzero(length > depth)
+                place, symbols, length, ctx = place.take(more), symbols.take(more), length.take(more), [c.take(more) for c in ctx]
+            at, odds_ = node.take(symbols), np.empty((3, len(symbols)), np.int8)
+            for x, t, c in zip(odds_, self.tables, ctx):
+                t.take(c + at, out=x, mode="clip")
+            out.append((odds_, side.take(symbols), np.searchsorted(place, stops) if len(place) < stops[-1] else stops))
+        return out
+
+    def blocks(self, size: np.ndarray, begin: np.ndarray) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
+        """Which texts have the next block, its lengths, and the places of its bytes; some blocks at a time, of about
+        STRETCH bytes."""
+        held, room, lo = [], STRETCH, 0
+        while len(live := np.flatnonzero(size > lo)):
+            n = np.minimum(max(BLOCK, lo // GROWS), size[live] - lo)
+            held.append((live, n, np.repeat(begin[live] + lo - np.cumsum(n) + n, n) + np.arange(n.sum())))
+            lo, room = lo + max(BLOCK, lo // GROWS), room - n.sum()
+            if room <= 0:
+                yield held
+                held, room = [], STRETCH
+        if held:
+            yield held
 
     def score(self, data: np.ndarray, ends: np.ndarray, learn: bool = True) -> np.ndarray:
         """log10 probability of every text. No text's score depends on the others of its batch."""
         symbols, ctx = located(self.code, data, ends)
-        begin = np.concatenate([[0], ends[:-1]])
-        size, depths, shortest = ends - begin, len(self.node), self.length.min()
+        begin, depths = np.concatenate([[0], ends[:-1]]), len(self.node)
+        size = ends - begin
         out = np.zeros(len(ends))
-        share = np.ones((depths, 3, len(ends)), np.float32)  # of each predictor, by depth and text
-        last = np.zeros((depths, len(ends)), np.float32)
-        proof, proof_last = np.full(share.shape, FIRM), np.full(last.shape, FIRM_LAST)
-        lo = 0
-        while len(live := np.flatnonzero(size > lo)):
-            n = np.minimum(max(BLOCK, lo // GROWS), size[live] - lo)
-            at = np.repeat(begin[live] + lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            sym, slots = symbols.take(at), [c.take(at).astype(np.int64) for c in ctx]
-            lo += max(BLOCK, lo // GROWS)
-            goes_on = learn and bool((size > lo).any())
-            for j in range(depths):
-                if j >= shortest:
-                    more = np.flatnonzero(self.length.take(sym) > j)
-                    n = np.diff(np.searchsorted(more, np.concatenate([[0], np.cumsum(n)])))
-                    sym, slots = sym.take(more), [c.take(more) for c in slots]
-                if not len(sym):
-                    break
-                node, full = self.node[j].take(sym), n > 0
+        # of each predictor its share, and the last correction, by depth and text
+        own, proof = np.ones((4, depths, len(ends))), np.full((4, depths, len(ends)), FIRM)
+        own[3], proof[3] = 0, FIRM_LAST
+        least, most = (np.array(x)[:, None, None] for x in ([0, 0, 0, -2], [3, 3, 3, 2]))
+        units = np.array([1 / SCALE, 1 / SCALE, 1 / SCALE, 1])[:, None, None]
+        for some in self.blocks(size, begin):
+            at, n = (np.concatenate(x) for x in list(zip(*some))[:0:-1])
+            bits = self.look_up(symbols.take(at), [c.take(at) for c in ctx], np.cumsum(n))
+            hi = 0
+            for live, _, _ in some:
+                lo, hi = hi, hi + len(live)
+                held = [(x[:, to[lo] : to[hi]], side[to[lo] : to[hi]], np.diff(to[lo : hi + 1])) for x, side, to in bits]
+                n = np.concatenate([k for _, _, k in held])
+                x = np.concatenate([v for v, _, _ in held], axis=1, dtype=np.float32, casting="unsafe")
+                full = np.flatnonzero(n)
                 starts = (np.cumsum(n) - n)[full]
-                of = [t.take(c + node).astype(np.float32) for t, c in zip(self.tables, slots)]
-                z = np.repeat(last[j, live] * np.float32(FINE) + np.float32(LIMIT * FINE), n)
-                for k, t in enumerate(of):
-                    z += t * np.repeat(share[j, k, live] * np.float32(FINE / SCALE), n)
-                np.minimum(np.maximum(np.rint(z, out=z), 0, out=z), 2 * LIMIT * FINE, out=z)
-                q = z.astype(np.int64)
-                look = q + self.side[j].take(sym)
-                out[live] += segment_sums(self.log.take(look), starts, full)
-                if not goes_on:
+                by_text = (own[:, :, live] * (units * FINE)).astype(np.float32).reshape(4, -1)
+                by_text[3] += LIMIT * FINE
+                z = np.repeat(by_text, n, axis=1)
+                z[:3] *= x
+                z[3] += z[0]
+                z[3] += z[1]
+                z[3] += z[2]
+                z = np.minimum(np.maximum(np.rint(z[3]), 0), 2 * LIMIT * FINE)
+                q = z.astype(np.int32)
+                look = np.concatenate([v for _, v, _ in held])
+                look += q
+                sums = np.zeros(len(n))
+                sums[full] = np.add.reduceat(self.log.take(look), starts)
+                out[live] += sums.reshape(depths, -1).sum(0)
+                if not learn:
                     continue
-                error, mass = self.error.take(look), self.mass.take(q)
-                for k, t in enumerate(of):
-                    weight = mass * t
-                    weight *= t
-                    proof[j, k, live] += segment_sums(weight, starts, full) / SCALE**2
-                    t *= error
-                    step = segment_sums(t, starts, full) / SCALE / proof[j, k, live]
-                    share[j, k, live] = np.clip(share[j, k, live] + step, 0, 3)
-                proof_last[j, live] += segment_sums(mass, starts, full)
-                last[j, live] = np.clip(last[j, live] + segment_sums(error, starts, full) / proof_last[j, live], -2, 2)
+                terms = np.empty((2, 4, len(look)), np.float32)
+                terms[0, 3], terms[1, 3] = self.mass.take(q), self.error.take(look)
+                np.multiply(terms[:, 3:], x, out=terms[:, :3])
+                terms[0, :3] *= x
+                sums = np.zeros((2, 4, len(n)))
+                sums[:, :, full] = np.add.reduceat(terms, starts, axis=2)
+                gain, pull = sums.reshape(2, 4, depths, -1)
+                gain *= units**2
+                pull *= units
+                gain += proof[:, :, live]
+                proof[:, :, live] = gain
+                own[:, :, live] = np.clip(own[:, :, live] + pull / gain, least, most)
         rare = np.add.reduceat(symbols == SYMBOLS - 1, begin, dtype=np.int64) if len(ends) else 0
         return out - rare * (8 * np.log10(2))
 

@@ -149,3 +149,19 @@ def test_weights_of_a_tally_are_those_of_logistic_regression():
     np.add.at(tally, (5, bit.astype(int), (level[0] * lm.LEVELS + level[1]) * lm.LEVELS + level[2]), 1)
     weights = lm.fit_weights(tally)
     assert weights[5] == pytest.approx([0.7, 0.1, 0.3], abs=0.02) and (weights[4] == lm.PRIOR).all()
+
+
+def test_bits_are_looked_up_for_many_blocks_at_once(model):
+    """By depth, in the order of the symbols: what each predictor says of a bit, and where each stretch's bits end."""
+    code, counts, draw = model
+    mixer = lm.Mixer(code, lm.odds(counts, code))
+    _, data, ends = lm.read([draw(40), "é", draw(90)])
+    symbols, ctx = lm.located(code, data, ends)
+    stops = np.array([7, 7, 50, len(data)])
+    bits = mixer.look_up(symbols, ctx, stops)
+    for depth, (odds, side, to) in enumerate(bits):
+        at = [i for i, s in enumerate(symbols) if len(code.paths[s]) > depth]
+        paths = [code.paths[symbols[i]][depth] for i in at]
+        assert odds.tolist() == [[int(t[int(c[i]) + node]) for i, (node, _) in zip(at, paths)] for t, c in zip(mixer.tables, ctx)]
+        assert (side > 0).tolist() == [bit == 1 for _, bit in paths] and to.tolist() == [sum(i < e for i in at) for e in (0, *stops)]
+    assert len(bits) == max(map(len, code.paths))
