@@ -43,15 +43,16 @@ class WordIds(dict):
     """A word's ids as little-endian unsigned 32-bit numbers. This vocabulary drops white space and no token spans it, so a
     text's ids are those of its words in turn. A word of Latin letters with ASCII punctuation behind it is cut by the
     pre-tokenizer just there and its case is folded, so both parts are looked up apart and letters go straight to
-    the BPE model. The memo empties itself at `limit` words."""
+    the BPE model. The memo has two generations of at most `limit` words: once the younger one is full it becomes the elder, and
+    words that are met again move on, so frequent ones stay."""
 
     SHAPE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)([.,;:!?%#$&*|]*)")
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 150_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.tokenizer, self.limit, self.letters = Tokenizer.from_file(path), limit, byte_letters()
+        self.tokenizer, self.limit, self.letters, self.elder = Tokenizer.from_file(path), limit, byte_letters(), {}
         self.encode, self.split = self.tokenizer.encode, self.tokenizer.model.tokenize
         probe = "Probe,"
         got = [t.id for t in self.split("probe")] + self.encode(",", add_special_tokens=False).ids
@@ -59,7 +60,11 @@ class WordIds(dict):
 
     def __missing__(self, word: bytes) -> bytes:
         if len(self) >= self.limit:
+            self.elder = dict(self)
             self.clear()
+        if (found := self.elder.get(word)) is not None:
+            self[word] = found
+            return found
         text = word.decode("utf-8", "replace")
         shape = self.SHAPE.fullmatch(text) if self.plain else None
         if shape is None:

@@ -11,6 +11,7 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -69,6 +70,29 @@ def test_warc_false_magic_and_empty(spark, tmp_path):
 # ---- packing ----
 
 
+def test_memo_of_word_ids_is_bounded_and_keeps_frequent_words():
+    """Executors hold a memo for every Python worker beside the heap: it stays small, and its ids are those of the tokenizer."""
+    ids = packing.WordIds(packing.vocabulary(), limit=20)
+    calls, split = [], ids.split
+    ids.split = lambda word: (calls.append(word), split(word))[1]
+    rare = [("a" * (i % 9 + 1) + "bcdefgh"[i % 7] * (i // 9 + 1)).encode() for i in range(200)]
+    want = packing.WordIds(packing.vocabulary())
+    for word in rare:
+        assert ids[b"often"] == want[b"often"] and ids[word] == want[word]
+        assert len(ids) <= 20 and len(ids.elder) <= 20
+    assert calls.count("often") == 1
+    assert 2 * packing.WordIds(packing.vocabulary()).limit < 400_000
+
+
+def test_workers_give_back_what_they_freed(monkeypatch):
+    from kilnwork.llm import base
+
+    given = []
+    monkeypatch.setattr(base, "give_back", lambda: given.append(1))
+    batches = [pa.record_batch([pa.array(["x" * 9] * 600)], ["text"]) for _ in range(3)]
+    assert [len(part) for part in base.rows(iter(batches), "text", limit_bytes=9 * 600)] == [600] * 3 and len(given) == 3
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
 
