@@ -20,6 +20,7 @@ import heapq
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ HOT = 200_000
 BLOCK, GROWS = 32, 8
 #: What the corpus' weights count for against a document's own evidence: the shares, and the last correction.
 FIRM, FIRM_LAST = 5.0, 20.0
-#: Characters that are counted and scored at once; what a task holds beside its tables is some hundred bytes for each.
-COUNT_AT_ONCE, SCORE_AT_ONCE = 1 << 18, 1 << 20
+#: Characters that are counted, tallied and scored at once; what a task holds beside its tables is some hundred bytes for each.
+COUNT_AT_ONCE, TALLY_AT_ONCE, SCORE_AT_ONCE = 1 << 18, 1 << 21, 1 << 20
 #: Bytes whose contexts are worked out at once, and whose bits are looked up at once.
 NEAR, STRETCH = 1 << 17, 1 << 15
 #: Words that a task counts before it passes them on.
@@ -300,15 +301,28 @@ def levels(odds_: np.ndarray) -> np.ndarray:
 
 def add_tally(tally: np.ndarray, code: Code, tables: list[np.ndarray], data: np.ndarray, ends: np.ndarray, half: np.ndarray) -> None:
     """Adds every bit of some texts to tally[node, bit, levels of the three predictors]. `tables` has the predictors' levels by the
-    texts of the first half, then by those of the second; a text is looked up in the half that it isn't in."""
+    texts of the first half, then by those of the second; a text is looked up in the half that it isn't in. Equal symbols in
+    equal contexts are looked up once, and count as often as they occur."""
     symbols, ctx = located(code, data, ends)
-    other = np.repeat(1 - half.astype(np.int32), np.diff(ends, prepend=0))
-    by_symbol = np.argsort(symbols, kind="stable")
-    ctx = [((c >> 6) + other * np.int32(len(t) // SYMBOLS // 2)).take(by_symbol) for c, t in zip(ctx, tables)]
+    key = symbols.astype(np.uint64)
+    for c, r in zip(ctx, ROWS):
+        key <<= np.uint64(r)
+        key |= (c >> 6).astype(np.uint64)
+    key <<= np.uint64(1)
+    key |= np.repeat(1 - half.astype(np.uint8), np.diff(ends, prepend=0))
+    del symbols, ctx
+    key.sort()
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times, key = np.diff(np.append(first, len(key))), key[first]
+    other, key = (key & np.uint64(1)).astype(np.intp), key >> np.uint64(1)
+    ctx = []
+    for r in reversed(ROWS):
+        ctx.insert(0, (key & np.uint64((1 << r) - 1)).astype(np.intp) + (other << r))
+        key >>= np.uint64(r)
     tables = [t.reshape(-1, SYMBOLS) for t in tables]
-    stop = np.cumsum(np.bincount(symbols, minlength=SYMBOLS)).tolist()
+    stop = np.searchsorted(key, np.arange(1, SYMBOLS + 1, dtype=np.uint64)).tolist()
     for start, end, path in zip([0, *stop], stop, code.paths):
-        cells = np.empty((len(path), end - start), np.uint16)
+        cells, n = np.empty((len(path), end - start), np.uint16), times[start:end]
         for lo in range(start, end, 1 << 14):
             first, *others = (t.take(c[lo : min(lo + (1 << 14), end)], axis=0) for t, c in zip(tables, ctx))
             for some, (node, _) in zip(cells[:, lo - start : lo - start + (1 << 14)], path):
@@ -318,9 +332,9 @@ def add_tally(tally: np.ndarray, code: Code, tables: list[np.ndarray], data: np.
                     some += t[:, node]
         for some, (node, bit) in zip(cells, path):
             if len(some) > LEVELS**3 // 16:
-                tally[node, bit] += np.bincount(some, minlength=LEVELS**3).astype(tally.dtype)
+                tally[node, bit] += np.bincount(some, n, LEVELS**3).astype(tally.dtype)
             else:
-                np.add.at(tally[node, bit], some.astype(np.intp), tally.dtype.type(1))
+                np.add.at(tally[node, bit], some.astype(np.intp), n.astype(tally.dtype))
 
 
 def tallied(docs: DataFrame, code: Code, tables: list[np.ndarray], name: str) -> np.ndarray:
@@ -330,7 +344,7 @@ def tallied(docs: DataFrame, code: Code, tables: list[np.ndarray], name: str) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code_, tables_ = shared.value
         tally = np.zeros((SYMBOLS, 2, LEVELS**3), np.uint32)
-        for part in rows(batches, "text", "half", limit_bytes=SCORE_AT_ONCE):
+        for part in rows(batches, "text", "half", limit_bytes=TALLY_AT_ONCE):
             _, data, ends = read([t for t, _ in part])
             add_tally(tally, code_, tables_, data, ends, np.array([h for _, h in part]))
         chunk, salt, packed = packed_chunks([tally.ravel()])
@@ -404,8 +418,7 @@ def gather(docs: DataFrame, code: Code) -> DataFrame:
 
         for part in rows(batches, "text", "half", limit_bytes=COUNT_AT_ONCE):
             found, data, ends = read([t for t, _ in part])
-            for w in found:
-                words.update(w)
+            words.update(chain.from_iterable(found))
             words[b""] += len(found)
             add_counts(counts, code, data, ends, np.array([h for _, h in part]))
             if len(words) > WORDS_AT_ONCE:

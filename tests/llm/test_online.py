@@ -140,6 +140,25 @@ def test_weights_are_fitted_on_every_bit_of_every_training_document(spark, model
     assert {0, 1} == set(halves.values()) and want.sum() > 10_000 and (seen[0] == want).all()
 
 
+def test_equal_symbols_in_equal_contexts_are_looked_up_once(model):
+    code, counts, draw = model
+    taken = []
+
+    class Counted(np.ndarray):
+        def take(self, at, axis=None):
+            taken.append(len(at))
+            return np.asarray(self).take(at, axis=axis)
+
+    tables = [lm.levels(np.concatenate([x, x[::-1]])) for x in lm.odds(counts, code)]
+    once, often = (np.zeros((lm.SYMBOLS, 2, lm.LEVELS**3), np.uint32) for _ in range(2))
+    text = draw(300)
+    _, data, ends = lm.read([text, text])
+    lm.add_tally(once, code, tables, data, ends, np.array([0, 1]))
+    _, data, ends = lm.read([text] * 60)
+    lm.add_tally(often, code, [t.view(Counted) for t in tables], data, ends, np.arange(60) % 2)
+    assert (often == 30 * once).all() and sum(taken) <= 3 * len(data) // 30
+
+
 def test_weights_of_a_tally_are_those_of_logistic_regression():
     rng = np.random.default_rng(5)
     level = rng.integers(1, lm.LEVELS, (3, 200_000))
