@@ -12,6 +12,7 @@ more passes over the number arrays, none is left out.
 
 from __future__ import annotations
 
+import pickle
 from collections import Counter
 from collections.abc import Iterator
 
@@ -21,12 +22,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .base import materialize, mix64, release, returning, rows, table
+from .base import give_back, materialize, mix64, release, returning, rows, table
 from .lm import CHUNK, add_sparse, packed_chunks, sum_chunks
 from .perfecthash import PerfectHash
 
 #: Words, and candidates, that are broadcast at a time.
-WORDS, KEYS = 500_000, 2_000_000
+WORDS, KEYS = 250_000, 1_000_000
 #: A group's numbers; a group holds far fewer.
 ROOM = 22
 #: log2 of the sieve's buckets, at least and at most; more pairs make a full sieve less selective, never wrong.
@@ -115,6 +116,8 @@ def spell(docs: DataFrame, vocabulary: DataFrame, groups: int, name: str) -> Dat
                 yield pa.record_batch(columns, ["now"] if last else ["lang", "text", "now"])
 
         before, at = at, materialize(at.mapInArrow(run, "now binary" if last else "lang string, text string, now binary"), f"{name}-spelt")
+        shared.unpersist()
+        del known
         if g:
             release(before)
     return at
@@ -175,6 +178,18 @@ def candidates(spelt: DataFrame, kept: np.ndarray, bits: int) -> DataFrame:
     return spelt.select("now").mapInArrow(run, "key long").distinct()
 
 
+def hashed(found: DataFrame, groups: int) -> DataFrame:
+    """g, hash: the perfect hash of each group of keys, built in a task from about KEYS of them."""
+
+    def build(keys: pa.Table) -> pa.Table:
+        keys = keys.combine_chunks()
+        made = PerfectHash(keys.column("key").to_numpy().view(np.uint64))
+        return pa.table({"g": pa.array(keys.column("g").to_pylist()[:1], pa.int32()), "hash": pa.array([pickle.dumps(made)], pa.binary())})
+
+    grouped = found.select(F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("g"), "key")
+    return grouped.groupBy("g").applyInArrow(build, "g int, hash binary")
+
+
 def counted(spelt: DataFrame, shared, first: int, least: int, name: str) -> DataFrame:
     """id, prefix, suffix, a of the candidates of one perfect hash that occur `least` times or more. Tasks count by slot; the arrays are summed in a tree."""
 
@@ -233,19 +248,26 @@ def longer(spelt: DataFrame, level: DataFrame, k: int, total: int, least: int, k
     if groups << ROOM >= 1 << 32:
         raise ValueError(f"{groups} groups of phrases don't fit into numbers of 32 bits")
     grams, at = spark.createDataFrame([], "id long, prefix long, suffix long, a long"), spelt
+    hashes = materialize(hashed(found, groups), f"{name}-hashes") if groups else None
     for g in range(groups):
-        mine = found.where(F.pmod(F.xxhash64("key"), F.lit(groups)) == g).toPandas()["key"].to_numpy(np.int64)  # about KEYS at most
-        hash_ = PerfectHash(mine.view(np.uint64))
-        shared, first = spark.sparkContext.broadcast(hash_), g << ROOM
+        made = hashes.where(F.col("g") == g).first()  # about 10 bytes for each of KEYS; a group without keys has none
+        if made is None and g < groups - 1:
+            continue
+        hash_ = pickle.loads(made.hash) if made else PerfectHash(np.empty(0, np.uint64))
+        size, first = len(hash_), g << ROOM
+        shared = spark.sparkContext.broadcast(hash_)
+        del made, hash_
         part = counted(spelt, shared, first, least, name)
-        frequent = np.zeros(len(hash_), bool)
+        frequent = np.zeros(size, bool)
         frequent[part.select("id").toPandas()["id"].to_numpy(np.int64) - first - 1] = True
         if k < 4:
             before, at = at, respell(at, shared, frequent, first, g == groups - 1, f"{name}-spelt")
             if before is not spelt:
                 release(before)
         grams = grams.unionByName(part)
-    release(found)
+        shared.unpersist()
+        give_back()
+    release(found, *([hashes] if hashes is not None else []))
     own = lambda side, *c: level.select(F.col("id").alias(side), *c)
     whole = grams.join(own("prefix", "lang", F.col("phrase").alias("head"), "heads"), "prefix").join(own("suffix", F.col("last"), "tails"), "suffix")
     both = whole.select("id", "prefix", "suffix", "a", "lang", F.concat_ws(" ", "head", "last").alias("phrase"), "last", F.array_append("heads", F.col("a")).alias("heads"), F.array_append("tails", F.col("a")).alias("tails"))
