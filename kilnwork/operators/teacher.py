@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import threading
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +12,7 @@ from pyspark.sql import types as T
 from ..functions import jsontext as J
 from ..functions.text import blank_to_null, strip
 from .classify import calls_any, first_old_name
+from .endpoint import Clients, Limits, asked
 
 SUCCESS = "array<struct<request:string,tool:string,call:string>>"
 FAILED = "array<struct<request:string,tool:string,reason:string,missing_parameters:array<string>,provided_arguments:map<string,string>,description:string>>"
@@ -151,7 +150,7 @@ def dataset(records: DataFrame) -> DataFrame:
     return records.select("system", "user", "assistant", "tools", "tool_count", "tool_type", "refusal", "ablation_mode", *map(nested, ("parameter_mapping", "function_mapping", "teacher_success", "teacher_failed")), "teacher_description")
 
 
-RESULT = f"source_index long, raw string, success {SUCCESS}, failed {FAILED}, description string, error string"
+RESULT = f"raw string, success {SUCCESS}, failed {FAILED}, description string, error string"
 
 
 def _parsed(raw: str) -> dict:
@@ -168,27 +167,43 @@ def _parsed(raw: str) -> dict:
     }
 
 
-def annotate(df: DataFrame, make_client: Callable[[], Callable[[list[dict]], str]], threads: int = 4) -> DataFrame:
-    """Asks for an annotation of every row (source_index, teacher_prompt): a task keeps `threads` requests going, each thread with
-    a client of its own. A row whose request or reply fails has its error instead. Write the result before using it twice:
-    each evaluation asks again."""
+def annotate(df: DataFrame, make_client: Callable[[], Callable[[list[dict]], str]], threads: int = 4, limits: Limits | None = None) -> DataFrame:
+    """Asks for an annotation of every row (source_index, teacher_prompt): source_index, raw, success, failed, description, error.
+
+    A task keeps `threads` requests going (or as `limits` says), each by a client of its own, over batches of rows alike, and passes
+    results on as they come. A row whose request or reply still fails on the last try has its error instead; a reply that is no JSON is
+    asked for again. Tokens are counted as a quarter of the messages' characters. Write the result before using it twice: each evaluation asks again.
+    """
+    limits = limits or Limits(in_flight=threads, tries=1)
+    fields = ["source_index", "raw", "success", "failed", "description", "error"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = threading.local()
-
-        def ask(key: int, messages: list) -> dict:
-            row = {"source_index": key, "raw": None, "success": None, "failed": None, "description": None, "error": None}
-            try:
-                if not hasattr(own, "client"):
-                    own.client = make_client()
-                row["raw"] = own.client([{"role": m["role"], "content": m["content"]} for m in messages])
-                row |= _parsed(row["raw"])
-            except Exception as e:  # noqa: BLE001  one bad reply must not end the job
-                row["error"] = f"{type(e).__name__}: {e}"
-            return row
-
-        with ThreadPoolExecutor(threads) as pool:
-            for pdf in batches:
-                yield pd.DataFrame(list(pool.map(ask, pdf["source_index"], pdf["teacher_prompt"])), columns=["source_index", "raw", "success", "failed", "description", "error"])
+        clients = Clients(make_client)
+        heard: dict = {}
 
-    return df.select("source_index", "teacher_prompt").mapInPandas(run, RESULT)
+        def ask(request: tuple) -> dict:
+            place, messages = request
+            raw = heard[place] = clients(messages)
+            return {"raw": raw} | _parsed(raw)
+
+        def requests() -> Iterator[tuple]:
+            place = 0
+            for pdf in batches:
+                for key, messages in zip(pdf["source_index"], pdf["teacher_prompt"]):
+                    place += 1
+                    yield (key, place), (place, [{"role": m["role"], "content": m["content"]} for m in messages])
+
+        size = lambda request: sum(len(m["content"] or "") for m in request[1]) / 4 + 1
+        out: list[dict] = []
+        for (key, place), answer, error, _ in asked(requests(), ask, limits, cost=size):
+            raw = heard.pop(place, None)
+            out.append(dict.fromkeys(fields) | {"source_index": key} | (answer if error is None else {"raw": raw, "error": f"{type(error).__name__}: {error}"}))
+            if len(out) >= limits.every:
+                yield pd.DataFrame(out, columns=fields)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=fields)
+
+    rows = df.select("source_index", "teacher_prompt")
+    rows = rows.repartition(limits.tasks) if limits.tasks else rows
+    return rows.mapInPandas(run, f"source_index {df.schema['source_index'].dataType.simpleString()}, {RESULT}")

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions.turns import first_turns
 from ..operators import classify, extract, perturb, report, sample, teacher, tokens
+from ..operators.endpoint import Limits
 from ..operators.prompt import EOT, add_prompt, header, render_prompt, teacher_messages
 from ..sources import io
+from ..sources.ledger import Ledger
 
 COLUMNS = ("system", "user", "assistant", "tools", "tool_count", "tool_type", "refusal")
 MAX_TOKENS = 1024
@@ -81,28 +83,58 @@ def annotation_plan(processed: DataFrame, key: str = "key", *, seed: int = 42, l
     return done.withColumn("source_index", F.col(key)).withColumn("teacher_prompt", teacher_messages(F.col("user"), F.col("tools")))
 
 
-def annotate(plan: DataFrame, done: DataFrame, make_client: Callable) -> DataFrame:
-    """Asks for what has no result yet, repairs and validates it. The caller writes the result once, then counts."""
+def annotate(plan: DataFrame, done: DataFrame, make_client: Callable, limits: Limits | None = None) -> DataFrame:
+    """Asks for what has no result yet, repairs and validates it. The caller writes the result once, then counts. teacher_json holds the
+    annotation as it came, so that a later run can repair and validate it anew."""
     todo = teacher.pending(plan, done)
-    got = teacher.annotate(todo, make_client).withColumnsRenamed({"success": "teacher_success", "failed": "teacher_failed", "description": "teacher_description"})
+    got = teacher.annotate(todo, make_client, limits=limits).withColumnsRenamed({"success": "teacher_success", "failed": "teacher_failed", "description": "teacher_description"})
     names = plan.withColumns({"tool_names": extract.function_names("tools"), "old_names": F.coalesce(F.map_keys(F.from_json("parameter_mapping", "map<string,string>")), F.array())})
-    checked = teacher.check_annotations(got.join(names, "source_index"))
+    held = F.when(F.col("error").isNull(), F.struct(F.col("teacher_success").alias("success"), F.col("teacher_failed").alias("failed"), F.col("teacher_description").alias("description")))
+    checked = teacher.check_annotations(got.withColumn("teacher_json", held).join(names, "source_index"))
     return checked.withColumn("status", F.when(F.col("error").isNotNull(), "failed_parse_or_request").otherwise(F.col("status")))
 
 
-def annotate_in_parts(plan: DataFrame, make_client: Callable, folder: str, *, every: int = 10_000) -> int:
-    """As annotate(), but results are kept about `every` rows at a time, each part with a folder (part=0 and so on) of buckets of its own. A run
-    that was broken off goes on behind the last whole part; returns how many parts it asked for."""
+#: Statuses that a resumed run of the tool asks for again.
+RETRIED = ("invalid_schema", "failed_parse_or_request")
+#: What a stored record has beside the plan's columns.
+RECORD = f"raw string, status string, tool_names array<string>, old_names array<string>, teacher_json {teacher.ANNOTATION}, teacher_success {teacher.SUCCESS}, teacher_failed {teacher.FAILED}, teacher_description string, validation_errors array<string>, error string"
+
+
+def record_schema(plan: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema) + f", {RECORD}"
+
+
+def taken_up(plan: DataFrame, ledger: Ledger) -> DataFrame:
+    """Stored records under the plan's modes, repaired and validated anew, each in the bucket of its new status; `changed` where that is another."""
+    again = teacher.refreshed(ledger.of_plan(plan, record_schema(plan)).withColumn("was_", F.col("status")))
+    failed = F.col("error").isNotNull()
+    again = again.withColumn("status", F.when(failed, F.col("was_")).otherwise(F.col("status")))
+    return io.with_bucket(again.withColumn("changed", ~F.col("status").eqNullSafe(F.col("was_")))).drop("was_")
+
+
+def annotate_in_parts(plan: DataFrame, make_client: Callable, folder: str, *, every: int = 10_000, retry: tuple[str, ...] = (), limits: Limits | None = None) -> int:
+    """Annotates what of a plan has no record in `folder` under its planned mode, about `every` rows at a time, each part committed by itself.
+
+    The plan is evaluated once. Stored records are repaired and validated first; those whose status changes are appended anew, so
+    the log tells what is valid now. Of `retry` statuses (RETRIED as the tool does it) records are asked for again. Which rows are pending is an anti join with the log, so a
+    run that broke off goes on behind its last part whatever has become of the plan, and rows of other modes are stale. A key that the plan
+    repeats is asked for once. Returns how many parts were asked for; `Ledger.of_plan` has the records that count.
+    """
     spark = plan.sparkSession
-    parts, asked = max(1, -(-plan.count() // every)), 0
-    mine = F.pmod(F.xxhash64("source_index"), F.lit(parts))
+    ledger, at = Ledger(spark, folder, key=plan.schema["source_index"].dataType.simpleString()), io.scratch(spark, "plan")
+    ledger.sweep()
+    plan = io.written(plan.dropDuplicates(["source_index"]), f"{at}/all")
+    if ledger.parts():
+        changed = io.written(taken_up(plan, ledger).where("changed").drop("part", "bucket", "changed"), f"{at}/changed")
+        if not changed.isEmpty():
+            ledger.append(changed)
+    todo = io.written(ledger.pending(plan, retry), f"{at}/pending")
+    parts = -(-todo.count() // every)
     for i in range(parts):
-        at = f"{folder}/part={i}"
-        if not io.exists(spark, f"{at}/_SUCCESS"):
-            rows = plan.where(mine == i)
-            io.write_buckets(annotate(rows, rows.select("source_index").limit(0), make_client), at)
-            asked += 1
-    return asked
+        rows = todo.where(F.pmod(F.xxhash64("source_index"), F.lit(parts)) == i)
+        ledger.append(annotate(rows, rows.select("source_index").limit(0), make_client, limits))
+    io.delete(spark, at)
+    return parts
 
 
 def shuffled_prompts(df: DataFrame, key: str, *, ratio: float = 0.2, seed: int = 42) -> DataFrame:

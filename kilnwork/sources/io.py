@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import json
+import os
+import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,46 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def _at(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """The names in a folder; none if it isn't there."""
+    fs, p = _at(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, p = _at(spark, path)
+    fs.delete(p, True)
+
+
+def rename(spark: SparkSession, old: str, new: str) -> bool:
+    """Moves a folder to a name that is free; whether it did."""
+    fs, p = _at(spark, old)
+    to = _at(spark, new)[1]
+    fs.mkdirs(to.getParent())
+    return not fs.exists(to) and fs.rename(p, to)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path of its own below spark.checkpoint.dir, the folder that driver and executors share; below the machine's temporary one where none is set and all runs here."""
+    found = spark.conf.get("spark.checkpoint.dir", None)
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = f"file://{tempfile.gettempdir()}/kilnwork-{os.getuid()}"
+    return f"{found.rstrip('/')}/kilnwork-core/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """A table that is evaluated once, written and read back."""
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_dataset(spark: SparkSession, path: str, split: str = "train", form: str = "parquet") -> DataFrame:
     """A table in any format that Spark reads; of a folder of splits the named one, if it is there."""
     inner = f"{path}/{split}"
