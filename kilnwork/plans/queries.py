@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +14,7 @@ from ..operators import classify, extract, perturb, report, sample, teacher, tok
 from ..operators.prompt import EOT, header, render_prompt
 from . import adapters as A
 from ..sources import io
+from ..sources.ledger import Ledger
 from . import pipelines
 
 QUERIES = {}
@@ -528,6 +531,40 @@ def resume_repair(spark, sf_dir):
     return done.select("source_index", "status", F.col("teacher_success")[0]["call"].alias("call"), "came_over", "bucket")
 
 
+def stand_in(bad: int):
+    """A client that calls the first tool it is shown, or answers nothing of use where the request's length is a multiple of `bad`."""
+
+    def make():
+        def reply(messages: list[dict]) -> str:
+            asked = json.loads(messages[1]["content"])
+            tool = J.function_names(asked["tools"])[0]
+            return "I can't." if len(asked["user_request"]) % bad == 0 else J.dump({"success": [{"request": asked["user_request"], "tool": tool, "call": f"[{tool}()]"}], "failed": [], "description": "Done."})
+
+        return reply
+
+    return make
+
+
+MODE = "CASE WHEN r <= floor(n * 0.6::DOUBLE) THEN 'original_refusal' WHEN r <= floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'param_only' WHEN r <= floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) + floor(n * 0.1::DOUBLE) THEN 'function_only' ELSE 'param_and_function' END"
+
+
+@query(f"""WITH {P}, e AS (SELECT key, length("user") AS asks FROM p WHERE refusal = 1 AND tool_type = 'json' AND tool_count > 0),
+one AS (SELECT key, {MODE} AS mode, asks % 4 <> 0 AS good FROM (SELECT *, {ORDER.format(seed=49)} AS r, count(*) OVER () AS n FROM e WHERE key % 3 <> 0)),
+two AS (SELECT key, asks, {MODE} AS mode FROM (SELECT *, {ORDER.format(seed=49)} AS r, count(*) OVER () AS n FROM e))
+SELECT two.key AS source_index, two.mode AS ablation_mode, NOT coalesce(one.good AND one.mode = two.mode, false) AS asked_again,
+  CASE WHEN coalesce(one.good AND one.mode = two.mode, false) OR asks % 8 <> 0 THEN 'valid' ELSE 'failed_parse_or_request' END AS status FROM two LEFT JOIN one ON one.key = two.key""")
+def resumed_annotations(spark, sf_dir):
+    """A run over two thirds of the refusals, then one over all of them, whose plan gives many another mode: what is valid under its planned mode stays, the rest is asked for."""
+    rows, folder = processed(spark, sf_dir), io.scratch(spark, "resumed")
+    pipelines.annotate_in_parts(pipelines.annotation_plan(rows.where("key % 3 <> 0")), stand_in(4), folder, every=1000)
+    plan = pipelines.annotation_plan(rows)
+    ledger = Ledger(spark, folder, key="int" if dict(plan.dtypes)["source_index"] == "int" else "bigint")
+    before = ledger.parts()
+    pipelines.annotate_in_parts(plan, stand_in(8), folder, every=1000, retry=pipelines.RETRIED)
+    kept = ledger.of_plan(plan, pipelines.record_schema(plan))
+    return kept.select("source_index", "ablation_mode", (F.col("part") > F.lit(before[-1])).alias("asked_again") if before else F.lit(True).alias("asked_again"), "status")
+
+
 @query(f"WITH {P} SELECT key, assistant, tools FROM p ORDER BY key LIMIT 5")
 def preview_rows(spark, sf_dir):
     return io.preview(processed(spark, sf_dir), "key", "structured").select("key", "assistant", "tools")
