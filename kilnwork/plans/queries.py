@@ -14,6 +14,7 @@ from ..operators import classify, extract, perturb, report, sample, teacher, tok
 from ..operators.prompt import EOT, header, render_prompt
 from . import adapters as A
 from ..sources import io
+from ..sources.arrow import read_arrow, write_arrow
 from ..sources.ledger import Ledger
 from . import pipelines
 
@@ -239,6 +240,14 @@ def padded_tensors(spark, sf_dir):
     return pad.select(F.size("input_ids").alias("length"), F.aggregate("attention_mask", F.lit(0), lambda a, x: a + x).alias("used"), F.size(F.filter("labels", lambda x: x != tokens.IGNORE)).alias("labelled"))
 
 
+@query(f"WITH {P} SELECT key, tools, tool_count FROM p")
+def arrow_folder(spark, sf_dir):
+    """The rows written as a folder of Arrow files and read back in splits, three columns of them."""
+    path = io.scratch(spark, "arrow")
+    write_arrow(processed(spark, sf_dir), path)
+    return read_arrow(spark, path, ["key", "tools", "tool_count"], split_bytes=1 << 20)
+
+
 # ---- refusals ----
 
 
