@@ -7,6 +7,7 @@ import os
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -114,8 +115,35 @@ def success_cases(spark: SparkSession, folder: str, schema: str) -> DataFrame:
     return read_buckets(spark, folder, schema, ("valid",)).where(F.size("teacher_success") > 0)
 
 
-def save_dataset(df: DataFrame, path: str, *, overwrite: bool = True) -> None:
-    df.write.mode("overwrite" if overwrite else "errorifexists").parquet(path)
+def save_dataset(df: DataFrame, path: str, *, overwrite: bool = True, form: str = "parquet") -> None:
+    """Saves a table in two phases, so that a job that fails leaves what was there, and a table may replace its own input.
+
+    Everything is written to a hidden folder beside the target, which then takes its name; an old table stands aside until that is done and
+    comes back if it can't be. Without `overwrite` an existing target is an error, both before anything is computed and when the rows are
+    written, if another run was faster. Between the two renames of a replacement the table is missing for a moment.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    parent, _, name = path.rpartition("/")
+    mark = uuid.uuid4().hex
+    staged, aside = f"{parent}/.{name}.new-{mark}", f"{parent}/.{name}.old-{mark}"
+
+    def check() -> None:
+        if not overwrite and exists(spark, path):
+            raise AnalysisException(f"{path} exists already")
+
+    check()
+    try:
+        df.write.format(form).save(staged)
+        check()
+        if exists(spark, path) and not rename(spark, path, aside):
+            raise OSError(f"{path} could not be set aside")
+        if not rename(spark, staged, path):
+            if exists(spark, aside):
+                rename(spark, aside, path)
+            raise OSError(f"{path} could not be put in place")
+    finally:
+        delete(spark, staged)
+    delete(spark, aside)
 
 
 def save_readable(df: DataFrame, path: str) -> None:
