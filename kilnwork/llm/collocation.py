@@ -33,7 +33,9 @@ ROOM = 22
 #: log2 of the sieve's buckets, at least and at most; more pairs make a full sieve less selective, never wrong.
 SIEVE_LEAST, SIEVE_MOST = 16, 24
 #: Distinct words or keys that a task holds before it hands them on.
-HELD = 400_000
+HELD, HELD_KEYS = 400_000, 1_000_000
+#: Slices of the candidates for every group of them.
+SLICES = 256
 #: Partial ranks of a language are taken in so many parts first.
 PARTS = 64
 ENDS = b".,;:!?\n\x0b\x0c\r"
@@ -155,10 +157,25 @@ def sieve(spelt: DataFrame, bits: int, least: int, name: str) -> np.ndarray:
     return kept
 
 
-def candidates(spelt: DataFrame, kept: np.ndarray, bits: int) -> DataFrame:
-    """key: the distinct pairs that pass the sieve."""
+def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
+    return ((mix64(keys) >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
+
+
+def merged(arrays: list[np.ndarray]) -> np.ndarray:
+    return np.unique(np.concatenate(arrays)) if len(arrays) > 1 else arrays[0]
+
+
+def candidates(spelt: DataFrame, kept: np.ndarray, bits: int, slices: int) -> DataFrame:
+    """slice, keys (sorted, as bytes), n: the distinct pairs that pass the sieve. Tasks hand on sorted arrays, a slice of the keys each, and merge them."""
     shared = spelt.sparkSession.sparkContext.broadcast(kept)  # 2^SIEVE_MOST bits at most
-    mask = np.uint64((1 << bits) - 1)
+    mask, fields = np.uint64((1 << bits) - 1), ["slice", "keys"]
+
+    def dealt(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+        at = slice_of(held, slices)
+        order = np.argsort(at, kind="stable")
+        edges = np.flatnonzero(np.diff(at[order], prepend=-1, append=slices))
+        out = [(int(at[order[i]]), held[order[i:j]].tobytes()) for i, j in zip(edges, edges[1:])]
+        yield pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.empty(0, np.uint64)
@@ -167,27 +184,41 @@ def candidates(spelt: DataFrame, kept: np.ndarray, bits: int) -> DataFrame:
             for i in range(0, len(all_), 1 << 20):
                 keys = pairs(all_[i : i + (1 << 20) + 1])[1]
                 at = (mix64(keys) & mask).astype(np.int64)
-                keys = keys[shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
-                held = np.union1d(held, keys)
-                if len(held) > HELD:
-                    yield pa.record_batch([pa.array(held.view(np.int64))], ["key"])
+                held = np.union1d(held, keys[shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1])
+                if len(held) > HELD_KEYS:
+                    yield from dealt(held)
                     held = held[:0]
         if len(held):
-            yield pa.record_batch([pa.array(held.view(np.int64))], ["key"])
+            yield from dealt(held)
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, tuple[list[np.ndarray], int]] = {}
+        for b in returning(batches):
+            for at, keys in zip(b.column("slice").to_pylist(), b.column("keys")):
+                arrays, size = sums.get(at, ([], 0))
+                arrays.append(np.frombuffer(keys.as_buffer(), np.uint64).copy())
+                size += len(arrays[-1])
+                if size > 2 * len(arrays[0]) + 10_000:  # merged whenever a slice has doubled
+                    arrays = [merged(arrays)]
+                    size = len(arrays[0])
+                sums[at] = arrays, size
+        for at, (arrays, _) in sums.items():
+            keys = merged(arrays)
+            yield pa.record_batch([pa.array([at], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64())], [*fields, "n"])
 
-    return spelt.select("now").mapInArrow(run, "key long").distinct()
+    return spelt.select("now").mapInArrow(run, "slice int, keys binary").repartition("slice").mapInArrow(merge, "slice int, keys binary, n long")
 
 
-def hashed(found: DataFrame, groups: int) -> DataFrame:
-    """g, hash: the perfect hash of each group of keys, built in a task from about KEYS of them."""
+def hashed(found: DataFrame, group_of: dict[int, int]) -> DataFrame:
+    """g, hash: the perfect hash of each group of slices, built in a task from about KEYS keys."""
+    spark = found.sparkSession
+    groups = spark.createDataFrame(list(group_of.items()), "s_ int, g int")
 
-    def build(keys: pa.Table) -> pa.Table:
-        keys = keys.combine_chunks()
-        made = PerfectHash(keys.column("key").to_numpy().view(np.uint64))
-        return pa.table({"g": pa.array(keys.column("g").to_pylist()[:1], pa.int32()), "hash": pa.array([pickle.dumps(made)], pa.binary())})
+    def build(rows_: pa.Table) -> pa.Table:
+        made = PerfectHash(np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in rows_.column("keys")]))
+        return pa.table({"g": pa.array(rows_.column("g").to_pylist()[:1], pa.int32()), "hash": pa.array([pickle.dumps(made)], pa.binary())})
 
-    grouped = found.select(F.pmod(F.xxhash64("key"), F.lit(groups)).cast("int").alias("g"), "key")
-    return grouped.groupBy("g").applyInArrow(build, "g int, hash binary")
+    return found.join(groups, F.col("slice") == F.col("s_")).select("g", "keys").groupBy("g").applyInArrow(build, "g int, hash binary")
 
 
 def counted(spelt: DataFrame, shared, first: int, least: int, name: str) -> DataFrame:
@@ -243,20 +274,24 @@ def longer(spelt: DataFrame, level: DataFrame, k: int, total: int, least: int, k
     """The frequent phrases of k words (as `level` has those of k - 1), and the texts spelt in their numbers."""
     spark = spelt.sparkSession
     bits = min(max(SIEVE_LEAST, (total // 8 + 1).bit_length()), SIEVE_MOST)
-    found = materialize(candidates(spelt, sieve(spelt, bits, least, name), bits), f"{name}-candidates")
-    groups = -(-found.count() // keys_at_once)
-    if groups << ROOM >= 1 << 32:
-        raise ValueError(f"{groups} groups of phrases don't fit into numbers of 32 bits")
+    kept = sieve(spelt, bits, least, name)
+    likely = int(np.bitwise_count(kept).sum())  # buckets that pass hold a few keys each
+    slices = max(SLICES, likely * SLICES // keys_at_once, total >> 26)
+    found = materialize(candidates(spelt, kept, bits, slices), f"{name}-candidates")
+    group_of, groups, held = {}, 0, 0
+    for r in found.select("slice", "n").orderBy("slice").toLocalIterator():  # in proportion to the groups
+        if not groups or held + r.n > keys_at_once:
+            groups, held = groups + 1, 0
+        group_of[r.slice], held = groups - 1, held + r.n
+        if r.n >= 1 << ROOM or groups << ROOM >= 1 << 32:
+            raise ValueError(f"{slices} slices of phrases don't fit into numbers of 32 bits")
     grams, at = spark.createDataFrame([], "id long, prefix long, suffix long, a long"), spelt
-    hashes = materialize(hashed(found, groups), f"{name}-hashes") if groups else None
+    hashes = materialize(hashed(found, group_of), f"{name}-hashes") if groups else None
     for g in range(groups):
-        made = hashes.where(F.col("g") == g).first()  # about 10 bytes for each of KEYS; a group without keys has none
-        if made is None and g < groups - 1:
-            continue
-        hash_ = pickle.loads(made.hash) if made else PerfectHash(np.empty(0, np.uint64))
+        hash_ = pickle.loads(hashes.where(F.col("g") == g).first().hash)  # about 10 bytes for each of KEYS
         size, first = len(hash_), g << ROOM
         shared = spark.sparkContext.broadcast(hash_)
-        del made, hash_
+        del hash_
         part = counted(spelt, shared, first, least, name)
         frequent = np.zeros(size, bool)
         frequent[part.select("id").toPandas()["id"].to_numpy(np.int64) - first - 1] = True
