@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import hashlib
 import os
 import re
 import tempfile
@@ -109,6 +110,24 @@ class Hashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+class KeyedNames(dict):
+    """BLAKE2b of 128 bits by word, under a key, remembered as Hashes are."""
+
+    def __init__(self, key: bytes, limit: int = 300_000):
+        super().__init__()
+        self.key, self.limit = key, limit
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= self.limit:
+            self.clear()
+        found = self[word] = hashlib.blake2b(word, digest_size=16, key=self.key).digest()
+        return found
+
+    def array(self, words: list[bytes]) -> np.ndarray:
+        """Two numbers a word."""
+        return np.frombuffer(b"".join(map(self.__getitem__, words)), np.uint64).reshape(-1, 2)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -165,10 +184,11 @@ def crc_text(column: str):
 
 
 def bounded_sample(df: DataFrame, key: str, most: int, seed: int = 42) -> DataFrame:
-    """About `most` rows, those of least seeded hash of `key`, and never more than twice as many (were one key to repeat that
-    often). Unlike an ordered limit no task sends more to the driver than its share."""
+    """About `most` rows, those of least seeded hash of `key`, one for each key (of rows that repeat it that of the least other columns). No task
+    holds more of them than its share. Of n rows so many keys are drawn that `most` is what is expected; that twice as many come is as good as impossible."""
     n = df.count()
-    if n <= most:
-        return df
+    rest = [c for c in df.columns if c != key]
     room = 1 << 40
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(room)) < F.lit(room * most // n)).limit(2 * most)
+    drawn = df.where(F.pmod(F.xxhash64(F.lit(seed), key), F.lit(room)) < F.lit(room * most // n)) if n > most else df
+    one = drawn.groupBy(key).agg(F.min(F.struct(*rest)).alias("one_"))
+    return one.select(*(key if c == key else F.col(f"one_.{c}") for c in df.columns))

@@ -8,8 +8,9 @@ window's words occur. Each window picks one such symbol of the highest round tha
 as inside a long run), so equal windows pick equal anchors.
 
 Spark counts anchors over all documents; those of one document only are gone for good. What is left is verified: windows
-around shared anchors get names of 128 bits, made pair by pair from those of their words (two, four, ... words, then the
-whole), and the smallest doc_id of each is joined back. Whole texts are told apart by SHA-256.
+around shared anchors get names of 128 bits, two halves each made pair by pair from those of their words (two, four, ... words, then the
+whole); a word's are the halves of a BLAKE2b of 128 bits under a secret key of the run. The smallest doc_id of each name is joined back.
+Whole texts are told apart by SHA-256.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import Hashes, KeyFilter, materialize, release, mix64, rows, table, words_of
+from .base import Hashes, KeyedNames, KeyFilter, materialize, release, mix64, rows, table, words_of
 
 WINDOW = 50
 ROUNDS = 8
@@ -138,6 +139,13 @@ class Batch:
         self.h[self.bar] = 0
         self.prefix = Prefix(self.h, FACTORS[0])
 
+    def named(self, words: list[list[bytes]], names: KeyedNames) -> tuple[np.ndarray, np.ndarray]:
+        """The two keyed names of every word, in its place."""
+        both = np.zeros((len(self.h), 2), np.uint64)
+        for at, w in zip(self.first.tolist(), words):
+            both[at : at + len(w)] = names.array(w)
+        return np.ascontiguousarray(both[:, 0]), np.ascontiguousarray(both[:, 1])
+
     def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Starts of all windows and the document (by index) of each."""
         count = np.maximum(self.n - width + 1, 0)
@@ -180,14 +188,16 @@ def parse(docs: DataFrame, width: int) -> DataFrame:
 
 def candidate_windows(candidates: DataFrame, width: int) -> DataFrame:
     """h1, h2, doc_id, tag, place of every window of the candidates (doc_id, tag, text, keys) that picks one of `keys`."""
-    salts = [secrets.randbits(64) for _ in range(2)]  # any will do; nobody can aim a text at them
+    key = secrets.token_bytes(32)  # any will do; without it nobody can make words or texts that are named alike
+    salts = [secrets.randbits(64) for _ in range(2)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Hashes()
+        memo, names = Hashes(), KeyedNames(key)
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 c = b.slice(at, 256)
-                batch = Batch([words_of(t) for t in c.column("text").to_pylist()], memo)
+                words = [words_of(t) for t in c.column("text").to_pylist()]
+                batch = Batch(words, memo)
                 starts, doc = batch.windows(width)
                 keys = anchors(batch.h, batch.bar, starts, batch.prefix, width).view(np.int64)
                 lists = c.column("keys")
@@ -195,7 +205,7 @@ def candidate_windows(candidates: DataFrame, width: int) -> DataFrame:
                 tag = lambda k, d: mix64(k.view(np.uint64) + mix64(d.astype(np.uint64)))
                 use = np.flatnonzero(np.isin(tag(keys, doc), tag(shared, of)))
                 p, d = starts[use], doc[use]
-                cols = [window_names(batch.h, width, s)[p].view(np.int64) for s in salts]
+                cols = [window_names(h, width, s)[p].view(np.int64) for h, s in zip(batch.named(words, names), salts)]
                 cols += [c.column(n).to_numpy(zero_copy_only=False)[d] for n in ("doc_id", "tag")] + [p - batch.first[d]]
                 for i in range(0, len(use), 1 << 16):
                     yield pa.record_batch([pa.array(x[i : i + (1 << 16)], pa.int64()) for x in cols], ["h1", "h2", "doc_id", "tag", "place"])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -49,9 +50,15 @@ def describe(text: str | None, memo: Hashes) -> tuple[list[int], list[float]]:
         order = np.argsort(w, kind="stable")
         same = w[order[1:]] == w[order[:-1]]
         if same.any():
+            maybe = np.zeros(len(w), bool)
+            maybe[order[1:][same]] = True
+            maybe[order[:-1][same]] = True
+            # hashes only choose which windows are compared, by their words
+            places = np.flatnonzero(maybe).tolist()
+            shown = [b" ".join(words[i : i + REPEAT_WINDOW]) for i in places]
+            often = Counter(shown)
             twice = np.zeros(len(w), bool)
-            twice[order[1:][same]] = True
-            twice[order[:-1][same]] = True
+            twice[[i for i, x in zip(places, shown) if often[x] > 1]] = True
             edge = np.zeros(n + 1, np.int64)
             at = np.flatnonzero(twice)
             edge[at] += 1
@@ -85,9 +92,10 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 def labelled_sample(stats: DataFrame, labels: DataFrame, where: str, most: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels (quality, 0 or 1) of about `most` labelled documents, those of least hash; `where` is a condition on doc_id.
-    Null labels and labels of no document are ignored; of repeated labels the least counts, of repeated documents each row."""
+    Null labels and labels of no document are ignored; of repeated labels the least counts, of repeated documents the row of least features."""
     known = labels.where("quality in (0, 1) and doc_id is not null").where(where).groupBy("doc_id").agg(F.min("quality").alias("y"))
     drawn = bounded_sample(known, "doc_id", most)
-    got = stats.select("doc_id", "features").join(drawn, "doc_id").select("doc_id", "features", "y").toPandas().sort_values("doc_id", kind="stable")
+    one = stats.select("doc_id", "features").join(drawn, "doc_id").groupBy("doc_id").agg(F.min("features").alias("features"), F.min("y").alias("y"))
+    got = one.toPandas().sort_values("doc_id", kind="stable")
     x = np.array(got["features"].tolist(), np.float64).reshape(len(got), len(FEATURES))
     return x, got["y"].to_numpy(np.float64)
