@@ -28,6 +28,8 @@ SAMPLE, LISTS, CHUNK, QUERIES = 20_000, 4096, 16_384, 4096
 GROUP = 8192
 #: Rows of the sample that every query is compared with first: their k-th best score is its first threshold.
 SEEDS = 1024
+#: Vectors of larger powers of two are scaled down to this one for the scan, so that no product overflows.
+SAFE = 500
 #: Columns of a block, and standard deviations that a partial distance is given before its candidate is abandoned.
 BLOCK, SIGMAS = 16, 3.0
 #: Recall on the sample that the number of probes is chosen for.
@@ -48,6 +50,17 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
+def scores_of(q: np.ndarray, x: np.ndarray, shift: int) -> np.ndarray:
+    """Inner products of rows with rows. Where a double can't hold them on the way they are those of vectors scaled down by 2**shift, scaled
+    back: infinite, if they are larger than any double, and never undefined."""
+    with np.errstate(over="ignore", invalid="ignore"):
+        s = exact(q, x)
+        large = ~np.isfinite(s) if shift else np.zeros(len(s), bool)
+        if large.any():
+            s[large] = np.ldexp(exact(np.ldexp(q[large], -shift), np.ldexp(x[large], -shift)), 2 * shift)
+    return s
+
+
 def mixed(i: int) -> int:
     return int(mix64(np.array([i & (1 << 64) - 1], np.uint64))[0])
 
@@ -95,8 +108,12 @@ class Scan:
     more of T than SIGMAS standard deviations above that mean (or than all of T).
     """
 
-    def __init__(self, q: np.ndarray, ids: np.ndarray, floor: np.ndarray, rotation: np.ndarray, k: int):
-        self.q, self.ids, self.floor, self.rotation, self.k = q, ids, floor.copy(), rotation, k
+    def __init__(self, q: np.ndarray, ids: np.ndarray, floor: np.ndarray, rotation: np.ndarray, k: int, shift: int = 0):
+        """`shift`: the scan takes vectors times 2**-shift, whose products no double overflows at; scores are those of the vectors as they are."""
+        self.original, self.shift = q, shift
+        q = np.ldexp(q, -shift) if shift else q
+        self.q, self.ids, self.rotation, self.k = q, ids, rotation, k
+        self.floor = self.scaled(floor)
         dim = q.shape[1]
         self.turned = q @ rotation
         self.cuts = [0, *range(BLOCK, dim, BLOCK), dim]
@@ -104,6 +121,12 @@ class Scan:
         self.norms, self.whole = self.prefix_norms(self.turned), (q * q).sum(1)
         self.scores, self.found = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
 
+    def scaled(self, score: np.ndarray) -> np.ndarray:
+        """The least product of scaled vectors that has this score; of infinite ones all that overflow."""
+        if not self.shift:
+            return score.copy()
+        return np.minimum(np.ldexp(score, -2 * self.shift), np.ldexp(1 - 2.0**-40, 1024 - 2 * self.shift))
+
     def prefix_norms(self, m: np.ndarray) -> list[np.ndarray]:
         return [(m[:, :c] ** 2).sum(1) for c in self.cuts]
 
@@ -114,6 +137,7 @@ class Scan:
 
     def list(self, asking: np.ndarray, x: np.ndarray, x_ids: np.ndarray) -> None:
         """Scans one list for the queries (by place) that probe it: whole blocks while many candidates are left, then single ones."""
+        original, x = x, np.ldexp(x, -self.shift) if self.shift else x
         turned, x_whole = x @ self.rotation, (x * x).sum(1)
         x_norms = self.prefix_norms(turned)
         of_x = [self.least(i, n, x_whole) for i, n in enumerate(x_norms)]
@@ -138,8 +162,8 @@ class Scan:
                 a, b, got = a[ok], b[ok], got[ok]
             other = self.ids[a] != x_ids[b]
             a, b = a[other], b[other]
-            s = exact(self.q[a], x[b])
-            ok = s >= self.floor[a]
+            s = scores_of(self.original[a], original[b], self.shift)
+            ok = self.scaled(s) >= self.floor[a]
             self.merge(a[ok], x_ids[b[ok]], s[ok])
 
     def merge(self, a: np.ndarray, ids: np.ndarray, s: np.ndarray) -> None:
@@ -153,7 +177,7 @@ class Scan:
         order = np.lexsort((name, -score, owner))
         first = np.searchsorted(owner[order], np.arange(len(who)))[:, None] + np.arange(k)
         self.scores[who], self.found[who] = score[order][first], name[order][first]
-        self.floor[who] = np.maximum(self.floor[who], self.scores[who, k - 1])
+        self.floor[who] = np.maximum(self.floor[who], self.scaled(self.scores[who, k - 1]))
 
 
 def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42, name: str = "ann") -> DataFrame:
@@ -161,7 +185,7 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
 
     Null ids, null or zero vectors, those with null or non-finite components, and those of another length than most
     (of lengths as frequent, the shorter) take no part. Ties go to the smaller vec_id; rows that repeat an id and a vector count once, and never
-    as their own id's neighbours. Empty tables give no rows; other columns are ignored.
+    as their own id's neighbours. Products larger than any double are infinite, and tie. Empty tables give no rows; other columns are ignored.
     """
     spark = vectors.sparkSession
     fine = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select("vec_id", "embedding", F.size("embedding").alias("dim"))
@@ -172,12 +196,16 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
     dim, n = lengths[0]["dim"], lengths[0]["count"]
     fine = materialize(fine.where(F.col("dim") == dim).drop("dim").dropDuplicates(["vec_id", "embedding"]), f"{name}-rows")  # repeats would fill the k best
     got = sorted(bounded_sample(fine, "vec_id", SAMPLE, seed).collect(), key=lambda r: (mixed(r.vec_id), r.vec_id))
-    xs, ids = np.array([r.embedding for r in got], np.float64), np.array([r.vec_id for r in got], np.int64)
+    top = fine.agg(F.max(F.array_max(F.transform("embedding", F.abs)))).first()[0]
+    shift = max(0, int(np.frexp(float(top))[1]) - SAFE)
+    whole_, ids = np.array([r.embedding for r in got], np.float64), np.array([r.vec_id for r in got], np.int64)
+    xs = np.ldexp(whole_, -shift)
     centroids = k_means(xs, min(LISTS, max(1, int(np.sqrt(n)))), seed)
-    probes = choose_probes(xs, ids, centroids, k)
+    # where products overflow, infinite ones tie across all lists
+    probes = len(centroids) if shift else choose_probes(xs, ids, centroids, k)
     rotation = np.linalg.qr(np.random.default_rng(seed).normal(size=(dim, dim)))[0]
     groups = nearest(centroids, k_means(centroids, -(-n // GROUP), seed))
-    model = spark.sparkContext.broadcast((xs[:SEEDS], ids[:SEEDS], centroids, rotation))  # bounded by SEEDS and LISTS
+    model = spark.sparkContext.broadcast((xs[:SEEDS], ids[:SEEDS], centroids, rotation, whole_[:SEEDS]))  # bounded by SEEDS and LISTS
 
     kind = np.float32 if vectors.schema["embedding"].dataType.elementType == FloatType() else np.float64  # as they come: scores are exact
 
@@ -187,18 +215,19 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = matrix(b)
-            at = nearest(x, model.value[2])
+            at = nearest(np.ldexp(x, -shift) if shift else x, model.value[2])
             yield pa.record_batch([pa.array(groups[at], pa.int32()), pa.array(at, pa.int32()), b.column("vec_id"), packed(x)], ["group", "list", "vec_id", "vector"])
 
     def packed(x: np.ndarray) -> pa.Array:
         return pa.array([v.tobytes() for v in np.ascontiguousarray(x, kind)], pa.binary())
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        xs, ids, c, _ = model.value
+        xs, ids, c, _, whole_ = model.value
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 b = whole.slice(at, 500)
-                q, q_ids = matrix(b).astype(np.float64), b.column("vec_id").to_numpy()
+                original, q_ids = matrix(b).astype(np.float64), b.column("vec_id").to_numpy()
+                q = np.ldexp(original, -shift)
                 lists = np.argsort(-(q @ c.T), 1, kind="stable")[:, :probes].astype(np.int32)
                 s = q @ xs.T
                 s[q_ids[:, None] == ids[None]] = -np.inf
@@ -206,10 +235,10 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
                 have = np.isfinite(np.take_along_axis(s, top, 1))
                 a = np.repeat(np.arange(len(q)), have.sum(1))
                 at_ = top[have]
-                scores = np.split(exact(q[a], xs[at_]), np.cumsum(have.sum(1))[:-1])
+                scores = np.split(scores_of(original[a], whole_[at_], shift), np.cumsum(have.sum(1))[:-1])
                 floor = np.array([x.min() if len(x) == k else -np.inf for x in scores])
                 seeds = [pa.array([x.tolist() for x in v], pa.list_(t)) for v, t in ((np.split(ids[at_], np.cumsum(have.sum(1))[:-1]), pa.int64()), (scores, pa.float64()))]
-                yield pa.record_batch([b.column("vec_id"), packed(q), pa.array(floor), pa.array(list(lists), pa.list_(pa.int32())), pa.array([np.unique(groups[x]) for x in lists], pa.list_(pa.int32())), *seeds], ["query_id", "query", "floor", "lists", "groups", "seed_ids", "seed_scores"])
+                yield pa.record_batch([b.column("vec_id"), packed(original), pa.array(floor), pa.array(list(lists), pa.list_(pa.int32())), pa.array([np.unique(groups[x]) for x in lists], pa.list_(pa.int32())), *seeds], ["query_id", "query", "floor", "lists", "groups", "seed_ids", "seed_scores"])
 
     rows = materialize(fine.mapInArrow(assign, "group int, list int, vec_id long, vector binary"), f"{name}-lists")
     queries = materialize(fine.where(F.col("vec_id") % every == 0).mapInArrow(probe, "query_id long, query binary, floor double, lists array<int>, groups array<int>, seed_ids array<long>, seed_scores array<double>"), f"{name}-queries")
@@ -226,7 +255,7 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         read = lambda column: np.frombuffer(b"".join(column), kind).reshape(-1, dim).astype(np.float64)
         q_ids = q["query_id"].to_numpy(np.int64)
-        work = Scan(read(q["query"]), q_ids, q["floor"].to_numpy(np.float64), model.value[3], k)
+        work = Scan(read(q["query"]), q_ids, q["floor"].to_numpy(np.float64), model.value[3], k, shift)
         x = x.sort_values(["list", "vec_id"], kind="stable")
         vectors, x_ids, names = read(x["vector"]), x["vec_id"].to_numpy(np.int64), x["list"].to_numpy()
         probing = np.zeros((len(q), len(model.value[2])), bool)
@@ -234,7 +263,7 @@ def search(vectors: DataFrame, *, every: int = EVERY, k: int = K, seed: int = 42
         for name_ in np.unique(names):
             lo, hi = np.searchsorted(names, [name_, name_ + 1])
             work.list(np.flatnonzero(probing[:, name_]), vectors[lo:hi], x_ids[lo:hi])
-        a, b = np.nonzero(np.isfinite(work.scores))
+        a, b = np.nonzero(work.found != np.iinfo(np.int64).max)
         return pd.DataFrame({"query_id": q_ids[a], "vec_id": work.found[a, b], "score": work.scores[a, b]})
 
     key = ("group", "chunk", "block")

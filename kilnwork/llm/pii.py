@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .base import bounded_sample, table
+from .base import bounded_sample, materialize, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns. Possessive quantifiers and "not inside a run, or where the last match ended" change no match, but keep
@@ -44,6 +44,8 @@ GATES = {
 }
 #: Documents, about, whose base spans the trees learn from, and candidates of one document, at most.
 DOCUMENTS, OF_ONE = 20_000, 50
+#: Candidates, about, that the driver learns from.
+EXAMPLES = 50_000
 CONTEXT = 24
 FEATURES = ("kind", "digits", "length", "luhn", "marks", "joined", "good_words", "bad_words", "first_digit", "written")
 GOOD, BAD = r"(?i)mail|contact|reach|write|phone|tel|call|mobile|fax|card|visa|amex|pay|host|server|\bip\b|addr", r"(?i)order|version|release|isbn|serial|invoice|part|ticket|no\.|number|id\b|#|build|page"
@@ -179,7 +181,8 @@ def corpus_examples(docs: DataFrame, most: int = DOCUMENTS) -> DataFrame:
     known = (F.col("c.k") == 0) | F.exists("own", lambda o: o.endswith(digits))
     usable_ = (F.col("c.k") == 2) | ((F.col("c.k") == 3) & ((F.col("good") == 0) | known)) | ((F.col("c.k") < 2) & F.col("clear") & ((F.col("good") == 0) | known))
     y = F.when(F.col("c.k") == 2, F.col("c.luhn").cast("int")).otherwise(F.col("good"))
-    return found.where(usable_).select("i", y.alias("y"), *(F.col(f"c.{f}") for f in FEATURES))
+    examples = materialize(found.where(usable_).select("i", "c.start", "good", y.alias("y"), *(F.col(f"c.{f}") for f in FEATURES)), "pii-examples")
+    return examples.where(F.pmod(F.xxhash64("i", "start", "good", "kind"), F.lit(1 << 20)) < F.lit((1 << 20) * EXAMPLES // max(EXAMPLES, examples.count()))).drop("start", "good")
 
 
 def fit_selector(docs: DataFrame) -> tuple[boosting.Trees, list[float]]:
