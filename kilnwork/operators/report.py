@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import json
 import os
+from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import ratio
@@ -45,16 +47,44 @@ def grouped_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select(labels).groupBy("g.grouping", "g.value").agg(F.count("*").alias("n"))
 
 
-def dataset_report(before: DataFrame, after: DataFrame, length: str) -> dict:
-    """Rows before and after the length filter, frequencies of refusals, tool types and tool counts, and length statistics."""
+def report_rows(before: DataFrame, after: DataFrame, length: str) -> DataFrame:
+    """side (0 before a filter, 1 after it), grouping, value, n, of (all of the side): what a report shows, in one pass over both tables.
+
+    Groupings are extract_failed of all rows, then refusal, tool_type and tool_bucket of those that are left, and `length`, of which only the values
+    stay that are its least, its percentiles or its largest (`shows` names them, as length_stats does). Lengths that are null are left out. Counts are what
+    meets in a task: one for each value, so lengths should be whole numbers of some range.
+    """
     from .classify import tool_bucket
 
-    n, kept = before.count(), after.count()
-    table = lambda c: {str(r.value): {"count": r.n, "ratio": r.ratio} for r in frequency(after, c).orderBy("value").collect()}
+    names = ("extract_failed", "refusal", "tool_type", "tool_bucket", "length")
+    none = lambda c: F.lit(None).cast("string").alias(c)
+    one = before.select(F.lit(0).alias("side"), F.col("extract_failed").cast("string").alias("extract_failed"), *map(none, names[1:]))
+    two = after.select(F.lit(1).alias("side"), none("extract_failed"), F.col("refusal").cast("string").alias("refusal"), F.col("tool_type").cast("string").alias("tool_type"), tool_bucket(F.col("tool_count")).alias("tool_bucket"), F.col(length).cast("long").cast("string").alias("length"))
+    both = one.unionByName(two)
+    counted = both.groupingSets([[both.side, both[c]] for c in names], "side", *names).agg(F.count("*").alias("n"), *(F.grouping(c).alias(f"no_{c}") for c in names))
+    of = F.coalesce(*(F.when(F.col(f"no_{c}") == 0, F.lit(c)) for c in names))
+    named = counted.select("side", of.alias("grouping"), F.coalesce(*names).alias("value"), "n").where("(side = 0) = (grouping = 'extract_failed') and (grouping <> 'length' or value is not null)")
+    inside = Window.partitionBy("side", "grouping")
+    ordered = named.withColumn("v", F.expr("try_cast(value as bigint)"))
+    upto = ordered.withColumns({"of": F.sum("n").over(inside), "upto": F.sum("n").over(inside.orderBy("v", "value").rowsBetween(Window.unboundedPreceding, 0))})
+    rank = lambda q: F.bround(F.lit(float(q)) / 100 * (F.col("of") - 1))
+    at = lambda r: (F.col("upto") > r) & (F.col("upto") - F.col("n") <= r)
+    shows = [F.when(at(F.lit(0)), "min"), *(F.when(at(rank(q)), f"p{q}") for q in PERCENTS), F.when(F.col("upto") == F.col("of"), "max")]
+    out = upto.withColumn("shows", F.when(F.col("grouping") == "length", F.array_compact(F.array(*shows))))
+    return out.where("grouping <> 'length' or size(shows) > 0").select("side", "grouping", "value", "n", "of", "shows")
+
+
+def dataset_report(before: DataFrame, after: DataFrame, length: str) -> dict:
+    """Rows before and after the length filter, frequencies of refusals, tool types and tool counts, and length statistics: one job."""
+    got = report_rows(before, after, length).collect()  # a row for each value of a grouping, and seven lengths at most
+    table = lambda c: {str(r.value): {"count": r.n, "ratio": r.n / r.of} for r in sorted((r for r in got if r.grouping == c), key=lambda r: str(r.value))}
+    n, kept = (next((r.of for r in got if r.grouping == c), 0) for c in ("extract_failed", "refusal"))
+    lengths = {s: int(r.value) for r in got if r.grouping == "length" for s in r.shows}
     return {
         "rows_before": n, "rows_after": kept, "removed": n - kept, "removed_ratio": (n - kept) / n if n else 0.0,
-        "refusal": table("refusal"), "tool_type": table("tool_type"), "tool_bucket": table(tool_bucket(F.col("tool_count"))),
-        "extract_failed": before.where("extract_failed").count(), "length": length_stats(after, length).first().asDict(),
+        "refusal": table("refusal"), "tool_type": table("tool_type"), "tool_bucket": table("tool_bucket"),
+        "extract_failed": sum(r.n for r in got if r.grouping == "extract_failed" and r.value == "true"),
+        "length": {"n": next((r.of for r in got if r.grouping == "length"), 0)} | {k: lengths.get(k, 0) for k in ("min", *(f"p{q}" for q in PERCENTS), "max")},
     }
 
 
@@ -101,9 +131,26 @@ def short_examples(df: DataFrame, key: str = "key") -> DataFrame:
 
 
 def metadata(frames: dict[str, DataFrame], paths: dict[str, str] | None = None, flags: dict[str, str] | None = None) -> dict:
-    """Row counts by name, where `flags` has a condition for a name also the rows that meet it, and the paths written."""
+    """Row counts by name, where `flags` has a condition for a name also the rows that meet it, and the paths written: one job for all tables."""
+    out: dict = {}
+    parts = [df.agg(F.lit(name).alias("name"), F.count("*").alias("rows"), F.count_if(F.expr((flags or {}).get(name, "false"))).alias("flagged")) for name, df in frames.items()]
+    for row in functools.reduce(DataFrame.unionByName, parts).collect() if parts else []:
+        out[row.name] = {"rows": row.rows} | ({"flagged": row.flagged} if row.name in (flags or {}) else {})
+    return {name: out[name] for name in frames} | ({"paths": paths} if paths else {})
+
+
+def counting(df: DataFrame, flag: str | None = None) -> tuple[DataFrame, Callable[[], dict]]:
+    """A table that counts its rows, and those that meet a condition, while it is written; behind the write the counts are there without another job."""
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), *([F.count_if(F.expr(flag)).alias("flagged")] if flag else [])]
+    return df.observe(seen, *counts), lambda: dict(seen.get)
+
+
+def write_all(frames: dict[str, DataFrame], paths: dict[str, str], write: Callable[[DataFrame, str], None], flags: dict[str, str] | None = None) -> dict:
+    """Writes tables to their paths and returns metadata() of them, counted by the writes themselves."""
     out: dict = {}
     for name, df in frames.items():
-        row = df.agg(F.count("*").alias("rows"), F.count_if(F.expr((flags or {}).get(name, "false"))).alias("flagged")).first()
-        out[name] = {"rows": row.rows} | ({"flagged": row.flagged} if name in (flags or {}) else {})
-    return out | ({"paths": paths} if paths else {})
+        counted, counts = counting(df, (flags or {}).get(name))
+        write(counted, paths[name])
+        out[name] = counts()
+    return out | {"paths": paths}
