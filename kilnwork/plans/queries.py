@@ -16,6 +16,7 @@ from . import adapters as A
 from ..sources import io
 from ..sources.arrow import read_arrow, write_arrow
 from ..sources.ledger import Ledger
+from ..streaming.resume import stream_to_ledger
 from . import pipelines
 
 QUERIES = {}
@@ -574,6 +575,24 @@ def resumed_annotations(spark, sf_dir):
     return kept.select("source_index", "ablation_mode", (F.col("part") > F.lit(before[-1])).alias("asked_again") if before else F.lit(True).alias("asked_again"), "status")
 
 
+@query("""WITH r AS (SELECT p_partkey AS source_index, k, (p_partkey + k) % 3 = 0 AS good FROM part, (VALUES (0), (1), (2)) t(k) WHERE (p_partkey + k) % 4 <> 0)
+SELECT source_index, CASE WHEN bool_or(good) THEN 'valid' ELSE 'invalid_schema' END AS status, CAST(coalesce(min(CASE WHEN good THEN k END), -1) AS INT) AS good_from FROM r GROUP BY 1""")
+def streamed_annotations(spark, sf_dir):
+    """Records that come in three waves, repeated and of changing quality, as a stream into a ledger: each key's best one stays."""
+    at, rows = io.scratch(spark, "streamed"), annotations(spark, sf_dir)
+    good = lambda k: (F.col("source_index") + k) % 3 == 0
+    fields = {"teacher_description": "Done.", "failed": "cast(array() as %s)" % teacher.FAILED, "old": "cast(array() as array<string>)"}
+    for k in range(3):
+        call = F.when(good(k), F.concat(F.lit("["), F.col("tool_names")[0], F.lit("()]"))).otherwise("no call")
+        success = F.array(F.struct(F.lit("Find it").alias("request"), F.col("tool_names")[0].alias("tool"), call.alias("call")))
+        wave = rows.where((F.col("source_index") + k) % 4 != 0).select("source_index", F.lit("none").alias("ablation_mode"), success.alias("teacher_success"), F.expr(fields["failed"]).alias("teacher_failed"), F.lit(fields["teacher_description"]).alias("teacher_description"), "tool_names", F.expr(fields["old"]).alias("old_names"), F.lit(k).alias("wave"), F.expr(f"timestamp'2024-01-01 00:00:00' + interval {k} hours").alias("asked_at"))
+        wave.coalesce(1).write.mode("append").json(f"{at}/in")
+    schema = ", ".join(f"{n} {t}" for n, t in wave.dtypes)
+    stream_to_ledger(spark, f"{at}/in", schema, f"{at}/out", f"{at}/checkpoint", time="asked_at", files=1).awaitTermination()
+    kept = Ledger(spark, f"{at}/out", key=dict(wave.dtypes)["source_index"]).records(f"{schema}, status string")
+    return kept.select("source_index", "status", F.when(F.col("status") == "valid", F.col("wave")).otherwise(-1).cast("int").alias("good_from"))
+
+
 @query(f"WITH {P} SELECT key, assistant, tools FROM p ORDER BY key LIMIT 5")
 def preview_rows(spark, sf_dir):
     return io.preview(processed(spark, sf_dir), "key", "structured").select("key", "assistant", "tools")

@@ -41,13 +41,16 @@ class Ledger:
             io.delete(self.spark, f"{self.folder}/{name}")
         return gone
 
-    def append(self, records: DataFrame) -> str:
-        """Writes records (with source_index, ablation_mode, status) as a part of their own and commits it; evaluates them once."""
-        last = self.parts()[-1:]
-        name = f"{int(last[0].split('-')[0]) + 1 if last else 0:08d}-{self._run}"
+    def append(self, records: DataFrame, name: str | None = None) -> str:
+        """Writes records (with source_index, ablation_mode, status) as a part of their own and commits it; evaluates them once. A part of a given
+        name that is committed already stays as it is."""
+        parts = self.parts()
+        if name in parts:
+            return name
+        name = name or f"{int(parts[-1].split('-')[0]) + 1 if parts else 0:08d}-{self._run}"
         io.write_buckets(records, f"{self.folder}/part={name}")
         keys = io.read_jsonl(self.spark, f"{self.folder}/part={name}", f"{KEY} {self.key}, {MODE} string, status string").select(KEY, MODE, "status")
-        keys.write.parquet(f"{self.folder}/uncommitted-{name}")
+        keys.write.mode("overwrite").parquet(f"{self.folder}/uncommitted-{name}")
         if not io.rename(self.spark, f"{self.folder}/uncommitted-{name}", f"{self.folder}/log/part={name}"):
             raise OSError(f"part {name} of {self.folder} could not be committed")
         return name

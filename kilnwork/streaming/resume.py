@@ -2,10 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from ..operators.teacher import STATUSES, check_annotations
+from ..sources.ledger import KEY, MODE, Ledger
 
-from ..operators.teacher import check_annotations
+#: From the worst status to the best.
+ORDER = tuple(reversed(STATUSES))
 
 
 def stream_to_buckets(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str) -> StreamingQuery:
@@ -17,3 +26,48 @@ def stream_to_buckets(spark: SparkSession, source: str, schema: str, folder: str
 
     records = check_annotations(spark.readStream.schema(schema).json(source))
     return records.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def improving(records: DataFrame, *, time: str, late: str = "1 day") -> DataFrame:
+    """Of a stream of records (source_index, ablation_mode, status, `time` and others) those that are the first of their key and mode, or have
+    a better status than all before them; what is repeated or worse goes.
+
+    State is one small number for each key and mode. It is kept until the watermark, `late` behind the latest time seen, has passed its last
+    record by as much again; records that come later than the watermark are dropped. Of records of one status in a batch the
+    earliest counts, then the least as text. A status of no rank counts as the worst.
+    """
+    rank = F.coalesce(*(F.when(F.col("status") == s, i) for i, s in enumerate(ORDER)), F.lit(-1))
+    light = records.withWatermark(time, late).select(KEY, MODE, F.col(time).alias("at"), rank.alias("rank"), F.to_json(F.struct(*(F.col(c) for c in records.columns))).alias("record"))
+    hold = int(pd.Timedelta(late).total_seconds() * 1000)
+
+    def better(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
+        best, found = state.get[0] if state.exists else -2, None
+        for pdf in parts:
+            top = pdf.sort_values(["rank", "at", "record"], ascending=[False, True, True]).iloc[0]
+            sortable = (-top["rank"], top["at"], top["record"])
+            if found is None or sortable < found[0]:
+                found = sortable, top
+        if found is not None and found[1]["rank"] > best:
+            best = int(found[1]["rank"])
+            yield pd.DataFrame({KEY: [key[0]], MODE: [key[1]], "record": [found[1]["record"]]})
+        state.update((best,))
+        state.setTimeoutTimestamp(max(state.getCurrentWatermarkMs(), int(found[1]["at"].timestamp() * 1000) if found else 0) + hold)
+
+    kept = light.groupBy(KEY, MODE).applyInPandasWithState(better, f"{KEY} {records.schema[KEY].dataType.simpleString()}, {MODE} string, record string", "rank int", "append", GroupStateTimeout.EventTimeTimeout)
+    return kept.select(F.from_json("record", records.schema).alias("r_")).select("r_.*")
+
+
+def stream_to_ledger(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, *, time: str, late: str = "1 day", files: int | None = None) -> StreamingQuery:
+    """As stream_to_buckets(), but into a ledger, a part for each batch, and only what improves(): the last record of a key and mode is its best one.
+    A batch that was committed before the run broke off is not committed again. `files`: of how many files a batch is at most."""
+    key = spark.createDataFrame([], schema).schema[KEY].dataType.simpleString()
+
+    def put(batch: DataFrame, number: int) -> None:
+        Ledger(batch.sparkSession, folder, key=key).append(batch, name=f"{number:08d}-stream")
+
+    reader = spark.readStream.schema(schema)
+    records = check_annotations((reader.option("maxFilesPerTrigger", files) if files else reader).json(source))
+    return improving(records, time=time, late=late).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
