@@ -242,14 +242,14 @@ def digests(repaired: DataFrame) -> DataFrame:
     return in_order.select(F.col("conv_id").cast("long"), "role", "text").mapInArrow(run, "conv_id long, repaired_sha256 string")
 
 
-_ORDER = "ORDER BY turn NULLS FIRST, role, text"
 OP11_SQL = rf"""WITH RECURSIVE bits(i, v, k) AS (SELECT i, i, 0 FROM range(256) r(i) UNION ALL SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
 crc AS (SELECT list(v ORDER BY i) AS t FROM bits WHERE k = 8),
 src AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS name FROM conversations),
 k AS (SELECT src.*, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(name, ''), lambda x: ascii(x)::BIGINT), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS k FROM src, crc),
 d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(CASE k WHEN 0 THEN [] WHEN 3 THEN [1, 2] ELSE [1] END) AS copy FROM k),
-o AS (SELECT *, row_number() OVER w AS i, left(role, 1) AS ini, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text {_ORDER}) > 1 AS seen,
-  NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') AS open, lag(left(role, 1)) OVER w AS prev FROM d WINDOW w AS (PARTITION BY conv_id {_ORDER})),
+n1 AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+o AS (SELECT *, left(role, 1) AS ini, NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') AS blank, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen,
+  NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') AS open, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS prev FROM n1),
 ins(st, mid, ic, il, ib) AS (VALUES ('e', 'e', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''), ('e', 'u', 5, 'I', 'user:'), ('s', 'u', 5, 'I', 'user:'), ('a', 'u', 5, 'I', 'user:'), ('u', 'a', 5, 'I', 'assistant:'), ('e', 'a', 10, 'II', 'user:' || chr(10) || 'assistant:'), ('s', 'a', 10, 'II', 'user:' || chr(10) || 'assistant:')),
 ed(mid, l, need, nst, ec, nrole) AS (VALUES ('e', 'D', NULL, 'e', 2, NULL), ('s', 'D', NULL, 's', 2, NULL), ('u', 'D', NULL, 'u', 2, NULL), ('a', 'D', NULL, 'a', 2, NULL), ('e', 'K', 's', 's', 0, NULL), ('e', 'K', 'u', 'u', 0, NULL), ('s', 'K', 'u', 'u', 0, NULL), ('a', 'K', 'u', 'u', 0, NULL), ('u', 'K', 'a', 'a', 0, NULL), ('e', 'R', NULL, 'u', 1, 'user'), ('s', 'R', NULL, 'u', 1, 'user'), ('a', 'R', NULL, 'u', 1, 'user'), ('u', 'R', NULL, 'a', 1, 'assistant')),
 ids AS (SELECT DISTINCT conv_id FROM conversations),
