@@ -204,7 +204,7 @@ def answer_labels(ids: Column, mask: Column, head: list[int], end: list[int]) ->
     return over_batches(run, "array<int>")(ids, mask)
 
 
-def add_tensors(df: DataFrame, text: str, *, length: int, pad: int, head: list[int], end: list[int], tokenizer: Tokenizer = default_tokenizer) -> DataFrame:
-    """input_ids, attention_mask and labels of every row, and nothing else."""
-    both = df.select(tokenized(F.col(text), length, pad, tokenizer).alias("t")).select("t.*")
+def add_tensors(df: DataFrame, text: str, *, length: int, pad: int, head: list[int], end: list[int], tokenizer: Tokenizer = default_tokenizer, keep: tuple[str, ...] = ()) -> DataFrame:
+    """input_ids, attention_mask and labels of every row, and nothing else but the columns in `keep`."""
+    both = df.select(*keep, tokenized(F.col(text), length, pad, tokenizer).alias("t")).select(*keep, "t.*")
     return both.withColumn("labels", answer_labels(F.col("input_ids"), F.col("attention_mask"), head, end))

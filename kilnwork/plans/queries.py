@@ -400,24 +400,6 @@ def shuffled_prompts(spark, sf_dir):
     return done.join(lengths, "key").select("key", "changed", F.array_join(quoted_texts(F.col("text")), " ").alias("texts"), F.instr("text", "[").cast("long").alias("opens"), spaces.cast("long").alias("n"))
 
 
-@query("SELECT * FROM (VALUES ('channel', true), ('city', true), ('coupon_id', true), ('guest', true), ('name', true), ('note', false), ('vip', false)) t(parameter, renamed)")
-def corner_case(spark, sf_dir):
-    """The hand-built case: of two tools' parameters those that are described get new names, nested ones and uncalled tools' alike."""
-    said = lambda d: {"type": "string", "description": d}
-    guest = {"type": "object", "description": "Who stays", "properties": {"name": said("Full name"), "vip": {"type": "boolean"}}, "required": ["name"]}
-    both = [
-        {"name": "book_room", "description": "Books", "parameters": {"type": "object", "properties": {"city": said("Where"), "guest": guest, "note": {"type": "string"}}, "required": ["city", "guest"]}},
-        {"name": "apply_coupon", "description": "Applies", "parameters": {"type": "object", "properties": {"coupon_id": said("Which"), "channel": said("Through what")}}},
-    ]
-    answer = "[book_room(city='Rome', guest={'name': 'Ann', 'vip': true}, note='city and guest stay words')]"
-    case = spark.createDataFrame([(1, J.dump(both), answer, "parameter_only")], "key long, tools string, assistant string, mode string")
-    done = perturb.perturb(case, "key", 7)
-    names = F.from_json("parameter_mapping", "map<string,string>")
-    all_ = done.select("assistant", names.alias("m"), F.explode(F.array_distinct(F.concat(F.map_keys(names), F.array(F.lit("vip"), F.lit("note"))))).alias("parameter"), extract.all_names("tools").alias("left"))
-    whole = F.col("assistant").contains("note='city and guest stay words'") & F.col("assistant").contains("'vip': true")
-    return all_.select("parameter", (~F.array_contains("left", F.col("parameter")) & whole & F.array_contains("left", F.try_element_at("m", F.col("parameter")))).alias("r")).select("parameter", F.coalesce("r", F.lit(False)).alias("renamed"))
-
-
 # ---- unions and pipelines ----
 
 
@@ -623,3 +605,6 @@ def dry_run_plan(spark, sf_dir):
 def extraction_failures(spark, sf_dir):
     rows = extract.parse_system(tools(spark, sf_dir)).where("extract_failed")
     return sample.global_rank(rows, "key", 1).select("key", "tool_count", "rank")
+
+
+from . import more_queries  # noqa: E402, F401  registers its own
