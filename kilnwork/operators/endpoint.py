@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import json
 import queue
 import threading
 import time
+import urllib.request
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from typing import Any
@@ -137,3 +139,16 @@ def asked(requests: Iterable[tuple[Any, Any]], ask: Callable[[Any], Any], limits
                 yield key, answer, None, tries
             else:
                 yield from failed(key, request, tries, error)
+
+
+def chat_client(url: str, model: str, key: str | None = None, *, temperature: float = 0.0, max_tokens: int = 2048, timeout: float = 120.0) -> Callable[[list[dict]], str]:
+    """A client of an endpoint that speaks the common chat-completions form: messages in, the first choice's text out. Anything else is an error."""
+
+    def ask(messages: list[dict]) -> str:
+        body = json.dumps({"model": model, "messages": messages, "temperature": temperature, "max_tokens": max_tokens}).encode()
+        headers = {"Content-Type": "application/json"} | ({"Authorization": f"Bearer {key}"} if key else {})
+        request = urllib.request.Request(url.rstrip("/") + "/chat/completions", body, headers)
+        with urllib.request.urlopen(request, timeout=timeout) as reply:
+            return json.load(reply)["choices"][0]["message"]["content"]
+
+    return ask
