@@ -85,6 +85,12 @@ def renamed(text: str, names: dict[str, str], forms: Iterable[str]) -> str:
     return text
 
 
-#: Quoted names, then bare ones, before an assignment mark; names before a parenthesis.
-ASSIGNMENTS = (r"""(?<=(["'])){}(?=\1\s*[=:/|~])""", r"(?<![A-Za-z0-9_]){}(?![A-Za-z0-9_])(?=\s*[=:/|~])")
+def before(marks: str) -> tuple[str, str]:
+    """Quoted names, then bare ones, before an assignment mark."""
+    return rf"""(?<=(["'])){{}}(?=\1\s*{marks})""", rf"(?<![A-Za-z0-9_]){{}}(?![A-Za-z0-9_])(?=\s*{marks})"
+
+
+#: As the tool has it, and strictly: the wide marks take a path or a pair of alternatives inside a value for an assignment.
+ASSIGNMENTS, STRICT_ASSIGNMENTS = before("[=:/|~]"), before("[=:](?![/])")
+#: Names before a parenthesis.
 CALL_HEADS = (r"(?<![A-Za-z0-9_.]){}(?=\s*\()",)

@@ -16,8 +16,9 @@ EVAL_SHARE = 0.5
 _OUT = "tools string, assistant string, parameter_mapping string, function_mapping string, applied boolean"
 
 
-def perturb_row(tools: str | None, assistant: str | None, parameters: bool, functions: bool, reorder: bool, seed: int) -> dict:
-    """A row's tools and answer with new names and a new order; mappings as JSON texts. Without anything to rename nothing changes."""
+def perturb_row(tools: str | None, assistant: str | None, parameters: bool, functions: bool, reorder: bool, seed: int, strict: bool = False) -> dict:
+    """A row's tools and answer with new names and a new order; mappings as JSON texts. Without anything to rename nothing changes.
+    `strict`: of the answer only what stands before `=` or `:`."""
     value, answer = J.load_tools(tools) if parameters or functions else [], assistant or ""
     names = J.fresh_names(J.described_names(value), "param", seed) if parameters else {}
     calls = J.fresh_names(J.function_names(value), "func", seed) if functions else {}
@@ -27,7 +28,7 @@ def perturb_row(tools: str | None, assistant: str | None, parameters: bool, func
             value = J.permuted(J.rename_described(value, names), seed)
         if calls:
             value = J.rename_functions(value, calls)
-        answer = J.rename_calls(J.rename_assignments(answer, names), calls)
+        answer = J.rename_calls(J.rename_assignments(answer, names, strict=strict), calls)
     return {"tools": J.dump(value) if applied else tools, "assistant": answer if applied else assistant, "parameter_mapping": J.dump(names), "function_mapping": J.dump(calls), "applied": applied}
 
 
@@ -39,7 +40,7 @@ def row_seed(key: Column, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), key.cast("string"))
 
 
-def perturb(df: DataFrame, key: str, seed: int, *, mode: str = "mode", none: str = "none", always_reorder: bool = True) -> DataFrame:
+def perturb(df: DataFrame, key: str, seed: int, *, mode: str = "mode", none: str = "none", always_reorder: bool = True, strict: bool = False) -> DataFrame:
     """Rewrites tools and assistant of the rows whose mode isn't `none`; adds parameter_mapping, function_mapping and applied.
 
     One pass over the table: rows whose mode is `none` or null reach the UDF as nulls, which it has nothing to do with, and keep
@@ -48,7 +49,7 @@ def perturb(df: DataFrame, key: str, seed: int, *, mode: str = "mode", none: str
     spelled = F.col(mode)
     touched = F.coalesce(spelled != none, F.lit(False))
     only = lambda c: F.when(touched, c)
-    call = _perturb(only(F.col("tools")), only(F.col("assistant")), touched & spelled.contains("param"), touched & spelled.contains("func"), F.lit(always_reorder), row_seed(F.col(key), seed))
+    call = _perturb(only(F.col("tools")), only(F.col("assistant")), touched & spelled.contains("param"), touched & spelled.contains("func"), F.lit(always_reorder), row_seed(F.col(key), seed), F.lit(strict))
     new = {c: F.when(touched, F.col(f"p_.{c}")).otherwise(old) for c, old in {"tools": F.col("tools"), "assistant": F.col("assistant"), "parameter_mapping": F.lit("{}"), "function_mapping": F.lit("{}"), "applied": F.lit(False)}.items()}
     return df.withColumn("p_", call).withColumns(new).drop("p_")
 

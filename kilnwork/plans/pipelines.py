@@ -128,10 +128,15 @@ def annotate_in_parts(plan: DataFrame, make_client: Callable, folder: str, *, ev
         changed = io.written(taken_up(plan, ledger).where("changed").drop("part", "bucket", "changed"), f"{at}/changed")
         if not changed.isEmpty():
             ledger.append(changed)
-    todo = io.written(ledger.pending(plan, retry), f"{at}/pending")
-    parts = -(-todo.count() // every)
+    pending, counts = report.counting(ledger.pending(plan, retry))
+    todo = io.written(pending, f"{at}/pending")
+    parts = -(-counts()["rows"] // every)
+    # a folder for each part, so that none reads another's rows
+    mine = todo.withColumn("part_", F.pmod(F.xxhash64("source_index"), F.lit(max(parts, 1))))
+    mine.repartition("part_").write.partitionBy("part_").parquet(f"{at}/parts")
     for i in range(parts):
-        rows = todo.where(F.pmod(F.xxhash64("source_index"), F.lit(parts)) == i)
+        rows = spark.read.schema(todo.schema).parquet(f"{at}/parts/part_={i}") if io.exists(spark, f"{at}/parts/part_={i}") else todo.limit(0)
+        rows = rows.repartition(spark.sparkContext.defaultParallelism)  # as many tasks ask as there are cores, unless limits say otherwise
         ledger.append(annotate(rows, rows.select("source_index").limit(0), make_client, limits))
     io.delete(spark, at)
     return parts

@@ -122,3 +122,11 @@ def test_fifty_names_are_faster_than_fifty_patterns():
 def test_perturbing_is_what_it_was():
     row = perturb.perturb_row('[{"name": "f", "parameters": {"properties": {"size": {"description": "s"}, "no": {}}, "required": ["size", 3]}}]', "[f(size=1, no=2)] size: x", True, True, True, 5)
     assert row["applied"] and "size" not in row["assistant"] and "no=2" in row["assistant"] and '"3"' in row["tools"]
+
+
+def test_strict_renaming_leaves_values_alone():
+    answer = "[f(data=1, note='see data/x or data | b', link=\"data://y\", 'data': 2)]"
+    row = lambda strict: perturb.perturb_row('[{"name": "f", "parameters": {"properties": {"data": {"description": "d"}}}}]', answer, True, False, True, 5, strict)["assistant"]
+    new = row(True).split("(")[1].split("=")[0]
+    assert row(True) == answer.replace("(data=", f"({new}=").replace("'data':", f"'{new}':")
+    assert row(False) == answer.replace("data", new)
