@@ -32,7 +32,7 @@ BASE = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 LOOSE = {
-    "email": r"(?i)(?<![a-z0-9._%+-])[a-z0-9._%+-]{1,64}+ ?[(\[]at[)\]] ?[a-z0-9-]{1,63}+(?: ?(?:[(\[]dot[)\]]|\.) ?[a-z0-9-]{2,63}+){1,8}",
+    "email": r"(?i)(?:(?<![a-z0-9._%+-])|\G)[a-z0-9._%+-]++ ?[(\[]at[)\]] ?[a-z0-9-]++(?:(?: ?[(\[]dot[)\]] ?|\.)[a-z0-9-]{2,}+)++",
     "ip": r"(?<![0-9])[0-9]{1,3}(?:\[\.\][0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9]){12,18}(?![0-9])",
     "phone": r"(?<![0-9])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[\x20.-][0-9]{4}(?![0-9])",
@@ -47,7 +47,9 @@ DOCUMENTS, OF_ONE = 20_000, 50
 #: Candidates, about, that the driver learns from.
 EXAMPLES = 50_000
 CONTEXT = 24
-FEATURES = ("kind", "digits", "length", "luhn", "marks", "joined", "good_words", "bad_words", "first_digit", "written")
+FEATURES = ("kind", "digits", "length", "luhn", "marks", "joined", "good_words", "bad_words", "first_digit", "written", "ending", "octets", "spaces", "issuer", "local")
+#: Last labels of common domains, and words that end sentences of examples that are no addresses.
+ENDINGS, WORDS = ("com", "org", "net", "edu", "gov", "info", "biz", "dev", "app", "io"), ("later", "tomorrow", "noon", "please", "there", "tonight", "early", "again")
 GOOD, BAD = r"(?i)mail|contact|reach|write|phone|tel|call|mobile|fax|card|visa|amex|pay|host|server|\bip\b|addr", r"(?i)order|version|release|isbn|serial|invoice|part|ticket|no\.|number|id\b|#|build|page"
 PRECISION = 0.98
 
@@ -116,6 +118,10 @@ def candidates(text: Column) -> Column:
             as_double(luhn(digits)).alias("luhn"), as_double(F.length(x["value"]) - F.length(digits)).alias("marks"), as_double(joined).alias("joined"),
             as_double(F.regexp_like(before, F.lit(GOOD))).alias("good_words"), as_double(F.regexp_like(before, F.lit(BAD))).alias("bad_words"), F.coalesce(F.substring(digits, 1, 1).try_cast("double"), F.lit(-1.0)).alias("first_digit"),
             as_double(F.regexp_like(x["value"], F.lit(r"(?i)[(\[]dot[)\]]"))).alias("written"),
+            # of an address: whether it ends like a domain (2), in two letters as those of countries do (1), or in another word
+            F.when(F.regexp_like(x["value"], F.lit(rf"(?i)[.)\]\x20](?:{'|'.join(ENDINGS)})$")), 2.0).when(F.regexp_like(x["value"], F.lit(r"(?i)[.)\]\x20][a-z]{2}$")), 1.0).otherwise(0.0).alias("ending"),
+            as_double(F.forall(F.regexp_extract_all(x["value"], F.lit("[0-9]+"), 0), byte_part)).alias("octets"), as_double(F.length(x["value"]) - F.length(F.replace(x["value"], F.lit(" "), F.lit("")))).alias("spaces"),
+            as_double(F.regexp_like(digits, F.lit("^(?:3[0478]|36|4|5[1-5]|2[2-7]|6011|65)"))).alias("issuer"), as_double(F.regexp_like(x["value"], F.lit(r"^[A-Za-z0-9-]*[._%+0-9][^\[(]*[(\[]"))).alias("local"),
         )
 
     def proposed(kind: str) -> Column:
@@ -124,7 +130,7 @@ def candidates(text: Column) -> Column:
     return F.concat(*(proposed(k) for k in KINDS))
 
 
-def invented_examples(n: int = 1200, seed: int = 7) -> list[tuple[str, int]]:
+def invented_examples(n: int = 3000, seed: int = 7) -> list[tuple[str, int]]:
     """Texts with one candidate each and whether it is personal data."""
     rng = random.Random(seed)
     digits = lambda k: "".join(rng.choice("0123456789") for _ in range(k))
@@ -138,51 +144,76 @@ def invented_examples(n: int = 1200, seed: int = 7) -> list[tuple[str, int]]:
     out = []
     for i in range(n):
         good = i % 2
-        lead = " ".join(word() for _ in range(3)) + " " + rng.choice(["", rng.choice(["mail ", "call ", "phone: ", "card ", "contact ", "tel. ", "server "]) if good else rng.choice(["order ", "version ", "invoice ", "serial ", "part ", "ticket #", "isbn "])])
+        about = rng.choice(["", rng.choice(["mail ", "call ", "phone: ", "card ", "contact ", "tel. ", "server "]) if good else rng.choice(["order ", "order no. ", "version ", "invoice ", "serial ", "part ", "ticket #", "isbn "])])
+        lead = " ".join(word() for _ in range(3)) + " " + about
         kind = rng.randrange(4)
+        marks = rng.choice([" (at) ", "(at)", " [at] ", "[at]"]), rng.choice([" (dot) ", "[dot]", " [dot] ", "."])
         if kind == 0:
-            v = f"{word()}{rng.choice([' ', ''])}(at){rng.choice([' ', ''])}{word()} {rng.choice(['(dot)', '[dot]'])} com" if good else f"{word()} [at] {word()}. {word()}"
+            name, lot = rng.choice([word(), f"{word()}.{word()}", f"{word()}{digits(2)}"]), rng.random()
+            if good and lot < 0.1:  # endings of their own, under names that only addresses have
+                v = f"{word()}{digits(2)}{marks[0]}{word()}{marks[1]}{word()}"
+            elif good:
+                v = f"{name}{marks[0]}{word()}{marks[1]}{rng.choice(ENDINGS) if lot < 0.75 else word()[:2]}"
+            else:
+                v = f"{word()}{marks[0]}{word()}{marks[1]}{rng.choice(WORDS) if lot < 0.5 else word() + 'e' if lot < 0.85 else rng.choice(('it', 'to', 'so', 'we', 'app'))}"
         elif kind == 1:
-            v = "[.]".join(str(rng.randint(1, 255) if good else rng.randint(256, 999)) for _ in range(4))
+            v = "[.]".join(str(rng.randint(1, 255)) for _ in range(4)) if good else "[.]".join(str(rng.choice([rng.randint(0, 255), rng.randint(256, 999)])) for _ in range(3)) + f"[.]{rng.randint(256, 999)}"
         elif kind == 2:
-            v = checked(15, rng.choice(["34", "37"])) if good else rng.choice([digits(rng.randint(13, 19)), "9" + digits(15), "1" + digits(12)])
+            k, first = rng.choice([(15, "34"), (15, "37"), (13, "4"), (14, "36"), (14, "38")])
+            real = checked(k, first)
+            v = real if good else rng.choice([digits(rng.randint(13, 15)), real[:-1] + str((int(real[-1]) + rng.randint(1, 9)) % 10), checked(rng.randint(13, 15), rng.choice("1789"))])
         else:
             area = f"{rng.randint(201, 989)}"
-            v = rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}"]).format(area, rng.randint(200, 999), digits(4)) if good else rng.choice(["{}-{}-{}x", "={} {} {}", "{}.{}.{}"]).format("0" + digits(2), digits(3), digits(4))
+            plain = rng.choice(["({}) {}-{}", "{}-{}-{}", "{}.{}.{}", "{} {} {}"]).format(area, rng.randint(200, 999), digits(4))
+            v = plain if good or about else rng.choice(["{}-{}-{}x", "={} {} {}", "{}.{}.{}"]).format("0" + digits(2), digits(3), digits(4))
         out.append((f"{lead}{v} {word()} {word()}.", good))
     return out
 
 
-def disguised(text: Column) -> Column:
+def variant(seed: Column, options: tuple[str, ...], n: int) -> Column:
+    """One of the options, by a row's hash."""
+    return F.element_at(F.array(*map(F.lit, options)), F.pmod(F.xxhash64(F.lit(n), seed), F.lit(len(options))).cast("int") + 1)
+
+
+def marks_of(seed: Column) -> tuple[Column, Column]:
+    """How a text writes "at" and "dot": good and spoilt ones alike."""
+    return variant(seed, (" (at) ", "(at)", " [at] ", "[at]"), 1), variant(seed, (" (dot) ", "[dot]", " [dot] ", "."), 2)
+
+
+def disguised(text: Column, seed: Column) -> Column:
     """The text with addresses and numbers written as the generators look for them."""
-    text = F.regexp_replace(text, r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+)\.([A-Za-z0-9-]+)", "$1 (at) $2 (dot) $3")
+    at, dot = marks_of(seed)
+    text = F.regexp_replace(text, F.lit(r"([A-Za-z0-9._%+-]++)@([A-Za-z0-9-]++)\.([A-Za-z0-9-]+)"), F.concat(F.lit("$1"), at, F.lit("$2"), dot, F.lit("$3")))
     text = F.regexp_replace(text, r"(?<![0-9.])([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})(?![0-9.])", "$1[.]$2[.]$3[.]$4")
     return F.regexp_replace(text, r"\+[0-9]{1,3}[ -]?(?=\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})", "")
 
 
-def spoilt(text: Column) -> Column:
-    """The text with what is like an address or a number, but none: nowhere to send to, parts too large, orders, digits changed."""
-    text = F.regexp_replace(text, r"([A-Za-z0-9._%+-]+)@([A-Za-z0-9-]+)\.([A-Za-z0-9-]+)", "$1 [at] $2. $3")
+def spoilt(text: Column, seed: Column) -> Column:
+    """The text with what is written like an address or a number, but is none: no domain at the end, parts too large, orders, digits changed."""
+    at, dot = marks_of(seed)
+    text = F.regexp_replace(text, F.lit(r"([A-Za-z0-9._%+-]++)@([A-Za-z0-9-]++)(?:\.[A-Za-z0-9-]++)+"), F.concat(F.lit("$1"), at, F.lit("$2"), dot, variant(seed, WORDS, 3)))
     text = F.regexp_replace(text, r"(?<![0-9.])[0-9]{1,3}\.([0-9]{1,3})\.[0-9]{1,3}\.([0-9]{1,3})(?![0-9.])", "999[.]$1[.]999[.]$2")
     text = F.regexp_replace(text, r"\+[0-9]{1,3}[ -]?(?=\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4})", "order no. ")
     return F.regexp_replace(text, r"(?<![0-9])([0-9]{12})([0-9])([0-9]{3})(?![0-9])", "$1$3$2")
 
 
 def corpus_examples(docs: DataFrame, most: int = DOCUMENTS) -> DataFrame:
-    """i, y and the features of candidates in the disguised and in the spoilt texts of documents with base spans. Cards are good if they
-    pass Luhn's check, others if they are disguised base spans; i is the document's hash."""
+    """i, y and the features of candidates in the disguised and in the spoilt texts of documents with base spans: good ones are those of a
+    disguised text that hold a base span's digits, the others are of spoilt texts (cards that pass Luhn's check there by chance are left
+    out); i is the document's hash."""
     drawn = bounded_sample(docs.where("text is not null").select("doc_id", "text"), "doc_id", most)
     held = drawn.withColumn("base", base_spans(F.col("text"))).where(F.size("base") > 0)
     own = F.transform("base", lambda b: digits_of(F.substring(F.col("text"), b["start"] + 1, b["end"] - b["start"])))
     held = held.withColumn("own", own).withColumn("clear", F.size(F.filter(candidates(F.col("text")), lambda c: c["k"] < 2)) == 0)
-    both = held.select(F.xxhash64("doc_id").alias("i"), "own", "clear", F.explode(F.array(F.struct(F.lit(1).alias("good"), disguised(F.col("text")).alias("t")), F.struct(F.lit(0).alias("good"), spoilt(F.col("text")).alias("t")))).alias("x"))
+    texts = [F.struct(F.lit(good).alias("good"), f(F.col("text"), F.col("doc_id")).alias("t")) for good, f in ((1, disguised), (0, spoilt))]
+    both = held.select(F.xxhash64("doc_id").alias("i"), "own", "clear", F.explode(F.array(*texts)).alias("x"))
     found = both.select("i", "own", "clear", "x.good", "x.t", F.explode(F.slice(candidates(F.col("x.t")), 1, OF_ONE)).alias("c"))
     digits = digits_of(F.substring(F.col("t"), F.col("c.start") + 1, F.col("c.end") - F.col("c.start")))
     known = (F.col("c.k") == 0) | F.exists("own", lambda o: o.endswith(digits))
-    usable_ = (F.col("c.k") == 2) | ((F.col("c.k") == 3) & ((F.col("good") == 0) | known)) | ((F.col("c.k") < 2) & F.col("clear") & ((F.col("good") == 0) | known))
-    y = F.when(F.col("c.k") == 2, F.col("c.luhn").cast("int")).otherwise(F.col("good"))
-    examples = materialize(found.where(usable_).select("i", "c.start", "good", y.alias("y"), *(F.col(f"c.{f}") for f in FEATURES)), "pii-examples")
-    return examples.where(F.pmod(F.xxhash64("i", "start", "good", "kind"), F.lit(1 << 20)) < F.lit((1 << 20) * EXAMPLES // max(EXAMPLES, examples.count()))).drop("start", "good")
+    usable_ = ((F.col("good") == 0) | known) & ((F.col("c.k") > 1) | F.col("clear")) & ((F.col("c.k") != 2) | (F.col("good") == 1) | (F.col("c.luhn") == 0))
+    examples = materialize(found.where(usable_).select("i", "c.start", F.col("good").alias("y"), *(F.col(f"c.{f}") for f in FEATURES)), "pii-examples")
+    few = F.pmod(F.xxhash64("i", "start", "y", "kind"), F.lit(1 << 20)) < F.lit((1 << 20) * EXAMPLES // max(EXAMPLES, examples.count()))
+    return examples.where(few).drop("start")
 
 
 def fit_selector(docs: DataFrame) -> tuple[boosting.Trees, list[float]]:
@@ -193,11 +224,11 @@ def fit_selector(docs: DataFrame) -> tuple[boosting.Trees, list[float]]:
     got = sorted(tuple(r) for r in invented.unionByName(corpus_examples(docs)).collect())  # bounded by both samples
     x, y, i = np.array([r[2:] for r in got]), np.array([float(r[1]) for r in got]), np.array([r[0] for r in got])
     held = i % 5 == 0
-    trees = boosting.fit(x[~held], y[~held], trees=16, depth=3, rate=0.4, bins=32)
+    trees = boosting.fit(x[~held], y[~held], trees=48, depth=3, rate=0.4, bins=32)
     score, thresholds = trees.margin(x[held]), []
     for k in range(len(KINDS)):
         s, t = score[x[held, 0] == k], y[held][x[held, 0] == k]
-        ok = [c for c in np.unique(s) if t[s >= c].mean() >= PRECISION]
+        ok = [c for c in np.unique(s[t == 1]) if t[s >= c].mean() >= PRECISION]  # where a good one stands
         thresholds.append(max(0.0, float(ok[0])) if ok else float("inf"))
     return trees, thresholds
 
