@@ -98,7 +98,7 @@ def start(state: str) -> Column:
 
 def folded(rows: Column, state: str) -> Column:
     """The least path from one state to each, over a chunk's turns."""
-    return F.aggregate(rows, start(state), lambda m, x: edited(inserted(m), x))
+    return F.aggregate(rows, start(state), lambda m, x: let(inserted(m), lambda k: edited(k, x)))
 
 
 def illegal_pairs(rows: Column) -> Column:
@@ -145,7 +145,8 @@ def joined(chunks: DataFrame) -> DataFrame:
 
     ins = lambda p, k: F.when(p.isNotNull(), F.struct((p["c"] + k * INSERT).alias("c"), F.concat(p["t"], F.lit("I" * k)).alias("t"), p["by"].alias("by"), F.lit(k).alias("k")))
     ends = lambda m: F.least(*(ins(m[s], k).withField("last", F.lit(s)) for s, k in (("e", 0), ("s", 2), ("u", 1), ("a", 0))))
-    end = got.withColumn("end", ends(F.aggregate("all", zero, step)))
+    # a column of its own, so that the fold is made once
+    end = got.withColumn("reached", F.aggregate("all", zero, step)).withColumn("end", ends(F.col("reached")))
     states = F.split(F.concat("end.by", "end.last"), "")
     piece = lambda x, i: F.coalesce(*(F.when((F.get(F.col("states"), i) == s) & (F.get(F.col("states"), i + 1) == t), x[f"from_{s}"][t]["t"]) for s in STATES for t in STATES))
     pieces = F.transform("all", lambda x, i: F.struct(x["chunk"].alias("chunk"), F.get(F.col("states"), i).alias("state"), piece(x, i).alias("audit")))
