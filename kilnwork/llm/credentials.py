@@ -11,6 +11,8 @@ Only texts that hold an identifier and a secret or key at all reach the join, ea
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,13 @@ PATTERNS = {
 }
 #: The same matches, without trying each start inside a long run.
 FAST = {"endpoint": PATTERNS["endpoint"].replace("[A-Za-z0-9+]+://", r"(?:(?<![A-Za-z0-9+])|\G)[A-Za-z0-9+]++://", 1)}
+#: Words, in lower case, one of which stands, and a colon or an equals sign too, in any text that a pattern matches in; what a pattern matches
+#: without them has its own gate.
+HINTS = {
+    "assign": ("password", "passwd", "secret", "token", "api"), "id": ("key", "client", "account", "app_id", "tenant", "user", "login"), "key": ("pass", "pwd", "bearer", "authorization", "private_key", "sig"),
+    "endpoint": ("://", "endpoint", "host", "server", "region", "bucket", "database"),
+}
+ALSO = {"access": lambda t: t.contains("AKIA"), "hex": lambda t: F.lit(True), "id": lambda t: t.contains("IA"), "key": lambda t: t.rlike("[0-9][A-Za-z+/_-]|[A-Za-z+/_-][0-9]") & t.rlike("[A-Za-z0-9+/_-]{16}")}
 BREAK = r"\n[\x20\t\r]*\n"
 BASE, IDENTIFIERS, SECRETS = (0, 1, 2), (1, 3), (0, 2, 4)
 ID, KEY, ENDPOINT, BORDER = 3, 4, 5, 6
@@ -57,10 +66,17 @@ VALID = {
 }
 
 
-def parts_of(text: Column, kind: str) -> Column:
+def may_hold(text: Column, low: Column, kind: str) -> Column:
+    """A cheap condition without which a kind's pattern can't match; `low` is the text in lower case."""
+    either_ = lambda found: functools.reduce(Column.__or__, found, F.lit(False))
+    set_ = (text.contains(":") | text.contains("=")) & either_([low.contains(h) for h in HINTS.get(kind, ())])
+    return set_ | (ALSO[kind](text) if kind in ALSO else F.lit(False))
+
+
+def parts_of(text: Column, low: Column, kind: str) -> Column:
     """array<struct<start, k, end>> of a kind's valid matches, by start."""
     pattern = FAST.get(kind, PATTERNS[kind])
-    found = F.filter(found_spans(text, pattern, text.rlike(pattern)), lambda x: VALID[kind](x["value"]))
+    found = F.filter(found_spans(text, pattern, may_hold(text, low, kind) & text.rlike(pattern)), lambda x: VALID[kind](x["value"]))
     return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("k"), (x["start"] + F.length(x["value"])).alias("end")))
 
 
@@ -72,7 +88,8 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     """row_ (the kept columns), base, and for texts that may hold a credential in parts `name` (the text's SHA-256) and all `parts`."""
     text = F.coalesce(F.col("text_"), F.lit(""))
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row_"), F.col("text").alias("text_"))
-    each = rows.select("row_", "text_", *(parts_of(text, k).alias(f"{k}_") for k in KINDS))
+    low = rows.withColumn("low_", F.lower(text))
+    each = low.select("row_", "text_", *(parts_of(text, F.col("low_"), k).alias(f"{k}_") for k in KINDS))
     some = lambda kinds: F.greatest(*(F.size(f"{KINDS[k]}_") for k in kinds)) > 0
     open_ = some(IDENTIFIERS) & some(SECRETS) & some((ID, KEY, ENDPOINT))
     return each.select(
