@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import datasource as D
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema, to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -29,6 +30,8 @@ SPLIT_BYTES = 64 << 20
 MAGIC, CONTINUES = b"ARROW1\0\0", 0xFFFFFFFF
 SCHEMA, DICTIONARY, BATCH = 1, 2, 3
 SUFFIX = ".arrow"
+#: Bytes of a file that its schema's message is looked for in, where files come whole.
+HEAD = 16 << 20
 
 
 def store_of(path: str) -> tuple[fs.FileSystem, str]:
@@ -210,8 +213,46 @@ class ArrowFolder(D.DataSource):
         return ArrowWriter(self.options["path"], schema, overwrite)
 
 
+def reaches(path: str) -> bool:
+    """Whether Arrow opens paths of this scheme by itself."""
+    try:
+        store_of(path)
+    except (pa.ArrowInvalid, pa.ArrowNotImplementedError, OSError):
+        return False
+    return True
+
+
+def whole_files(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """The same rows through Spark's own reader of files, for stores that only Hadoop knows. A task gets a file at a time, whole, so files
+    must fit in memory (and 2 GB); the first file's first message tells the schema."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{SUFFIX}").load(path)
+    first = files.orderBy("path").select(F.substring("content", 1, HEAD).alias("head")).first()
+    if first is None:
+        raise FileNotFoundError(f"no {SUFFIX} file in {path}")
+    source = pa.BufferReader(first.head)
+    _, start, stop = next(messages(source, len(first.head)))
+    whole = from_arrow_schema(pa.ipc.open_stream(pa.BufferReader(first.head[start:stop])).schema)
+    schema = StructType([whole[c] for c in columns]) if columns else whole
+    target = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for content in b.column("content"):
+                data = content.as_buffer()
+                stream = pa.BufferReader(data.slice(len(MAGIC)) if data[: len(MAGIC)].to_pybytes() == MAGIC else data)
+                names = pa.ipc.open_stream(stream).schema.names
+                stream.seek(0)
+                for batch in pa.ipc.open_stream(stream, options=pa.ipc.IpcReadOptions(included_fields=[names.index(c) for c in target.names])):
+                    yield from pa.Table.from_batches([batch]).select(target.names).cast(target).to_batches()
+
+    return files.select("content").mapInArrow(run, schema)
+
+
 def read_arrow(spark: SparkSession, path: str, columns: list[str] | None = None, *, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """A folder (or file) of Arrow IPC files; only these columns are decoded. All files have the first one's schema."""
+    """A folder (or file) of Arrow IPC files; only these columns are decoded. All files have the first one's schema. Where Arrow can't open the
+    path, Spark reads whole files instead."""
+    if not reaches(path):
+        return whole_files(spark, path, columns)
     spark.dataSource.register(ArrowFolder)
     reader = spark.read.format("arrow_folder").option("splitBytes", split_bytes)
     return (reader.option("columns", ",".join(columns)) if columns else reader).load(path)

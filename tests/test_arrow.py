@@ -67,3 +67,15 @@ def test_writing(spark, tmp_path):
     assert A.read_arrow(spark, path).count() == 5  # a task that was still writing may leave a hidden file, which is never read
     A.write_arrow(df.where("false"), path, "overwrite")
     assert A.read_arrow(spark, path).count() == 0 and A.read_arrow(spark, path).columns == ["id", "s", "l"]
+
+
+def test_stores_that_only_hadoop_knows(spark, tmp_path):
+    save(tmp_path / "a.arrow", table(300))
+    save(tmp_path / "b.arrow", table(200), form="file", compression="zstd")
+    (tmp_path / "state.json").write_text("{}")
+    assert A.reaches(str(tmp_path)) and A.reaches("file:///x") and not A.reaches("viewfs://cluster/x")
+    df = A.whole_files(spark, str(tmp_path), ["c", "a"])
+    assert df.columns == ["c", "a"] and df.agg(F.sum("a"), F.count("c")).first()[:2] == (sum(range(300)) + sum(range(200)), 500 - len(range(0, 300, 11)) - len(range(0, 200, 11)))
+    assert sorted(map(str, A.whole_files(spark, str(tmp_path)).collect())) == sorted(map(str, A.read_arrow(spark, str(tmp_path)).collect()))
+    with pytest.raises(FileNotFoundError):
+        A.whole_files(spark, str(tmp_path / "state.json"))
