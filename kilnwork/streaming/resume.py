@@ -60,9 +60,10 @@ def improving(records: DataFrame, *, time: str, late: str = "1 day") -> DataFram
     return kept.select(F.from_json("record", records.schema).alias("r_")).select("r_.*")
 
 
-def stream_to_ledger(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, *, time: str, late: str = "1 day", files: int | None = None) -> StreamingQuery:
+def stream_to_ledger(spark: SparkSession, source: str, schema: str, folder: str, checkpoint: str, *, time: str, late: str = "1 day", files: int | None = None, partitions: int | None = None) -> StreamingQuery:
     """As stream_to_buckets(), but into a ledger, a part for each batch, and only what improves(): the last record of a key and mode is its best one.
-    A batch that was committed before the run broke off is not committed again. `files`: of how many files a batch is at most."""
+    A batch that was committed before the run broke off is not committed again. `files`: of how many files a batch is at most; `partitions`: into how many the state is dealt, for as long as the checkpoint lives (the session's
+    shuffle partitions by default)."""
     key = spark.createDataFrame([], schema).schema[KEY].dataType.simpleString()
 
     def put(batch: DataFrame, number: int) -> None:
@@ -70,4 +71,11 @@ def stream_to_ledger(spark: SparkSession, source: str, schema: str, folder: str,
 
     reader = spark.readStream.schema(schema)
     records = check_annotations((reader.option("maxFilesPerTrigger", files) if files else reader).json(source))
-    return improving(records, time=time, late=late).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    writer = improving(records, time=time, late=late).writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # a stream takes the setting over when it starts
+        if partitions:
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        return writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
