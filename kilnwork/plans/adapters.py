@@ -42,6 +42,17 @@ A_TEACHER = f"""SELECT p_partkey AS source_index, concat('get_part_', {K}) AS to
   case when p_partkey % 3 = 0 then 'param_only' else 'function_only' end AS ablation_mode FROM part"""
 
 
+#: Rows of a task, about. Prompts are made of few bytes, so a file's splits say nothing of the work.
+ROWS = 25_000
+
+
+def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table part, dealt by key over as many tasks as it has ROWS; a file of one row group is one task otherwise, whatever its size."""
+    df = spark.read.parquet(f"{sf_dir}/part.parquet")
+    tasks = -(-df.count() // ROWS)  # the files' footers tell it
+    return df.repartition(tasks, "p_partkey") if tasks > 1 else df
+
+
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    spark.read.parquet(f"{sf_dir}/part.parquet").createOrReplaceTempView("kilnwork_part")
+    parts(spark, sf_dir).createOrReplaceTempView("kilnwork_part")
     return spark.sql(sql.replace("FROM part", "FROM kilnwork_part"))

@@ -42,14 +42,14 @@ def bucket_round_trip(spark, sf_dir):
     schema = f"source_index {dict(checked.dtypes)['source_index']}, teacher_success {teacher.SUCCESS}"
     good = io.success_cases(spark, path, schema).select(F.col("source_index").alias("s_"), F.lit(True).alias("ok"))
     all_ = io.read_buckets(spark, path, schema)
-    return all_.join(good, F.col("source_index") == F.col("s_"), "left").select("source_index", "status", F.coalesce("ok", F.lit(False)).alias("success_case"))
+    return all_.join(good.hint("merge"), F.col("source_index") == F.col("s_"), "left").select("source_index", "status", F.coalesce("ok", F.lit(False)).alias("success_case"))
 
 
 @query(f"""WITH {P}, {RENDERED} SELECT p.system, p."user", p.assistant, p.tools, p.tool_type, CAST(p.tool_count AS BIGINT) AS tool_count, CAST(p.refusal AS BIGINT) AS refusal, len(regexp_extract_all(r.text, '{PIECES}')) AS prompt_token_length FROM p JOIN r USING (key)""")
 def readable_export(spark, sf_dir):
     path = io.scratch(spark, "readable")
     texts = render_prompts(spark, sf_dir).select(F.col("key").alias("k_"), tokens.token_length(F.col("text")).alias("prompt_token_length"))
-    io.save_readable(processed(spark, sf_dir).join(texts, F.col("key") == F.col("k_")), path)
+    io.save_readable(processed(spark, sf_dir).join(texts.hint("merge"), F.col("key") == F.col("k_")), path)
     return spark.read.json(path)
 
 
@@ -94,7 +94,8 @@ def tensor_contents(spark, sf_dir):
     pad = tokens.add_tensors(df, "text", length=256, pad=0, head=tokens.default_tokenizer(header("assistant")), end=tokens.default_tokenizer(EOT), keep=("key",))
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), ",")
     used = F.aggregate("attention_mask", F.lit(0).cast("long"), lambda a, x: a + x)
-    whole = F.forall(F.sequence(F.lit(1), F.lit(256)), lambda i: F.element_at("attention_mask", i) == (i <= used).cast("int"))
+    ones = F.array_size(F.array_remove("attention_mask", 0))  # a sum inside a lambda would be taken again for every place
+    whole = F.col("attention_mask") == F.concat(F.array_repeat(F.lit(1), ones), F.array_repeat(F.lit(0), 256 - ones))
     return pad.select("key", joined("input_ids").alias("ids"), F.when(whole, used).alias("used"), joined("labels").alias("labels"))
 
 

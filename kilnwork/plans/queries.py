@@ -222,14 +222,14 @@ s AS (SELECT key, id, i, last_value(CASE WHEN id = 99 THEN 0 WHEN prev = 91 AND
  FROM (SELECT *, lag(id) OVER w AS prev, lag(id, 2) OVER w AS prev2 FROM e WINDOW w AS (PARTITION BY key ORDER BY i)))
 SELECT key, string_agg(CAST(CASE WHEN cur = 1 OR (id = 99 AND before = 1) THEN id ELSE -100 END AS VARCHAR), ',' ORDER BY i) AS labels FROM s GROUP BY key""")
 def assistant_labels(spark, sf_dir):
-    ids = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.expr(LABEL_IDS).alias("ids"))
+    ids = A.parts(spark, sf_dir).select(F.col("p_partkey").alias("key"), F.expr(LABEL_IDS).alias("ids"))
     mask = F.transform("ids", lambda x: F.lit(1))
     return ids.select("key", F.concat_ws(",", tokens.answer_labels(F.col("ids"), mask, [90, 91], [99]).cast("array<string>")).alias("labels"))
 
 
 @query("""SELECT p_partkey AS key, CAST(coalesce(list_position(list_transform(range(0, p_size * 5 - 1), lambda i: (flatten(list_transform(range(1, p_size + 1), lambda x: [x % 7, 90, 91, x % 5 + 10, CASE WHEN x % 3 = 0 THEN 99 ELSE 98 END])))[i + 1 : i + 2] = [14, 99]), true), 0) - 1 AS INT) AS place FROM part""")
 def find_token_pattern(spark, sf_dir):
-    ids = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.expr(LABEL_IDS).alias("ids"))
+    ids = A.parts(spark, sf_dir).select(F.col("p_partkey").alias("key"), F.expr(LABEL_IDS).alias("ids"))
     return ids.select("key", tokens.find_pattern(F.col("ids"), [14, 99]).cast("int").alias("place"))
 
 
@@ -397,7 +397,7 @@ def shuffled_prompts(spark, sf_dir):
     done = pipelines.shuffled_prompts(render_prompts(spark, sf_dir), "key")
     spaces = F.when(F.col("changed"), F.col("n")).otherwise(F.length("text"))
     lengths = render_prompts(spark, sf_dir).select("key", F.length("text").alias("n"))
-    return done.join(lengths, "key").select("key", "changed", F.array_join(quoted_texts(F.col("text")), " ").alias("texts"), F.instr("text", "[").cast("long").alias("opens"), spaces.cast("long").alias("n"))
+    return done.join(lengths.hint("merge"), "key").select("key", "changed", F.array_join(quoted_texts(F.col("text")), " ").alias("texts"), F.instr("text", "[").cast("long").alias("opens"), spaces.cast("long").alias("n"))
 
 
 # ---- unions and pipelines ----
