@@ -27,7 +27,8 @@ def global_rank(df: DataFrame, key: str, seed: int, by: list[str] | None = None,
     right = offsets.withColumnsRenamed(names)
     match = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     inside = Window.partitionBy(*by, "b_").orderBy("h_", key)
-    joined = h.join(right, match).withColumn(name, (F.col("offset_") + F.row_number().over(inside)).cast("long"))
+    # never the rows themselves: a plan that guesses their size from the files may take texts made of few bytes for the smaller side
+    joined = (h.hint("merge").join(right, match) if by else h.join(F.broadcast(right), match)).withColumn(name, (F.col("offset_") + F.row_number().over(inside)).cast("long"))
     joined = joined.withColumnRenamed("n_", total) if total else joined.drop("n_")
     return joined.drop("h_", "b_", "offset_", *names.values())
 

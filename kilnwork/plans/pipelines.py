@@ -38,7 +38,7 @@ def perturbed_parameters(processed: DataFrame, key: str, *, train: float = 0.20,
     ranked = sample.global_rank(perturb.parameter_eligible(split).select(key, "split"), key, seed + 1, by=["split"], name="rank_", total="of_")
     most = F.when(F.col("split") == "train", sample.part_of("of_", train)).otherwise(sample.part_of("of_", test))
     chosen = ranked.where(F.col("rank_") <= most).select(F.col(key).alias("k_"))
-    marked = split.join(chosen.withColumn("mode", F.lit("parameter_only")), F.col(key) == F.col("k_"), "left").drop("k_").withColumn("mode", F.coalesce("mode", F.lit("none")))
+    marked = split.join(chosen.withColumn("mode", F.lit("parameter_only")).hint("merge"), F.col(key) == F.col("k_"), "left").drop("k_").withColumn("mode", F.coalesce("mode", F.lit("none")))
     done = perturb.perturb(marked, key, seed + 3)
     return add_prompt(done.withColumnRenamed("applied", "ablation_applied").drop("mode", "function_mapping"))
 
@@ -59,7 +59,7 @@ def perturbed_modes(union: DataFrame, key: str, *, seed: int = 42) -> DataFrame:
     train = sample.bands(eligible.where("split = 'train'"), key, perturb.TRAIN_MODES, seed + 4, rest="none", name="band")
     test = sample.bands(eligible.where("split = 'test'"), key, {"parameter_and_function": perturb.EVAL_SHARE}, seed + 5, rest="none", name="band")
     plan = train.select(F.col(key).alias("k_"), "band").unionByName(test.select(F.col(key).alias("k_"), "band")).where("band <> 'none'")
-    joined = split.join(plan, F.col(key) == F.col("k_"), "left").drop("k_", "parameter_mapping", "function_mapping")
+    joined = split.join(plan.hint("merge"), F.col(key) == F.col("k_"), "left").drop("k_", "parameter_mapping", "function_mapping")
     marked = joined.withColumn("ablation_mode", F.coalesce("band", "ablation_mode")).withColumn("band", F.coalesce("band", F.lit("none")))
     return add_prompt(perturb.perturb(marked, key, seed + 6, mode="band").drop("band"))
 
@@ -146,7 +146,7 @@ def shuffled_prompts(df: DataFrame, key: str, *, ratio: float = 0.2, seed: int =
     """Of rendered prompts (text) round(all * ratio) of those with a tool list get its keys in another order; adds changed."""
     able = df.where(F.col("text").contains("[") & perturb.has_prompt_tools("text"))
     chosen = sample.sample_of_total(able, key, df.count(), ratio, seed).select(F.col(key).alias("k_"))
-    marked = df.join(chosen, F.col(key) == F.col("k_"), "left")
+    marked = df.join(chosen.hint("merge"), F.col(key) == F.col("k_"), "left")  # a share of all keys is nothing to collect
     done = marked.where("k_ is not null").withColumn("s_", perturb.shuffle_prompt("text", perturb.row_seed(F.col(key), seed + 1)))
     done = done.withColumn("text", F.col("s_.text")).withColumn("changed", F.col("s_.changed")).drop("s_", "k_")
     return done.unionByName(marked.where("k_ is null").drop("k_").withColumn("changed", F.lit(False)))
