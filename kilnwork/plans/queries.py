@@ -568,9 +568,9 @@ def streamed_annotations(spark, sf_dir):
         call = F.when(good(k), F.concat(F.lit("["), F.col("tool_names")[0], F.lit("()]"))).otherwise("no call")
         success = F.array(F.struct(F.lit("Find it").alias("request"), F.col("tool_names")[0].alias("tool"), call.alias("call")))
         wave = rows.where((F.col("source_index") + k) % 4 != 0).select("source_index", F.lit("none").alias("ablation_mode"), success.alias("teacher_success"), F.expr(fields["failed"]).alias("teacher_failed"), F.lit(fields["teacher_description"]).alias("teacher_description"), "tool_names", F.expr(fields["old"]).alias("old_names"), F.lit(k).alias("wave"), F.expr(f"timestamp'2024-01-01 00:00:00' + interval {k} hours").alias("asked_at"))
-        wave.coalesce(1).write.mode("append").json(f"{at}/in")
-    schema = ", ".join(f"{n} {t}" for n, t in wave.dtypes)
-    stream_to_ledger(spark, f"{at}/in", schema, f"{at}/out", f"{at}/checkpoint", time="asked_at", files=1, partitions=spark.sparkContext.defaultParallelism).awaitTermination()
+        wave.write.mode("append").json(f"{at}/in")
+        schema = ", ".join(f"{n} {t}" for n, t in wave.dtypes)
+        stream_to_ledger(spark, f"{at}/in", schema, f"{at}/out", f"{at}/checkpoint", time="asked_at", partitions=spark.sparkContext.defaultParallelism).awaitTermination()
     kept = Ledger(spark, f"{at}/out", key=dict(wave.dtypes)["source_index"]).records(f"{schema}, status string")
     return kept.select("source_index", "status", F.when(F.col("status") == "valid", F.col("wave")).otherwise(-1).cast("int").alias("good_from"))
 
