@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -150,6 +151,8 @@ def dataset(records: DataFrame) -> DataFrame:
     return records.select("system", "user", "assistant", "tools", "tool_count", "tool_type", "refusal", "ablation_mode", *map(nested, ("parameter_mapping", "function_mapping", "teacher_success", "teacher_failed")), "teacher_description")
 
 
+#: Results that are passed on together at most; a batch of a few rows costs as much as one of hundreds.
+MOST = 1000
 RESULT = f"raw string, success {SUCCESS}, failed {FAILED}, description string, error string"
 
 
@@ -195,12 +198,13 @@ def annotate(df: DataFrame, make_client: Callable[[], Callable[[list[dict]], str
 
         size = lambda request: sum(len(m["content"] or "") for m in request[1]) / 4 + 1
         out: list[dict] = []
+        passed = time.monotonic()
         for (key, place), answer, error, _ in asked(requests(), ask, limits, cost=size):
             raw = heard.pop(place, None)
             out.append(dict.fromkeys(fields) | {"source_index": key} | (answer if error is None else {"raw": raw, "error": f"{type(error).__name__}: {error}"}))
-            if len(out) >= limits.every:
+            if len(out) >= MOST or (len(out) >= limits.every and time.monotonic() - passed >= 1):
                 yield pd.DataFrame(out, columns=fields)
-                out = []
+                out, passed = [], time.monotonic()
         if out:
             yield pd.DataFrame(out, columns=fields)
 

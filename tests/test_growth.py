@@ -37,3 +37,10 @@ def test_rows_are_never_the_broadcast_side(spark, tmp_path):
     assert "BuildLeft" not in plan_of(ranked)
     done = plan_of(QUERIES["shuffled_prompts"](spark, part(spark, tmp_path, 50)))
     assert done.count("BroadcastHashJoin") <= 2 and "BuildLeft" not in done  # a histogram of buckets, for each side of the union
+
+
+def test_threads_are_used_again():
+    from kilnwork.operators.endpoint import Limits, asked
+
+    got = list(asked(((i, i) for i in range(300)), lambda r: threading.current_thread().name, Limits(in_flight=4)))
+    assert len(got) == 300 and len({name for _, name, _, _ in got}) <= 4
