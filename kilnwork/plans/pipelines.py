@@ -90,7 +90,7 @@ def annotate(plan: DataFrame, done: DataFrame, make_client: Callable, limits: Li
     got = teacher.annotate(todo, make_client, limits=limits).withColumnsRenamed({"success": "teacher_success", "failed": "teacher_failed", "description": "teacher_description"})
     names = plan.withColumns({"tool_names": extract.function_names("tools"), "old_names": F.coalesce(F.map_keys(F.from_json("parameter_mapping", "map<string,string>")), F.array())})
     held = F.when(F.col("error").isNull(), F.struct(F.col("teacher_success").alias("success"), F.col("teacher_failed").alias("failed"), F.col("teacher_description").alias("description")))
-    checked = teacher.check_annotations(got.withColumn("teacher_json", held).join(names, "source_index"))
+    checked = teacher.check_annotations(got.withColumn("teacher_json", held).join(names.hint("merge"), "source_index"))
     return checked.withColumn("status", F.when(F.col("error").isNotNull(), "failed_parse_or_request").otherwise(F.col("status")))
 
 
@@ -100,6 +100,10 @@ RETRIED = ("invalid_schema", "failed_parse_or_request")
 RECORD = f"raw string, status string, tool_names array<string>, old_names array<string>, teacher_json {teacher.ANNOTATION}, teacher_success {teacher.SUCCESS}, teacher_failed {teacher.FAILED}, teacher_description string, validation_errors array<string>, error string"
 
 
+#: Jobs of a run at most. One that has more parts asks for several in a job, since a job for each would take most of the time.
+WAVES = 20
+
+
 def record_schema(plan: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plan.schema) + f", {RECORD}"
 
@@ -113,7 +117,8 @@ def taken_up(plan: DataFrame, ledger: Ledger) -> DataFrame:
 
 
 def annotate_in_parts(plan: DataFrame, make_client: Callable, folder: str, *, every: int = 10_000, retry: tuple[str, ...] = (), limits: Limits | None = None) -> int:
-    """Annotates what of a plan has no record in `folder` under its planned mode, about `every` rows at a time, each part committed by itself.
+    """Annotates what of a plan has no record in `folder` under its planned mode, in parts of about `every` rows, each committed by itself.
+    Up to WAVES parts are asked for one by one; of more, a WAVES-th at a time, which is what a run that breaks off may lose.
 
     The plan is evaluated once. Stored records are repaired and validated first; those whose status changes are appended anew, so
     the log tells what is valid now. Of `retry` statuses (RETRIED as the tool does it) records are asked for again. Which rows are pending is an anti join with the log, so a
@@ -132,12 +137,15 @@ def annotate_in_parts(plan: DataFrame, make_client: Callable, folder: str, *, ev
     todo = io.written(pending, f"{at}/pending")
     parts = -(-counts()["rows"] // every)
     # a folder for each part, so that none reads another's rows
-    mine = todo.withColumn("part_", F.pmod(F.xxhash64("source_index"), F.lit(max(parts, 1))))
+    mine = todo.withColumn("part_", F.pmod(F.xxhash64("source_index"), F.lit(max(parts, 1))).cast("int"))
     mine.repartition("part_").write.partitionBy("part_").parquet(f"{at}/parts")
-    for i in range(parts):
-        rows = spark.read.schema(todo.schema).parquet(f"{at}/parts/part_={i}") if io.exists(spark, f"{at}/parts/part_={i}") else todo.limit(0)
-        rows = rows.repartition(spark.sparkContext.defaultParallelism)  # as many tasks ask as there are cores, unless limits say otherwise
-        ledger.append(annotate(rows, rows.select("source_index").limit(0), make_client, limits))
+    wave = -(-parts // WAVES)
+    for i in range(0, parts, max(wave, 1)):
+        here = [p for p in (f"{at}/parts/part_={j}" for j in range(i, min(i + wave, parts))) if io.exists(spark, p)]
+        if here:
+            rows = spark.read.schema(mine.schema).option("basePath", f"{at}/parts").parquet(*here)
+            rows = rows.repartition(spark.sparkContext.defaultParallelism)  # as many tasks ask as there are cores, unless limits say otherwise
+            ledger.append_parts(annotate(rows, rows.select("source_index").limit(0), make_client, limits), "part_")
     io.delete(spark, at)
     return parts
 

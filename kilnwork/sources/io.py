@@ -44,6 +44,12 @@ def rename(spark: SparkSession, old: str, new: str) -> bool:
     return not fs.exists(to) and fs.rename(p, to)
 
 
+def touch(spark: SparkSession, path: str) -> None:
+    """An empty file."""
+    fs, p = _at(spark, path)
+    fs.create(p, True).close()
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A path of its own below spark.checkpoint.dir, the folder that driver and executors share; below the machine's temporary one where none is set and all runs here."""
     found = spark.conf.get("spark.checkpoint.dir", None)

@@ -55,6 +55,26 @@ class Ledger:
             raise OSError(f"part {name} of {self.folder} could not be committed")
         return name
 
+    def append_parts(self, records: DataFrame, number: str) -> list[str]:
+        """Writes records as several parts, those of one value of the column `number` each, in one job, and commits each part by itself, in the
+        order of numbers; the records are evaluated once."""
+        parts = self.parts()
+        first = int(parts[-1].split("-")[0]) + 1 if parts else 0
+        staged = f"{self.folder}/uncommitted-{uuid.uuid4().hex}"
+        io.with_bucket(records).write.partitionBy(number, "bucket").json(f"{staged}/records")
+        names = {}
+        for i in sorted(int(n.partition("=")[2]) for n in io.children(self.spark, f"{staged}/records") if n.startswith(f"{number}=")):
+            names[i] = f"{first + len(names):08d}-{self._run}"
+        keys = self.spark.read.schema(f"{KEY} {self.key}, {MODE} string, status string, {number} int").json(f"{staged}/records").select(KEY, MODE, "status", number)
+        keys.repartition(number).write.partitionBy(number).parquet(f"{staged}/keys")
+        for i, name in names.items():
+            io.touch(self.spark, f"{staged}/keys/{number}={i}/_SUCCESS")
+            for old, new in (("records", f"{self.folder}/part={name}"), ("keys", f"{self.folder}/log/part={name}")):
+                if not io.rename(self.spark, f"{staged}/{old}/{number}={i}", new):
+                    raise OSError(f"part {name} of {self.folder} could not be committed")
+        io.delete(self.spark, staged)
+        return list(names.values())
+
     def log(self) -> DataFrame:
         """source_index, ablation_mode, status, part of all committed records."""
         schema, parts = f"{KEY} {self.key}, {MODE} string, status string, part string", self.parts()
@@ -73,13 +93,13 @@ class Ledger:
             return self.spark.createDataFrame([], f"{schema}, part string, bucket string")
         all_ = self.spark.read.schema(f"{schema}, part string, bucket string").option("basePath", self.folder).json([f"{self.folder}/part={p}" for p in parts])
         last = self.latest().select(F.col(KEY).alias("k_"), F.col(MODE).alias("m_"), F.col("part").alias("p_"))
-        got = all_.join(last, F.col(KEY).eqNullSafe(F.col("k_")) & F.col(MODE).eqNullSafe(F.col("m_")) & (F.col("part") == F.col("p_")), "left_semi")
+        got = all_.join(last.hint("merge"), F.col(KEY).eqNullSafe(F.col("k_")) & F.col(MODE).eqNullSafe(F.col("m_")) & (F.col("part") == F.col("p_")), "left_semi")
         return got
 
     def of_plan(self, plan: DataFrame, schema: str) -> DataFrame:
         """For every planned key its record under the planned mode, if there is one; a key that the plan repeats once."""
         planned = plan.select(F.col(KEY).alias("k_"), F.col(MODE).alias("m_")).distinct()
-        got = self.records(schema).join(planned, (F.col(KEY) == F.col("k_")) & F.col(MODE).eqNullSafe(F.col("m_")), "left_semi")
+        got = self.records(schema).join(planned.hint("merge"), (F.col(KEY) == F.col("k_")) & F.col(MODE).eqNullSafe(F.col("m_")), "left_semi")
         one = F.row_number().over(Window.partitionBy(KEY, MODE).orderBy("bucket"))
         return got.withColumn("one_", one).where("one_ = 1").drop("one_")
 
@@ -88,4 +108,4 @@ class Ledger:
         done = self.latest()
         done = done.where(~F.col("status").isin(*retry)) if retry else done
         done = done.select(F.col(KEY).alias("k_"), F.col(MODE).alias("m_"))
-        return plan.join(done, (F.col(KEY) == F.col("k_")) & F.col(MODE).eqNullSafe(F.col("m_")), "left_anti")
+        return plan.join(done.hint("merge"), (F.col(KEY) == F.col("k_")) & F.col(MODE).eqNullSafe(F.col("m_")), "left_anti")
