@@ -2,12 +2,13 @@
 
 Words are counted and those frequent enough numbered; texts become arrays of numbers, 0 where a piece ends or a word is rare. A phrase
 of k words is the pair of its first and its last k - 1 words, so its key is two numbers and exact, and it is a candidate only if
-both are frequent and its bucket of a sieve (hashed counts of all such pairs) is. Candidates go into a minimal perfect
-hash that stores its keys; tasks look up their pairs, count by slot with numpy, and the arrays are summed in a tree. What is frequent
-is numbered by its slot, arrays of these numbers replace those of the level before, and counts of a phrase's parts, its cuts, are read by slot.
+both are frequent and its bucket of a sieve (hashed counts of all such pairs) is. Tasks add up the candidates they see and hand on
+sorted arrays of keys and counts, a slice of the keys each; slices are added up, and what is frequent goes into a minimal perfect
+hash that stores its keys, with counts by slot. Tasks look up their pairs: what is frequent is numbered by its slot, arrays of these
+numbers replace those of the level before, and counts of a phrase's parts, its cuts, are read by slot.
 
-What is broadcast is bounded: WORDS words or KEYS candidates at a time, a group of them by hash, and 2^SIEVE_MOST bits. More of them take
-more passes over the number arrays, none is left out.
+What is broadcast is bounded: WORDS words or KEYS frequent phrases at a time, a group of them by hash, and 2^SIEVE_MOST bits. More of them take
+more passes over the number arrays, none is left out; rare pairs take none, however many a full sieve lets through.
 """
 
 from __future__ import annotations
@@ -161,99 +162,113 @@ def slice_of(keys: np.ndarray, slices: int) -> np.ndarray:
     return ((mix64(keys) >> np.uint64(32)) % np.uint64(slices)).astype(np.int64)
 
 
-def merged(arrays: list[np.ndarray]) -> np.ndarray:
-    return np.unique(np.concatenate(arrays)) if len(arrays) > 1 else arrays[0]
+def added(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    if len(keys) == 1:
+        return keys[0], counts[0]
+    all_, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(all_, kind="stable")
+    all_ = all_[order]
+    at = np.flatnonzero(np.concatenate([[True], all_[1:] != all_[:-1]]))
+    return all_[at], np.add.reduceat(n[order], at)
 
 
-def candidates(spelt: DataFrame, kept: np.ndarray, bits: int, slices: int) -> DataFrame:
-    """slice, keys (sorted, as bytes), n: the distinct pairs that pass the sieve. Tasks hand on sorted arrays, a slice of the keys each, and merge them."""
-    shared = spelt.sparkSession.sparkContext.broadcast(kept)  # 2^SIEVE_MOST bits at most
-    mask, fields = np.uint64((1 << bits) - 1), ["slice", "keys"]
+def candidates(spelt: DataFrame, kept: np.ndarray | None, bits: int, slices: int, least: int) -> DataFrame:
+    """slice, keys (sorted, as bytes), counts, n: the pairs that occur `least` times or more, of those that pass the sieve, if there is one. Tasks
+    add up what they hold and hand on sorted arrays, a slice of the keys each; a slice's are added up in one task. One pass, whatever their number."""
+    shared = None if kept is None else spelt.sparkSession.sparkContext.broadcast(kept)  # 2^SIEVE_MOST bits at most
+    mask, fields = np.uint64((1 << bits) - 1), ["slice", "keys", "counts"]
+    none = np.empty(0, np.uint64), np.empty(0, np.int64)
 
-    def dealt(held: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def dealt(held: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         at = slice_of(held, slices)
         order = np.argsort(at, kind="stable")
         edges = np.flatnonzero(np.diff(at[order], prepend=-1, append=slices))
-        out = [(int(at[order[i]]), held[order[i:j]].tobytes()) for i, j in zip(edges, edges[1:])]
-        yield pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary())], fields)
+        small = n.astype(np.uint32)  # occurrences in one task, of less than 2^32
+        out = [(int(at[order[i]]), held[order[i:j]].tobytes(), small[order[i:j]].tobytes()) for i, j in zip(edges, edges[1:])]
+        yield pa.record_batch([pa.array([o[0] for o in out], pa.int32()), pa.array([o[1] for o in out], pa.binary()), pa.array([o[2] for o in out], pa.binary())], fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.empty(0, np.uint64)
+        held, waiting = none, []
+
+        def merge_in() -> tuple[np.ndarray, np.ndarray]:
+            new = np.unique(np.concatenate(waiting), return_counts=True)
+            waiting.clear()
+            return added([held[0], new[0]], [held[1], new[1]])
+
         for b in returning(batches):
             all_ = numbers_of(binary(b.column("now")))
             for i in range(0, len(all_), 1 << 20):
                 keys = pairs(all_[i : i + (1 << 20) + 1])[1]
-                at = (mix64(keys) & mask).astype(np.int64)
-                held = np.union1d(held, keys[shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1])
-                if len(held) > HELD_KEYS:
-                    yield from dealt(held)
-                    held = held[:0]
-        if len(held):
-            yield from dealt(held)
+                if shared is not None:
+                    at = (mix64(keys) & mask).astype(np.int64)
+                    keys = keys[shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1]
+                if len(keys):
+                    waiting.append(keys)
+                if sum(map(len, waiting)) >= HELD_KEYS:
+                    held = merge_in()
+                if len(held[0]) > HELD_KEYS:
+                    yield from dealt(*held)
+                    held = none
+        if waiting:
+            held = merge_in()
+        if len(held[0]):
+            yield from dealt(*held)
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: dict[int, tuple[list[np.ndarray], int]] = {}
+        sums: dict[int, tuple[list[np.ndarray], list[np.ndarray], int]] = {}
         for b in returning(batches):
-            for at, keys in zip(b.column("slice").to_pylist(), b.column("keys")):
-                arrays, size = sums.get(at, ([], 0))
+            for at, keys, counts in zip(b.column("slice").to_pylist(), b.column("keys"), b.column("counts")):
+                arrays, ns, size = sums.get(at, ([], [], 0))
                 arrays.append(np.frombuffer(keys.as_buffer(), np.uint64).copy())
+                ns.append(np.frombuffer(counts.as_buffer(), np.uint32).astype(np.int64))
                 size += len(arrays[-1])
                 if size > 2 * len(arrays[0]) + 10_000:  # merged whenever a slice has doubled
-                    arrays = [merged(arrays)]
-                    size = len(arrays[0])
-                sums[at] = arrays, size
-        for at, (arrays, _) in sums.items():
-            keys = merged(arrays)
-            yield pa.record_batch([pa.array([at], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64())], [*fields, "n"])
+                    one, n = added(arrays, ns)
+                    arrays, ns, size = [one], [n], len(one)
+                sums[at] = arrays, ns, size
+        for at in list(sums):
+            keys, n = added(*sums.pop(at)[:2])
+            keys, n = keys[n >= least], n[n >= least]
+            if len(keys):
+                yield pa.record_batch([pa.array([at], pa.int32()), pa.array([keys.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary()), pa.array([len(keys)], pa.int64())], [*fields, "n"])
 
-    return spelt.select("now").mapInArrow(run, "slice int, keys binary").repartition("slice").mapInArrow(merge, "slice int, keys binary, n long")
+    return spelt.select("now").mapInArrow(run, "slice int, keys binary, counts binary").repartition("slice").mapInArrow(merge, "slice int, keys binary, counts binary, n long")
 
 
 def hashed(found: DataFrame, group_of: dict[int, int]) -> DataFrame:
-    """g, hash: the perfect hash of each group of slices, built in a task from about KEYS keys."""
+    """g, hash, a: the perfect hash of each group of slices, built in a task from about KEYS keys, and their counts by slot."""
     spark = found.sparkSession
     groups = spark.createDataFrame(list(group_of.items()), "s_ int, g int")
 
     def build(rows_: pa.Table) -> pa.Table:
-        made = PerfectHash(np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in rows_.column("keys")]))
-        return pa.table({"g": pa.array(rows_.column("g").to_pylist()[:1], pa.int32()), "hash": pa.array([pickle.dumps(made)], pa.binary())})
+        keys = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in rows_.column("keys")])
+        made, counts = PerfectHash(keys), np.zeros(len(keys), np.int64)
+        counts[made.find(keys)] = np.concatenate([np.frombuffer(c.as_buffer(), np.int64) for c in rows_.column("counts")])
+        return pa.table({"g": pa.array(rows_.column("g").to_pylist()[:1], pa.int32()), "hash": pa.array([pickle.dumps(made)], pa.binary()), "a": pa.array([counts.tobytes()], pa.binary())})
 
-    return found.join(groups, F.col("slice") == F.col("s_")).select("g", "keys").groupBy("g").applyInArrow(build, "g int, hash binary")
+    return found.join(groups, F.col("slice") == F.col("s_")).select("g", "keys", "counts").groupBy("g").applyInArrow(build, "g int, hash binary, a binary")
 
 
-def counted(spelt: DataFrame, shared, first: int, least: int, name: str) -> DataFrame:
-    """id, prefix, suffix, a of the candidates of one perfect hash that occur `least` times or more. Tasks count by slot; the arrays are summed in a tree."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_ = shared.value
-        sums = np.zeros(len(hash_), np.int64)
-        for b in returning(batches):
-            all_ = numbers_of(binary(b.column("now")))
-            for i in range(0, len(all_), 1 << 20):
-                slots = hash_.find(pairs(all_[i : i + (1 << 20) + 1])[1])
-                sums += np.bincount(slots[slots >= 0], minlength=len(sums))
-        for column in zip(*packed_chunks([sums])):
-            yield pa.record_batch([pa.array([column[0]], pa.int32()), pa.array([column[1]], pa.int32()), pa.array([column[2]], pa.binary())], ["chunk", "salt", "counts"])
+def numbered(hashes: DataFrame) -> DataFrame:
+    """id, prefix, suffix, a of every key of the hashes, read by slot."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts")):
-                whole = np.zeros(CHUNK, np.uint64)
-                add_sparse(whole, counts.as_buffer())
-                slot = np.flatnonzero(whole >= least)
-                keys = shared.value.keys[slot + chunk * CHUNK]
-                yield pa.record_batch([pa.array(first + 1 + slot + chunk * CHUNK), pa.array((keys >> np.uint64(32)).astype(np.int64)), pa.array((keys & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(whole[slot].astype(np.int64))], ["id", "prefix", "suffix", "a"])
+            for g, hash_, a in zip(b.column("g").to_pylist(), b.column("hash"), b.column("a")):
+                keys, counts = pickle.loads(hash_.as_buffer()).keys, np.frombuffer(a.as_buffer(), np.int64)
+                for i in range(0, len(keys), 50_000):
+                    part = keys[i : i + 50_000]
+                    yield pa.record_batch([pa.array((g << ROOM) + 1 + i + np.arange(len(part))), pa.array((part >> np.uint64(32)).astype(np.int64)), pa.array((part & np.uint64(0xFFFFFFFF)).astype(np.int64)), pa.array(counts[i : i + 50_000])], ["id", "prefix", "suffix", "a"])
 
-    parts = sum_chunks(spelt.select("now").mapInArrow(count, "chunk int, salt int, counts binary"))
-    return materialize(sum_chunks(parts.withColumn("salt", F.lit(0))).mapInArrow(read, "id long, prefix long, suffix long, a long"), f"{name}-counted")
+    return hashes.mapInArrow(read, "id long, prefix long, suffix long, a long")
 
 
-def respell(at: DataFrame, shared, frequent: np.ndarray, first: int, last: bool, name: str) -> DataFrame:
+def respell(at: DataFrame, shared, first: int, last: bool, name: str) -> DataFrame:
     """`then`: the numbers of the frequent phrases that begin at every place, those of other groups kept; the last group drops `now`."""
-    kept = at.sparkSession.sparkContext.broadcast(frequent)  # a bit for each of KEYS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hash_, good = shared.value, kept.value
+        hash_ = shared.value
         for b in returning(batches):
             now = binary(b.column("now"))
             all_ = numbers_of(now)
@@ -262,7 +277,6 @@ def respell(at: DataFrame, shared, frequent: np.ndarray, first: int, last: bool,
                 place, keys = pairs(all_[i : i + (1 << 20) + 1])
                 slots = hash_.find(keys)
                 hit = slots >= 0
-                hit[hit] = good[slots[hit]]
                 then[i + place[hit]] = first + 1 + slots[hit]
             out = column_of(then, now)
             yield pa.record_batch([out] if last else [now, out], ["now"] if last else ["now", "then"])
@@ -274,10 +288,11 @@ def longer(spelt: DataFrame, level: DataFrame, k: int, total: int, least: int, k
     """The frequent phrases of k words (as `level` has those of k - 1), and the texts spelt in their numbers."""
     spark = spelt.sparkSession
     bits = min(max(SIEVE_LEAST, (total // 8 + 1).bit_length()), SIEVE_MOST)
-    kept = sieve(spelt, bits, least, name)
-    likely = int(np.bitwise_count(kept).sum())  # buckets that pass hold a few keys each
-    slices = max(SLICES, likely * SLICES // keys_at_once, total >> 26)
-    found = materialize(candidates(spelt, kept, bits, slices), f"{name}-candidates")
+    # where most buckets hold enough pairs by chance a sieve only costs its pass
+    kept = sieve(spelt, bits, least, name) if total >> bits < max(least // 2, 1) else None
+    likely = min(total // least, total if kept is None else int(np.bitwise_count(kept).sum()) * 8)  # phrases that are frequent, at most or about
+    slices = max(SLICES, 4 * likely // keys_at_once, total >> 22)
+    found = materialize(candidates(spelt, kept, bits, slices, least), f"{name}-candidates")
     group_of, groups, held = {}, 0, 0
     for r in found.select("slice", "n").orderBy("slice").toLocalIterator():  # in proportion to the groups
         if not groups or held + r.n > keys_at_once:
@@ -287,19 +302,15 @@ def longer(spelt: DataFrame, level: DataFrame, k: int, total: int, least: int, k
             raise ValueError(f"{slices} slices of phrases don't fit into numbers of 32 bits")
     grams, at = spark.createDataFrame([], "id long, prefix long, suffix long, a long"), spelt
     hashes = materialize(hashed(found, group_of), f"{name}-hashes") if groups else None
-    for g in range(groups):
+    if groups:
+        grams = materialize(numbered(hashes), f"{name}-counted")
+    for g in range(groups if k < 4 else 0):
         hash_ = pickle.loads(hashes.where(F.col("g") == g).first().hash)  # about 10 bytes for each of KEYS
-        size, first = len(hash_), g << ROOM
         shared = spark.sparkContext.broadcast(hash_)
         del hash_
-        part = counted(spelt, shared, first, least, name)
-        frequent = np.zeros(size, bool)
-        frequent[part.select("id").toPandas()["id"].to_numpy(np.int64) - first - 1] = True
-        if k < 4:
-            before, at = at, respell(at, shared, frequent, first, g == groups - 1, f"{name}-spelt")
-            if before is not spelt:
-                release(before)
-        grams = grams.unionByName(part)
+        before, at = at, respell(at, shared, g << ROOM, g == groups - 1, f"{name}-spelt")
+        if before is not spelt:
+            release(before)
         shared.unpersist()
         give_back()
     release(found, *([hashes] if hashes is not None else []))

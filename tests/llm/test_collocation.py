@@ -99,3 +99,15 @@ def test_query_against_sql(spark, tmp_path):
     got, want = C.op13_mine_collocations(spark, str(tmp_path)).toPandas(), con.execute(C.OP13_SQL).df()
     text = lambda df: sorted(map(tuple, df[COLUMNS].astype(str).to_numpy().tolist()))
     assert text(got) == text(want) and len(got)
+
+
+def test_rare_pairs_take_no_passes(spark, monkeypatch):
+    """A sieve that is full lets every pair through; passes over the texts follow what is frequent."""
+    monkeypatch.setattr(C, "SIEVE_LEAST", 4)
+    monkeypatch.setattr(C, "SIEVE_MOST", 4)
+    passes, respell = [], C.respell
+    monkeypatch.setattr(C, "respell", lambda *a: passes.append(1) or respell(*a))
+    rng = random.Random(4)
+    rows = [(" ".join(f"w{rng.randint(0, 39)}" for _ in range(40)) + ". New York city. New York city", "en") for _ in range(60)]
+    got = C.collocations(table_of(spark, rows), least=30, keys_at_once=60).collect()
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == brute(rows) and got and len(passes) == 2
