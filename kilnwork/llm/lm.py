@@ -17,13 +17,13 @@ of the corpus; frequent words, of a bounded number, are looked up from a broadca
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,9 +46,11 @@ FIRM, FIRM_LAST = 5.0, 20.0
 #: Characters that are counted, tallied and scored at once; what a task holds beside its tables is some hundred bytes for each.
 COUNT_AT_ONCE, TALLY_AT_ONCE, SCORE_AT_ONCE = 1 << 18, 1 << 21, 1 << 20
 #: Bytes whose contexts are worked out at once, and whose bits are looked up at once.
-NEAR, STRETCH = 1 << 17, 1 << 15
+NEAR, STRETCH = 1 << 16, 1 << 15
 #: Words that a task counts before it passes them on.
 WORDS_AT_ONCE = 250_000
+#: Words that are looked up among the frequent ones at once; what they are found by is made anew each time.
+WORDS_LOOKED_UP = 1_000_000
 #: Predictors' log-odds are kept in SCALE-ths, in bytes; the mixer's in FINE-ths, up to LIMIT.
 SCALE, FINE, LIMIT = 16.0, 32, 12
 #: Tasks whose counts are added up by one other task.
@@ -108,41 +110,89 @@ FACTOR = 0x9E3779B1
 def contexts(symbols: np.ndarray, space: int, wide: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
     """Per predictor the first slot (context times SYMBOLS) of every position; `first` marks the positions where a text
     starts, `wide` those of bytes beyond ASCII."""
-    n, place = len(symbols), np.arange(len(symbols))
-    s = symbols.astype(np.uint32) + np.uint32(1)
-    start = np.flatnonzero(first)
-    # the last four symbols, and the last three; what lies before a text's start is 0
-    powers, lately = (1, 65, 4225, 274625), []
-    for reach in (4, 3):
-        x = np.zeros(n, np.uint32)
-        for k, by in enumerate(powers[:reach], 1):
-            x[k:] += s[:-k] * np.uint32(by)
-        for i in range(reach):
-            at = start[start + i < np.append(start[1:], n)] + i
-            x[at] = sum((s[at - k] * np.uint32(powers[k - 1]) for k in range(1, i + 1)), np.zeros(len(at), np.uint32))
-        lately.append((x * np.uint32(2654435761)) >> np.uint32(32 - ROWS[5 - reach]))
+    n = len(symbols)
+    s = symbols.astype(np.uint32)
+    s += np.uint32(1)
+    start, other = np.flatnonzero(first), np.empty(n, np.uint32)
+    # the last three symbols, and the last four; what lies before a text's start is 0
+    powers, lately, x = np.array([1, 65, 4225, 274625], np.uint32), [], np.zeros(n, np.uint32)
+    at = start[:, None] + np.arange(4)
+    inside = at < np.append(start[1:], n)[:, None]
+    early = s.take(at[:, :3], mode="clip") @ np.stack([np.pad(powers[: 3 - i], (i + 1, 0)) for i in range(3)])
+    x[1:] = s[:-1]
+    for k in (1, 2, 3):
+        np.multiply(s[: -k - 1], powers[k], out=other[k + 1 :])
+        x[k + 1 :] += other[k + 1 :]
+        if k >= 2:
+            x[at[:, : k + 1][inside[:, : k + 1]]] = early[:, : k + 1][inside[:, : k + 1]]
+            lately.insert(0, x * np.uint32(2654435761))
     # the word so far: a hash of the symbols since the last space or start
     begin = first.copy()
     begin[1:] |= symbols[:-1] == space
-    origin = np.maximum.accumulate(place * begin)
+    origin = np.flatnonzero(begin)
+    run = np.diff(origin, append=n)
     sums = np.zeros(n + 1, np.uint32)
-    np.cumsum(s * powers_of(FACTOR, n), out=sums[1:], dtype=np.uint32)
-    h = (sums[:n] - sums[origin]) * powers_of(pow(FACTOR, -1, 1 << 32), n)[origin] + (place - origin).astype(np.uint32)
-    h ^= h >> np.uint32(15)
+    np.multiply(s, powers_of(FACTOR, n), out=other)
+    np.cumsum(other, out=sums[1:], dtype=np.uint32)
+    back = powers_of(pow(FACTOR, -1, 1 << 32), n)[origin]
+    h = sums[:n]
+    offset = sums[origin] * back + origin.astype(np.uint32)
+    h *= np.repeat(back, run)
+    h += np.arange(n, dtype=np.uint32)
+    h -= np.repeat(offset, run)
+    np.right_shift(h, np.uint32(15), out=other)
+    h ^= other
     # the word so far, and the last symbol of a byte beyond ASCII before it: it tells languages apart
-    marks = place * (wide | first)
-    before = np.maximum.accumulate(marks)[np.maximum(np.flatnonzero(begin) - 1, 0)]
-    last = np.where(wide[before] & ~first[begin], s[before], np.uint32(0))
-    last = np.repeat(last, np.diff(np.append(np.flatnonzero(begin), n)))
-    tongue = ((h + last * np.uint32(0x85EBCA6B)) * np.uint32(3266489917)) >> np.uint32(32 - ROWS[0])
-    return [x.astype(np.int32) << 6 for x in (tongue, *lately)]
+    marks = wide | first
+    before = np.flatnonzero(marks)[np.cumsum(marks, dtype=np.int32)[np.maximum(origin - 1, 0)] - 1]
+    last = np.where(wide[before] & ~first[origin], s[before], np.uint32(0))
+    if last.any():
+        h += np.repeat(last * np.uint32(0x85EBCA6B), run)
+    h *= np.uint32(3266489917)
+    out = []
+    for x, r in zip((h, *lately), ROWS):
+        x >>= np.uint32(26 - r)
+        x &= np.uint32((SYMBOLS << r) - SYMBOLS)
+        out.append(x.view(np.int32))
+    return out
+
+
+#: Bytes as they are read: white space is a space, A to Z are lower-cased.
+READ_AS = bytes(32 if 9 <= i <= 13 else i for i in range(256)).lower()
+
 
+def joined(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """All bytes in turn, one space between words and an end mark behind each text, and where each text's bytes end."""
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    data = np.frombuffer(bytearray(b" ".join([*parts, b""]).translate(READ_AS)), np.uint8)
+    data[np.cumsum([len(p) + 1 for p in parts]) - 1] = 10
+    # white space stays where a letter follows, if it doesn't begin a text
+    letter = (data != 32) & (data != 10)
+    kept = data != 32
+    kept[:-1] |= letter[1:]
+    begin = np.flatnonzero(data[:-1] == 10) + 1
+    if data[0] == 32 or (data[begin] == 32).any():
+        after = np.flatnonzero(data != 32)  # the first byte of each text that stays
+        kept[np.maximum(after[np.searchsorted(after, np.append(0, begin))] - 1, 0)] = False
+        kept |= data != 32
+    data = data if kept.all() else data[kept]
+    return data, np.flatnonzero(data == 10) + 1
 
-def read(texts: list[str | None]) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
+
+def split(data: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words in turn, and where each text's words begin. A text without words has one, the empty one."""
+    between = (data == 32) | (data == 10)
+    stops = np.flatnonzero(between)
+    offsets = np.zeros(len(stops) + 1, np.int32)
+    np.subtract(stops, np.arange(len(stops)), out=offsets[1:], casting="unsafe")
+    words = pa.Array.from_buffers(pa.binary(), len(stops), [None, pa.py_buffer(offsets), pa.py_buffer(data[~between])])
+    return words, np.searchsorted(stops, np.concatenate([[0], ends[:-1]]))
+
+
+def read(texts: list[str | None]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """Words, all bytes in turn, and where each text's bytes end."""
-    words = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # as words_of()
-    parts = [b" ".join(w) + b"\n" for w in words]
-    return words, np.frombuffer(b"".join(parts), np.uint8), np.cumsum([len(p) for p in parts])
+    data, ends = joined(texts)
+    return split(data, ends)[0], data, ends
 
 
 def starts_of(ends: np.ndarray) -> np.ndarray:
@@ -205,30 +255,30 @@ class Mixer:
         self.log = np.concatenate([np.log10(1 - p), np.log10(p)])
         self.error = np.concatenate([-p, 1 - p]).astype(np.float32)
         self.mass = (p * (1 - p)).astype(np.float32)
-        self.side = (bit * len(p)).astype(np.int32)  # where the figures of a bit's value begin
+        self.side = (bit * len(p)).astype(np.intp)  # where the figures of a bit's value begin
 
     def look_up(self, symbols: np.ndarray, ctx: list[np.ndarray], ends: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """By depth: the predictors' log-odds of every bit, its side, and where the bits of each stretch of symbols end, after a 0;
         `ends` has where the stretches do."""
-        out, place, ctx = [], np.arange(len(symbols)), [c.astype(np.intp) for c in ctx]
-        length, stops = self.length.take(symbols), np.concatenate([[0], ends])
+        out, length, to = [], self.length.take(symbols), np.concatenate([[0], ends])
+        symbols, ctx = symbols.astype(np.intp), np.stack(ctx, dtype=np.intp)
         for depth, (node, side) in enumerate(zip(self.node, self.side)):
             if depth >= self.length.min():
                 more = np.flatnonzero(length > depth)
-                place, symbols, length, ctx = place.take(more), symbols.take(more), length.take(more), [c.take(more) for c in ctx]
-            at, odds_ = node.take(symbols), np.empty((3, len(symbols)), np.int8)
-            for x, t, c in zip(odds_, self.tables, ctx):
-                t.take(c + at, out=x, mode="clip")
-            out.append((odds_, side.take(symbols), np.searchsorted(place, stops) if len(place) < stops[-1] else stops))
+                symbols, length, ctx, to = symbols.take(more), length.take(more), ctx.take(more, axis=1), np.searchsorted(more, to)
+            at, odds_ = ctx + node.take(symbols, mode="clip"), np.empty(ctx.shape, np.int8)
+            for x, t, c in zip(odds_, self.tables, at):
+                t.take(c, out=x, mode="clip")
+            out.append((odds_, side.take(symbols, mode="clip"), to))
         return out
 
-    def blocks(self, size: np.ndarray, begin: np.ndarray) -> Iterator[list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
-        """Which texts have the next block, its lengths, and the places of its bytes; some blocks at a time, of about
-        STRETCH bytes."""
+    def blocks(self, size: np.ndarray, begin: np.ndarray) -> Iterator[list[tuple[int, np.ndarray, np.ndarray]]]:
+        """How many texts have the next block (`size` falls), its lengths, and the places of its bytes; some blocks at a time, of
+        about STRETCH bytes."""
         held, room, lo = [], STRETCH, 0
-        while len(live := np.flatnonzero(size > lo)):
-            n = np.minimum(max(BLOCK, lo // GROWS), size[live] - lo)
-            held.append((live, n, np.repeat(begin[live] + lo - np.cumsum(n) + n, n) + np.arange(n.sum())))
+        while live := int(np.searchsorted(-size, -lo)):
+            n = np.minimum(max(BLOCK, lo // GROWS), size[:live] - lo)
+            held.append((live, n, np.repeat(begin[:live] + lo - np.cumsum(n) + n, n) + np.arange(n.sum())))
             lo, room = lo + max(BLOCK, lo // GROWS), room - n.sum()
             if room <= 0:
                 yield held
@@ -240,42 +290,46 @@ class Mixer:
         """log10 probability of every text. No text's score depends on the others of its batch."""
         symbols, ctx = located(self.code, data, ends)
         begin, depths = np.concatenate([[0], ends[:-1]]), len(self.node)
-        size = ends - begin
+        order = np.argsort(begin - ends, kind="stable")  # the longest first: those that have a block come before the others
         out = np.zeros(len(ends))
         # of each predictor its share, and the last correction, by depth and text
         own, proof = np.ones((4, depths, len(ends))), np.full((4, depths, len(ends)), FIRM)
         own[3], proof[3] = 0, FIRM_LAST
-        least, most = (np.array(x)[:, None, None] for x in ([0, 0, 0, -2], [3, 3, 3, 2]))
         units = np.array([1 / SCALE, 1 / SCALE, 1 / SCALE, 1])[:, None, None]
-        for some in self.blocks(size, begin):
+        room = np.empty((2, 4, 0), np.float32)
+        for some in self.blocks((ends - begin)[order], begin[order]):
             at, n = (np.concatenate(x) for x in list(zip(*some))[:0:-1])
             bits = self.look_up(symbols.take(at), [c.take(at) for c in ctx], np.cumsum(n))
             hi = 0
             for live, _, _ in some:
-                lo, hi = hi, hi + len(live)
-                held = [(x[:, to[lo] : to[hi]], side[to[lo] : to[hi]], np.diff(to[lo : hi + 1])) for x, side, to in bits]
+                lo, hi = hi, hi + live
+                held = [(x[:, to[lo] : to[hi]], side[to[lo] : to[hi]], to[lo + 1 : hi + 1] - to[lo:hi]) for x, side, to in bits]
                 n = np.concatenate([k for _, _, k in held])
                 x = np.concatenate([v for v, _, _ in held], axis=1, dtype=np.float32, casting="unsafe")
                 full = np.flatnonzero(n)
                 starts = (np.cumsum(n) - n)[full]
-                by_text = (own[:, :, live] * (units * FINE)).astype(np.float32).reshape(4, -1)
+                by_text = (own[:, :, :live] * (units * FINE)).astype(np.float32).reshape(4, -1)
                 by_text[3] += LIMIT * FINE
                 z = np.repeat(by_text, n, axis=1)
                 z[:3] *= x
-                z[3] += z[0]
-                z[3] += z[1]
-                z[3] += z[2]
-                z = np.minimum(np.maximum(np.rint(z[3]), 0), 2 * LIMIT * FINE)
-                q = z.astype(np.int32)
+                *z, mixed = z
+                for k in z:
+                    mixed += k
+                np.rint(mixed, out=mixed)
+                np.clip(mixed, 0, 2 * LIMIT * FINE, out=mixed)
+                q = mixed.astype(np.intp)
                 look = np.concatenate([v for _, v, _ in held])
                 look += q
                 sums = np.zeros(len(n))
-                sums[full] = np.add.reduceat(self.log.take(look), starts)
-                out[live] += sums.reshape(depths, -1).sum(0)
+                sums[full] = np.add.reduceat(self.log.take(look, mode="clip"), starts)
+                out[:live] += sums.reshape(depths, -1).sum(0)
                 if not learn:
                     continue
-                terms = np.empty((2, 4, len(look)), np.float32)
-                terms[0, 3], terms[1, 3] = self.mass.take(q), self.error.take(look)
+                if room.shape[2] < len(look):
+                    room = np.empty((2, 4, len(look)), np.float32)
+                terms = room[:, :, : len(look)]
+                self.mass.take(q, out=terms[0, 3], mode="clip")
+                self.error.take(look, out=terms[1, 3], mode="clip")
                 np.multiply(terms[:, 3:], x, out=terms[:, :3])
                 terms[0, :3] *= x
                 sums = np.zeros((2, 4, len(n)))
@@ -283,9 +337,12 @@ class Mixer:
                 gain, pull = sums.reshape(2, 4, depths, -1)
                 gain *= units**2
                 pull *= units
-                gain += proof[:, :, live]
-                proof[:, :, live] = gain
-                own[:, :, live] = np.clip(own[:, :, live] + pull / gain, least, most)
+                proof[:, :, :live] += gain
+                pull /= proof[:, :, :live]
+                own[:, :, :live] += pull
+                for k, least, most in ((slice(3), 0, 3), (3, -2, 2)):
+                    np.clip(own[k, :, :live], least, most, out=own[k, :, :live])
+        out[order] = out.copy()
         rare = np.add.reduceat(symbols == SYMBOLS - 1, begin, dtype=np.int64) if len(ends) else 0
         return out - rare * (8 * np.log10(2))
 
@@ -345,7 +402,7 @@ def tallied(docs: DataFrame, code: Code, tables: list[np.ndarray], name: str) ->
         code_, tables_ = shared.value
         tally = np.zeros((SYMBOLS, 2, LEVELS**3), np.uint32)
         for part in rows(batches, "text", "half", limit_bytes=TALLY_AT_ONCE):
-            _, data, ends = read([t for t, _ in part])
+            data, ends = joined([t for t, _ in part])
             add_tally(tally, code_, tables_, data, ends, np.array([h for _, h in part]))
         chunk, salt, packed = packed_chunks([tally.ravel()])
         yield pa.record_batch([pa.array(chunk, pa.int32()), pa.array(salt, pa.int32()), pa.array(packed, pa.binary())], ["chunk", "salt", "counts"])
@@ -381,8 +438,9 @@ def histogram(docs: DataFrame) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(256, np.int64)
         for part in rows(batches, "text"):
-            text = b"\n".join(b" ".join((t or "").encode("utf-8", "surrogatepass").split()) for (t,) in part) + b"\n"
-            total += np.bincount(np.frombuffer(text.lower(), np.uint8), minlength=256)
+            data, _ = joined([t for (t,) in part])
+            for i in range(0, len(data), CHUNK):
+                total += np.bincount(data[i : i + CHUNK], minlength=256)
         yield pa.record_batch([pa.array(np.arange(256)), pa.array(total)], ["byte", "n"])
 
     out = np.zeros(256)
@@ -394,6 +452,12 @@ def histogram(docs: DataFrame) -> np.ndarray:
 GATHER = "word binary, n long, chunk int, salt int, counts binary"
 
 
+def tally_words(words: pa.Array, more: int) -> pa.Table:
+    """How often each word occurs; the end mark is the empty word, which `more` texts have beside their words."""
+    found = words.value_counts()
+    return pa.table({"word": pa.chunked_array([found.field("values"), pa.array([b""], pa.binary())]), "n": pa.chunked_array([found.field("counts"), pa.array([more], pa.int64())])})
+
+
 def gather(docs: DataFrame, code: Code) -> DataFrame:
     """Of every task's documents (text, half): how often each word occurs (the end mark is the empty word), a row each, and its symbol
     counts per context, of either half of the texts, a row for each chunk of the tables."""
@@ -401,29 +465,34 @@ def gather(docs: DataFrame, code: Code) -> DataFrame:
     types = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
     names = ["word", "n", "chunk", "salt", "counts"]
 
-    def batch(*columns: list | None) -> pa.RecordBatch:
+    def batch(*columns: list | pa.Array | None) -> pa.RecordBatch:
         size = next(len(c) for c in columns if c is not None)
-        return pa.record_batch([pa.nulls(size, t) if c is None else pa.array(c, t) for c, t in zip(columns, types)], names)
+        return pa.record_batch([pa.nulls(size, t) if c is None else c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [np.zeros(n, np.uint32) for n in sizes]
-        words: Counter = Counter()
+        words, held = [], 0  # tables of words and their counts, and their rows in all
+
+        def merge() -> int:
+            words[:] = [pa.concat_tables(words).group_by("word", use_threads=False).aggregate([("n", "sum")]).select(["word", "n_sum"]).rename_columns(["word", "n"])]
+            return len(words[0])
 
         def flush() -> Iterator[pa.RecordBatch]:
-            known = list(words)
-            for i in range(0, len(known), 1 << 15):
-                some = known[i : i + (1 << 15)]
-                yield batch(some, [words[w] for w in some], None, None, None)
-            words.clear()
+            for some in words.pop().combine_chunks().to_batches(max_chunksize=1 << 15):
+                yield batch(*some.columns, None, None, None)
 
         for part in rows(batches, "text", "half", limit_bytes=COUNT_AT_ONCE):
-            found, data, ends = read([t for t, _ in part])
-            words.update(chain.from_iterable(found))
-            words[b""] += len(found)
+            data, ends = joined([t for t, _ in part])
             add_counts(counts, code, data, ends, np.array([h for _, h in part]))
-            if len(words) > WORDS_AT_ONCE:
-                yield from flush()
-        yield from flush()
+            words.append(tally_words(split(data, ends)[0], int((np.diff(ends, prepend=0) > 1).sum())))
+            held += len(words[-1])
+            if held > 2 * WORDS_AT_ONCE:
+                if (held := merge()) > WORDS_AT_ONCE:
+                    yield from flush()
+                    held = 0
+        if words:
+            merge()
+            yield from flush()
         for column in zip(*packed_chunks(counts)):
             yield batch(None, None, *([v] for v in column))
 
@@ -493,6 +562,17 @@ def add_tables(counts: list[np.ndarray], parts: DataFrame, name: str) -> None:
     release(summed)
 
 
+def base(words: pa.Array, begin: np.ndarray, hot: pa.Array, logs: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """By text, of what split() has: how many tokens are in `hot`, the sum of their `logs`, the words that aren't, and the number of
+    words. `hot` has the end mark, the empty word, first."""
+    place = pc.index_in(words, value_set=hot).fill_null(len(hot)).to_numpy()
+    word, miss = place > 0, place == len(hot)
+    n_words, n_miss = (np.add.reduceat(x, begin, dtype=np.int64) for x in (word, miss))
+    rare = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n_miss)]), pa.int32()), words.filter(pa.array(miss)))
+    sums = np.add.reduceat(np.concatenate([[0.0], logs[1:], [0.0]]).take(place), begin)
+    return n_words - n_miss + (logs[0] > 0), sums + logs[0], rare, n_words
+
+
 def score_texts(docs: DataFrame, train: str, *, name: str = "lm") -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes, bits_per_byte of every row of `docs` (doc_id, text).
 
@@ -515,31 +595,34 @@ def score_texts(docs: DataFrame, train: str, *, name: str = "lm") -> DataFrame:
     counts = [c[: len(c) // 2] + c[len(c) // 2 :] for c in counts]
     mixer = Mixer(code, odds(counts, code, weights))
     del counts
-    hot = {bytes(r.word): float(np.log10(r.c + 1)) for r in frequent(vocabulary).collect()}
-    shared = spark.sparkContext.broadcast((mixer, hot))  # bounded by ROWS and HOT
+    frequent_ = {bytes(r.word): float(np.log10(r.c + 1)) for r in frequent(vocabulary).collect()}
+    logs = {b"": frequent_.pop(b"", 0.0)} | frequent_
+    shared = spark.sparkContext.broadcast((mixer, pa.array(logs, pa.binary()), np.array(list(logs.values()))))  # bounded by ROWS and HOT
     out = "rid long, doc_id long, n_tokens long, hot_known long, hot_sum double, score double, n_bytes long, rare array<binary>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, logs = shared.value
-        rid = TaskContext.get().partitionId() << 40
-        for part in rows(batches, "doc_id", "text", limit_bytes=SCORE_AT_ONCE):
-            words, data, ends = read([t for _, t in part])
-            score = model.score(data, ends)
-            n_known, sums, rare = [], [], []
-            for w in words:
-                got = list(map(logs.get, w))
-                miss = [x for x, g in zip(w, got) if g is None] if None in got else []
-                got = [g for g in got if g is not None] if miss else got
-                end = logs.get(b"")
-                n_known.append(len(got) + (end is not None))
-                sums.append(sum(got) + (end or 0.0))
-                rare.append(miss)
-            n = np.diff(ends, prepend=0)
-            yield pa.record_batch(
-                [pa.array(rid + np.arange(len(part))), pa.array([r[0] for r in part], pa.int64()), pa.array([len(w) + 1 for w in words], pa.int64()), pa.array(n_known, pa.int64()), pa.array(sums), pa.array(score), pa.array(n), pa.array(rare, pa.list_(pa.binary()))],
+        model, hot, logs = shared.value
+        rid, held = TaskContext.get().partitionId() << 40, []
+
+        def flush() -> pa.RecordBatch:
+            nonlocal rid
+            ids, words, begin, n, score = zip(*held)
+            held.clear()
+            before = np.cumsum([0, *map(len, words[:-1])])
+            n_known, sums, rare, n_words = base(pa.concat_arrays(words), np.concatenate([b + k for b, k in zip(begin, before)]), hot, logs)
+            rid += len(n_words)
+            return pa.record_batch(
+                [pa.array(rid - len(n_words) + np.arange(len(n_words))), pa.array(list(chain.from_iterable(ids)), pa.int64()), pa.array(n_words + 1), pa.array(n_known), pa.array(sums), pa.array(np.concatenate(score)), pa.array(np.concatenate(n)), rare],
                 ["rid", "doc_id", "n_tokens", "hot_known", "hot_sum", "score", "n_bytes", "rare"],
             )
-            rid += len(part)
+
+        for part in rows(batches, "doc_id", "text", limit_bytes=SCORE_AT_ONCE):
+            data, ends = joined([t for _, t in part])
+            held.append(([d for d, _ in part], *split(data, ends), np.diff(ends, prepend=0), model.score(data, ends)))
+            if sum(len(words) for _, words, *_ in held) > WORDS_LOOKED_UP:
+                yield flush()
+        if held:
+            yield flush()
 
     scored = materialize(docs.mapInArrow(run, out), f"{name}-scored")
     rest = scored.select("rid", F.explode("rare").alias("word")).join(vocabulary, "word").groupBy("rid").agg(F.count("*").alias("more"), F.sum(F.log10(F.col("c") + 1.0)).alias("more_sum"))
